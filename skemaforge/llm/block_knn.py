@@ -98,8 +98,8 @@ def op10_block_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH ok AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x <> 0)) > 0
-            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH ok AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 d AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
       FROM ok q JOIN ok c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS k FROM d)
