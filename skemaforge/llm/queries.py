@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import block_knn, url_filter
+from . import block_knn, packing, token_ids, url_filter
 
 QUERIES = {
+    "op2_token_files": token_ids.op2_token_files,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op10_block_knn": block_knn.op10_block_knn,
 }
 ORACLES = {
