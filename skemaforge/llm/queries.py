@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import block_knn, packing, token_ids, url_filter
+from . import block_knn, line_dedup, packing, pseudonyms, token_ids, url_filter
 
 QUERIES = {
     "op2_token_files": token_ids.op2_token_files,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op5_pseudonyms": pseudonyms.op5_pseudonyms,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op10_block_knn": block_knn.op10_block_knn,
 }
 ORACLES = {
+    "op3_line_dedup": line_dedup.SQL,
     "op6_url_filter": url_filter.SQL,
     "op10_block_knn": block_knn.SQL,
 }
