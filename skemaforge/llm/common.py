@@ -119,7 +119,8 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.binary_join_element_wise(pc.fill_null(column.cast(pa.large_string()), ""), "\n", "")
+    kind = pa.large_string()
+    column = pc.binary_join_element_wise(pc.fill_null(column.cast(kind), pa.scalar("", kind)), pa.scalar("", kind), pa.scalar("\n", kind))
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_knn, line_dedup, packing, pseudonyms, token_ids, url_filter
+from . import block_knn, language_id, line_dedup, packing, pseudonyms, token_ids, url_filter
 
 QUERIES = {
     "op2_token_files": token_ids.op2_token_files,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_pseudonyms": pseudonyms.op5_pseudonyms,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_language_id": language_id.op9_language_id,
     "op10_block_knn": block_knn.op10_block_knn,
 }
 ORACLES = {
