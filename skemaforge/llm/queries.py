@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import block_knn, language_id, line_dedup, packing, pseudonyms, token_ids, url_filter
+from . import block_knn, decontaminate, language_id, line_dedup, packing, pseudonyms, token_ids, url_filter
 
 QUERIES = {
     "op2_token_files": token_ids.op2_token_files,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op5_pseudonyms": pseudonyms.op5_pseudonyms,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLES = {
     "op3_line_dedup": line_dedup.SQL,
+    "op4_decontamination": decontaminate.SQL,
     "op6_url_filter": url_filter.SQL,
     "op10_block_knn": block_knn.SQL,
 }
