@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_knn, decontaminate, language_id, line_dedup, packing, pseudonyms, token_ids, url_filter
+from . import block_knn, decontaminate, jaccard_join, language_id, line_dedup, packing, pseudonyms, token_ids, url_filter
 
 QUERIES = {
     "op2_token_files": token_ids.op2_token_files,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_pseudonyms": pseudonyms.op5_pseudonyms,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_language_id": language_id.op9_language_id,
     "op10_block_knn": block_knn.op10_block_knn,

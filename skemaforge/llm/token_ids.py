@@ -34,41 +34,114 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 class WordEncoder:
     """A byte-level BPE tokenizer from its file, with the ids of words kept.
 
-    Byte-level pre-tokenization always cuts before a space that a non-space follows, so a text's ids are those of its
-    pieces between such spaces. Each new piece goes through the tokenizers library; a text with a piece that is empty or begins
-    with white space (where the cut doesn't hold) goes through it whole. Special tokens' strings are ordinary text.
+    Byte-level pre-tokenization always cuts before a space that a non-space follows, around a newline between two
+    non-spaces, and between letters and one of ``STOPS``. So a text's ids are those of the pieces between such places, and
+    only a piece that is new goes through the tokenizers library, many in one call. A text with a piece that is empty or begins or ends with
+    white space (where the cuts don't hold) goes through it whole. Special tokens' strings are ordinary text.
     """
 
+    STOPS = ".,|"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes | None] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        vocabulary = self.library.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
+        self.newline = self._encode("\n")
+        self.stop = {c: self._encode(c) for c in self.STOPS}
+        self.words: dict[str, bytes | None] = {}  # with a space before
+        self.heads: dict[str, bytes | None] = {}  # without
+
+    def _encode(self, text: str) -> bytes:
+        return self._ids(text).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, known: dict, new: list[str], joint: str, starts) -> None:
+        """Encode pieces in one text; ``starts`` finds where each begins in its ids."""
+        for lo in range(0, len(new), 4096):
+            some = new[lo : lo + 4096]
+            ids = self._ids(joint + joint.join(some))
+            at = np.flatnonzero(starts(ids))
+            if len(at) != len(some):  # a vocabulary of another kind
+                known.update((w, self._encode(joint.strip("\n") + w)) for w in some)
+                continue
+            raw, skip = ids.tobytes(), 0 if joint == " " else len(self.newline)
+            ends = [*(4 * at).tolist(), len(raw)]
+            known.update((w, raw[p + skip : q]) for w, p, q in zip(some, ends[:-1], ends[1:]))
+
+    def _new(self, words: set[str]) -> list[str]:
+        """Take up new words; returns those of several lines, which aren't worth keeping."""
+        lines, stopped, plain, heads = [], [], [], set()
+        for w in words:
+            if w.strip() != w or not w:
+                self.words[w] = None
+            elif "\n" in w:
+                first, *rest = w.split("\n")
+                lines.append((w, first, rest))
+                heads.update(rest)
+            elif w[-1] in self.stop and w[:-1].isalpha():
+                stopped.append(w)
+            else:
+                plain.append(w)
+        more = {first for _, first, _ in lines if first not in self.words and first not in words}
+        for w in more:
+            if w.strip() != w or not w:
+                self.words[w] = None
+            elif w[-1] in self.stop and w[:-1].isalpha():
+                stopped.append(w)
+            else:
+                plain.append(w)
+        cores = {w[:-1] for w in stopped}
+        cores -= self.words.keys()
+        plain = list(cores.union(plain))
+        self._learn(self.words, plain, " ", lambda ids: self.spaced[ids])
+        for w in stopped:
+            self.words[w] = self.words[w[:-1]] + self.stop[w[-1]]
+        self._heads(heads)
+        for w, first, rest in lines:
+            parts = [self.words[first], *(self.heads[r] if r else None for r in rest)]
+            self.words[w] = None if None in parts else self.newline.join(parts)
+        return [w for w, _, _ in lines]
+
+    def _heads(self, heads: set[str]) -> None:
+        new = [w for w in heads if w not in self.heads]
+        self.heads.update((w, None if w else b"") for w in new if w.strip() != w or not w)
+        whole = [w for w in new if w and w.strip() == w]
+        self.heads.update((w, self._encode(w)) for w in whole if "\n" in w)
+        newline = np.frombuffer(self.newline, np.uint32)
+        single = [w for w in whole if "\n" not in w]
+        if len(newline) == 1:
+            self._learn(self.heads, single, "\n", lambda ids: ids == newline[0])
+        else:
+            self.heads.update((w, self._encode(w)) for w in single)
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known, heads, tails = self.known, [], []
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        if len(self.heads) > CACHED_WORDS // 4:
+            self.heads.clear()
+        heads, tails = [], []
         for t in texts:
             head, *tail = (t or "").split(" ")
             heads.append(head)
             tails.append(tail)
-        new = [w for w in set().union(*tails) if w not in known]
-        whole = [w for w in new if w and not w[0].isspace()]
-        known.update(dict.fromkeys(new))
-        known.update(zip(whole, self._encode([" " + w for w in whole])))
-        first = self._encode(heads)
-        for t, head, tail in zip(texts, first, tails):
+        words = self.words
+        passing = self._new({w for w in set().union(*tails) if w not in words})
+        self._heads(set(heads))
+        for t, head, tail in zip(texts, heads, tails):
             try:
-                yield head + b"".join([known[w] for w in tail])
+                yield self.heads[head] + b"".join([words[w] for w in tail])
             except TypeError:  # a piece that can't stand alone
-                yield self._encode([t])[0]
+                yield self._encode(t)
+        for w in passing:
+            del words[w]
 
 
 _encoders: dict[str, WordEncoder] = {}
