@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import block_knn, decontaminate, jaccard_join, language_id, line_dedup, packing, pseudonyms, token_ids, url_filter
+from . import block_knn, decontaminate, jaccard_join, katz, language_id, line_dedup, packing, pseudonyms, token_ids, url_filter
 
 QUERIES = {
+    "op1_katz": katz.op1_katz,
     "op2_token_files": token_ids.op2_token_files,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_decontamination": decontaminate.op4_decontamination,
