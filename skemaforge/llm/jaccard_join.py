@@ -6,7 +6,10 @@ for prefix filtering, and this one keeps frequent passages out of prefixes.
 
 1. Documents of equal sets are one class; the smallest id stands for it. All that follows is between classes.
 2. Linked documents share a shingle of their prefixes (the first n - ceil(t n) + 1 in the global order). Of each list of documents
-   with a prefix shingle, only lists of two or more matter.
+   with a prefix shingle, only lists of two or more matter. Documents with too few shingles that aren't hot (members of large
+   families of copies) are crowded: their whole sets are taken. Between two crowded documents, a shingle that only one crowded document has can't be common, so
+   each keeps the rest of its set, in order of frequency among the crowded, and a prefix that is as much shorter; a document that is left with
+   too little links with none of them.
 3. Lists are not expanded into pairs. Each member is first compared with one leader (a member of the most
    widely shared shingles), then with all its lists' leaders, each time leaving out what is already connected. Only pairs of
    different components that remain are compared each, so no link between components is lost and a group of copies costs a
@@ -19,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mix, staged, text_bytes, word_hashes
@@ -68,15 +71,13 @@ def pool_size(n: int, percent: int) -> int:
     return min(n, prefix_size(n, percent) * 8 // 5 + 16)
 
 
-def in_order(hashes: np.ndarray, n: int, hot: np.ndarray, percent: int) -> np.ndarray | None:
-    """A document's prefix from its smallest hashes, or None if those don't determine it."""
+def in_order(hashes: np.ndarray, n: int, hot: np.ndarray, percent: int, whole: bool = False) -> np.ndarray | None:
+    """A document's prefix from its smallest hashes, or None if they hold too few that aren't hot; of a whole set, those that aren't hot."""
     p = prefix_size(n, percent)
     if len(hot) and len(hashes):
-        is_hot = hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] == hashes
-        cool = hashes[~is_hot]
-        if len(cool) < p:
-            return np.concatenate((cool, hashes[is_hot]))[:p] if len(hashes) == n else None
-        hashes = cool
+        hashes = hashes[hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] != hashes]
+        if len(hashes) < p and not whole:
+            return None
     return hashes[:p]
 
 
@@ -218,17 +219,22 @@ def join_components(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     hot_list = np.sort(np.array([r["s"] for r in counts.where(F.col("docs") > hot).select("s").collect()], np.int64).view(np.uint64))
 
     first = staged(_listed(pools, hot_list, percent), "prefixes")
-    short = staged(first.where("rank < 0").select("doc").distinct(), "undetermined")
-    full = _whole_sets(docs, short, size, 1).join(pools.select(F.col("doc").alias("d"), "n"), F.col("doc") == F.col("d")).select("doc", "n", F.col("hashes").alias("pool"))
-    prefixes = first.where("rank >= 0").unionByName(_prefix_of_arrays(full.dropDuplicates(["doc"]), hot_list, percent))
-    shared = prefixes.groupBy("s").agg(F.count("*").alias("docs")).where("docs > 1")
-    lists = staged(prefixes.join(shared, "s").select("s", "doc", "rank", "n"), "lists")
-
-    standing = lists.groupBy("doc").agg((F.count("*") / F.first("n")).alias("score"))
+    crowded = staged(first.where("rank < 0").select("doc").distinct(), "crowded")
+    sizes = pools.select(F.col("doc").alias("d"), "n")
+    full = _whole_sets(docs, crowded, size, 1).dropDuplicates(["doc"]).join(sizes, F.col("doc") == F.col("d")).select("doc", "n", F.col("hashes").alias("pool"))
+    full = staged(full, "crowded-sets")
+    # part 0: pairs with a document that isn't crowded; part 1: pairs of crowded ones
+    prefixes = first.where("rank >= 0").withColumn("crowded", F.lit(False)).unionByName(_prefix_of_arrays(full, hot_list, percent).withColumn("crowded", F.lit(True)))
+    prefixes = prefixes.select(F.lit(0).alias("part"), "s", "doc", "rank", "n", F.col("n").alias("usable"), "crowded")
+    prefixes = prefixes.unionByName(_crowded_prefixes(full, percent).withColumn("crowded", F.lit(False)))
+    shared = prefixes.groupBy("part", "s").agg(F.count("*").alias("docs"), F.count_if(~F.col("crowded")).alias("free")).where("docs > 1 and free > 0")
+    lists = staged(prefixes.join(shared, ["part", "s"]).select("part", "s", "doc", "rank", "n", "usable", "crowded"), "lists")
+
+    standing = lists.groupBy("doc").agg((F.max(F.col("part") * F.col("usable")) / F.first("n") + F.count("*") / F.first("n")).alias("score"))
     ranked = lists.join(standing, "doc")
-    leaders = ranked.groupBy("s").agg(F.max(F.struct("score", (-F.col("doc")).alias("minus"), "n")).alias("lead"))
-    leaders = leaders.select("s", (-F.col("lead.minus")).alias("leader"), F.col("lead.n").alias("nl"), F.col("lead.score").alias("lscore"))
-    led = staged(lists.join(leaders, "s").where("doc <> leader").groupBy("doc", "n", "leader", "nl", "lscore").agg(F.count("*").alias("common")), "led")
+    leaders = ranked.groupBy("part", "s").agg(F.max(F.struct("score", (-F.col("doc")).alias("minus"), "n")).alias("lead"))
+    leaders = leaders.select("part", "s", (-F.col("lead.minus")).alias("leader"), F.col("lead.n").alias("nl"), F.col("lead.score").alias("lscore"))
+    led = staged(lists.join(leaders, ["part", "s"]).where("doc <> leader").groupBy("doc", "n", "leader", "nl", "lscore").agg(F.count("*").alias("common")), "led")
     best = led.groupBy("doc", "n").agg(F.max(F.struct("lscore", "common", (-F.col("leader")).alias("minus"), "nl")).alias("x"))
     pair = lambda df, a, b, na, nb: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(F.col(a) < F.col(b), F.col(na)).otherwise(F.col(nb)).alias("na"), F.when(F.col(a) < F.col(b), F.col(nb)).otherwise(F.col(na)).alias("nb")).distinct()
     pairs = pair(best.select("doc", "n", (-F.col("x.minus")).alias("leader"), F.col("x.nl").alias("nl")), "doc", "leader", "n", "nl")
@@ -244,15 +250,14 @@ def join_components(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     links = links.unionByName(linked(pairs, docs, pools, size, percent, fragments))
     comp = components(links)
 
-    labelled = lists.join(comp, "doc", "left").select("s", "doc", "rank", "n", F.coalesce("comp", "doc").alias("comp"))
-    mixed_lists = labelled.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
-    open_rows = staged(labelled.join(mixed_lists, "s", "left_semi"), "open")
-    x = open_rows.select("s", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
-    y = open_rows.select("s", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("rank").alias("rb"))
+    labelled = lists.join(comp, "doc", "left").select("part", "s", "doc", "rank", "n", "usable", "crowded", F.coalesce("comp", "doc").alias("comp"))
+    mixed_lists = labelled.groupBy("part", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("part", "s")
+    open_rows = staged(labelled.join(mixed_lists, ["part", "s"], "left_semi"), "open")
+    side = lambda k: open_rows.select("part", "s", F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("comp").alias(f"c{k}"), (F.col("usable") - F.col("rank")).alias(f"r{k}"), F.col("crowded").alias(f"x{k}"))
     # a linked pair's first common shingle leaves room for the rest of the overlap (positional filter)
-    room = (100 + percent) * (1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) - 1) >= percent * (F.col("na") + F.col("nb"))
+    room = (100 + percent) * F.least("ra", "rb") >= percent * (F.col("na") + F.col("nb"))
     near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & room
-    rest = x.join(y, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b", "na", "nb").distinct()
+    rest = side("a").join(side("b"), ["part", "s"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~(F.col("xa") & F.col("xb")) & near).select("a", "b", "na", "nb").distinct()
     tried = pair(led, "doc", "leader", "n", "nl").select("a", "b")
     more = linked(rest.join(tried, ["a", "b"], "left_anti"), docs, pools, size, percent, fragments)
     comp = components(links.unionByName(more))
@@ -263,15 +268,25 @@ def join_components(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _crowded_prefixes(full: DataFrame, percent: int) -> DataFrame:
+    """The crowded documents' lists among themselves (part 1), from whole sets (doc, n, pool)."""
+    rows = full.select("doc", "n", F.explode("pool").alias("s"))
+    common = rows.join(rows.groupBy("s").agg(F.count("*").alias("docs")).where("docs > 1"), "s")
+    own = Window.partitionBy("doc")
+    placed = common.withColumn("usable", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("docs", "s")) - 1)
+    need = F.ceil(F.lit(percent) * F.col("n") / 100)
+    return placed.where(F.col("rank") < F.col("usable") - need + 1).select(F.lit(1).alias("part"), "s", "doc", "rank", "n", "usable")
+
+
 def _prefix_of_arrays(df: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
-    """As ``_listed``, from whole sets as arrays."""
+    """As ``_listed``, from whole sets as arrays: what isn't hot."""
     shared = df.sparkSession.sparkContext.broadcast(hot)
 
     def rows(batches):
         for b in batches:
             flat, at = b.column("pool").values.to_numpy().view(np.uint64), b.column("pool").offsets.to_numpy()
             for i, (d, n) in enumerate(zip(b.column("doc").to_pylist(), b.column("n").to_pylist())):
-                own = in_order(flat[at[i] : at[i + 1]], n, shared.value, percent)
+                own = in_order(flat[at[i] : at[i + 1]], n, shared.value, percent, whole=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), d)), pa.array(np.arange(len(own), dtype=np.int32)), pa.array(np.full(len(own), n))], names=["s", "doc", "rank", "n"])
 
     return df.mapInArrow(rows, "s long, doc long, rank int, n long")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import stage_path
 
 #: Words whose ids a worker keeps before it starts afresh.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 #: Writer settings: dictionary pages, 8 MB row groups, 64 KB pages (each with its entry in the page index).
 FORMAT = {"compression": "zstd", "parquet.enable.dictionary": "true", "parquet.block.size": str(8 << 20), "parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "1000", "parquet.dictionary.page.size": str(1 << 20), "parquet.writer.version": "v2"}
 
@@ -53,8 +53,8 @@ class WordEncoder:
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
         self.newline = self._encode("\n")
         self.stop = {c: self._encode(c) for c in self.STOPS}
-        self.words: dict[str, bytes | None] = {}  # with a space before
-        self.heads: dict[str, bytes | None] = {}  # without
+        self.words: dict[str, bytes | bool] = {}  # with a space before; False: can't stand alone
+        self.heads: dict[str, bytes | bool] = {}  # without
 
     def _encode(self, text: str) -> bytes:
         return self._ids(text).tobytes()
@@ -80,7 +80,7 @@ class WordEncoder:
         lines, stopped, plain, heads = [], [], [], set()
         for w in words:
             if w.strip() != w or not w:
-                self.words[w] = None
+                self.words[w] = False
             elif "\n" in w:
                 first, *rest = w.split("\n")
                 lines.append((w, first, rest))
@@ -92,7 +92,7 @@ class WordEncoder:
         more = {first for _, first, _ in lines if first not in self.words and first not in words}
         for w in more:
             if w.strip() != w or not w:
-                self.words[w] = None
+                self.words[w] = False
             elif w[-1] in self.stop and w[:-1].isalpha():
                 stopped.append(w)
             else:
@@ -105,13 +105,13 @@ class WordEncoder:
             self.words[w] = self.words[w[:-1]] + self.stop[w[-1]]
         self._heads(heads)
         for w, first, rest in lines:
-            parts = [self.words[first], *(self.heads[r] if r else None for r in rest)]
-            self.words[w] = None if None in parts else self.newline.join(parts)
+            parts = [self.words[first], *(self.heads[r] if r else False for r in rest)]
+            self.words[w] = False if False in parts else self.newline.join(parts)
         return [w for w, _, _ in lines]
 
     def _heads(self, heads: set[str]) -> None:
         new = [w for w in heads if w not in self.heads]
-        self.heads.update((w, None if w else b"") for w in new if w.strip() != w or not w)
+        self.heads.update((w, False if w else b"") for w in new if w.strip() != w or not w)
         whole = [w for w in new if w and w.strip() == w]
         self.heads.update((w, self._encode(w)) for w in whole if "\n" in w)
         newline = np.frombuffer(self.newline, np.uint32)
@@ -127,21 +127,25 @@ class WordEncoder:
             self.words.clear()
         if len(self.heads) > CACHED_WORDS // 4:
             self.heads.clear()
-        heads, tails = [], []
+        heads, tails, parts, missing = [], [], [], set()
+        look = self.words.get
         for t in texts:
             head, *tail = (t or "").split(" ")
-            heads.append(head)
-            tails.append(tail)
-        words = self.words
-        passing = self._new({w for w in set().union(*tails) if w not in words})
+            got = list(map(look, tail))
+            if None in got:
+                missing.update(w for w, ids in zip(tail, got) if ids is None)
+                heads.append(head), tails.append(tail), parts.append(None)
+            else:
+                heads.append(head), tails.append(None), parts.append(got)
+        passing = self._new(missing)
         self._heads(set(heads))
-        for t, head, tail in zip(texts, heads, tails):
+        for t, head, tail, got in zip(texts, heads, tails, parts):
             try:
-                yield self.heads[head] + b"".join([words[w] for w in tail])
+                yield self.heads[head] + b"".join(map(look, tail) if got is None else got)
             except TypeError:  # a piece that can't stand alone
                 yield self._encode(t)
         for w in passing:
-            del words[w]
+            del self.words[w]
 
 
 _encoders: dict[str, WordEncoder] = {}

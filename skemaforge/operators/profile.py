@@ -54,12 +54,16 @@ def cap_report(counts: DataFrame, k: int) -> DataFrame:
 def observed_fields(df: DataFrame, exclude: tuple[str, ...] = SYSTEM_FIELDS) -> DataFrame:
     """field, present: fields with a value in some row (one aggregation, no shuffle of rows)."""
     fields = [c for c in df.columns if c not in exclude]
+    if not fields:
+        return df.sparkSession.createDataFrame([], "field string, present long")
     return df.agg(*(F.count(f).alias(f) for f in fields)).unpivot([], fields, "field", "present").where("present > 0")
 
 
 def observed_fields_by_type(df: DataFrame, type_field: str, exclude: tuple[str, ...] = SYSTEM_FIELDS, sampled: int | None = None) -> DataFrame:
     """type, field, present; ``sampled`` looks at so many rows a type (by key) as a cheap probe."""
     fields = [c for c in df.columns if c not in (*exclude, type_field)]
+    if not fields:
+        return df.sparkSession.createDataFrame([], "type string, field string, present long")
     if sampled is not None:
         df = df.withColumn("_n", F.row_number().over(Window.partitionBy(type_field).orderBy("_key"))).where(F.col("_n") <= sampled)
     counts = df.where(F.col(type_field).isNotNull()).groupBy(F.col(type_field).alias("type")).agg(*(F.count(f).alias(f) for f in fields))

@@ -11,7 +11,7 @@ from skemaforge.operators.profile import value_counts
 
 def windowed_counts(events: DataFrame, time: str, label: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """start, label, n by tumbling window; rows later than the watermark are left out, so state stays bounded."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), F.col(label).alias("label")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "label", "n")
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), F.col(label).alias("label")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "label", "n")
 
 
 def append_value_counts(stream: DataFrame, fields: list[str], path: str, checkpoint: str) -> StreamingQuery:
