@@ -54,7 +54,7 @@ def counts(texts: pa.Array) -> np.ndarray:
             h = h[:m] * np.uint32(2654435761) + b[n - 1 :] * np.uint32(40503) + np.uint32(n)
             seen = seen[:m] & blank[n - 1 :]
             slot = (((h ^ (h >> 15)) * np.uint32(2246822519)) >> 20).astype(np.int64)
-            use = ~seen
+            use = ~seen & (row[:m] == row[n - 1 :])  # within one text
             out[lo:hi] += np.bincount((row[:m] + slot)[use], minlength=(hi - lo) * DIMENSIONS).reshape(hi - lo, DIMENSIONS)
     return out
 
