@@ -209,6 +209,8 @@ def join_components(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sigs = staged(signatures(docs, size, percent), "signatures")
+    if not sigs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id"])  # whole sets are read again by id: each once, or overlaps count several times
     classes = staged(sigs.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min_by("pool", "doc_id").alias("pool"), F.min("doc_id").alias("doc")), "classes")
     pools = classes.select("doc", "n", "pool")
 

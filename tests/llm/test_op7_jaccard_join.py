@@ -54,6 +54,19 @@ def test_odd_rows(spark, monkeypatch):
     assert jaccard_join.representatives(df).count() == 9
 
 
+@pytest.mark.parametrize("times", [(2, 1), (2, 2), (1, 3)])
+def test_repeated_rows_make_no_links(spark, times):
+    words = [f"v{i}" for i in range(103)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:50], "x", *words[51:97], "y", *words[98:102], "w"]))]
+    rows += [(3, " ".join(f"u{i}" for i in range(103))), (4, " ".join([*(f"u{i}" for i in range(102)), "z"]))]
+    share = [len(a & b) / len(a | b) for a, b in [[{tuple(t.split()[i : i + 4]) for i in range(100)} for _, t in rows[:2]]]]
+    assert 0.8 < share[0] < 0.85  # somewhat below the threshold
+    again = [r for r, n in zip(rows, [*times, *times]) for _ in range(n)]
+    df = spark.createDataFrame(again, "doc_id long, text string").repartition(3)
+    assert got(jaccard_join.join_components(df)) == brute.jaccard_components(rows, 4, 85) == {1: (100, 1), 2: (100, 2), 3: (100, 3), 4: (100, 3)}
+    assert sorted(r.doc_id for r in jaccard_join.representatives(df).collect()) == sorted(i for i, _ in again if i != 4)
+
+
 def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 90), (90, 95)], "a long, b long")
     found = {r.doc: r.comp for r in jaccard_join.components(links).collect()}
