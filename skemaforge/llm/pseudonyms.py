@@ -6,7 +6,8 @@ can undo it. Text around the values stays as it is.
 
 - e-mail: the letters and digits of the local part; the domain stays
 - phone in international form: the digits after the country code
-- payment card: 13 to 19 digits under a right Luhn sum; the pseudonym's sum is right too
+- payment card: 13 to 19 digits under a right Luhn sum, also within a longer run of digit groups (beside an expiry date, a check
+  value or another number); the pseudonym's sum is right too
 - IPv4: four octets to 255, as one 32-bit number
 - date (year first with ``-``, ``/`` or ``.``; or year last with ``/`` or ``.``): real days of the years 1800 to 2199, permuted among
   those 146,097 days
@@ -25,10 +26,15 @@ EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]+(?:\.[A-Za
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ \-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ \-]?[0-9]{2,4}){2,3}(?![0-9])"
 DATE = r"(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{4}\.[0-9]{2}\.[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])"
+#: A run of digit groups with 13 digits or more, up to where another kind begins; possessive, so a long run takes no stack.
+CARD = rf"(?<![0-9A-Za-z])(?=[0-9](?:[ \-]?[0-9]){{12}})[0-9]{{1,19}}+(?![0-9A-Za-z])(?:[ \-](?!{EMAIL}|{IPV4}|(?=(?:1[89]|2[01])[0-9]{{2}}|[0-9]{{2}}[/.]){DATE})[0-9]{{1,19}}+(?![0-9A-Za-z]))*+"
+#: How cards are usually written; such a part of a run goes before others.
+USUAL = r"^(?=[346]|2[2-7]|5[0-8])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{4,5})$"
 ACCESS = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 SECRET = r"(?<=(?:[Tt]oken|[Ss]ecret|[Kk]ey|[Pp]assword) ?[=:] ?[\"'])[0-9a-f]{32,128}(?=[\"'])"
 ANY = "|".join((EMAIL, IPV4, PHONE, DATE, CARD, ACCESS, SECRET))
+#: A found value's replacement and how many values it holds.
+NEW = "struct<text:string,n:int>"
 
 
 def _let(value: Column, body) -> Column:
@@ -97,15 +103,65 @@ def refilled(shape: Column, digits: Column) -> Column:
     return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), put, lambda a: a["out"])
 
 
-def _card(m: Column, key: str) -> Column:
-    digits = F.regexp_replace(m, "[^0-9]", "")
+def _is_card(digits: Column) -> Column:
+    return F.length(digits).between(13, 19) & (luhn_sum(digits, 1) % 10 == 0)
 
-    def renew(d: Column) -> Column:
-        body = permuted_text(F.substr(d, F.lit(1), F.length(d) - 1), "card", key)
-        with_check = _let(body, lambda b: F.concat(b, F.pmod(10 - luhn_sum(b, 0) % 10, F.lit(10)).cast("string")))
-        return F.when(luhn_sum(d, 1) % 10 == 0, _let(with_check, lambda n: refilled(m, n))).otherwise(m)
 
-    return _let(digits, renew)
+def _digits(s: Column) -> Column:
+    return F.regexp_replace(s, "[^0-9]", "")
+
+
+def _swept(parts: Column) -> Column:
+    """Of ``parts`` (from, to, ...) in order, each that begins after the last one taken."""
+    none = F.slice(parts, 1, 0)
+    step = lambda acc, p: F.when(p["from"] > acc["last"], F.struct(F.concat(acc["taken"], F.array(p)).alias("taken"), p["to"].alias("last"))).otherwise(acc)
+    return F.aggregate(parts, F.struct(none.alias("taken"), F.lit(0).alias("last")), step, lambda acc: acc["taken"])
+
+
+def _card_parts(groups: Column) -> Column:
+    """The cards among digit groups (each with the separator after it), as (from, to, usual) counted from 1.
+
+    Every run of groups of 13 to 19 digits is tried. Where right ones overlap, those in a usual writing go first, then the one that
+    begins first, then the longest.
+    """
+    n = F.size(groups)
+
+    def begun(i: Column) -> Column:
+        # from the longest to the shortest: nineteen groups at most
+        ends = F.reverse(F.sequence(i, F.least(i + 18, n)))
+        part = lambda j: F.array_join(F.slice(groups, i, j - i + 1), "")
+        right = F.filter(ends, lambda j: _let(_digits(part(j)), _is_card))
+        return F.transform(right, lambda j: F.struct(i.alias("from"), j.alias("to"), F.regexp_replace(part(j), "[ \\-]$", "").rlike(USUAL).alias("usual")))
+
+    def chosen(right: Column) -> Column:
+        def both(usual: Column) -> Column:
+            free = F.filter(right, lambda p: ~F.exists(usual, lambda u: (u["from"] <= p["to"]) & (p["from"] <= u["to"])))
+            return F.array_sort(F.concat(usual, _swept(free)))
+
+        return _let(_swept(F.filter(right, lambda p: p["usual"])), both)
+
+    return _let(F.flatten(F.transform(F.sequence(F.lit(1), n), begun)), chosen)
+
+
+def _cards(m: Column, key: str) -> Column:
+    """A run of digit groups with its cards renewed, as NEW. A run that is right as a whole is one card."""
+
+    def renew(part: Column) -> Column:
+        def with_check(d: Column) -> Column:
+            body = permuted_text(F.substr(d, F.lit(1), F.length(d) - 1), "card", key)
+            return _let(_let(body, lambda b: F.concat(b, F.pmod(10 - luhn_sum(b, 0) % 10, F.lit(10)).cast("string"))), lambda new: refilled(part, new))
+
+        return _let(_digits(part), with_check)
+
+    def renewed(groups: Column) -> Column:
+        text = lambda i, j: F.array_join(F.slice(groups, i, j - i + 1), "")
+        step = lambda acc, p: F.struct(F.concat(acc["out"], text(acc["at"], p["from"] - 1), _let(text(p["from"], p["to"]), renew)).alias("out"), (p["to"] + 1).alias("at"))
+        one = F.array(F.struct(F.lit(1).alias("from"), F.size(groups).alias("to"), F.lit(True).alias("usual")))
+        parts = F.when(_let(_digits(m), _is_card), one).otherwise(_card_parts(groups))
+        done = lambda parts: F.aggregate(parts, F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step, lambda acc: F.struct(F.concat(acc["out"], text(acc["at"], F.size(groups))).alias("text"), F.size(parts).alias("n")).cast(NEW))
+        return _let(parts, done)
+
+    return _let(F.regexp_extract_all(m, F.lit(r"[0-9]+[ \-]?"), F.lit(0)), renewed)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -144,18 +200,19 @@ def _date(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str = KEY) -> Column:
-    """The pseudonym of one found value; a value that isn't valid stays."""
+    """The pseudonym of one found value, as NEW; a value that isn't valid stays."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
     country = F.regexp_extract(m, r"^(\+[0-9]{1,3}?(?=[ \-(])|\+[0-9])", 1)
-    return (
+    one = (
         F.when(m.contains("@"), F.concat(permuted_text(F.substring_index(m, "@", 1), "email", key), F.lit("@"), F.substring_index(m, "@", -1)))
         .when(whole(IPV4), _ip(m, key))
         .when(m.startswith("+"), F.concat(country, permuted_text(F.substr(m, F.length(country) + 1, F.length(m)), "phone", key)))
         .when(whole(DATE), _date(m, key))
         .when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), permuted_text(F.substr(m, F.lit(5), F.length(m)), "access", key)))
         .when(m.rlike("^[0-9a-f]{32,}$"), permuted_text(m, "secret", key, letters=6))
-        .otherwise(_card(m, key))
     )
+    # what no branch takes is a run of digits
+    return F.coalesce(_let(one, lambda new: F.when(new.isNotNull(), F.struct(new.alias("text"), (new != m).cast("int").alias("n")).cast(NEW))), _cards(m, key))
 
 
 def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
@@ -168,8 +225,8 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame
     # n matches lie between n + 1 pieces
     found = df.withColumn("_found", F.when(t.rlike(ANY), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
     new = found.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
-    joined = F.array_join(F.zip_with(F.split(t, ANY, -1), F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
+    joined = F.array_join(F.zip_with(F.split(t, ANY, -1), F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b["text"], F.lit("")))), "")
+    changed = F.aggregate("_new", F.lit(0), lambda n, b: n + b["n"])
     names = [c for c in df.columns if c != "n_values"]
     out = [F.when(F.col("_found").isNull(), t).otherwise(joined).alias(text) if c == text else F.col(c) for c in names]
     return new.select(*out, F.when(F.col("_found").isNull(), 0).otherwise(changed).alias("n_values"))

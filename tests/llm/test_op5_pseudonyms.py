@@ -78,3 +78,19 @@ def test_key_matters_and_texts_around_stay(spark):
     df = spark.createDataFrame([("mail ann.lee@mail.org now",)], "text string")
     a, b = (pseudonyms.pseudonymise(df, key=k).first().text for k in ("one", "two"))
     assert a != b and all(re.fullmatch(r"mail [a-z]{3}\.[a-z]{3}@mail\.org now", x) for x in (a, b))
+
+
+def test_cards_beside_other_numbers(spark):
+    card, other, amex = "4111 1111 1111 1111", "5500-0000-0000-0004", "3782 822463 10005"
+    new, new_other, new_amex = renamed(spark, [card, other, amex])
+    texts = ["card {} 12/26", "card {} 123.", "order 12 {}", "order 12 {} 12/26 123", "7 77 777 {} 5 55 555", "{}-12-26", "id 123456789 {}", "{} 2nd"]
+    assert renamed(spark, [t.format(card) for t in texts]) == [t.format(new) for t in texts]
+    assert renamed(spark, [f"{amex} 1234", f"9 {other} 12/26"]) == [f"{new_amex} 1234", f"9 {new_other} 12/26"]
+    pair = pseudonyms.pseudonymise(spark.createDataFrame([(f"12 {card} {other} 123",)], "text string")).first()
+    assert pair[:] == (f"12 {new} {new_other} 123", 2)
+    beside = ["2024-05-06", "06/05/2024", "2024.05.06", "192.168.0.1", "12@mail.org"]
+    assert renamed(spark, [f"{card} {v}" for v in beside]) == [f"{new} {v}" for v in renamed(spark, beside)]
+    kept = ["1234 5678 9012 3456 12/26", "12345678901234567890123456789012345"]
+    assert renamed(spark, kept) == kept
+    series = "1 2 3 " * 1000
+    assert shape(renamed(spark, [series])[0]) == shape(series)
