@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import drop_staged, staged
 
-RATIO = 0.1
-MIN_PAGES = 5
+#: A template often serves one section of a site only, so a line on few in a hundred pages of a large host is boilerplate already;
+#: that unrelated pages share an own sentence that often isn't chance. One in a hundred leaves a margin to both.
+RATIO = 0.01
+#: Under 300 pages this floor decides. Two pages with a line in common may be one page and its copy, and a lower floor would take
+#: every line from both; the third page makes a template the likelier reason. So a host of one or two pages loses nothing.
+MIN_PAGES = 3
 #: Flagged digests (16 bytes each) up to which they are broadcast: 8 MB; beyond, a join by page.
 BROADCAST_LINES = 500_000
 

@@ -36,3 +36,17 @@ def test_odd_rows(spark, lines):
     twice = line_dedup.drop_boilerplate(df.unionByName(df), broadcast_lines=lines).collect()
     assert set(Counter(r.doc_id for r in twice).values()) == {2}
     assert line_dedup.drop_boilerplate(df.limit(0), broadcast_lines=lines).count() == 0
+
+
+@pytest.mark.parametrize("lines", [500_000, 0])
+def test_planted_rates_and_small_hosts(spark, lines):
+    # numbers of the test's own, not the module's: lines on so many of a large host's 1000 pages, and small hosts
+    planted = {"all": 1000, "often": 132, "tenth": 86, "section": 40, "corner": 20, "rare": 3}
+    rows = [("big", i, [k for k, n in planted.items() if i * 7 % 1000 < n]) for i in range(1000)]
+    rows += [(f"small{n}", i, ["menu"]) for n in (1, 2, 3, 4) for i in range(n)]
+    texts = [(h, "\n".join([*held, f"own {h} {i}"])) for h, i, held in rows]
+    want = ["\n".join([*(k for k in held if k == "rare" or h in ("small1", "small2")), f"own {h} {i}"]) for h, i, held in rows]
+    texts += [("copies", "one\ntwo")] * 2
+    want += ["one\ntwo"] * 2
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(texts)], "doc_id long, source string, text string")
+    assert [r.text for r in line_dedup.drop_boilerplate(df, broadcast_lines=lines).orderBy("doc_id").collect()] == want
