@@ -128,7 +128,6 @@ def _listed(df: DataFrame, hot: np.ndarray | None, percent: int) -> DataFrame:
 def _whole_sets(docs: DataFrame, ids: DataFrame, size: int, fragments: int) -> DataFrame:
     """doc, fragment, hashes (array of long) of the documents in ``ids`` (doc): fragments cut the hash order evenly."""
     texts = docs.join(_small(ids), F.col("doc_id") == F.col("doc"), "left_semi")
-    shift = np.uint64(64 - (fragments - 1).bit_length())
 
     def rows(batches):
         for b in batches:
@@ -136,7 +135,7 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, size: int, fragments: int) -> D
                 part = b.slice(lo, 256)
                 doc, fragment, sets = [], [], []
                 for d, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), size)):
-                    of = (s >> shift).astype(np.int64) if fragments > 1 else np.zeros(len(s), np.int64)
+                    of = ((s >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
                     cuts = np.searchsorted(of, np.arange(fragments + 1))
                     for f in range(fragments):
                         if cuts[f + 1] > cuts[f]:

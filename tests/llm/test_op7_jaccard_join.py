@@ -67,6 +67,13 @@ def test_repeated_rows_make_no_links(spark, times):
     assert sorted(r.doc_id for r in jaccard_join.representatives(df).collect()) == sorted(i for i, _ in again if i != 4)
 
 
+@pytest.mark.parametrize("fragments", [1, 5, 6, 8])
+def test_fragments_hold_every_shingle(spark, fragments):
+    docs = spark.createDataFrame([(1, " ".join(f"v{i}" for i in range(203)))], "doc_id long, text string")
+    sets = jaccard_join._whole_sets(docs, spark.createDataFrame([(1,)], "doc long"), 4, fragments).collect()
+    assert sum(len(r.hashes) for r in sets) == 200 and {r.fragment for r in sets} == set(range(fragments))
+
+
 def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 90), (90, 95)], "a long, b long")
     found = {r.doc: r.comp for r in jaccard_join.components(links).collect()}
