@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +54,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+_LENGTH = 0xD1342543DE82EF95
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,53 +65,56 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_powers: dict[str, np.ndarray] = {}
+#: Bytes that are hashed at a time; what is kept between calls are the powers up to it (2 MB).
+_CHUNK = 1 << 17
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = 1 << max(16, int(n).bit_length())
-        for key, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            out = np.ones(size, np.uint64)
-            step, have = b, 1
-            with np.errstate(over="ignore"):
-                while have < size:  # doubling: out[have:2*have] = out[:have] * b**have
-                    out[have : 2 * have] = out[:have] * np.uint64(step)
-                    step, have = step * step & _MASK, have * 2
-            _powers[key] = out
-    return _powers["up"], _powers["down"]
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i <= _CHUNK."""
+    tables = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        with np.errstate(over="ignore"):
+            tables.append(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(_CHUNK, b, np.uint64))), dtype=np.uint64))
+    return tables[0], tables[1]
 
 
-def word_hashes(data: np.ndarray, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes and start bytes of the words ``[^\\x20\\x09-\\x0D]+`` in UTF-8 bytes, A-Z folded.
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes in ascending order that don't overlap.
 
-    A word's hash is a polynomial in its bytes modulo 2**64, from differences of prefix sums,
-    then mixed with its length, so it doesn't depend on where the word stands. Vectorised: no step per word.
-    The caller puts white space between texts.
+    A span's hash is a polynomial in its bytes modulo 2**64, from differences of prefix sums, then mixed with its length, so
+    it doesn't depend on where the span stands. Vectorised: no step per span.
     """
-    if not len(data):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    space = _SPACE[data]
-    edge = np.diff(np.concatenate(([True], space, [True])).view(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     out = np.empty(len(starts), np.uint64)
-    up, down = _tables(chunk + 1)
+    up, down = _powers()
     i = 0
     with np.errstate(over="ignore"):
         while i < len(starts):
-            lo = starts[i]
-            j = int(np.searchsorted(ends, lo + chunk, "right"))
-            if j <= i:  # a word longer than a chunk
-                j = i + 1
-                up, down = _tables(int(ends[i] - lo) + 1)
-            hi = ends[j - 1]
-            terms = (_FOLD[data[lo:hi]].astype(np.uint64) + np.uint64(1)) * up[: hi - lo]
+            lo = int(starts[i])
+            j = int(np.searchsorted(ends, lo + _CHUNK, "right"))
+            if j <= i:  # longer than a chunk: chunk by chunk
+                n, total = int(ends[i]) - lo, 0
+                for k in range(0, n, _CHUNK):
+                    some = data[lo + k : min(lo + k + _CHUNK, lo + n)].astype(np.uint64) + np.uint64(1)
+                    total += int((some * up[: len(some)]).sum()) * pow(_BASE, k, 1 << 64)
+                out[i] = mix(np.array([(total + n * _LENGTH) & _MASK], np.uint64))[0]
+                i += 1
+                continue
+            terms = (data[lo : ends[j - 1]].astype(np.uint64) + np.uint64(1)) * up[: ends[j - 1] - lo]
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
             a, b = starts[i:j] - lo, ends[i:j] - lo
-            out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+            out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(_LENGTH))
             i = j
-    return out, starts
+    return out
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and start bytes of the words ``[^\\x20\\x09-\\x0D]+`` in UTF-8 bytes, A-Z folded. The caller puts white space between texts."""
+    if not len(data):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    edge = np.diff(np.concatenate(([True], _SPACE[data], [True])).view(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    return span_hashes(_FOLD[data], starts, ends), starts
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged
-from .token_ids import encoded, tokenizer_path
+from .token_ids import ROWS, task_encoder, tokenizer_path
 
 CAPACITY = 2048
 FAN_IN = 8
@@ -56,10 +56,10 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))] if n else []
 
 
-def pack(documents: DataFrame, path: str | None = None, end: int = 0, capacity: int = CAPACITY, receivers: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(documents: DataFrame, path: str | None = None, end: int = 0, capacity: int = CAPACITY, receivers: int = 64, id_col: str = "doc_id", text_col: str = "text", special_tokens: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
-    Null text is empty: its end id alone. Repeated rows are packed each. Very long texts are cut into pieces of the
+    Null text is empty: its end id alone. ``special_tokens`` as in ``write_tokens``. Repeated rows are packed each. Very long texts are cut into pieces of the
     capacity. An empty table gives an empty result; other columns aren't read.
     """
     path = path or tokenizer_path()
@@ -69,11 +69,16 @@ def pack(documents: DataFrame, path: str | None = None, end: int = 0, capacity:
     def local(batches):
         part = TaskContext.get().partitionId()
         who, rows = [], []
-        for b in batches:
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encoded(b, path, end)):
-                for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    who.append(doc)
-                    rows.append((k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])))
+        with task_encoder(path, special_tokens) as encoder:
+            for b in batches:
+                for lo in range(0, b.num_rows, ROWS):
+                    some = b.slice(lo, ROWS)
+                    ids, ends = encoder.batch(some.column("text"), end)
+                    raw, ends = memoryview(ids.astype("<u4", copy=False)).cast("B"), ends.tolist()
+                    for doc, i, j in zip(some.column("doc_id").to_pylist(), [0, *ends], ends):
+                        for k, (s, n) in enumerate(cut(j - i, capacity)):
+                            who.append(doc)
+                            rows.append((k, s, n, zlib.crc32(raw[4 * (i + s) : 4 * (i + s + n)])))
         if not rows:
             return
         piece, start, length, crc = np.array(rows, np.int64).T

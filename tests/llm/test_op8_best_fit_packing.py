@@ -13,7 +13,6 @@ from skemaforge.llm.token_ids import tokenizer_path
 
 def library(end):
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
@@ -76,7 +75,7 @@ def test_best_fit_matches_a_plain_one():
 
 
 def test_odd_rows(spark):
-    rows = [(1, None), (2, ""), (3, "x " * 9000), (4, "a" * 20000)]
+    rows = [(1, None), (2, ""), (3, "x " * 9000), (4, "a" * 20000), (5, "x <|endoftext|> y")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"bin": F.lit(1), "used": F.lit("x"), "piece": F.lit(2), "node": F.lit(3)})
     checked(packing.pack(df), dict(rows), 2048)
     assert packing.pack(df.limit(0)).count() == 0
