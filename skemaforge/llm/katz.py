@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import drop_staged, mix, stage_path, staged, text_bytes, word_hashes
 
 #: Tokens of a batch, distinct words and pairs of a bucket (means).
-BATCH_TOKENS = 4_000_000
+BATCH_TOKENS = 500_000
 BUCKET_WORDS = 500_000
 BUCKET_PAIRS = 1_500_000
 DISCOUNTED = 5
