@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -15,15 +16,35 @@ LOWER = UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests) a folder of our own."""
+    """The folder in ``spark.checkpoint.dir``. Only a local session (tests) may do without: it gets a folder of its own."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` which ``df`` doesn't have (Spark's names don't tell cases apart)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n in taken:
+            n += "_"
+        taken.add(n)
+        out.append(n)
+    return out
+
+
+def without_ids(df: DataFrame, id_col: str, gone: DataFrame, small: bool = False) -> DataFrame:
+    """The rows of ``df`` whose id isn't in the one column of ``gone``; a null id counts as an id."""
+    (name,) = unused(df, "gone")
+    gone = gone.toDF(name).distinct()
+    return df.join(F.broadcast(gone) if small else gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+
+
 def staged(df: DataFrame, label: str, **options) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: it outlives executors and cuts lineage."""
     path = stage_path(df.sparkSession, label)

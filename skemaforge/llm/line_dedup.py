@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged
+from .common import drop_staged, staged, unused
 
 #: A template often serves one section of a site only, so a line on few in a hundred pages of a large host is boilerplate already;
 #: that unrelated pages share an own sentence that often isn't chance. One in a hundred leaves a margin to both.
@@ -41,24 +41,28 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     h = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit(""))
     digests = F.array_distinct(F.transform(F.filter(lines, lambda x: _trimmed(x) != ""), lambda x: _digest(_trimmed(x))))
     # the empty digest stands for the page itself, so one aggregation counts lines and pages
-    seen = pages.select(h.alias("_host"), F.explode(F.concat(F.array(F.unhex(F.lit(""))), F.coalesce(digests, F.array().cast("array<binary>")))).alias("_line"))
-    counts = seen.groupBy("_host", "_line").agg(F.count("*").alias("_n")).where((F.col("_n") >= min_pages) | (F.octet_length("_line") == 0))
+    seen = pages.select(h.alias("host"), F.explode(F.concat(F.array(F.unhex(F.lit(""))), F.coalesce(digests, F.array().cast("array<binary>")))).alias("line"))
+    counts = seen.groupBy("host", "line").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | (F.octet_length("line") == 0))
     counts = staged(counts, "line-counts")
-    totals = counts.where(F.octet_length("_line") == 0).select("_host", F.col("_n").alias("_pages"))
-    flagged = counts.where(F.octet_length("_line") > 0).join(totals, "_host").where(F.col("_n") > ratio * F.col("_pages"))
-    flagged = staged(flagged.select("_host", "_line"), "boilerplate")
+    totals = counts.where(F.octet_length("line") == 0).select("host", F.col("n").alias("pages"))
+    if totals.count() <= broadcast_lines:  # a row a host: then a large host's lines aren't gathered for the join
+        totals = F.broadcast(totals)
+    flagged = counts.where(F.octet_length("line") > 0).join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
+    flagged = staged(flagged.select("host", "line"), "boilerplate")
     drop_staged(pages.sparkSession, counts)
-    kept = lambda gone: F.array_join(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(gone, _digest(_trimmed(x))), F.lit(False))), "\n")
-    clean = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept(F.col("_gone"))).alias(text)
+    own_host, row, gone = unused(pages, "own_host", "own_row", "gone_lines")
+    dropped = F.col(gone)
+    kept = F.array_join(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(dropped, _digest(_trimmed(x))), F.lit(False))), "\n")
+    clean = F.when(dropped.isNull(), F.col(text)).otherwise(kept).alias(text)
     out = [clean if c == text else F.col(c) for c in pages.columns]
     if flagged.count() <= broadcast_lines:
-        gone = flagged.groupBy("_host").agg(F.collect_list("_line").alias("_gone"))
-        return pages.withColumn("_host", h).join(F.broadcast(gone), "_host", "left").select(*out)
+        listed = flagged.groupBy(F.col("host").alias(own_host)).agg(F.collect_list("line").alias(gone))
+        return pages.withColumn(own_host, h).join(F.broadcast(listed), own_host, "left").select(*out)
     # too many for a broadcast: hand each page the flagged lines it holds, joined by host and line
-    keyed = staged(pages.withColumn("_host", h).withColumn("_row", F.monotonically_increasing_id()), "pages")
-    own = keyed.select("_row", "_host", F.explode(digests).alias("_line")).join(flagged, ["_host", "_line"], "left_semi")
-    gone = own.groupBy("_row").agg(F.collect_list("_line").alias("_gone"))
-    return keyed.join(gone, "_row", "left").select(*out)
+    keyed = staged(pages.withColumn(own_host, h).withColumn(row, F.monotonically_increasing_id()), "pages")
+    own = keyed.select(F.col(row).alias("row"), F.col(own_host).alias("host"), F.explode(digests).alias("line")).join(flagged, ["host", "line"], "left_semi")
+    listed = own.groupBy(F.col("row").alias(row)).agg(F.collect_list("line").alias(gone))
+    return keyed.join(listed, row, "left").select(*out)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

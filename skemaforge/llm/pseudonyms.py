@@ -2,10 +2,12 @@
 
 One pattern finds candidates; each is validated by its kind and permuted by a keyed Feistel network within its format, so an
 equal value gets an equal pseudonym in every document, two values of one format never share one, and whoever has the key
-can undo it. Text around the values stays as it is.
+can undo it (``undo=True``). Text around the values stays as it is. A card, phone or IBAN is its digits and letters: the spaces
+and dashes in which they are grouped stay and don't matter.
 
-- e-mail: the letters and digits of the local part; the domain stays
-- phone in international form: the digits after the country code
+- e-mail: the letters and digits of the local part, whatever their case, which stays; the domain stays
+- phone in international form: the digits after the country code, however they are grouped
+- IBAN under right check digits (mod 97): its account part, with new check digits
 - payment card: 13 to 19 digits under a right Luhn sum, also within a longer run of digit groups (beside an expiry date, a check
   value or another number); the pseudonym's sum is right too
 - IPv4: four octets to 255, as one 32-bit number
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
 KEY = "replace this key"
 ROUNDS = 8
 
@@ -32,7 +36,14 @@ CARD = rf"(?<![0-9A-Za-z])(?=[0-9](?:[ \-]?[0-9]){{12}})[0-9]{{1,19}}+(?![0-9A-Z
 USUAL = r"^(?=[346]|2[2-7]|5[0-8])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{4,5})$"
 ACCESS = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 SECRET = r"(?<=(?:[Tt]oken|[Ss]ecret|[Kk]ey|[Pp]assword) ?[=:] ?[\"'])[0-9a-f]{32,128}(?=[\"'])"
-ANY = "|".join((EMAIL, IPV4, PHONE, DATE, CARD, ACCESS, SECRET))
+#: Countries with IBANs; country calling codes of one and two digits (all others have three).
+IBAN_COUNTRIES = "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SD SE SI SK SM ST SV TL TN TR UA VA VG XK".split()
+ONE_DIGIT_CODES = "1 7".split()
+TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+IBAN = rf"(?<![0-9A-Za-z])(?:{'|'.join(IBAN_COUNTRIES)})[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{2,7}}(?: ?[0-9A-Z]{{1,3}})?(?![0-9A-Za-z])"
+ANY = "|".join((EMAIL, IPV4, PHONE, DATE, IBAN, CARD, ACCESS, SECRET))
+#: No value of any kind is without one of these.
+SOME = "[0-9@]"
 #: A found value's replacement and how many values it holds.
 NEW = "struct<text:string,n:int>"
 
@@ -57,30 +68,40 @@ def _shifted(c: Column, by: Column, letters: int) -> Column:
     return F.when(c.between("0", "9"), turn(48, 10)).when(c.between("a", "z"), turn(97, letters)).when(c.between("A", "Z"), turn(65, 26)).otherwise(c)
 
 
-def permuted_text(s: Column, kind: str, key: str = KEY, letters: int = 26) -> Column:
+def _rounds(undo: bool) -> Column:
+    return F.sequence(F.lit(ROUNDS), F.lit(1)) if undo else F.sequence(F.lit(1), F.lit(ROUNDS))
+
+
+def permuted_text(s: Column, kind: str, key: str = KEY, letters: int = 26, undo: bool = False) -> Column:
     """A Feistel network on a string's two halves: each round shifts one half's characters by amounts drawn from the other half."""
+    sign = -1 if undo else 1
+    source, target = ("a", "b") if undo else ("b", "a")
 
     def step(pair: Column, r: Column) -> Column:
-        moved = _let(
-            _round(key, kind, r, pair["b"]),
-            lambda d: F.array_join(F.transform(F.split(pair["a"], ""), lambda c, i: _shifted(c, _number(d, i % 32 * 4 + 1, 4), letters)), ""),
-        )
-        return F.struct(pair["b"].alias("a"), F.when(F.length(pair["a"]) == 0, F.lit("")).otherwise(moved).alias("b"))
+        shift = lambda d: F.array_join(F.transform(F.split(pair[target], ""), lambda c, i: _shifted(c, sign * _number(d, i % 32 * 4 + 1, 4), letters)), "")
+        moved = _let(_round(key, kind, r, pair[source]), shift)
+        moved = F.when(F.length(pair[target]) == 0, F.lit("")).otherwise(moved)
+        return F.struct(moved.alias("a"), pair["a"].alias("b")) if undo else F.struct(pair["b"].alias("a"), moved.alias("b"))
 
     cut = F.floor(F.length(s) / 2).cast("int")
     start = F.struct(F.substr(s, F.lit(1), cut).alias("a"), F.substr(s, cut + 1, F.length(s)).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda p: F.concat(p["a"], p["b"]))
+    return F.aggregate(_rounds(undo), start, step, lambda p: F.concat(p["a"], p["b"]))
 
 
-def permuted_pair(a: Column, b: Column, sizes: tuple[int, int], kind: str, key: str, done) -> Column:
+def permuted_pair(a: Column, b: Column, sizes: tuple[int, int], kind: str, key: str, done, undo: bool = False) -> Column:
     """A Feistel network on a pair of numbers below ``sizes``, ended by ``done`` of the pair."""
+    drawn = lambda r, other: _number(_round(key, kind, r, other.cast("string")), F.lit(1))
 
     def step(pair: Column, r: Column) -> Column:
-        x = F.pmod(pair["a"] + _number(_round(key, kind, r, pair["b"].cast("string")), F.lit(1)), F.lit(sizes[0]))
-        y = F.pmod(pair["b"] + _number(_round(key, kind, -r, x.cast("string")), F.lit(1)), F.lit(sizes[1]))
+        if undo:
+            y = F.pmod(pair["b"] - drawn(-r, pair["a"]), F.lit(sizes[1])).cast("long")
+            x = F.pmod(pair["a"] - drawn(r, y), F.lit(sizes[0]))
+        else:
+            x = F.pmod(pair["a"] + drawn(r, pair["b"]), F.lit(sizes[0])).cast("long")
+            y = F.pmod(pair["b"] + drawn(-r, x), F.lit(sizes[1]))
         return F.struct(x.cast("long").alias("a"), y.cast("long").alias("b"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), step, done)
+    return F.aggregate(_rounds(undo), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), step, done)
 
 
 def luhn_sum(digits: Column, doubled: int) -> Column:
@@ -93,16 +114,51 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), one), F.lit(0), lambda s, x: s + x)
 
 
-def refilled(shape: Column, digits: Column) -> Column:
-    """``shape`` with its digits replaced in order by those of ``digits``."""
+def refilled(shape: Column, signs: Column, letters: bool = False) -> Column:
+    """``shape`` with its digits (and its ``letters``) replaced in order by those of ``signs``."""
 
     def put(acc: Column, c: Column) -> Column:
-        is_digit = c.between("0", "9")
-        return F.struct(F.concat(acc["out"], F.when(is_digit, F.substr(digits, acc["k"], F.lit(1))).otherwise(c)).alias("out"), (acc["k"] + F.when(is_digit, 1).otherwise(0)).alias("k"))
+        own = c.between("0", "9") | (c.between("A", "Z") if letters else F.lit(False))
+        return F.struct(F.concat(acc["out"], F.when(own, F.substr(signs, acc["k"], F.lit(1))).otherwise(c)).alias("out"), (acc["k"] + F.when(own, 1).otherwise(0)).alias("k"))
 
     return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), put, lambda a: a["out"])
 
 
+def _email(m: Column, key: str, undo: bool) -> Column:
+    local = F.substring_index(m, "@", 1)
+    recased = lambda new: F.array_join(F.zip_with(F.split(local, ""), F.split(new, ""), lambda c, d: F.when(c.between("A", "Z"), F.upper(d)).otherwise(d)), "")
+    return F.concat(_let(permuted_text(F.lower(local), "email", key, undo=undo), recased), F.lit("@"), F.substring_index(m, "@", -1))
+
+
+def _phone(m: Column, key: str, undo: bool) -> Column:
+    def renew(d: Column) -> Column:
+        size = F.when(F.substr(d, F.lit(1), F.lit(1)).isin(ONE_DIGIT_CODES), 1).when(F.substr(d, F.lit(1), F.lit(2)).isin(TWO_DIGIT_CODES), 2).otherwise(3)
+        new = F.concat(F.substr(d, F.lit(1), size), permuted_text(F.substr(d, size + 1, F.length(d)), "phone", key, undo=undo))
+        return _let(new, lambda n: refilled(m, n))
+
+    return _let(_digits(m), renew)
+
+
+def mod97(signs: Column) -> Column:
+    """The remainder of digits and letters (A is 10, Z 35) read as one number."""
+
+    def step(acc: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97).cast("int")
+
+    return F.aggregate(F.split(signs, ""), F.lit(0), step)
+
+
+def _iban(m: Column, key: str, undo: bool) -> Column:
+    def renew(s: Column) -> Column:
+        land, account = F.substr(s, F.lit(1), F.lit(2)), F.substr(s, F.lit(5), F.length(s))
+        right = mod97(F.concat(account, F.substr(s, F.lit(1), F.lit(4)))) == 1
+        checked = lambda new: F.concat(land, F.lpad((98 - mod97(F.concat(new, land, F.lit("00")))).cast("string"), 2, "0"), new)
+        full = _let(permuted_text(account, "iban", key, undo=undo), checked)
+        return F.when(right, _let(full, lambda n: refilled(m, n, letters=True))).otherwise(m)
+
+    return _let(F.replace(m, F.lit(" "), F.lit("")), renew)
+
+
 def _is_card(digits: Column) -> Column:
     return F.length(digits).between(13, 19) & (luhn_sum(digits, 1) % 10 == 0)
 
@@ -143,12 +199,12 @@ def _card_parts(groups: Column) -> Column:
     return _let(F.flatten(F.transform(F.sequence(F.lit(1), n), begun)), chosen)
 
 
-def _cards(m: Column, key: str) -> Column:
+def _cards(m: Column, key: str, undo: bool) -> Column:
     """A run of digit groups with its cards renewed, as NEW. A run that is right as a whole is one card."""
 
     def renew(part: Column) -> Column:
         def with_check(d: Column) -> Column:
-            body = permuted_text(F.substr(d, F.lit(1), F.length(d) - 1), "card", key)
+            body = permuted_text(F.substr(d, F.lit(1), F.length(d) - 1), "card", key, undo=undo)
             return _let(_let(body, lambda b: F.concat(b, F.pmod(10 - luhn_sum(b, 0) % 10, F.lit(10)).cast("string"))), lambda new: refilled(part, new))
 
         return _let(_digits(part), with_check)
@@ -164,17 +220,17 @@ def _cards(m: Column, key: str) -> Column:
     return _let(F.regexp_extract_all(m, F.lit(r"[0-9]+[ \-]?"), F.lit(0)), renewed)
 
 
-def _ip(m: Column, key: str) -> Column:
+def _ip(m: Column, key: str, undo: bool) -> Column:
     def renew(o: Column) -> Column:
         part = lambda i: F.element_at(o, i).cast("int")
         valid = F.forall(o, lambda x: (x.cast("int") <= 255) & ((F.length(x) == 1) | ~x.startswith("0")))
         write = lambda p: F.concat_ws(".", *(F.floor(x).cast("string") for h in ("a", "b") for x in (p[h] / 256, p[h] % 256)))
-        return F.when(valid, permuted_pair(part(1) * 256 + part(2), part(3) * 256 + part(4), (65536, 65536), "ip", key, write)).otherwise(m)
+        return F.when(valid, permuted_pair(part(1) * 256 + part(2), part(3) * 256 + part(4), (65536, 65536), "ip", key, write, undo)).otherwise(m)
 
     return _let(F.split(m, r"\."), renew)
 
 
-def _date(m: Column, key: str) -> Column:
+def _date(m: Column, key: str, undo: bool) -> Column:
     """Day numbers in a 400-year cycle, 146,097 = 189 * 773, as a pair below (189, 773)."""
     sep = F.regexp_extract(m, "([^0-9])", 1)
 
@@ -194,42 +250,42 @@ def _date(m: Column, key: str) -> Column:
 
         n = F.datediff(day, first)
         inside = day.isNotNull() & y.between("1800", "2199")
-        return F.when(inside, permuted_pair(F.floor(n / 773), n % 773, (189, 773), "date", key, write)).otherwise(m)
+        return F.when(inside, permuted_pair(F.floor(n / 773), n % 773, (189, 773), "date", key, write, undo)).otherwise(m)
 
     return _let(F.split(m, "[^0-9]"), renew)
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
-    """The pseudonym of one found value, as NEW; a value that isn't valid stays."""
+def pseudonym(m: Column, key: str = KEY, undo: bool = False) -> Column:
+    """The pseudonym of one found value (or with ``undo`` the value of a pseudonym), as NEW; a value that isn't valid stays."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
-    country = F.regexp_extract(m, r"^(\+[0-9]{1,3}?(?=[ \-(])|\+[0-9])", 1)
     one = (
-        F.when(m.contains("@"), F.concat(permuted_text(F.substring_index(m, "@", 1), "email", key), F.lit("@"), F.substring_index(m, "@", -1)))
-        .when(whole(IPV4), _ip(m, key))
-        .when(m.startswith("+"), F.concat(country, permuted_text(F.substr(m, F.length(country) + 1, F.length(m)), "phone", key)))
-        .when(whole(DATE), _date(m, key))
-        .when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), permuted_text(F.substr(m, F.lit(5), F.length(m)), "access", key)))
-        .when(m.rlike("^[0-9a-f]{32,}$"), permuted_text(m, "secret", key, letters=6))
+        F.when(m.contains("@"), _email(m, key, undo))
+        .when(whole(IPV4), _ip(m, key, undo))
+        .when(m.startswith("+"), _phone(m, key, undo))
+        .when(whole(DATE), _date(m, key, undo))
+        .when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), permuted_text(F.substr(m, F.lit(5), F.length(m)), "access", key, undo=undo)))
+        .when(m.rlike("^[A-Z]"), _iban(m, key, undo))
+        .when(m.rlike("^[0-9a-f]{32,}$"), permuted_text(m, "secret", key, letters=6, undo=undo))
     )
     # what no branch takes is a run of digits
-    return F.coalesce(_let(one, lambda new: F.when(new.isNotNull(), F.struct(new.alias("text"), (new != m).cast("int").alias("n")).cast(NEW))), _cards(m, key))
+    return F.coalesce(_let(one, lambda new: F.when(new.isNotNull(), F.struct(new.alias("text"), (new != m).cast("int").alias("n")).cast(NEW))), _cards(m, key, undo))
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY, undo: bool = False) -> DataFrame:
     """``df`` with personal values in ``text`` replaced, and ``n_values``: how many were (a column of that name is replaced).
 
-    Null text stays null and has 0 values. Repeated rows are equal in the result too. Row by row, so an empty table gives an
-    empty result and length doesn't matter beyond one text.
+    With ``undo`` pseudonyms are turned back into their values, under the same key. Null text stays null and has 0 values. Repeated
+    rows are equal in the result too. Row by row, so an empty table gives an empty result and length doesn't matter beyond one text.
     """
     t = F.col(text)
+    found, new, changed = unused(df, "found_values", "new_values", "changed_values")
+    some = F.when(t.rlike(SOME), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
+    out = df.withColumn(found, F.when(F.size(some) > 0, some)).withColumn(new, F.transform(found, lambda m: pseudonym(m, key, undo)))
     # n matches lie between n + 1 pieces
-    found = df.withColumn("_found", F.when(t.rlike(ANY), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
-    new = found.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
-    joined = F.array_join(F.zip_with(F.split(t, ANY, -1), F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b["text"], F.lit("")))), "")
-    changed = F.aggregate("_new", F.lit(0), lambda n, b: n + b["n"])
-    names = [c for c in df.columns if c != "n_values"]
-    out = [F.when(F.col("_found").isNull(), t).otherwise(joined).alias(text) if c == text else F.col(c) for c in names]
-    return new.select(*out, F.when(F.col("_found").isNull(), 0).otherwise(changed).alias("n_values"))
+    joined = F.array_join(F.zip_with(F.split(t, ANY, -1), F.col(new), lambda a, b: F.concat(a, F.coalesce(b["text"], F.lit("")))), "")
+    out = out.withColumn(changed, F.coalesce(F.aggregate(new, F.lit(0), lambda n, b: n + b["n"]), F.lit(0)))
+    names = [c for c in df.columns if c.lower() != "n_values"]
+    return out.select(*(F.when(F.col(found).isNull(), t).otherwise(joined).alias(text) if c == text else F.col(c) for c in names), F.col(changed).alias("n_values"))
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower
+from .common import ascii_lower, stage_path, unused
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Between host and path in a key: no host has a slash.
@@ -96,23 +95,26 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     slices = max(1, -(-shape["bytes"] // max_bytes))
     out = split_url(pages, url).drop("rule", "verdict")
     names = out.columns
-    out = out.withColumns({"_len": F.lit(-1), "_rule": F.lit(None).cast("string"), "_verdict": F.lit(None).cast("string")})
-    cut = clean.withColumn("_slice", F.pmod(F.xxhash64("host", "path"), F.lit(slices)))
+    found = unused(out, "rule_length", "rule_host_length", "rule_found", "rule_verdict")
+    out = out.withColumns(dict(zip(found, (F.lit(-1).cast("long"), F.lit(-1).cast("long"), F.lit(None).cast("string"), F.lit(None).cast("string")))))
+    cut = clean.withColumn("slice", F.pmod(F.xxhash64("host", "path"), F.lit(slices)))
     for k in range(slices):  # one slice holds a bounded part of the list
-        out = _probe(spark, out, cut.where(F.col("_slice") == k), sorted(shape["lengths"]), list(shape["verdicts"]))
-    return out.select(*names, F.col("_rule").alias("rule"), F.coalesce("_verdict", F.lit(default)).alias("verdict"))
+        out = _probe(spark, out, cut.where(F.col("slice") == k), found, sorted(shape["lengths"]), list(shape["verdicts"]))
+    return out.select(*names, F.col(found[2]).alias("rule"), F.coalesce(found[3], F.lit(default)).alias("verdict"))
 
 
-def _probe(spark: SparkSession, df: DataFrame, rules: DataFrame, lengths: list[int], verdicts: list[str]) -> DataFrame:
-    file = os.path.join(tempfile.mkdtemp(), f"digests-{uuid.uuid4().hex}.bin")
-    write_digest_array(file, [(r["host"] + SEP + r["path"], verdicts.index(r["verdict"])) for r in rules.collect()])
-    spark.sparkContext.addFile(file)  # Spark takes it to each executor, also to one that replaces a lost one
-    name = os.path.basename(file)
-    schema = df.schema
-    arrow = None
+def _probe(spark: SparkSession, df: DataFrame, rules: DataFrame, found: list[str], lengths: list[int], verdicts: list[str]) -> DataFrame:
+    """The columns ``found`` (length of the best rule, of its host, the rule, its verdict) brought up to date by a slice of the rules."""
+    shared = f"{stage_path(spark, 'digests')}.bin"
+    with tempfile.TemporaryDirectory() as folder:
+        file = os.path.join(folder, "digests")
+        write_digest_array(file, [(r["host"] + SEP + r["path"], verdicts.index(r["verdict"])) for r in rules.collect()])
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        path(shared).getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(path(f"file://{file}"), path(shared))
+    spark.sparkContext.addFile(shared)  # Spark takes it to each executor, also to one that replaces a lost one
+    name = os.path.basename(shared)
 
     def best(batches):
-        nonlocal arrow
         array = DigestArray(SparkFiles.get(name))
         for b in batches:
             hosts, paths = b.column("host").to_pylist(), b.column("path").to_pylist()
@@ -126,20 +128,14 @@ def _probe(spark: SparkSession, df: DataFrame, rules: DataFrame, lengths: list[i
                             size.append((len(h) + n, len(h)))
                     h = h.partition(".")[2]
             hit = array.probe(keys)
-            top, was = {}, b.column("_len").to_pylist()
-            for j in np.flatnonzero(hit >= 0):
-                i = of[j]
-                if i not in top or size[j] > size[top[i]]:
-                    top[i] = j
-            length, rule, verdict = was, b.column("_rule").to_pylist(), b.column("_verdict").to_pylist()
-            for i, j in top.items():
-                total, host = size[j]
-                if total * 4096 + host > length[i]:
-                    length[i], rule[i], verdict[i] = total * 4096 + host, keys[j].replace(SEP, "", 1), verdicts[hit[j]]
-            cols = {"_len": pa.array(length, pa.int32()), "_rule": pa.array(rule, pa.string()), "_verdict": pa.array(verdict, pa.string())}
-            yield pa.RecordBatch.from_arrays([cols.get(n, c) for n, c in zip(b.schema.names, b.columns)], names=b.schema.names)
-
-    return df.mapInArrow(best, schema)
+            now = [list(x) for x in zip(*(b.column(c).to_pylist() for c in found))]
+            for j in np.flatnonzero(hit >= 0).tolist():
+                if size[j] > tuple(now[of[j]][:2]):
+                    now[of[j]] = [*size[j], keys[j].replace(SEP, "", 1), verdicts[hit[j]]]
+            new = dict(zip(found, (pa.array([x[i] for x in now], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string())))))
+            yield pa.RecordBatch.from_arrays([new.get(n, c) for n, c in zip(b.schema.names, b.columns)], names=b.schema.names)
+
+    return df.mapInArrow(best, df.schema)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

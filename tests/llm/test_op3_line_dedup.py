@@ -27,9 +27,10 @@ def test_sql(spark, sf_dir):
 @pytest.mark.parametrize("lines", [500_000, 0])
 def test_odd_rows(spark, lines):
     rows = [("h", "menu\nown %d\n  menu " % i) for i in range(6)] + [("h", None), ("h", ""), ("h", "menu")] + [(None, "menu\nx")] * 6 + [("g", "menu\nkept")] + [("h", "\n".join(f"line {i}" for i in range(20000)))]
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, text string").withColumns({"_n": F.lit(1), "_line": F.lit("y"), "n": F.lit(2)})
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, text string").withColumns({"own_host": F.lit(1), "OWN_row": F.lit("y"), "gone_lines": F.lit(2), "host": F.lit(3), "line": F.lit(4), "n": F.lit(5), "pages": F.lit(6)})
     got = line_dedup.drop_boilerplate(df, broadcast_lines=lines)
     assert got.columns == df.columns
+    assert {r[3:] for r in got.collect()} == {(1, "y", 2, 3, 4, 5, 6)}
     out = {r.doc_id: r.text for r in got.collect()}
     assert [out[i] for i in range(len(rows))] == brute.drop_lines(rows, line_dedup.RATIO, line_dedup.MIN_PAGES)
     assert out[0] == "own 0" and out[6] is None and out[8] == "" and out[9] == "" and out[15] == "menu\nkept"

@@ -34,14 +34,14 @@ def test_odd_rows(spark, monkeypatch):
     passage = " ".join(f"w{i}" for i in range(14))
     items = [("b", passage), ("a", passage), ("s", "Tiny"), ("two", "x y"), ("n", None), ("e", "-- !"), ("r", "a a a a a a a a a a a")]
     docs = [(1, passage.upper() + "."), (1, passage), (2, None), (3, ""), (4, "tiny, TINY"), (5, "a " * 4000), (6, "x-y y x"), (None, passage), (7, "w0 w1 w2 w3 w4 w5 w6 w7 w8"), (8, ("n%d " * 9 % tuple(range(9))) * 500 + passage)]
-    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"row": F.lit(1), "term": F.lit("x"), "n_hit": F.lit(None).cast("int"), "word": F.lit("w")})
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"row": F.lit(1), "term": F.lit("x"), "n_hit": F.lit(None).cast("int"), "word": F.lit("w"), "gone": F.lit(1), "bad": F.lit(2)})
     b = spark.createDataFrame(items, "item_id string, text string").withColumn("window", F.lit(1))
     expected = want(docs, items)
     assert rows(decontaminate.contamination(d, b)) == expected
     assert rows(decontaminate.contamination(d, b.limit(0))) == want(docs, [])
     assert decontaminate.contamination(d.limit(0), b).count() == 0
     kept = decontaminate.decontaminated(d, b)
-    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 7]
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 7] and {(r.gone, r.bad) for r in kept.collect()} == {(1, 2)}
     monkeypatch.setattr(decontaminate._small, "__defaults__", (0,))  # joins by shuffle
     assert rows(decontaminate.contamination(d, b)) == expected
 

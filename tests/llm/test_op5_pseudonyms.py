@@ -1,3 +1,4 @@
+import hashlib
 import re
 from datetime import date, timedelta
 
@@ -56,9 +57,10 @@ def test_values_of_one_format_stay_apart(spark):
 def test_odd_rows(spark):
     kept = [None, "", "no values", "1.2.3.999", "4111 1111 1111 1112", "a@b", "12345", "1.2.3.4.5", "v2.10.1"]
     rows = [(i, t) for i, t in enumerate(kept)] + [(90, "x " * 100000 + "ann@mail.org"), (91, "ann@mail.org"), (91, "ann@mail.org")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_new": F.lit(1), "n_values": F.lit("x"), "digits": F.lit(2)})
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"found_values": F.lit(1), "NEW_values": F.lit("k"), "changed_values": F.lit(5), "n_values": F.lit("x"), "digits": F.lit(2)})
     got = pseudonyms.pseudonymise(df).collect()
     assert [r.text for r in got[: len(kept)]] == kept and all(r.n_values == 0 for r in got[: len(kept)])
+    assert {(r.found_values, r.NEW_values, r.changed_values) for r in got} == {(1, "k", 5)}
     assert [r.n_values for r in got[-3:]] == [1, 1, 1] and got[-1].text == got[-2].text and got[-3].text == "x " * 100000 + got[-1].text
     assert pseudonyms.pseudonymise(df.limit(0)).count() == 0
 
@@ -94,3 +96,77 @@ def test_cards_beside_other_numbers(spark):
     assert renamed(spark, kept) == kept
     series = "1 2 3 " * 1000
     assert shape(renamed(spark, [series])[0]) == shape(series)
+
+
+def feistel(s, kind, key, letters=26):
+    """The plain form of the network on a string."""
+    a, b = s[: len(s) // 2], s[len(s) // 2 :]
+    for r in range(1, pseudonyms.ROUNDS + 1):
+        digest, out = hashlib.sha512(f"{key}|{kind}|{r}|{b}".encode()).hexdigest(), ""
+        for i, c in enumerate(a):
+            by = int(digest[i % 32 * 4 : i % 32 * 4 + 4], 16)
+            base, size = (48, 10) if c.isdigit() else (97, letters) if c.islower() else (65, 26) if c.isupper() else (0, 0)
+            out += chr(base + (ord(c) - base + by) % size) if size else c
+        a, b = b, out
+    return a + b
+
+
+def feistel_pair(a, b, sizes, kind, key):
+    drawn = lambda r, x: int(hashlib.sha512(f"{key}|{kind}|{r}|{x}".encode()).hexdigest()[:8], 16)
+    for r in range(1, pseudonyms.ROUNDS + 1):
+        a = (a + drawn(r, b)) % sizes[0]
+        b = (b + drawn(-r, a)) % sizes[1]
+    return a, b
+
+
+def remainder97(s):
+    return int("".join(str(int(c, 36)) for c in s)) % 97
+
+
+def plain(m, key):
+    """The pseudonym of one valid value by a plain Feistel network."""
+    fill = lambda shape, signs, own: "".join(signs.pop(0) if own(c) else c for c in shape)
+    if "@" in m:
+        local, domain = m.split("@")
+        return "".join(d.upper() if c.isupper() else d for c, d in zip(local, feistel(local.lower(), "email", key))) + "@" + domain
+    if m.startswith("+"):
+        d = re.sub(r"\D", "", m)
+        n = 1 if d[0] in "17" else 2 if d[:2] in pseudonyms.TWO_DIGIT_CODES else 3
+        return fill(m, list(d[:n] + feistel(d[n:], "phone", key)), str.isdigit)
+    if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", m):
+        o = [int(x) for x in m.split(".")]
+        a, b = feistel_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536), "ip", key)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if re.match(r"[0-9]{4}-[0-9]{2}-", m):
+        n = (date.fromisoformat(m) - date(1800, 1, 1)).days
+        a, b = feistel_pair(n // 773, n % 773, (189, 773), "date", key)
+        return (date(1800, 1, 1) + timedelta(a * 773 + b)).isoformat()
+    if m[0].isalpha():
+        s = m.replace(" ", "")
+        new = feistel(s[4:], "iban", key)
+        return fill(m, list(f"{s[:2]}{98 - remainder97(new + s[:2] + '00'):02d}{new}"), str.isalnum)
+    d = re.sub(r"\D", "", m)
+    body = feistel(d[:-1], "card", key)
+    return fill(m, list(body + str(-luhn(body + "0") % 10)), str.isdigit)
+
+
+def test_values_match_a_plain_network_and_can_be_undone(spark, sf_dir):
+    values = ["Ann.Lee+x1@mail.example.org", "a@b.org", "+44 20 7946 0958", "+1 (212) 555-0123", "+353 86 123 4567", "4111 1111 1111 1111", "378282246310005", "192.168.0.254", "0.0.0.0", "2020-02-29", "1800-01-01", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"]
+    df = spark.createDataFrame([(v,) for v in values], "text string")
+    new = pseudonyms.pseudonymise(df, key="k")
+    assert [r.text for r in new.collect()] == [plain(v, "k") for v in values]
+    assert [r.text for r in pseudonyms.pseudonymise(new, key="k", undo=True).collect()] == values
+    assert [r.text for r in pseudonyms.pseudonymise(new, key="other", undo=True).collect()] != values
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    back = pseudonyms.pseudonymise(pseudonyms.pseudonymise(docs), undo=True)
+    assert back.select("doc_id", "text").exceptAll(docs).count() == 0
+
+
+def test_one_value_in_several_writings(spark):
+    phones = renamed(spark, ["+44 20 7946 0958", "+44-20-7946-0958", "+44 2079 460958", "+44(20)79460958"])
+    assert len({re.sub(r"\D", "", x) for x in phones}) == 1 and shape(phones[3]) == "+00(00)00000000"
+    mails = renamed(spark, ["ann.lee@mail.org", "Ann.Lee@mail.org", "ANN.LEE@mail.org"])
+    assert len({x.lower() for x in mails}) == 1 and [shape(x) for x in mails] == ["aaa.aaa@aaaa.aaa", "Aaa.Aaa@aaaa.aaa", "AAA.AAA@aaaa.aaa"]
+    ibans = renamed(spark, ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"])
+    assert ibans[0].replace(" ", "") == ibans[1] != "GB82WEST12345698765432" and remainder97(ibans[1][4:] + ibans[1][:4]) == 1
+    assert renamed(spark, ["GB83 WEST 1234 5698 7654 32"]) == ["GB83 WEST 1234 5698 7654 32"]

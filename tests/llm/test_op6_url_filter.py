@@ -34,8 +34,9 @@ def test_query_matches_sql(spark, sf_dir):
 def test_odd_rows(spark, most):
     rules = [*url_filter.RULES, ("b.example.net", "", "block"), ("example.com", "", "block"), ("h", "/ppp", "block")]
     table = spark.createDataFrame([*rules, rules[0], (None, "/", "block"), ("", "/", "block"), ("net", "/x", None)], SCHEMA)
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS * 2)], "page_id long, url string").withColumns({"host": F.lit(1), "verdict": F.lit(2), "_len": F.lit(3) if most > 99 else F.lit(4)}).drop("_len")
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS * 2)], "page_id long, url string").withColumns({"host": F.lit(1), "verdict": F.lit(2), "rule_length": F.lit(3), "RULE_found": F.lit(4), "slice": F.lit(5)})
     got = url_filter.judge_urls(pages, table, max_bytes=most).collect()
+    assert {(r.rule_length, r.RULE_found, r.slice) for r in got} == {(3, 4, 5)}
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: plain(u, rules) for i, u in enumerate(URLS * 2)}
     assert url_filter.judge_urls(pages.limit(0), table).count() == 0
     assert {r.verdict for r in url_filter.judge_urls(pages, table.limit(0), default="block").collect()} == {"block"}
@@ -49,3 +50,12 @@ def test_collisions_are_confirmed(tmp_path, monkeypatch):
     array = url_filter.DigestArray(path)
     assert array.probe([k for k, _ in entries]).tolist() == [v for _, v in entries]
     assert array.probe(["absent/", "host1/xx", ""]).tolist() == [-1, -1, -1]
+
+
+def test_very_long_hosts_and_rules(spark):
+    long = "l" * 600_000
+    rules = [("h", "/" + long, "block"), ("a." * 3000 + "org", "", "block"), ("org", "/" + "y" * 100, "allow")]
+    urls = [f"http://h/{long}z", f"http://x.{'a.' * 3000}org/{'y' * 200}", f"http://b.org/{'y' * 200}"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judge_urls(pages, spark.createDataFrame(rules, SCHEMA)).orderBy("page_id").collect()
+    assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [plain(u, rules) for u in urls]

@@ -43,7 +43,7 @@ def test_families(spark, seed, hot, percent, size):
 
 def test_odd_rows(spark, monkeypatch):
     rows = [(1, None), (2, ""), (3, " \t\n"), (9, "one two"), (4, "ONE\ttwo "), (5, "one"), (6, "a b c d e f g " * 5000), (7, "a b c d e f g " * 5001), (8, "\u00c9 b c d e"), (10, "\u00e9 b c d e")]
-    df = spark.createDataFrame([*rows, rows[3], (None, "one two")], "doc_id long, text string").withColumns({"n": F.lit(1), "sig": F.lit("x"), "doc": F.lit(2), "pool": F.lit(3)})
+    df = spark.createDataFrame([*rows, rows[3], (None, "one two")], "doc_id long, text string").withColumns({"n": F.lit(1), "sig": F.lit("x"), "doc": F.lit(2), "pool": F.lit(3), "gone": F.lit(4)})
     out = jaccard_join.join_components(df).collect()
     assert len(out) == 12 and [r.component_id for r in out if r.doc_id is None] == [None]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out if r.doc_id} == brute.jaccard_components(rows, 4, 85)

@@ -47,6 +47,16 @@ def test_stages_match_brute_force(spark, sf_dir):
     assert sorted(map(tuple, whole.collect())) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in final)
 
 
+def test_clashing_columns_and_null_ids(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).withColumns({c: F.lit(c) for c in ("gone", "bad", "own_host", "found", "node", "bin")})
+    docs = staged(docs, "odd")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and {(r.gone, r.own_host) for r in out.collect()} == {("gone", "own_host")}
+    assert stage(spark, docs, sf_dir).count() > 0
+
+
 def test_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
