@@ -10,15 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skemaforge.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from skemaforge.llm.common import drop_staged, staged
+from skemaforge.llm.common import drop_staged, staged, without_ids
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification rejects go: null or letterless texts, and texts far from every language."""
     model = language_id.fit(docs, by=F.col("doc_id"))
-    judged = language_id.predict(docs.select("doc_id", "text"), model).where("rejected").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = staged(judged, "unknown-language")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    judged = language_id.predict(docs.select("doc_id", "text"), model).where("rejected").select("doc_id").distinct()
+    return without_ids(docs, "doc_id", staged(judged, "unknown-language"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
