@@ -58,70 +58,6 @@ def resolved_endpoints(endpoints: DataFrame, entities: DataFrame) -> DataFrame:
     return one.groupBy("relation").agg(F.max(F.when(F.col("side") == "from", F.col("entity"))).alias("from_entity"), F.max(F.when(F.col("side") == "to", F.col("entity"))).alias("to_entity"))
 
 
-# Fixed values of foreign-key inference.
-GENERIC_KEYS = ("id", "uuid", "pk", "key")
-MIN_CONFIDENCE, CANDIDATES = 0.4, 3
-
-
-def foreign_key_candidates(fields: DataFrame, keys: DataFrame) -> DataFrame:
-    """collection, field, target, target_field, method, confidence from names and types.
-
-    fields: collection, field, category, is_key, is_unique; keys: target, key, key_category. Rules: ``xxx_id``/``xxx_key`` and ``xxxId``/``xxxKey``
-    (0.75), ``xxx_suffix`` where the suffix is the target's key (0.6), ``xxxid`` (0.45), and a field named as another's key (0.55). Identical types add 0.1, a unique
-    field 0.05; types must be compatible. At most three targets a field, least 0.4; no self-references.
-    """
-    f = fields.where(~F.col("is_key") & ~F.col("field").startswith("_"))
-    low = F.lower(F.col("field"))
-    snake = F.regexp_extract("field", r"^(.+)_(?:[iI][dD]|[kK][eE][yY])$", 1)
-    camel = naming.camel_reference(F.col("field"))
-    pair = F.regexp_extract(low, r"^(.+)_([a-z0-9]+)$", 1)
-    suffix = F.regexp_extract(low, r"^(.+)_([a-z0-9]+)$", 2)
-    plain = F.when(low.endswith("id") & ~low.contains("_id") & (low != "uuid") & (F.length(low) > 3) & (camel == ""), F.left(low, F.length(low) - 2)).otherwise("")
-    rules = F.array(
-        F.struct(F.lit("name_suffix").alias("method"), naming.normalized(snake).alias("ref"), F.lit(None).cast("string").alias("key"), F.lit(0.75).alias("base")),
-        F.struct(F.lit("camel_suffix").alias("method"), F.when(F.length(camel) >= 2, naming.normalized(camel)).otherwise("").alias("ref"), F.lit(None).cast("string").alias("key"), F.lit(0.75).alias("base")),
-        F.struct(F.lit("name_suffix_field").alias("method"), F.when(suffix.isin("id", "key"), "").otherwise(naming.normalized(pair)).alias("ref"), suffix.alias("key"), F.lit(0.6).alias("base")),
-        F.struct(F.lit("name_no_underscore").alias("method"), naming.normalized(plain).alias("ref"), F.lit(None).cast("string").alias("key"), F.lit(0.45).alias("base")),
-    )
-    asked = f.select("collection", "field", "category", "is_unique", F.explode(rules).alias("r")).select("collection", "field", "category", "is_unique", "r.*").where("ref <> ''")
-    targets = keys.select("*", F.explode(naming.name_variants(F.col("target"))).alias("ref"))
-    by_name = asked.join(targets, "ref").where(F.col("key").isNull() | (F.lower("target_key") == F.col("key"))) if "target_key" in keys.columns else asked.join(targets.withColumnRenamed("key", "target_key"), "ref").where(F.col("key").isNull() | (F.lower("target_key") == F.col("key")))
-    same = f.join(keys.withColumnRenamed("key", "target_key"), F.lower("field") == F.lower("target_key")).where(~F.lower("target_key").isin(*GENERIC_KEYS))
-    same = same.withColumns({"method": F.lit("key_name_match"), "base": F.lit(0.55)})
-    cols = ["collection", "field", "category", "is_unique", "method", "base", "target", "target_key", "key_category"]
-    found = by_name.select(*cols).unionByName(same.select(*cols)).where(F.col("collection") != F.col("target"))
-    number = lambda c: F.col(c).isin("integer", "float")
-    fits = (F.col("category") == F.col("key_category")) | (F.col("category") == "unknown") | (F.col("key_category") == "unknown") | (number("category") & number("key_category"))
-    score = F.col("base") + F.when(F.col("category") == F.col("key_category"), 0.1).otherwise(0.0) + F.when(F.col("is_unique"), 0.05).otherwise(0.0)
-    scored = found.where(fits).withColumn("confidence", F.round(F.least(score, F.lit(1.0)), 3))
-    best = scored.groupBy("collection", "field", "target", "target_key").agg(F.max("confidence").alias("confidence"), F.max_by("method", F.struct("confidence", "base", "method")).alias("method"))
-    w = Window.partitionBy("collection", "field").orderBy(F.col("confidence").desc(), "target", "target_key")
-    return best.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= CANDIDATES) & (F.col("confidence") >= MIN_CONFIDENCE)).drop("_n")
-
-
-def with_probe(candidates: DataFrame, probes: DataFrame, veto: bool = True) -> DataFrame:
-    """Folds containment ratios (collection, field, target, ratio) into confidences: 0.9 adds 0.15, 0.5 adds 0.05, none vetoes (or takes 0.25)."""
-    j = candidates.join(probes, ["collection", "field", "target"], "left")
-    add = F.when(F.col("ratio").isNull(), 0.0).when(F.col("ratio") >= 0.9, 0.15).when(F.col("ratio") >= 0.5, 0.05).when(F.col("ratio") <= 0, -0.25).otherwise(0.0)
-    out = j.withColumn("confidence", F.round(F.least(F.greatest(F.col("confidence") + add, F.lit(0.0)), F.lit(1.0)), 3))
-    if veto:
-        out = out.where(F.col("ratio").isNull() | (F.col("ratio") > 0))
-    return out.where(F.col("confidence") >= MIN_CONFIDENCE)
-
-
-def id_prefix_votes(values: DataFrame, field: str) -> DataFrame:
-    """prefix, hits, total, ratio: the most frequent collection of id-shaped values, over all values."""
-    v = values.where(F.col(field).isNotNull())
-    hits = v.where(naming.is_id_shaped(F.col(field))).groupBy(naming.collection_of(F.col(field)).alias("prefix")).agg(F.count("*").alias("hits"))
-    top = hits.orderBy(F.col("hits").desc(), "prefix").limit(1)
-    return top.crossJoin(v.agg(F.count("*").alias("total"))).withColumn("ratio", F.col("hits") / F.col("total"))  # one row each
-
-
-def without_known(candidates: DataFrame, known: DataFrame) -> DataFrame:
-    """Candidates whose pair of collections no relationship (from_collection, to_collection) links yet."""
-    return candidates.join(known, (F.col("collection") == F.col("from_collection")) & (F.col("target") == F.col("to_collection")), "left_anti")
-
-
 SHARD_FIELDS = ("repo", "source", "stream", "upstream")
 
 
@@ -163,11 +99,42 @@ def tenant_fields(fields: DataFrame, least: float = 0.5) -> DataFrame:
     return hits.crossJoin(total).withColumn("share", F.col("collections") / F.col("total")).where(F.col("share") >= least).drop("total")  # one row of totals
 
 
+# How a collection's name tells its base and its tenant.
+PER_TENANT = ((r"^([A-Za-z][A-Za-z0-9]+)__([A-Za-z0-9][A-Za-z0-9_-]+)$", 1, 2), (r"^([A-Za-z0-9][A-Za-z0-9_-]+?)_([A-Z][A-Za-z0-9]+)$", 2, 1))
+
+
 def collections_per_tenant(collections: DataFrame) -> DataFrame:
-    """base, tenants: names ``Base__tenant`` with several tenants for a base."""
-    m = r"^([A-Za-z][A-Za-z0-9]+)__([A-Za-z0-9][A-Za-z0-9_-]+)$"
-    split = collections.select(F.regexp_extract("collection", m, 1).alias("base"), F.regexp_extract("collection", m, 2).alias("tenant")).where("base <> ''")
-    return split.groupBy("base").agg(F.count_distinct("tenant").alias("tenants")).where("tenants >= 2")
+    """base, tenants: names ``Base__tenant`` (or else ``tenant_Base``) with several tenants for a base."""
+    (a, *first), (b, *second) = PER_TENANT
+    part = lambda i: F.when(F.col("collection").rlike(a), F.regexp_extract("collection", a, first[i])).otherwise(F.regexp_extract("collection", b, second[i]))
+    return collections.select(part(0).alias("base"), part(1).alias("tenant")).where("base <> ''").groupBy("base").agg(F.count_distinct("tenant").alias("tenants")).where("tenants >= 2")
+
+
+def shard_keys(collections: DataFrame) -> DataFrame:
+    """field, collections: tenant-like shard keys. collections: collection, shard_keys (array)."""
+    each = collections.select("collection", F.explode_outer("shard_keys").alias("field"))
+    return each.where(F.lower("field").isin(*sorted({f.lower() for f in TENANT_FIELDS}))).groupBy(F.lower("field").alias("field")).agg(F.count_distinct("collection").alias("collections"))
+
+
+#: Names of databases that belong to one tenant.
+TENANT_DATABASE = r"^tenant[_-]?[A-Za-z0-9]+$|^[A-Za-z0-9]+[_-]tenant$"
+
+
+def tenancy_verdict(collections: DataFrame, fields: DataFrame, style: DataFrame, database: str = "") -> DataFrame:
+    """style, enforced: the first signal that holds.
+
+    In order: a disjoint smart graph, tenant shard keys, a tenant field in half of the collections, collections named by tenant, a
+    database named by tenant, none. collections: collection, shard_keys; fields: collection, field; style: as of ``sharding_style``.
+    """
+    any_of = lambda df, name: df.agg((F.count("*") > 0).alias(name))
+    signals = any_of(style.where("style = 'DisjointSmartGraph'"), "smart").crossJoin(any_of(shard_keys(collections), "keys")).crossJoin(any_of(tenant_fields(fields), "field")).crossJoin(any_of(collections_per_tenant(collections), "named"))  # one row each
+    own = F.lit(bool(database)) & F.lit(database).rlike(TENANT_DATABASE)
+    order = [("smart", "disjoint_smartgraph", True), ("keys", "shard_key", True), ("field", "discriminator_field", False), ("named", "collection_per_tenant", True)]
+    verdict = enforced = None
+    for flag, name, hard in order:
+        verdict = F.when(F.col(flag), name) if verdict is None else verdict.when(F.col(flag), name)
+        enforced = F.when(F.col(flag), hard) if enforced is None else enforced.when(F.col(flag), hard)
+    return signals.select(verdict.when(own, "unknown_single_db").otherwise("none").alias("style"), enforced.when(own, True).otherwise(False).alias("enforced"))
 
 
 def reachable(edges: DataFrame, roots: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
@@ -193,7 +160,7 @@ def tenant_scope(entities: DataFrame, edges: DataFrame) -> DataFrame:
 def vertex_centric(indexes: DataFrame) -> DataFrame:
     """collection, access, extra: persistent indexes rooted at an edge's end with a field behind. indexes: collection, type, fields (array)."""
     vci = indexes.where((F.col("type") == "persistent") & F.try_element_at("fields", F.lit(1)).isin("_from", "_to") & (F.size("fields") > 1))
-    ends = vci.groupBy("collection").agg(F.collect_set(F.try_element_at("fields", F.lit(1))).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.slice("fields", 2, 100))))).alias("extra"))
+    ends = vci.groupBy("collection").agg(F.collect_set(F.try_element_at("fields", F.lit(1))).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.expr("slice(fields, 2, size(fields))"))))).alias("extra"))
     access = F.when(F.size("ends") == 2, "both").when(F.array_contains("ends", "_from"), "out-edge").otherwise("in-edge")
     return ends.select("collection", access.alias("access"), F.array_join("extra", ",").alias("extra"))
 
@@ -205,6 +172,7 @@ def denormalised_fields(edge_fields: DataFrame, vertex_fields: DataFrame) -> Dat
     return e.join(v, "field").where(~F.col("field").isin("_key", "_id", "_rev", "_from", "_to")).select("edge", "vertex", "field")
 
 
+# Fixed values of triple-store detection.
 TRIPLE_NAMES = ("(?i)^_?triples?$", "(?i)_triples?$", "(?i)^s?p?o?_?quads?$", "(?i)^quads?$", "(?i)^statements?$", "(?i)^spo$")
 TRIPLE_FIELDS = (("subject", "predicate", "object"), ("s", "p", "o"))
 
@@ -222,6 +190,7 @@ def triple_collections(fields: DataFrame) -> DataFrame:
 # Fixed values of retrieval-graph detection.
 TEXT_FIELDS = ("text", "content", "body", "passage", "chunk", "chunk_text", "page_content", "document")
 VECTOR_FIELDS = ("embedding", "embeddings", "vector", "vectors", "embedding_vector", "dense_vector")
+SIMILARITY_FIELDS = ("score", "similarity", "distance", "weight", "cosine")
 ROLE_NAMES = {
     "chunk": "(?i)chunks?$|(?i)^text_?units?$|(?i)passages?$|(?i)embeddings?$",
     "entity": "(?i)^entit(y|ies)$|(?i)_entit(y|ies)$|(?i)^nodes?$|(?i)^concepts?$",
@@ -236,7 +205,7 @@ def retrieval_roles(fields: DataFrame) -> DataFrame:
     has = lambda names: F.arrays_overlap("f", F.array(*map(F.lit, names)))
     named = lambda role: F.col("collection").rlike(ROLE_NAMES[role])
     doc = F.when(named("chunk") | (has(TEXT_FIELDS) & has(VECTOR_FIELDS)), "chunk").when(named("entity"), "entity")
-    edge = F.when(named("similarity") | has(("score", "similarity", "distance", "cosine")), "similarity").when(named("mention"), "mention")
+    edge = F.when(named("similarity") | has(SIMILARITY_FIELDS), "similarity").when(named("mention"), "mention")
     return c.select("collection", F.when(F.col("kind") == "edge", edge).otherwise(doc).alias("role")).where("role is not null")
 
 
@@ -280,10 +249,22 @@ def carried_forward(current: DataFrame, prior: DataFrame, now: str) -> DataFrame
 
 
 def redaction_tokens(values: DataFrame, field: str, value: str) -> DataFrame:
-    """field, value, token: a stable token a distinct value (``<redacted>:i`` in value order within a field)."""
+    """field, value, token: a stable token a distinct value (``<redacted>:`` and a digest of field and value), without ordering a field's values in one task."""
     d = values.select(field, value).where(F.col(value).isNotNull()).distinct()
-    w = Window.partitionBy(field).orderBy(value)
-    return d.withColumn("token", F.concat(F.lit("<redacted>:"), (F.row_number().over(w) - 1).cast("string")))
+    return d.withColumn("token", F.concat(F.lit("<redacted>:"), F.left(F.sha2(F.concat_ws("\0", field, value), 256), F.lit(16))))
+
+
+def redacted(df: DataFrame, columns: list[str], field: str = "") -> DataFrame:
+    """``df`` with its ``columns`` replaced by tokens; ``field`` names the vocabulary (each column its own by default)."""
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.concat(F.lit("<redacted>:"), F.left(F.sha2(F.concat_ws("\0", F.lit(field or c), F.col(c).cast("string")), 256), F.lit(16)))) for c in columns})
+
+
+def unmasked(df: DataFrame, columns: list[str], tokens: DataFrame, field: str = "") -> DataFrame:
+    """The tokens of ``redacted`` turned back by a table of tokens (field, value, token); what it lacks stays."""
+    for c in columns:
+        own = tokens.where(F.col("field") == (field or c)).select(F.col("token").alias(f"{c}_token"), F.col("value").alias(f"{c}_value"))
+        df = df.join(own, F.col(c) == F.col(f"{c}_token"), "left").withColumn(c, F.coalesce(f"{c}_value", c)).drop(f"{c}_token", f"{c}_value")
+    return df
 
 
 def unknown_pattern_parts(asked: DataFrame, known: DataFrame) -> DataFrame:

@@ -79,13 +79,13 @@ def junction(source: DataFrame, source_keys: list[str], links: DataFrame, near_k
 def containment(child: DataFrame, field: str, parent: DataFrame, key: str, sampled: int | None = None) -> DataFrame:
     """values, hits, ratio: the share of the child's distinct values that the parent's key holds, compared as text; null without values.
 
-    ``sampled`` takes so many rows first (in the field's order), as a cheap probe.
+    ``sampled`` takes so many distinct values, the first in hash order, as a cheap probe.
     """
-    values = child.where(F.col(field).isNotNull()).select(F.col(field).cast("string").alias("v"))
+    values = child.where(F.col(field).isNotNull()).select(F.col(field).cast("string").alias("v")).distinct()
     if sampled is not None:
-        values = values.orderBy("v").limit(sampled)
+        values = values.orderBy(F.md5("v")).limit(sampled)
     keys = parent.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k")).distinct()
-    matched = values.distinct().join(keys, F.col("v") == F.col("k"), "left")
+    matched = values.join(keys, F.col("v") == F.col("k"), "left")
     return matched.agg(F.count("*").alias("values"), F.count("k").alias("hits"), (F.count("k") / F.nullif(F.count("*"), F.lit(0))).alias("ratio"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skemaforge.operators import inference, profile
 from skemaforge.sources import star
+from skemaforge.sources.catalog import union_all
 
 from .q_sources import COLLECTIONS, ENTITIES, GRAPH_ROWS
 from .registry import query, values
@@ -41,7 +42,7 @@ def baseline_entities(spark, d):
     return inference.baseline_entities(names, inference.choose_discriminator(counts, totals), counts)
 
 
-EDGE_COUNTS = [("edges", "relation", "ACTED_IN", 175), ("edges", "relation", "DIRECTED", 45), ("follows", "type", "FOLLOWS", 3), ("links", "type", "KNOWS", 9)]
+EDGE_COUNTS = [("moves", "relation", "SHIPS_TO", 812), ("moves", "relation", "RETURNS_TO", 77), ("bills", "type", "BILLS", 31), ("ties", "type", "SUPPLIES", 14)]
 
 
 @query(f"WITH {values('c', 'collection, field, value, count', EDGE_COUNTS)} SELECT collection, field, min(value) AS value FROM c GROUP BY ALL HAVING count(*) = 1 AND upper(replace(min(value), '-', '_')) <> upper(replace(collection, '-', '_'))")
@@ -49,53 +50,16 @@ def single_value_edges(spark, d):
     return inference.single_value_edges(spark.createDataFrame(EDGE_COUNTS, "collection string, field string, value string, count long"))
 
 
-@query("SELECT * FROM (VALUES ('ACTED_IN', 'GENERIC_WITH_TYPE', 'edges', 'relation', 'ACTED_IN'), ('DIRECTED', 'GENERIC_WITH_TYPE', 'edges', 'relation', 'DIRECTED'), ('FOLLOWS', 'DEDICATED_COLLECTION', 'follows', NULL, NULL), ('HAS_ROLE', 'DEDICATED_COLLECTION', 'has-role', NULL, NULL)) t(relation, style, collection, type_field, type_value)")
-def baseline_relationships(spark, d):
-    counts = spark.createDataFrame(EDGE_COUNTS, "collection string, field string, value string, count long")
-    disc = spark.createDataFrame([("edges", "relation")], "collection string, field string")
-    return inference.baseline_relationships(spark.createDataFrame([("edges",), ("follows",), ("has-role",)], "collection string"), disc, counts)
-
-
-FK_FIELDS = [
-    ("Album", "Title", "string", False, False), ("Album", "ArtistId", "integer", False, False), ("Track", "AlbumId", "integer", False, False), ("Track", "genre_id", "string", False, False), ("Track", "Genreid", "integer", False, False),
-    ("chunks", "document_code", "string", False, False), ("chunks", "uuid", "string", False, False), ("chunks", "documentId", "boolean", False, False), ("Genre", "Name", "string", False, True),
-]
-FK_KEYS = [("Artist", "_key", "integer"), ("Album", "_key", "integer"), ("Genre", "_key", "integer"), ("documents", "_key", "string"), ("documents", "code", "string")]
-FK_FOUND = [("Album", "ArtistId", "Artist", "_key", 0.85, "camel_suffix"), ("Track", "AlbumId", "Album", "_key", 0.85, "camel_suffix"), ("Track", "Genreid", "Genre", "_key", 0.55, "name_no_underscore"), ("chunks", "document_code", "documents", "code", 0.7, "name_suffix_field")]
-
-
-def _candidates(spark):
-    f = spark.createDataFrame(FK_FIELDS, "collection string, field string, category string, is_key boolean, is_unique boolean")
-    return inference.foreign_key_candidates(f, spark.createDataFrame(FK_KEYS, "target string, key string, key_category string"))
-
-
-@query(f"WITH {values('f', 'collection, field, target, target_key, confidence, method', FK_FOUND)} SELECT * FROM f")
-def foreign_key_candidates(spark, d):
-    return _candidates(spark).select("collection", "field", "target", "target_key", "confidence", "method")
-
-
-PROBES = [("Album", "ArtistId", "Artist", 0.95), ("Track", "AlbumId", "Album", 0.0), ("chunks", "document_code", "documents", 0.6)]
-PROBED = [("Album", "ArtistId", "Artist", 1.0), ("Track", "Genreid", "Genre", 0.55), ("chunks", "document_code", "documents", 0.75)]
-
-
-@query(f"WITH {values('f', 'collection, field, target, confidence', PROBED)} SELECT * FROM f")
-def foreign_key_probe_fold(spark, d):
-    return inference.with_probe(_candidates(spark), spark.createDataFrame(PROBES, "collection string, field string, target string, ratio double")).select("collection", "field", "target", "confidence")
-
-
-KNOWN = [("Album", "Artist"), ("Artist", "Track")]
-
+EDGE_NAMES = [("moves",), ("bills",), ("stored-at",)]
 
-@query(f"WITH {values('f', 'collection, field, target', [x[:3] for x in FK_FOUND[1:]])} SELECT * FROM f")
-def foreign_keys_not_yet_known(spark, d):
-    return inference.without_known(_candidates(spark), spark.createDataFrame(KNOWN, "from_collection string, to_collection string")).select("collection", "field", "target")
 
-
-@query("WITH v AS (SELECT 'customer/' || o_custkey AS v FROM orders UNION ALL SELECT 'plain' FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'x/1'), h AS (SELECT split_part(v, '/', 1) AS prefix, count(*) AS hits FROM v WHERE regexp_matches(v, '^[A-Za-z0-9_\\-]+/[^/\\s]+$') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1) SELECT prefix, hits, (SELECT count(*) FROM v) AS total, hits / (SELECT count(*) FROM v) AS ratio FROM h")
-def id_prefix_votes(spark, d):
-    o = star.table(spark, d, "orders")
-    v = star.placed(spark, d).select(F.col("_from").alias("v")).union(o.where("o_orderstatus = 'F'").select(F.lit("plain"))).union(spark.createDataFrame([("x/1",)], "v string"))
-    return inference.id_prefix_votes(v, "v")
+@query(f"""WITH {values('c', 'collection, field, value, count', EDGE_COUNTS)}, {values('e', 'collection', EDGE_NAMES)}, disc AS (SELECT collection, field FROM c GROUP BY ALL HAVING count(*) > 1)
+SELECT value AS relation, 'GENERIC_WITH_TYPE' AS style, c.collection, c.field AS type_field, value AS type_value FROM c JOIN disc USING (collection, field)
+UNION ALL SELECT upper(replace(collection, '-', '_')), 'DEDICATED_COLLECTION', collection, NULL, NULL FROM e WHERE collection NOT IN (SELECT collection FROM disc)""")
+def baseline_relationships(spark, d):
+    counts = spark.createDataFrame(EDGE_COUNTS, "collection string, field string, value string, count long")
+    disc = spark.createDataFrame([("moves", "relation")], "collection string, field string")
+    return inference.baseline_relationships(spark.createDataFrame(EDGE_NAMES, "collection string"), disc, counts)
 
 
 FAMILY = [(c, f) for c in ("alphaDocument", "betaDocument", "gamma_Document") for f in ("doc_version", "label", "repo")] + [("x_Thing", "a"), ("y_Thing", "a"), ("zzz", "b"), ("ab", "c"), ("cb", "c")]
@@ -131,14 +95,33 @@ def tenant_fields(spark, d):
     return inference.tenant_fields(spark.createDataFrame(TENANT, "collection string, field string"))
 
 
-PER_TENANT = [("Orders__acme",), ("Orders__beta",), ("Users__acme",), ("plain",), ("Orders__acme-2",)]
+PER_TENANT = [("Orders__acme",), ("Orders__beta",), ("Users__acme",), ("plain",), ("Orders__acme-2",), ("north_Stock",), ("south-2_Stock",), ("north_Staff",)]
+_BASES = r"""s AS (SELECT CASE WHEN regexp_matches(collection, '^[A-Za-z][A-Za-z0-9]+__[A-Za-z0-9][A-Za-z0-9_-]+$') THEN regexp_extract(collection, '^([A-Za-z][A-Za-z0-9]+)__', 1) ELSE regexp_extract(collection, '^[A-Za-z0-9][A-Za-z0-9_-]+?_([A-Z][A-Za-z0-9]+)$', 1) END AS base,
+CASE WHEN regexp_matches(collection, '^[A-Za-z][A-Za-z0-9]+__[A-Za-z0-9][A-Za-z0-9_-]+$') THEN regexp_extract(collection, '__([A-Za-z0-9][A-Za-z0-9_-]+)$', 1) ELSE regexp_extract(collection, '^([A-Za-z0-9][A-Za-z0-9_-]+?)_[A-Z][A-Za-z0-9]+$', 1) END AS tenant FROM c)"""
 
 
-@query(f"WITH {values('c', 'collection', PER_TENANT)}, s AS (SELECT regexp_extract(collection, '^([A-Za-z][A-Za-z0-9]+)__([A-Za-z0-9][A-Za-z0-9_-]+)$', 1) AS base, regexp_extract(collection, '^([A-Za-z][A-Za-z0-9]+)__([A-Za-z0-9][A-Za-z0-9_-]+)$', 2) AS tenant FROM c) SELECT base, count(DISTINCT tenant) AS tenants FROM s WHERE base <> '' GROUP BY 1 HAVING count(DISTINCT tenant) >= 2")
+@query(f"WITH {values('c', 'collection', PER_TENANT)}, {_BASES} SELECT base, count(DISTINCT tenant) AS tenants FROM s WHERE base <> '' GROUP BY 1 HAVING count(DISTINCT tenant) >= 2")
 def collections_per_tenant(spark, d):
     return inference.collections_per_tenant(spark.createDataFrame(PER_TENANT, "collection string"))
 
 
+_VERDICT = "SELECT * FROM (VALUES ('a', 'disjoint_smartgraph', TRUE), ('b', 'shard_key', TRUE), ('c', 'discriminator_field', FALSE), ('d', 'collection_per_tenant', TRUE), ('e', 'unknown_single_db', TRUE), ('f', 'none', FALSE)) t(case_name, style, enforced)"
+
+
+@query(_VERDICT)
+def tenancy_verdicts(spark, d):
+    """One case a signal; each also has the signals of all later cases."""
+    order, out = "abcdef", []
+    for k, case in enumerate(order):
+        style = spark.createDataFrame([("DisjointSmartGraph" if k < 1 else "Sharded",)], "style string")
+        keys = ["tenantId"] if k < 2 else ["_key"]
+        names = ["Stock__north", "Stock__south"] if k < 4 else ["stock", "staff"]
+        collections = spark.createDataFrame([(n, keys) for n in names], "collection string, shard_keys array<string>")
+        fields = spark.createDataFrame([(n, "ORG_ID" if k < 3 else "name") for n in names], "collection string, field string")
+        out.append(inference.tenancy_verdict(collections, fields, style, "tenant_7" if k < 5 else "main").select(F.lit(case).alias("case_name"), "style", "enforced"))
+    return union_all(out)
+
+
 SCOPE_LINKS = [("Tenant", "Org"), ("Team", "Org"), ("User", "Team"), ("Post", "User"), ("Tag", "Post"), ("Color", "Tag"), ("Far", "Color"), ("Loose", "Other")]
 
 
@@ -176,8 +159,8 @@ def triple_collections(spark, d):
     return inference.triple_collections(spark.createDataFrame(RDF, "collection string, field string"))
 
 
-RAG = [("chunks", "document", "type"), ("passage_store", "document", "text"), ("passage_store", "document", "embedding"), ("entities", "document", "name"), ("mentions", "edge", "_from"), ("knn", "edge", "score"), ("users", "document", "name"), ("follows", "edge", "since")]
-_ROLES = "r AS (SELECT * FROM (VALUES ('chunks', 'chunk'), ('passage_store', 'chunk'), ('entities', 'entity'), ('mentions', 'mention'), ('knn', 'similarity')) t(collection, role))"
+RAG = [("chunks", "document", "type"), ("passage_store", "document", "text"), ("passage_store", "document", "embedding"), ("entities", "document", "name"), ("mentions", "edge", "_from"), ("nearby", "edge", "weight"), ("users", "document", "name"), ("follows", "edge", "since")]
+_ROLES = "r AS (SELECT * FROM (VALUES ('chunks', 'chunk'), ('passage_store', 'chunk'), ('entities', 'entity'), ('mentions', 'mention'), ('nearby', 'similarity')) t(collection, role))"
 
 
 @query(f"WITH {_ROLES} SELECT * FROM r")
@@ -231,12 +214,26 @@ def provenance_carried(spark, d):
     return inference.carried_forward(spark.createDataFrame(NOW, "name string"), spark.createDataFrame(PRIOR, "name string, first_seen string"), "2024-05-05")
 
 
-@query("WITH v AS (SELECT 'c_mktsegment' AS field, c_mktsegment AS value FROM customer UNION SELECT 'c_name', c_name FROM customer) SELECT field, value, '<redacted>:' || (row_number() OVER (PARTITION BY field ORDER BY value) - 1) AS token FROM v")
+_TOKEN = "'<redacted>:' || substr(sha256({0} || chr(0) || {1}), 1, 16)"
+
+
+@query(f"WITH v AS (SELECT 'c_mktsegment' AS field, c_mktsegment AS value FROM customer UNION SELECT 'c_name', c_name FROM customer) SELECT field, value, {_TOKEN.format('field', 'value')} AS token FROM v")
 def redaction_tokens(spark, d):
     v = star.table(spark, d, "customer").select("c_mktsegment", "c_name").unpivot([], ["c_mktsegment", "c_name"], "field", "value")
     return inference.redaction_tokens(v, "field", "value")
 
 
+_SEGMENT_TOKEN = _TOKEN.format("'c_mktsegment'", "c_mktsegment")
+
+
+@query(f"SELECT {_SEGMENT_TOKEN} AS masked, c_mktsegment AS shown, count(*) AS n FROM customer GROUP BY ALL")
+def redacted_and_unmasked(spark, d):
+    c = star.table(spark, d, "customer").select("c_mktsegment")
+    tokens = inference.redaction_tokens(c.select(F.lit("c_mktsegment").alias("field"), F.col("c_mktsegment").alias("value")), "field", "value")
+    masked = inference.redacted(c.withColumn("masked", F.col("c_mktsegment")), ["masked"], "c_mktsegment").select("masked", F.col("masked").alias("shown"))
+    return inference.unmasked(masked, ["shown"], tokens, "c_mktsegment").groupBy("masked", "shown").agg(F.count("*").alias("n"))
+
+
 ASKED, HAVE = [("label", "Movie"), ("label", "Ghost"), ("type", "ACTED_IN"), ("type", "Movie")], [("label", "Movie"), ("type", "ACTED_IN")]
 
 
@@ -246,15 +243,15 @@ def unknown_pattern_parts(spark, d):
     return inference.unknown_pattern_parts(spark.createDataFrame(ASKED, s), spark.createDataFrame(HAVE, s))
 
 
-ACCOUNTS = [(e, p) for e in ("Mortgage", "Checking", "Savings", "Insurance") for p in ("accountId", "name", "balance")] + [(e, "routingNumber") for e in ("Mortgage", "Checking", "Savings")] + [("Customer", "name")]
+GOODS = [(e, p) for e in ("Crate", "Pallet", "Barrel", "Drum") for p in ("sku", "weight", "owner")] + [(e, "lid") for e in ("Crate", "Barrel", "Drum")] + [("Depot", "owner")]
 
 
-@query("SELECT * FROM (VALUES ('Checking,Customer,Insurance,Mortgage,Savings', 'name'), ('Checking,Insurance,Mortgage,Savings', 'accountId,balance,name'), ('Checking,Mortgage,Savings', 'accountId,balance,name,routingNumber')) t(extent, intent)")
+@query("SELECT * FROM (VALUES ('Barrel,Crate,Depot,Drum,Pallet', 'owner'), ('Barrel,Crate,Drum,Pallet', 'owner,sku,weight'), ('Barrel,Crate,Drum', 'lid,owner,sku,weight')) t(extent, intent)")
 def taxonomy_concepts(spark, d):
-    return inference.concepts(spark.createDataFrame(ACCOUNTS, "entity string, property string"))
+    return inference.concepts(spark.createDataFrame(GOODS, "entity string, property string"))
 
 
-TAXONOMY = [("Account", "COLLECTION", "accounts"), ("Loan", "LABEL", "accounts"), ("Card", "LABEL", "accounts"), ("Solo", "LABEL", "other"), ("Other", "COLLECTION", "other")]
+TAXONOMY = [("Vessel", "COLLECTION", "vessels"), ("Jar", "LABEL", "vessels"), ("Vat", "LABEL", "vessels"), ("Solo", "LABEL", "other"), ("Other", "COLLECTION", "other")]
 
 
 @query(f"WITH {values('e', 'entity, style, collection', TAXONOMY)}, m AS (SELECT collection FROM e WHERE style = 'LABEL' GROUP BY 1 HAVING count(*) >= 2) SELECT l.entity AS child, p.entity AS parent FROM e l JOIN m ON l.collection = m.collection JOIN e p ON p.collection = l.collection AND p.style = 'COLLECTION' WHERE l.style = 'LABEL'")

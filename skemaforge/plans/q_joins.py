@@ -87,7 +87,7 @@ def containment_full(spark, d):
     return relational.containment(star.table(spark, d, "orders"), "o_custkey", star.vertices(spark, d, "customer"), "_key")
 
 
-@query("SELECT count(*) AS \"values\", count(k) AS hits, count(k) / nullif(count(*), 0) AS ratio FROM (SELECT DISTINCT v FROM (SELECT l_suppkey::VARCHAR AS v FROM lineitem ORDER BY 1 LIMIT 50)) LEFT JOIN (SELECT DISTINCT s_suppkey::VARCHAR AS k FROM supplier) ON v = k")
+@query("SELECT count(*) AS \"values\", count(k) AS hits, count(k) / nullif(count(*), 0) AS ratio FROM (SELECT v FROM (SELECT DISTINCT l_suppkey::VARCHAR AS v FROM lineitem) ORDER BY md5(v) LIMIT 50) LEFT JOIN (SELECT DISTINCT s_suppkey::VARCHAR AS k FROM supplier) ON v = k")
 def containment_sampled(spark, d):
     return relational.containment(star.table(spark, d, "lineitem"), "l_suppkey", star.vertices(spark, d, "supplier"), "_key", sampled=50)
 

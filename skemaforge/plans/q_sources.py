@@ -114,10 +114,10 @@ def label_shape(spark, d):
     return one("o_orderpriority").unionByName(one("o_orderstatus"))
 
 
-NAMES = [("type",), ("_type",), ("kind",), ("user_id",), ("relType",), ("uuid",), ("event_kind",), ("key",), ("a_very_long_name_that_exceeds_the_limit",)]
+NAMES = [("type",), ("_type",), ("kind",), ("user_id",), ("relType",), ("uuid",), ("event_kind",), ("key",), ("userid",), ("paid",), ("grid",), ("a_very_long_name_that_exceeds_the_limit",)]
 
 
-@query(f"WITH {values('n', 'name', NAMES)} SELECT name, regexp_matches(name, '^[a-z][a-z0-9_]{{0,31}}$') AND NOT regexp_matches(name, '(^|_)(id|key|uuid|guid)$') AND NOT starts_with(name, '_') AS may FROM n")
+@query(f"WITH {values('n', 'name', NAMES)} SELECT name, regexp_matches(name, '^[a-z][a-z0-9_]{{0,31}}$') AND NOT regexp_matches(name, '(id|key|uuid|guid)$') AND NOT starts_with(name, '_') AS may FROM n")
 def discriminator_names(spark, d):
     return spark.createDataFrame(NAMES, "name string").select("name", naming.may_discriminate(F.col("name")).alias("may"))
 
@@ -195,7 +195,7 @@ def entity_and_relation_names(spark, d):
     return _named(spark).select("name", naming.entity_name(F.col("name")).alias("entity"), naming.relationship_name(F.col("name")).alias("relation"))
 
 
-@query(f"WITH {values('n', 'name', WORDS)}, b AS (SELECT name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS b FROM n) SELECT DISTINCT name, v FROM (SELECT name, unnest([b, {_SINGULAR.format('b')}, b || 's', b || 'es']) AS v FROM b)")
+@query(f"WITH {values('n', 'name', WORDS)}, s AS (SELECT name, {_SINGULAR.format('name')} AS s FROM n), b AS (SELECT name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS b, regexp_replace(lower(s), '[^a-z0-9]', '', 'g') AS o FROM s) SELECT DISTINCT name, v FROM (SELECT name, unnest([b, o, o || 's', o || 'es']) AS v FROM b)")
 def name_variants(spark, d):
     return _named(spark).select("name", F.explode(naming.name_variants(F.col("name"))).alias("v"))
 
@@ -227,7 +227,7 @@ def id_shapes(spark, d):
     return spark.createDataFrame(IDS, "value string").select("value", naming.is_id_shaped(F.col("value")).alias("is_id"))
 
 
-OWL = [("usage_metrics", "UsageMetric", "usageMetrics"), ("account_id", "AccountId", "accountId"), ("HAS_NAME", "HasName", "hasName"), ("HTTPServers", "HttpServer", "httpServers"), ("boxes", "Box", "boxes"), ("cities", "City", "cities"), ("_uri", "Uri", "_uri")]
+OWL = [("sales_orders", "SalesOrder", "salesOrders"), ("ship_date", "ShipDate", "shipDate"), ("STORED_AT", "StoredAt", "storedAt"), ("XMLFeeds", "XmlFeed", "xmlFeeds"), ("taxes", "Tax", "taxes"), ("duties", "Duty", "duties"), ("_tag", "Tag", "_tag")]
 
 
 @query(f"WITH {values('o', 'name, class, property', OWL)} SELECT * FROM o")
@@ -241,9 +241,11 @@ def domain_token_set(spark, d):
     return star.table(spark, d, "part").select(F.explode(naming.domain_tokens(F.col("p_type"))).alias("token")).distinct()
 
 
-@query("SELECT p_brand, regexp_replace(p_brand, '[^A-Za-z0-9_]', '_', 'g') AS iri, count(*) AS n FROM part GROUP BY 1, 2")
+@query("WITH v AS (SELECT p_brand AS name FROM part UNION ALL SELECT p_size || ' ' || p_brand FROM part UNION ALL SELECT ''), s AS (SELECT name, regexp_replace(name, '[^A-Za-z0-9_]', '_', 'g') AS s FROM v) SELECT name, CASE WHEN s = '' THEN '_Unknown' WHEN regexp_matches(s, '^[0-9]') THEN '_' || s ELSE s END AS iri, count(*) AS n FROM s GROUP BY 1, 2")
 def iri_names(spark, d):
-    return star.table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")).select("p_brand", naming.iri_local(F.col("p_brand")).alias("iri"), "n")
+    p = star.table(spark, d, "part")
+    names = p.select(F.col("p_brand").alias("name")).union(p.select(F.concat_ws(" ", F.col("p_size").cast("string"), "p_brand"))).union(spark.createDataFrame([("",)], "name string"))
+    return names.groupBy("name").agg(F.count("*").alias("n")).select("name", naming.iri_local(F.col("name")).alias("iri"), "n")
 
 
 @query("SELECT collection, sum(n)::BIGINT AS n FROM (SELECT 'region' AS collection, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation) GROUP BY 1")

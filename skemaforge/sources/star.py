@@ -62,3 +62,43 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         Graph("geography", [("relationships", ["customer", "nation", "supplier"], ["nation", "region"])]),
     ]
     return Catalog(spark, docs + edges, graphs, {"name": "star"})
+
+
+#: The relational layout's collections: fields with their categories, and the unique ones.
+RELATIONAL = {
+    "regions": {"name": "string"},
+    "nations": {"name": "string", "regionId": "integer", "region_name": "string"},
+    "customers": {"name": "string", "nation_id": "integer", "segment": "string"},
+    "suppliers": {"name": "string", "nationid": "integer"},
+    "parts": {"name": "string", "region_id": "integer"},
+    "purchases": {"customerId": "integer", "status": "string"},
+    "items": {"purchase_id": "integer", "part_key": "integer", "supplier_id": "integer", "quantity": "float"},
+    "visits": {"visitor": "string", "kind": "string"},
+}
+UNIQUE = {"regions": "name", "nations": "name"}
+
+
+def relational(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The tables with references as plain columns, of every kind of name. ``parts.region_id`` only looks like one: no region has such a key."""
+    t = lambda n: table(spark, sf_dir, n)
+    region = t("region").select("r_regionkey", F.col("r_name").alias("region_name"))
+    rows = {
+        "regions": lambda: t("region").select("r_regionkey", F.col("r_name").alias("name")),
+        "nations": lambda: t("nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("name"), F.col("n_regionkey").alias("regionId"), "region_name"),
+        "customers": lambda: t("customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation_id"), F.col("c_mktsegment").alias("segment")),
+        "suppliers": lambda: t("supplier").select("s_suppkey", F.col("s_name").alias("name"), F.col("s_nationkey").alias("nationid")),
+        "parts": lambda: t("part").select("p_partkey", F.col("p_name").alias("name"), (F.col("p_size") + 1000).alias("region_id")),
+        "purchases": lambda: t("orders").select("o_orderkey", F.col("o_custkey").alias("customerId"), F.col("o_orderstatus").alias("status")),
+        "items": lambda: t("lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), F.col("l_orderkey").alias("purchase_id"), F.col("l_partkey").alias("part_key"), F.col("l_suppkey").alias("supplier_id"), F.col("l_quantity").alias("quantity")),
+        "visits": lambda: t("events").select("event_id", F.concat(F.lit("customers/"), F.col("user_id").cast("string")).alias("visitor"), F.col("event_type").alias("kind")),
+    }
+
+    def load(name: str):
+        def read() -> DataFrame:
+            df = rows[name]()
+            return keyed(df, name, df.columns[0]).drop(df.columns[0])
+
+        return read
+
+    index = lambda n: [{"type": "primary", "fields": ["_key"], "unique": True}, *({"type": "persistent", "fields": [f], "unique": True} for f in [UNIQUE.get(n)] if f)]
+    return Catalog(spark, [Collection(n, load(n), indexes=index(n)) for n in rows], [], {"name": "relational"})
