@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skemaforge.functions import naming
-from skemaforge.operators import inference, metrics, profile
+from skemaforge.operators import foreign_keys, inference, metrics, profile
 from skemaforge.sources.catalog import SYSTEM_FIELDS, Catalog, Collection, type_category, union_all
 
 from .mapping import PhysicalMapping
@@ -47,85 +47,183 @@ def candidate_fields(c: Collection) -> list[str]:
 
 
 def shape_of(catalog: Catalog) -> str:
-    """A digest of collections, kinds and indexes; no scan."""
-    rows = sorted(f"{c.name}:{c.kind}:{sorted(json.dumps(i, sort_keys=True) for i in c.indexes)}" for c in catalog.user_collections())
+    """A digest of collections, kinds, fields and indexes; no scan."""
+    rows = sorted(f"{c.name}:{c.kind}:{sorted(c.df.dtypes)}:{sorted(json.dumps(i, sort_keys=True) for i in c.indexes)}" for c in catalog.user_collections())
     return hashlib.sha256("|".join(rows).encode()).hexdigest()
 
 
-def analyze(catalog: Catalog, graph: str | None = None) -> Analysis:
-    collections = catalog.user_collections(graph=graph)
-    counts_parts, totals_parts = [], []
+def _counted(collections: list[Collection], fields_of) -> tuple[DataFrame, DataFrame]:
+    """Row totals and value counts of all collections, in a job each."""
+    spark = collections[0].df.sparkSession
+    totals, counts = [], [spark.createDataFrame([], "collection string, kind string, field string, value string, count long")]
     for c in collections:
-        name = F.lit(c.name).alias("collection")
-        totals_parts.append(c.df.agg(F.count("*").alias("rows")).select(name, F.lit(c.kind).alias("kind"), "rows"))
-        if fields := candidate_fields(c):
-            counts_parts.append(profile.value_counts(c.df, fields).select(name, F.lit(c.kind).alias("kind"), "field", "value", "count"))
-    totals = union_all(totals_parts).cache()
-    empty = catalog.spark.createDataFrame([], "collection string, kind string, field string, value string, count long")
-    counts = (union_all(counts_parts) if counts_parts else empty).cache()
-    chosen = [inference.choose_discriminator(counts.where(F.col("kind") == k), totals, k) for k in ("document", "edge")]
-    docs, edges = ([c.name for c in collections if c.kind == k] for k in ("document", "edge"))
-    table = lambda names: catalog.spark.createDataFrame([(n,) for n in names], "collection string")
-    entity_rows = [r.asDict() for r in inference.baseline_entities(table(docs), chosen[0], counts).orderBy("entity").collect()]
-    relation_rows = [r.asDict() for r in inference.baseline_relationships(table(edges), chosen[1], counts).orderBy("relation").collect()]
-
-    entities = {r["entity"]: {k: v for k, v in r.items() if k != "entity" and v is not None} for r in entity_rows}
-    relationships, ends = {}, []
-    for r in relation_rows:
-        m = {k: v for k, v in r.items() if k != "relation" and v is not None}
-        rows = catalog.collections[m["collection"]].df
-        if m["style"] == "GENERIC_WITH_TYPE":
-            rows = rows.where(F.col(m["type_field"]) == m["type_value"])
-        found = _ends(catalog, rows, entities).collect()
-        side = lambda s: sorted({x[s] for x in found if x[s]})
-        a, b = side("from_entity"), side("to_entity")
-        m |= {"from_entity": a[0] if len(a) == 1 else "Any", "to_entity": b[0] if len(b) == 1 else "Any"}
-        relationships[r["relation"]] = m
-        ends.append((r["relation"], m["from_entity"], m["to_entity"], sum(x["edges"] for x in found)))
-    sizes = _entity_sizes(catalog, entities, totals, counts)
+        name, kind = F.lit(c.name).alias("collection"), F.lit(c.kind).alias("kind")
+        totals.append(c.df.agg(F.count("*").alias("rows")).select(name, kind, "rows"))
+        if fields := fields_of(c):
+            counts.append(profile.value_counts(c.df, fields).select(name, kind, "field", "value", "count"))
+    local = lambda df: spark.createDataFrame(df.collect(), df.schema)  # noqa: E731  a row a collection, or a value of a label-like field
+    return local(union_all(totals)), union_all(counts).cache()
+
+
+def _named(rows: list[dict], key: str) -> dict[str, dict]:
+    """By name; of equal names the later ones (by collection) also carry their collection's name."""
+    out: dict[str, dict] = {}
+    for r in sorted(rows, key=lambda r: (r[key], r["collection"])):
+        name = r[key] if r[key] not in out else f"{r[key]}_{r['collection']}"
+        out[name] = {k: v for k, v in r.items() if k != key and v is not None}
+    return out
+
+
+def analyze(catalog: Catalog, graph: str | None = None, foreign: bool = True) -> Analysis:
+    """The model of a catalog: value counts, entities, relationships by edges and (``foreign``) by columns, statistics, detectors, quality."""
+    collections = catalog.user_collections(graph=graph)
     spark = catalog.spark
-    stats = metrics.relationship_statistics(spark.createDataFrame(ends, "relation string, from_entity string, to_entity string, edges long"), sizes).orderBy("relation").collect() if ends else []
+    totals, counts = _counted(collections, candidate_fields)
+    chosen = {k: inference.choose_discriminator(counts.where(F.col("kind") == k), totals, k) for k in ("document", "edge")}
+    one = inference.single_value_edges(counts.where("kind = 'edge'").where(F.col("field").isin(*inference.PREFERRED["edge"])))
+    covers = one.join(totals, "collection").join(counts.select("collection", "field", "value", "count"), ["collection", "field", "value"]).where(F.col("count") >= inference.COVERAGE * F.col("rows"))
+    first = covers.groupBy("collection").agg(F.min("field").alias("field")).join(chosen["edge"], "collection", "left_anti").withColumn("distinct", F.lit(1).cast("long"))
+    typed_edges = chosen["edge"].unionByName(first)
+    docs, edges = ([c.name for c in collections if c.kind == k] for k in ("document", "edge"))
+    table = lambda names: spark.createDataFrame([(n,) for n in names], "collection string")
+    entities = _named([r.asDict() for r in inference.baseline_entities(table(docs), chosen["document"], counts).collect()], "entity")
+    relationships = _named([r.asDict() for r in inference.baseline_relationships(table(edges), typed_edges, counts).collect()], "relation")
+    linked = _linked(catalog, entities, relationships)
+    for name, m in relationships.items():
+        for side in ("from", "to"):
+            found = {r[f"{side}_entity"] for r in linked if r["relation"] == name} - {None} or _by_graph(catalog, m["collection"], side, entities)
+            m[f"{side}_entity"] = found.pop() if len(found) == 1 else "Any"
+    statistics = _statistics(catalog, entities, relationships, linked, totals, counts)
+    properties = _properties(catalog, entities)
+    extra = {}
+    if foreign and docs:
+        extra["foreignKeys"] = _add_foreign_keys(catalog, entities, relationships, linked)
     conceptual = {
-        "entities": [{"name": n, "properties": _properties(catalog, m)} for n, m in sorted(entities.items())],
+        "entities": [{"name": n, "properties": properties[n]} for n in sorted(entities)],
         "relationships": [{"type": n, "fromEntity": m["from_entity"], "toEntity": m["to_entity"]} for n, m in sorted(relationships.items())],
     }
-    rows = {r["collection"]: r["rows"] for r in totals.collect()}
-    totals.unpersist(), counts.unpersist()
-    return Analysis(conceptual, {"entities": entities, "relationships": relationships}, [r.asDict() for r in stats], shape_of(catalog), rows)
+    extra["detected"] = _detected(catalog, collections, entities)
+    extra["quality"] = _quality(spark, conceptual, entities, catalog)
+    counts.unpersist()
+    return Analysis(conceptual, {"entities": entities, "relationships": relationships}, statistics, shape_of(catalog), {r["collection"]: r["rows"] for r in totals.collect()}, extra)
 
 
-def _ends(catalog: Catalog, edges: DataFrame, entities: dict) -> DataFrame:
-    """from_entity, to_entity, edges: by collection where an entity is one, by label where collections are shared."""
-    whole = {m["collection"]: n for n, m in entities.items() if m["style"] == "COLLECTION"}
+def _linked(catalog: Catalog, entities: dict, relationships: dict) -> list[dict]:
+    """relation, from_entity, to_entity, from_c, to_c, edges: one pass over each edge collection, whatever its number of types."""
+    spark, out = catalog.spark, []
+    whole = [m["collection"] for m in entities.values() if m["style"] == "COLLECTION"]
     shared = {m["collection"]: m["type_field"] for m in entities.values() if m["style"] == "LABEL"}
-    names = catalog.spark.createDataFrame([(m["collection"], m.get("type_value", ""), n) for n, m in entities.items()], "c string, v string, e string")
-    typed = union_all([catalog.collections[c].df.select(F.col("_id"), F.col(f).alias("v")) for c, f in shared.items()]) if shared else None
-    out = edges.select("_from", "_to")
-    for side in ("from", "to"):
-        out = out.withColumn(f"{side}_c", naming.collection_of(F.col(f"_{side}")))
-        if typed is not None:
-            t = typed.select(F.col("_id").alias(f"{side}_i"), F.col("v").alias(f"{side}_v"))
-            out = out.join(t, F.col(f"_{side}") == F.col(f"{side}_i"), "left")
+    names = spark.createDataFrame([(m["collection"], m.get("type_value", ""), n) for n, m in entities.items()], "c string, v string, e string")
+    typed = union_all([catalog.collections[c].df.select(F.col("_id"), F.col(f).cast("string").alias("v")) for c, f in shared.items()]) if shared else None
+    by_edges: dict[str, list[str]] = {}
+    for n, m in relationships.items():
+        by_edges.setdefault(m["collection"], []).append(n)
+    for collection, own in by_edges.items():
+        field_ = relationships[own[0]].get("type_field")
+        kind = F.col(field_).cast("string") if field_ else F.lit("")
+        rows = catalog.collections[collection].df.select("_from", "_to", kind.alias("kind"))
+        for side in ("from", "to"):
+            rows = rows.withColumn(f"{side}_c", naming.collection_of(F.col(f"_{side}")))
+        if typed is None:
+            rows = rows.withColumns({"from_v": F.lit(""), "to_v": F.lit("")})
         else:
-            out = out.withColumn(f"{side}_v", F.lit(None).cast("string"))
-    g = out.groupBy("from_c", "from_v", "to_c", "to_v").agg(F.count("*").alias("edges"))
-    for side in ("from", "to"):
-        n = names.select(F.col("c").alias(f"{side}_n"), F.col("v").alias(f"{side}_w"), F.col("e").alias(f"{side}_entity"))
-        g = g.join(n, (F.col(f"{side}_c") == F.col(f"{side}_n")) & (F.when(F.col(f"{side}_c").isin(*whole), F.lit("")).otherwise(F.coalesce(f"{side}_v", F.lit(""))) == F.col(f"{side}_w")), "left")
-    return g.select("from_entity", "to_entity", "edges")
-
-
-def _entity_sizes(catalog: Catalog, entities: dict, totals: DataFrame, counts: DataFrame) -> DataFrame:
-    names = catalog.spark.createDataFrame([(n, m["collection"], m.get("type_field", ""), m.get("type_value", "")) for n, m in entities.items()], "entity string, collection string, f string, v string")
-    whole = names.where("f = ''").join(totals, "collection").select("entity", "rows")
-    return whole.unionByName(names.where("f <> ''").join(counts, (names["collection"] == counts["collection"]) & (F.col("f") == F.col("field")) & (F.col("v") == F.col("value"))).select("entity", F.col("count").alias("rows")))
+            for side in ("from", "to"):
+                # counts before the join: a hub is one row a type and far end's collection
+                rest = [c for c in ("kind", "from_c", "to_c", "from_v", "edges") if c in rows.columns and c != "edges"] + ([f"_{'to' if side == 'from' else 'from'}"] if side == "from" else [])
+                n = F.sum("edges") if "edges" in rows.columns else F.count("*")
+                rows = rows.groupBy(*rest, f"_{side}").agg(n.alias("edges"))
+                t = typed.select(F.col("_id").alias("i"), F.col("v").alias(f"{side}_v"))
+                rows = rows.join(t, F.col(f"_{side}") == F.col("i"), "left").drop("i", f"_{side}")
+        n = F.sum("edges") if "edges" in rows.columns else F.count("*")
+        g = rows.groupBy("kind", "from_c", "from_v", "to_c", "to_v").agg(n.alias("edges"))
+        for side in ("from", "to"):
+            named = names.select(F.col("c").alias("nc"), F.col("v").alias("nv"), F.col("e").alias(f"{side}_entity"))
+            value = F.when(F.col(f"{side}_c").isin(*whole), F.lit("")).otherwise(F.coalesce(f"{side}_v", F.lit("")))
+            g = g.join(named, (F.col(f"{side}_c") == F.col("nc")) & (value == F.col("nv")), "left").drop("nc", "nv")
+        relation = {relationships[n].get("type_value", ""): n for n in own}
+        out += [r.asDict() | {"relation": relation[r["kind"]]} for r in g.collect() if r["kind"] in relation]
+    return out
+
+
+def _by_graph(catalog: Catalog, edges: str, side: str, entities: dict) -> set[str]:
+    """Entities that the graphs' definitions name as an edge collection's ends: what an empty collection's rows can't tell."""
+    ends = {c for g in catalog.graphs.values() for e, a, b in g.edge_definitions if e == edges for c in (a if side == "from" else b)}
+    return {n for n, m in entities.items() if m["style"] == "COLLECTION" and m["collection"] in ends}
+
+
+def _statistics(catalog: Catalog, entities: dict, relationships: dict, linked: list[dict], totals: DataFrame, counts: DataFrame) -> list[dict]:
+    if not relationships:
+        return []
+    spark = catalog.spark
+    names = spark.createDataFrame([(n, m["collection"], m.get("type_field", ""), m.get("type_value", "")) for n, m in entities.items()], "entity string, c string, f string, v string")
+    whole = names.where("f = ''").join(totals, F.col("c") == F.col("collection")).select("entity", "rows")
+    labelled = names.where("f <> ''").join(counts, (F.col("c") == F.col("collection")) & (F.col("f") == F.col("field")) & (F.col("v") == F.col("value"))).select("entity", F.col("count").alias("rows"))
+    ends = [(n, m["from_entity"], m["to_entity"], sum(r["edges"] for r in linked if r["relation"] == n)) for n, m in relationships.items() if "collection" in m]
+    found = metrics.relationship_statistics(spark.createDataFrame(ends, "relation string, from_entity string, to_entity string, edges long"), whole.unionByName(labelled))
+    return [r.asDict() for r in found.orderBy("relation").collect()]
+
+
+def _properties(catalog: Catalog, entities: dict) -> dict[str, list[str]]:
+    """Fields with a value, by entity: one pass a collection, shared or not."""
+    out, parts = {n: [] for n in entities}, []
+    by_place = {(m["collection"], m.get("type_value", "")): n for n, m in entities.items()}
+    for collection, field_ in {(m["collection"], m.get("type_field", "")) for m in entities.values()}:
+        rows = catalog.collections[collection].df
+        found = profile.observed_fields_by_type(rows, field_) if field_ else profile.observed_fields(rows).withColumn("type", F.lit(""))
+        parts.append(found.select(F.lit(collection).alias("collection"), F.col("type").cast("string").alias("type"), "field"))
+    for r in union_all(parts).collect() if parts else []:
+        if (place := (r["collection"], r["type"])) in by_place:
+            out[by_place[place]].append(r["field"])
+    return {n: sorted(f) for n, f in out.items()}
+
+
+def _add_foreign_keys(catalog: Catalog, entities: dict, relationships: dict, linked: list[dict]) -> dict:
+    """Adds what columns refer to, and tells how many there were, how many were probed in vain of a budget, and what has no entity."""
+    spark = catalog.spark
+    known = spark.createDataFrame(sorted({(r["from_c"], r["to_c"]) for r in linked}), "from_collection string, to_collection string")
+    ranked, short = foreign_keys.infer(catalog, known)
+    names = spark.createDataFrame([(n, m["style"], m["collection"]) for n, m in entities.items()], "entity string, style string, collection string")
+    taken = spark.createDataFrame([(n,) for n in relationships], "relation string")
+    ranked = spark.createDataFrame(ranked.collect(), ranked.schema)  # metadata
+    found = foreign_keys.merged(ranked, names, taken).orderBy("rank").collect()
+    for r in found:
+        relationships[r["relation"]] = {
+            "style": "FOREIGN_KEY", "from_collection": r["collection"], "from_fields": list(r["fields"]), "to_collection": r["target"], "to_key_fields": list(r["target_fields"]),
+            "from_entity": r["from_entity"], "to_entity": r["to_entity"], "confidence": r["confidence"], "method": r["method"], "enforced": False,
+        }
+    n = ranked.count()
+    return {"status": "degraded" if short else "ok", "candidates": n, "added": len(found), "unmapped": n - len(found)}
+
+
+def _detected(catalog: Catalog, collections: list[Collection], entities: dict) -> dict:
+    """What the detectors find in names, fields, indexes and graphs: no scan."""
+    spark, kinds = catalog.spark, {c.name: c.kind for c in collections}
+    fields = [(c.name, c.kind, f) for c in collections for f in c.df.columns]
+    named = spark.createDataFrame(fields, "collection string, kind string, field string")
+    indexes = spark.createDataFrame([(c.name, i.get("type", ""), list(i.get("fields", []))) for c in collections for i in c.indexes], "collection string, type string, fields array<string>")
+    roles = inference.retrieval_roles(named)
+    listed = spark.createDataFrame([(c.name, list((getattr(c, "properties", None) or {}).get("shard_keys", []))) for c in collections], "collection string, shard_keys array<string>")
+    style = spark.createDataFrame([(str(catalog.properties.get("sharding_style", "Sharded")),)], "style string")
+    taxonomy = spark.createDataFrame([(n, m["style"], m["collection"]) for n, m in entities.items()], "entity string, style string, collection string")
+    rows = lambda df: sorted((r.asDict() for r in df.collect()), key=str)
+    return {
+        "families": rows(inference.shard_families(named.where("kind = 'document'"))),
+        "triples": rows(inference.triple_collections(named)),
+        "retrieval": rows(roles) if len({r["role"] for r in roles.collect()}) >= 2 else [],
+        "vertexCentric": rows(inference.vertex_centric(indexes)),
+        "membership": rows(inference.graph_membership(catalog.graph_table(), spark.createDataFrame([(n,) for n in kinds], "collection string"))),
+        "tenancy": inference.tenancy_verdict(listed, named, style, str(catalog.properties.get("name", ""))).first().asDict(),
+        "taxonomy": rows(inference.discriminator_taxonomy(taxonomy)),
+    }
 
 
-def _properties(catalog: Catalog, m: dict) -> list[str]:
-    rows = catalog.collections[m["collection"]].df
-    if m["style"] == "LABEL":
-        rows = rows.where(F.col(m["type_field"]) == m["type_value"])
-    return sorted(r["field"] for r in profile.observed_fields(rows, (*SYSTEM_FIELDS, m.get("type_field", ""))).collect())
+def _quality(spark, conceptual: dict, entities: dict, catalog: Catalog) -> dict:
+    e = spark.createDataFrame([(x["name"], len(x["properties"])) for x in conceptual["entities"]], "entity string, properties int")
+    r = spark.createDataFrame([(x["type"], x["fromEntity"], x["toEntity"]) for x in conceptual["relationships"]], "relation string, from_entity string, to_entity string")
+    structure = metrics.structural_metrics(e, r)
+    ground = metrics.grounding(spark.createDataFrame([(n, m["collection"]) for n, m in entities.items()], "name string, collection string"), catalog.listing())
+    both = structure.crossJoin(ground.withColumnRenamed("ratio", "grounding"))  # one row each
+    return metrics.health_score(both).first().asDict()
 
 
 def change(prior: Analysis | None, catalog: Catalog) -> str:
@@ -137,12 +235,20 @@ def change(prior: Analysis | None, catalog: Catalog) -> str:
     return "unchanged" if prior.counts == {r["collection"]: r["rows"] for r in catalog.counts().collect()} else "stats_changed"
 
 
+def refreshed(catalog: Catalog, prior: Analysis) -> Analysis:
+    """The prior model with its statistics anew: counts of rows, of the model's own labels, and of edges; no field is inferred again."""
+    entities, relationships = prior.mapping["entities"], prior.mapping["relationships"]
+    labels = {m["collection"]: m["type_field"] for m in (*entities.values(), *relationships.values()) if "type_field" in m}
+    totals, counts = _counted(catalog.user_collections(), lambda c: [labels[c.name]] if c.name in labels else [])
+    edges = {n: m for n, m in relationships.items() if "collection" in m}
+    statistics = _statistics(catalog, entities, edges, _linked(catalog, entities, edges), totals, counts)
+    counts.unpersist()
+    return Analysis(prior.conceptual, prior.mapping, statistics, shape_of(catalog), {r["collection"]: r["rows"] for r in totals.collect()}, prior.extra)
+
+
 def analyze_incremental(catalog: Catalog, prior: Analysis | None) -> tuple[str, Analysis]:
-    """Does again only what changed: nothing, or all. A change of counts alone keeps the model and renews the statistics."""
+    """Does again only what changed: nothing, the statistics where only counts did, or all."""
     state = change(prior, catalog)
     if state == "unchanged":
         return state, prior
-    new = analyze(catalog)
-    if state == "stats_changed":
-        new = Analysis(prior.conceptual, prior.mapping, new.statistics, new.shape, new.counts, prior.extra)
-    return state, new
+    return state, refreshed(catalog, prior) if state == "stats_changed" else analyze(catalog)

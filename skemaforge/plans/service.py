@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from skemaforge.sources import star
 from skemaforge.sources.catalog import Catalog
 
-from . import analysis, exports
+from . import analysis, exports, snapshot
 
 OPERATIONS = ("snapshot", "analyze", "resolve", "export", "document", "counts", "graphs")
 TARGETS = {"graph": exports.graph_bundle, "vocabulary": exports.vocabulary, "turtle": exports.turtle, "json-ld": exports.json_ld, "interchange": exports.interchange}
@@ -24,14 +24,17 @@ def run(request: dict, spark: SparkSession, catalog: Catalog | None = None) -> d
         catalog = catalog or star.catalog(spark, request["path"])
         rows = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731  metadata tables only
         if op == "snapshot":
-            return {"ok": True, "result": rows(catalog.listing())}
+            if not request.get("full"):
+                return {"ok": True, "result": rows(catalog.listing())}
+            snap = snapshot.snapshot(catalog, int(request.get("samples", 0)))
+            return {"ok": True, "result": snap, "fingerprint": snapshot.fingerprint(snap)}
         if op == "counts":
             return {"ok": True, "result": rows(catalog.counts())}
         if op == "graphs":
             return {"ok": True, "result": rows(catalog.graph_table())}
         found = analysis.analyze(catalog, request.get("graph"))
         if op == "analyze":
-            return {"ok": True, "result": {"conceptualSchema": found.conceptual, "physicalMapping": found.mapping, "statistics": found.statistics, "shape": found.shape}}
+            return {"ok": True, "result": {"conceptualSchema": found.conceptual, "physicalMapping": found.mapping, "statistics": found.statistics, "shape": found.shape, "metadata": found.extra}}
         if op == "resolve":
             return {"ok": True, "result": found.physical(catalog).resolve()}
         if op == "document":
@@ -41,4 +44,5 @@ def run(request: dict, spark: SparkSession, catalog: Catalog | None = None) -> d
         return {"ok": True, "result": TARGETS[request["target"]](found)}
     except ValueError as e:
         code, _, message = str(e).partition(": ")
-        return {"ok": False, "error": {"code": code, "message": message}}
+        known = code == "INVALID_ARGUMENT"
+        return {"ok": False, "error": {"code": code if known else "FAILED", "message": message if known else str(e)}}

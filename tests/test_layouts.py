@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from skemaforge.operators import inference, metrics, profile, relational
-from skemaforge.plans import analysis, exports, service
+from skemaforge.operators import foreign_keys, inference, metrics, profile, relational
+from skemaforge.plans import analysis, exports, service, snapshot
 from skemaforge.plans.mapping import PhysicalMapping
 from skemaforge.sources import generator, star, store
 from skemaforge.sources.catalog import Catalog, Collection, Graph, compatible, sample, type_category
@@ -87,6 +87,53 @@ def test_incremental(layouts, spark):
     assert analysis.change(None, c) == "no_cache"
 
 
+def test_foreign_keys_join_the_model(spark, sf_dir):
+    c = star.relational(spark, sf_dir)
+    true = {("visits", "visitor", "customers"), ("customers", "nation_id", "nations"), ("items", "part_key", "parts"), ("items", "purchase_id", "purchases"), ("items", "supplier_id", "suppliers"), ("nations", "regionId", "regions"), ("nations", "region_name", "regions"), ("purchases", "customerId", "customers"), ("suppliers", "nationid", "nations")}
+    found = foreign_keys.infer(c)[0].collect()
+    assert {(r["collection"], r["fields"][0], r["target"]) for r in found if len(r["fields"]) == 1} == true
+    a = analysis.analyze(c)
+    # collections with a label field are several entities, so what refers to one of them as a whole has no entity
+    whole = {m["collection"] for m in a.mapping["entities"].values() if m["style"] == "COLLECTION"}
+    want = {x for x in true if x[0] in whole and x[2] in whole}
+    keys = {(m["from_collection"], m["from_fields"][0], m["to_collection"]) for m in a.mapping["relationships"].values() if len(m["from_fields"]) == 1}
+    assert keys == want and ("items", "part_key", "parts") in want
+    status = a.extra["foreignKeys"]
+    assert (status["status"], status["candidates"], status["added"] + status["unmapped"]) == ("ok", 10, 10)
+    assert a.extra["quality"]["dangling"] == 0 and a.extra["quality"]["grounding"] == 1.0 and a.extra["detected"]["tenancy"]["style"] == "none"
+    m = a.physical(c)
+    relation = next(n for n, x in a.mapping["relationships"].items() if x["to_collection"] == "parts")
+    assert m.traverse(relation).count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert foreign_keys.infer(c, limit=2)[1]
+
+
+def test_empty_edges_single_types_and_equal_names(spark):
+    frame = lambda rows, s: (lambda: spark.createDataFrame(rows, s))
+    pair = "_key string, _id string"
+    c = Catalog(spark, [
+        Collection("crates", frame([("1", "crates/1")], pair)), Collection("crate", frame([("1", "crate/1")], pair)), Collection("depots", frame([("1", "depots/1")], pair)),
+        Collection("stored", frame([], "_from string, _to string"), "edge"), Collection("links", frame([("crates/1", "depots/1", "NEAR")], "_from string, _to string, type string"), "edge"),
+    ], [Graph("g", [("stored", ["crates"], ["depots"])])])
+    a = analysis.analyze(c)
+    assert set(a.mapping["entities"]) == {"Crate", "Crate_crates", "Depot"}
+    r = a.mapping["relationships"]
+    assert (r["STORED"]["from_entity"], r["STORED"]["to_entity"]) == ("Crate_crates", "Depot")
+    assert r["NEAR"]["style"] == "GENERIC_WITH_TYPE" and (r["NEAR"]["from_entity"], r["NEAR"]["to_entity"]) == ("Crate_crates", "Depot")
+
+
+def test_snapshot(spark, sf_dir, layouts):
+    c = layouts[True]
+    snap = snapshot.snapshot(c, samples=1)
+    again = snapshot.snapshot(c)
+    assert snapshot.fingerprint(snap) == snapshot.fingerprint(again) and snapshot.fingerprint(snap, True) != snapshot.fingerprint(again, True)
+    assert {x["name"]: x["count"] for x in snap["collections"]} == {"entities": 80, "relationships": 160}
+    assert dict(snap["collections"][0]["values"]["type"]) == {"Movie": 40, "Person": 40} and snap["collections"][1]["endpoints"] == [("entities", "entities")]
+    assert snapshot.fingerprint(snapshot.snapshot(layouts[False])) != snapshot.fingerprint(snap)
+    cut = snapshot.truncated(snap, 1)
+    assert cut["omitted"] == 1 and [set(x) == {"name", "type", "count"} for x in cut["collections"]] == [True, False]
+    assert service.run({"operation": "snapshot", "full": True}, spark, c)["fingerprint"] == snapshot.fingerprint(snap)
+
+
 def test_exports(layouts):
     a = analysis.analyze(layouts[False])
     assert ":ACTED_IN a owl:ObjectProperty" in exports.turtle(a) and "rdfs:domain :Person" in exports.turtle(a)
