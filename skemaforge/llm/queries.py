@@ -20,5 +20,6 @@ ORACLES = {
     "op3_line_dedup": line_dedup.SQL,
     "op4_decontamination": decontaminate.SQL,
     "op6_url_filter": url_filter.SQL,
+    "op7_jaccard_join": jaccard_join.SQL,
     "op10_block_knn": block_knn.SQL,
 }

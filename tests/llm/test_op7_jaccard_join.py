@@ -1,6 +1,7 @@
 import random
 
 import brute
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +19,13 @@ def test_query_matches_brute_force(spark, sf_dir):
     assert sum(i != c for i, (_, c) in want.items()) > 3
 
 
+def test_sql_matches_brute_force(sf_dir):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    rows = c.sql("SELECT doc_id, text FROM documents").fetchall()
+    assert {i: (n, k) for i, n, k in c.sql(f"SELECT doc_id, n_shingles, component_id FROM ({jaccard_join.SQL})").fetchall()} == brute.jaccard_components(rows, 4, 85)
+
+
 def family(rnd, n, words, edits, vocab):
     base = [rnd.choice(vocab) for _ in range(words)]
     for _ in range(n):
