@@ -37,8 +37,8 @@ def label_counts(spark, d):
     return star.entities(spark, d).groupBy("type").agg(F.count("*").alias("n"))
 
 
-MODEL = [("User", 3), ("Post", 2), ("Orphan", 0), ("Tag", 0)]
-LINKS = [("WROTE", "User", "Post"), ("TAGGED", "Post", "Tag"), ("LOST", "User", "Ghost")]
+MODEL = [("Truck", 4), ("Depot", 1), ("Spare", 0), ("Route", 0), ("Crate", 2)]
+LINKS = [("PARKS_AT", "Truck", "Depot"), ("SERVES", "Depot", "Route"), ("TOWS", "Truck", "Wagon")]
 
 
 @query(f"WITH {values('m', 'entity, properties', MODEL)}, {values('l', 'relation, from_entity, to_entity', LINKS)}, a AS (SELECT count(*) AS entities, count(*) FILTER (entity IN (SELECT from_entity FROM l UNION SELECT to_entity FROM l)) AS connected, count(*) FILTER (properties > 0) AS described FROM m), b AS (SELECT count(*) AS relationships, count(*) FILTER (from_entity NOT IN (SELECT entity FROM m) OR to_entity NOT IN (SELECT entity FROM m)) AS dangling FROM l) SELECT entities, connected, entities - connected AS orphans, relationships, dangling, round(connected / nullif(entities, 0), 4) AS connectivity, round((relationships - dangling) / nullif(relationships, 0), 4) AS consistency, round(described / nullif(entities, 0), 4) AS richness FROM a, b")
@@ -46,7 +46,7 @@ def structural_metrics(spark, d):
     return metrics.structural_metrics(spark.createDataFrame(MODEL, "entity string, properties int"), spark.createDataFrame(LINKS, "relation string, from_entity string, to_entity string"))
 
 
-MAPPING = [("Customer", "customer"), ("Ghost", "ghosts"), ("Part", "part"), ("Abstract", None)]
+MAPPING = [("Customer", "customer"), ("Wagon", "wagons"), ("Part", "part"), ("Idea", None), ("Order", "orders")]
 
 
 @query(f"WITH {values('m', 'name, collection', MAPPING)}, c AS (SELECT unnest(['customer', 'part', 'orders']) AS c) SELECT count(collection) AS mapped, count(c) AS grounded, round(count(c) / nullif(count(collection), 0), 4) AS ratio FROM m LEFT JOIN c ON m.collection = c.c")
@@ -108,10 +108,10 @@ def youden_threshold(spark, d):
     return metrics.youden(good, "confidence", "good").select("threshold", F.round("j", 6).alias("j"))
 
 
-@query("SELECT o_orderpriority AS series, count(o_totalprice) AS n, min(o_totalprice) AS least, max(o_totalprice) AS most, arg_max(o_totalprice, o_orderkey) AS latest FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority AS series, count(o_totalprice) AS n, min(o_totalprice) AS least, max(o_totalprice) AS most, arg_max(o_totalprice, o_orderkey) AS latest, round(avg(o_totalprice), 4) AS mean, round(arg_max(o_totalprice, o_orderkey) - arg_min(o_totalprice, o_orderkey), 4) AS delta FROM orders GROUP BY 1")
 def history_summary(spark, d):
     h = star.table(spark, d, "orders").select(F.col("o_orderpriority").alias("series"), "o_orderkey", "o_totalprice")
-    return metrics.history_summary(h, "series", "o_orderkey", "o_totalprice").select("series", "n", "least", "most", "latest")
+    return metrics.history_summary(h, "series", "o_orderkey", "o_totalprice").select("series", "n", "least", "most", "latest", F.round("mean", 4).alias("mean"), F.round("delta", 4).alias("delta"))
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 3")

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from .catalog import Catalog, Collection, Graph, union_all
 
 
+def collection_name(entity: str, plural: bool = False) -> str:
+    return f"{entity.lower()}s" if plural else entity
+
+
+def edge_name(relation: str) -> str:
+    return relation.lower()
+
+
 def _entity(spark: SparkSession, name: str, properties: list[str], scale: int, collection: str, typed: bool) -> DataFrame:
     rows = spark.range(scale)
     key = F.concat(F.lit(f"{name}-" if typed else ""), F.col("id").cast("string"))
@@ -21,8 +29,8 @@ def _relation(spark: SparkSession, r: dict, scale: int, seed: int, end, typed: b
     return out.withColumn("relation", F.lit(r["type"])) if typed else out
 
 
-def materialize(spark: SparkSession, model: dict, shared: bool, scale: int = 5, seed: int = 1) -> Catalog:
-    """model: entities (name, properties), relationships (type, from, to, properties)."""
+def materialize(spark: SparkSession, model: dict, shared: bool, scale: int = 5, seed: int = 1, plural: bool = False) -> Catalog:
+    """model: entities (name, properties), relationships (type, from, to, properties). ``plural`` names dedicated collections in small plurals."""
     entities, relations = model["entities"], model["relationships"]
     if shared:
         end = lambda n: f"entities/{n}-"
@@ -30,8 +38,9 @@ def materialize(spark: SparkSession, model: dict, shared: bool, scale: int = 5,
         edges = [Collection("relationships", lambda: union_all([_relation(spark, r, scale, seed, end, True) for r in relations]), "edge")]
         graphs = [Graph("g", [("relationships", ["entities"], ["entities"])])]
     else:
-        end = lambda n: f"{n}/"
-        docs = [Collection(e["name"], lambda e=e: _entity(spark, e["name"], e["properties"], scale, e["name"], False)) for e in entities]
-        edges = [Collection(r["type"].lower(), lambda r=r: _relation(spark, r, scale, seed, end, False), "edge") for r in relations]
-        graphs = [Graph("g", [(r["type"].lower(), [r["from"]], [r["to"]]) for r in relations])]
+        own = lambda n: collection_name(n, plural)
+        end = lambda n: f"{own(n)}/"
+        docs = [Collection(own(e["name"]), lambda e=e: _entity(spark, e["name"], e["properties"], scale, own(e["name"]), False)) for e in entities]
+        edges = [Collection(edge_name(r["type"]), lambda r=r: _relation(spark, r, scale, seed, end, False), "edge") for r in relations]
+        graphs = [Graph("g", [(edge_name(r["type"]), [own(r["from"])], [own(r["to"])]) for r in relations])]
     return Catalog(spark, docs + edges, graphs)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skemaforge.operators import foreign_keys, inference, metrics, profile, relational
-from skemaforge.plans import analysis, exports, service, snapshot
+from skemaforge.plans import analysis, evaluation, exports, service, snapshot
 from skemaforge.plans.mapping import PhysicalMapping
 from skemaforge.sources import generator, star, store
 from skemaforge.sources.catalog import Catalog, Collection, Graph, compatible, sample, type_category
@@ -121,6 +121,17 @@ def test_empty_edges_single_types_and_equal_names(spark):
     assert r["NEAR"]["style"] == "GENERIC_WITH_TYPE" and (r["NEAR"]["from_entity"], r["NEAR"]["to_entity"]) == ("Crate_crates", "Depot")
 
 
+def test_evaluation_run_and_gate(spark):
+    report = evaluation.run(spark, {"films": MODEL}, scale=40)
+    rows = {r["variant"]: r.asDict() for r in report.collect()}
+    assert set(rows) == {"collection_dedicated", "generic_generic"}
+    for r in rows.values():
+        assert all(r[k] == 1.0 for k in ("entity_f1", "relationship_f1", "domain_range_f1", "entity_mapping", "relationship_mapping"))
+    worse = report.withColumn("entity_f1", F.col("entity_f1") - 0.1)
+    assert {r["metric"] for r in evaluation.compared(report, worse).collect()} == {"entity_f1"} and evaluation.compared(report, report).isEmpty()
+    assert evaluation.overall(report).count() == 2
+
+
 def test_snapshot(spark, sf_dir, layouts):
     c = layouts[True]
     snap = snapshot.snapshot(c, samples=1)
