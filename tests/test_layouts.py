@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from skemaforge import __main__ as command
 from skemaforge.operators import foreign_keys, inference, metrics, profile, relational
 from skemaforge.plans import analysis, evaluation, exports, service, snapshot
 from skemaforge.plans.mapping import PhysicalMapping
@@ -162,6 +163,14 @@ def test_service(spark, sf_dir, layouts):
     assert service.run({"operation": "export", "target": "?"}, spark, layouts[False])["error"]["code"] == "INVALID_ARGUMENT"
 
 
+def test_command_line(spark, sf_dir, tmp_path, capsys):
+    assert command.main(["counts", "--path", sf_dir]) == 0
+    counts = {r["collection"]: r["rows"] for r in json.loads(capsys.readouterr().out)["result"]}
+    assert counts["region"] == 5 and len(counts) == 9
+    assert command.main(["export", "--path", sf_dir, "--graph", "none", "--target", "graph", "--out", str(tmp_path / "o.json")]) == 1
+    assert json.loads((tmp_path / "o.json").read_text())["error"]["code"] == "INVALID_ARGUMENT"
+
+
 def test_graphs_and_samples(spark, sf_dir):
     cat = star.catalog(spark, sf_dir)
     with pytest.raises(ValueError):
