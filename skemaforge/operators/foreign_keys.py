@@ -52,6 +52,14 @@ def votes(values: DataFrame, collections: DataFrame) -> DataFrame:
     return best.where("k = 1").join(known, "target", "left_semi").select("collection", "field", "target", (F.col("hits") / F.col("total")).alias("ratio"))
 
 
+def id_prefix_votes(values: DataFrame, field: str) -> DataFrame:
+    """prefix, hits, total, ratio: the most frequent collection of one field's id-shaped values, over all values."""
+    v = values.where(F.col(field).isNotNull())
+    hits = v.where(naming.is_id_shaped(F.col(field))).groupBy(naming.collection_of(F.col(field)).alias("prefix")).agg(F.count("*").alias("hits"))
+    top = hits.orderBy(F.col("hits").desc(), "prefix").limit(1)
+    return top.crossJoin(v.agg(F.count("*").alias("total"))).withColumn("ratio", F.col("hits") / F.col("total"))  # one row each
+
+
 def single_candidates(fields: DataFrame, id_votes: DataFrame, known: DataFrame | None = None, key: str = "_key") -> DataFrame:
     """FOUND columns of one-field candidates. fields: as ``shapes``; known: from_collection, to_collection that edges link already.
 

@@ -106,3 +106,24 @@ def foreign_keys_merged(spark, d):
     ranked, _ = foreign_keys.infer(star.relational(spark, d))
     out = foreign_keys.merged(ranked, spark.createDataFrame(ENTITIES, "entity string, style string, collection string"), spark.createDataFrame(TAKEN, "relation string"))
     return out.select("relation", "from_entity", "to_entity", "collection", F.array_join("fields", ",").alias("fields"), "target", F.array_join("target_fields", ",").alias("target_fields"), "method", "confidence")
+
+
+@query("WITH v AS (SELECT 'customer/' || o_custkey AS v FROM orders UNION ALL SELECT 'plain' FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'x/1'), h AS (SELECT split_part(v, '/', 1) AS prefix, count(*) AS hits FROM v WHERE regexp_matches(v, '^[A-Za-z0-9_\\-]+/[^/\\s]+$') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1) SELECT prefix, hits, (SELECT count(*) FROM v) AS total, hits / (SELECT count(*) FROM v) AS ratio FROM h")
+def id_prefix_votes(spark, d):
+    o = star.table(spark, d, "orders")
+    v = star.placed(spark, d).select(F.col("_from").alias("v")).union(o.where("o_orderstatus = 'F'").select(F.lit("plain"))).union(spark.createDataFrame([("x/1",)], "v string"))
+    return foreign_keys.id_prefix_votes(v, "v")
+
+
+#: collection, fields, target, target fields, confidence before; and what the probes measured.
+CANDIDATES = [("crates", "depot_id", "depots", "_key", 0.75), ("crates", "ownerid", "firms", "_key", 0.45), ("trips", "truckId", "trucks", "_key", 0.75), ("trips", "lane,lane_code", "lanes", "_key,code", 0.6), ("notes", "crate_id", "crates", "_key", 0.75), ("bills", "firm_id", "firms", "_key", 0.75)]
+RATIOS = [("crates", "depot_id", "depots", "_key", 0.97), ("crates", "ownerid", "firms", "_key", 0.3), ("trips", "truckId", "trucks", "_key", 0.0), ("trips", "lane", "lanes", "_key", 0.4), ("trips", "lane_code", "lanes", "code", 0.7), ("bills", "firm_id", "firms", "_key", None)]
+
+
+@query(f"""WITH {values('c', 'collection, fields, target, target_fields, confidence', CANDIDATES)}, {values('r', 'collection, field, target, target_field, ratio', RATIOS)},
+p AS (SELECT *, unnest(string_split(fields, ',')) AS field, unnest(string_split(target_fields, ',')) AS target_field FROM c), m AS (SELECT p.collection, fields, p.target, target_fields, confidence, avg(ratio) AS mean, min(ratio) AS least FROM p LEFT JOIN r ON r.collection = p.collection AND r.field = p.field AND r.target = p.target AND r.target_field = p.target_field GROUP BY ALL)
+SELECT collection, fields, target, round(least(confidence + CASE WHEN mean >= 0.9 THEN 0.15 WHEN mean >= 0.5 THEN 0.05 ELSE 0 END, 1), 3)::DOUBLE AS confidence FROM m WHERE least IS NULL OR least > 0""")
+def foreign_key_probe_fold(spark, d):
+    c = spark.createDataFrame(CANDIDATES, "collection string, fields string, target string, target_fields string, confidence double").withColumns({"fields": F.split("fields", ","), "target_fields": F.split("target_fields", ","), "method": F.lit("name_suffix")})
+    out = foreign_keys.with_probes(c, spark.createDataFrame(RATIOS, foreign_keys.PROBE))
+    return out.select("collection", F.array_join("fields", ",").alias("fields"), "target", "confidence")
