@@ -170,3 +170,27 @@ def merged(ranked: DataFrame, entities: DataFrame, taken: DataFrame) -> DataFram
     j = j.join(again, "via", "left").withColumn("mth", F.row_number().over(Window.partitionBy("via").orderBy("rank")) + F.coalesce("again", F.lit(0)))
     relation = F.when(F.col("via").isNull(), F.col("name")).when(F.col("mth") > 1, F.concat("via", F.lit("_"), F.col("mth").cast("string"))).otherwise(F.col("via"))
     return j.select(relation.alias("relation"), "from_entity", "to_entity", *FOUND, "rank")
+
+
+#: Fixed values of the search for specialisations by keys.
+KEY_CONTAINED, KEY_PROBES, KEY_SAMPLE = 0.99, 64, 200
+
+
+def key_containments(catalog: Catalog, names: list[str] | None = None, limit: int = KEY_PROBES, sampled: int | None = KEY_SAMPLE) -> tuple[DataFrame, bool]:
+    """child, parent, ratio of document collections whose keys are (nearly) all keys of another; and whether pairs beyond ``limit`` were left out. One job for all."""
+    names = sorted(names if names is not None else [c.name for c in catalog.user_collections() if c.kind == "document"])
+    asked = [(a, b) for a in names for b in names if a != b]
+    keys = lambda n: catalog.collections[n].df.select("_key")
+    parts = [relational.containment(keys(a), "_key", keys(b), "_key", sampled).select(F.lit(a).alias("child"), F.lit(b).alias("parent"), "ratio") for a, b in asked[:limit]]
+    found = union_all(parts) if parts else catalog.spark.createDataFrame([], "child string, parent string, ratio double")
+    return found.where(F.col("ratio") >= KEY_CONTAINED), len(asked) > limit
+
+
+def specialisations(catalog: Catalog, contained: DataFrame) -> DataFrame:
+    """parent, total, in_multiple, in_none for each parent of several children in ``contained`` (child, parent: metadata)."""
+    children: dict[str, list[str]] = {}
+    for r in contained.select("child", "parent").orderBy("child").collect():
+        children.setdefault(r["parent"], []).append(r["child"])
+    df = lambda n: catalog.collections[n].df
+    parts = [relational.specialisation_counts(df(p), [df(c) for c in own]).select(F.lit(p).alias("parent"), "total", "in_multiple", "in_none") for p, own in sorted(children.items()) if len(own) > 1]
+    return union_all(parts) if parts else catalog.spark.createDataFrame([], "parent string, total long, in_multiple long, in_none long")

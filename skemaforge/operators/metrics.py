@@ -58,6 +58,14 @@ def grounding(mapping: DataFrame, collections: DataFrame) -> DataFrame:
     return mapping.join(c, F.col("collection") == F.col("_c"), "left").agg(F.count("collection").alias("mapped"), F.count("_c").alias("grounded"), ratio(F.count("_c"), F.count("collection"), 4).alias("ratio"))
 
 
+def ungrounded(entities: DataFrame, mapping: DataFrame, collections: DataFrame) -> DataFrame:
+    """name, why: entities (entity) without a mapping (``unmapped``), and mapped names (name, collection) whose collection isn't there (``ungrounded``)."""
+    c = collections.select("collection").distinct()
+    lost = mapping.where("collection is not null").join(c, "collection", "left_anti").select("name", F.lit("ungrounded").alias("why"))
+    bare = entities.select(F.col("entity").alias("name")).join(mapping.where("collection is not null").select("name"), "name", "left_anti").select("name", F.lit("unmapped").alias("why"))
+    return lost.unionByName(bare)
+
+
 #: Weights of the health score.
 HEALTH_WEIGHTS = {"confidence": 0.40, "connectivity": 0.20, "consistency": 0.20, "grounding": 0.20, "gold": 0.20}
 

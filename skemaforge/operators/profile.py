@@ -88,13 +88,14 @@ def endpoints_by_relation(edges: DataFrame, relation: str) -> DataFrame:
 def endpoint_types(edges: DataFrame, vertices: DataFrame, relation: str, type_field: str) -> DataFrame:
     """relation, from_type, to_type, edges: both ends looked up in a shared collection; a dangling end has type null.
 
-    Only ids and types of the vertices are joined, after grouping nothing else; a skewed end is left to AQE.
+    Edges are counted before each join (by the near end and the far end's id, then by type and far end), so a hub brings a row a relation and
+    far end, or a type, not one an edge; only ids and types of the vertices are joined.
     """
     v = vertices.select("_id", F.col(type_field).alias("_type"))
     f, t = v.select(F.col("_id").alias("_f"), F.col("_type").alias("from_type")), v.select(F.col("_id").alias("_t"), F.col("_type").alias("to_type"))
-    e = edges.select("_from", "_to", F.col(relation).alias("relation"))
-    joined = e.join(f, e["_from"] == f["_f"], "left").join(t, e["_to"] == t["_t"], "left")
-    return joined.groupBy("relation", "from_type", "to_type").agg(F.count("*").alias("edges"))
+    e = edges.groupBy(F.col(relation).alias("relation"), "_from", "_to").agg(F.count("*").alias("n"))
+    near = e.join(f, e["_from"] == f["_f"], "left").groupBy("relation", "from_type", "_to").agg(F.sum("n").alias("n"))
+    return near.join(t, near["_to"] == t["_t"], "left").groupBy("relation", "from_type", "to_type").agg(F.sum("n").alias("edges"))
 
 
 def field_coverage(df: DataFrame, fields: list[str]) -> DataFrame:

@@ -127,3 +127,19 @@ def foreign_key_probe_fold(spark, d):
     c = spark.createDataFrame(CANDIDATES, "collection string, fields string, target string, target_fields string, confidence double").withColumns({"fields": F.split("fields", ","), "target_fields": F.split("target_fields", ","), "method": F.lit("name_suffix")})
     out = foreign_keys.with_probes(c, spark.createDataFrame(RATIOS, foreign_keys.PROBE))
     return out.select("collection", F.array_join("fields", ",").alias("fields"), "target", "confidence")
+
+
+KEYED = ["region", "nation", "supplier", "part", "customer"]
+_KEYS = "k AS (SELECT 'region' AS c, r_regionkey AS k FROM region UNION ALL SELECT 'nation', n_nationkey FROM nation UNION ALL SELECT 'supplier', s_suppkey FROM supplier UNION ALL SELECT 'part', p_partkey FROM part UNION ALL SELECT 'customer', c_custkey FROM customer)"
+_CONTAINED = f"{_KEYS}, n AS (SELECT c, count(*) AS n FROM k GROUP BY 1), h AS (SELECT a.c AS child, b.c AS parent, count(*) AS hits FROM k a JOIN k b ON a.k = b.k AND a.c <> b.c GROUP BY 1, 2), x AS (SELECT child, parent, hits / n AS ratio FROM h JOIN n ON c = child WHERE hits / n >= 0.99)"
+
+
+@query(f"WITH {_CONTAINED} SELECT child, parent, ratio FROM x")
+def key_containments(spark, d):
+    return foreign_keys.key_containments(star.catalog(spark, d), KEYED, sampled=None)[0]
+
+
+@query(f"WITH {_CONTAINED}, many AS (SELECT parent FROM x GROUP BY 1 HAVING count(*) > 1), p AS (SELECT k.c AS parent, k.k, (SELECT count(*) FROM x JOIN k j ON j.c = x.child AND j.k = k.k WHERE x.parent = k.c) AS m FROM k JOIN many ON k.c = many.parent) SELECT parent, count(*) AS total, count(*) FILTER (m > 1) AS in_multiple, count(*) FILTER (m = 0) AS in_none FROM p GROUP BY 1")
+def key_specialisations(spark, d):
+    c = star.catalog(spark, d)
+    return foreign_keys.specialisations(c, foreign_keys.key_containments(c, KEYED, sampled=None)[0])

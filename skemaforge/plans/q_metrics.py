@@ -54,6 +54,15 @@ def grounding(spark, d):
     return metrics.grounding(spark.createDataFrame(MAPPING, "name string, collection string"), spark.createDataFrame([("customer",), ("part",), ("orders",)], "collection string"))
 
 
+NAMED = [("Customer",), ("Part",), ("Wagon",), ("Idea",), ("Spare",)]
+
+
+@query(f"WITH {values('m', 'name, collection', MAPPING)}, {values('e', 'name', NAMED)}, c AS (SELECT unnest(['customer', 'part', 'orders']) AS c) SELECT name, 'ungrounded' AS why FROM m WHERE collection IS NOT NULL AND collection NOT IN (SELECT c FROM c) UNION ALL SELECT name, 'unmapped' FROM e WHERE name NOT IN (SELECT name FROM m WHERE collection IS NOT NULL)")
+def ungrounded_names(spark, d):
+    e = spark.createDataFrame(NAMED, "entity string")
+    return metrics.ungrounded(e, spark.createDataFrame(MAPPING, "name string, collection string"), spark.createDataFrame([("customer",), ("part",), ("orders",)], "collection string"))
+
+
 HEALTH = [("a", 0.5, 1.0, 0.75, None), ("b", 0.9, None, None, None), ("c", None, 0.25, 0.5, 1.0), ("d", None, None, None, None)]
 
 
