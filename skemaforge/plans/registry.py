@@ -34,4 +34,4 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
     return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + ")"
 
 
-from . import q_detectors, q_evaluation, q_foreign_keys, q_joins, q_metrics, q_profile, q_snapshot, q_sources  # noqa: E402, F401
+from . import q_detectors, q_evaluation, q_foreign_keys, q_joins, q_metrics, q_profile, q_snapshot, q_sources, q_structure  # noqa: E402, F401

@@ -16,7 +16,7 @@ from .analysis import candidate_fields
 
 
 def now_iso() -> str:
-    return datetime.now(timezone.utc).isoformat(timespec="seconds")
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def value_table(catalog: Catalog) -> DataFrame:
