@@ -5,6 +5,8 @@ Inputs are metadata tables (a row a field); the only work on rows is one contain
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,12 +146,12 @@ def accepted(candidates: DataFrame) -> DataFrame:
     return candidates.where(F.col("confidence") >= MIN_CONFIDENCE).withColumn("rank", F.row_number().over(order))
 
 
-def infer(catalog: Catalog, known: DataFrame | None = None, limit: int = PROBES, sampled: int | None = PROBED_VALUES) -> tuple[DataFrame, bool]:
-    """Ranked candidates of a catalog after their probes, and whether the probes' budget ran out."""
+def infer(catalog: Catalog, known: DataFrame | None = None, limit: int = PROBES, sampled: int | None = PROBED_VALUES, probe: Callable[..., tuple[DataFrame, bool]] = probes) -> tuple[DataFrame, bool]:
+    """Ranked candidates of a catalog after their probes, and whether the probes' budget ran out. ``probe`` may be another function like ``probes``."""
     single = single_candidates(shapes(catalog), id_shape_votes(catalog), known)
     both = single.unionByName(composites(single))
     both = catalog.spark.createDataFrame(both.collect(), both.schema)  # metadata: a few rows a field
-    probed, short = probes(catalog, both, limit, sampled)
+    probed, short = probe(catalog, both, limit, sampled)
     return accepted(with_probes(both, probed)), short
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skemaforge.functions import naming
-from skemaforge.operators import foreign_keys, inference, metrics, profile
+from skemaforge.operators import foreign_keys, inference, metrics, profile, structure
 from skemaforge.sources.catalog import SYSTEM_FIELDS, Catalog, Collection, type_category, union_all
 
 from .mapping import PhysicalMapping
@@ -104,6 +104,8 @@ def analyze(catalog: Catalog, graph: str | None = None, foreign: bool = True) ->
     }
     extra["detected"] = _detected(catalog, collections, entities)
     extra["quality"] = _quality(spark, conceptual, entities, catalog)
+    styles = [(m["style"],) for part in (entities, relationships) for m in part.values()]
+    extra["patterns"] = sorted(r["pattern"] for r in structure.detected_patterns(spark.createDataFrame(styles, "style string")).collect())
     counts.unpersist()
     return Analysis(conceptual, {"entities": entities, "relationships": relationships}, statistics, shape_of(catalog), {r["collection"]: r["rows"] for r in totals.collect()}, extra)
 
@@ -200,7 +202,8 @@ def _detected(catalog: Catalog, collections: list[Collection], entities: dict) -
     spark, kinds = catalog.spark, {c.name: c.kind for c in collections}
     fields = [(c.name, c.kind, f) for c in collections for f in c.df.columns]
     named = spark.createDataFrame(fields, "collection string, kind string, field string")
-    indexes = spark.createDataFrame([(c.name, i.get("type", ""), list(i.get("fields", []))) for c in collections for i in c.indexes], "collection string, type string, fields array<string>")
+    indexes = spark.createDataFrame([(c.name, k, i.get("type", ""), list(i.get("fields", [])), bool(i.get("unique"))) for c in collections for k, i in enumerate(c.indexes)], "collection string, place int, type string, fields array<string>, unique boolean")
+    vectors = structure.vector_indexes(indexes)
     roles = inference.retrieval_roles(named)
     listed = spark.createDataFrame([(c.name, list((getattr(c, "properties", None) or {}).get("shard_keys", []))) for c in collections], "collection string, shard_keys array<string>")
     style = spark.createDataFrame([(str(catalog.properties.get("sharding_style", "Sharded")),)], "style string")
@@ -210,6 +213,8 @@ def _detected(catalog: Catalog, collections: list[Collection], entities: dict) -
         "families": rows(inference.shard_families(named.where("kind = 'document'"))),
         "triples": rows(inference.triple_collections(named)),
         "retrieval": rows(roles) if len({r["role"] for r in roles.collect()}) >= 2 else [],
+        "retrievalConfidence": structure.retrieval_confidence(roles, vectors).first()["confidence"],
+        "indexed": rows(structure.index_flags(indexes)),
         "vertexCentric": rows(inference.vertex_centric(indexes)),
         "membership": rows(inference.graph_membership(catalog.graph_table(), spark.createDataFrame([(n,) for n in kinds], "collection string"))),
         "tenancy": inference.tenancy_verdict(listed, named, style, str(catalog.properties.get("name", ""))).first().asDict(),

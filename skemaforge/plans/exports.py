@@ -5,6 +5,10 @@ from __future__ import annotations
 import json
 import re
 
+from pyspark.sql import DataFrame, SparkSession
+
+from skemaforge.operators import structure
+
 from .analysis import Analysis
 
 BASE = "http://example.org/schema#"
@@ -55,6 +59,33 @@ def from_interchange(doc: dict) -> Analysis:
     return Analysis(doc["conceptualModel"], doc["physicalMapping"], [], doc.get("provenance", {}).get("shape", ""), {})
 
 
+def parts(spark: SparkSession, a: Analysis) -> DataFrame:
+    """kind, name, definition, style of a model's entities and relationships."""
+    rows = [("entity", e["name"], ",".join(sorted(e["properties"])), a.mapping["entities"].get(e["name"], {}).get("style")) for e in a.conceptual["entities"]]
+    rows += [("relationship", r["type"], f'{r["fromEntity"]}>{r["toEntity"]}', a.mapping["relationships"].get(r["type"], {}).get("style")) for r in a.conceptual["relationships"]]
+    return spark.createDataFrame(rows, "kind string, name string, definition string, style string")
+
+
+def diff(spark: SparkSession, before: Analysis, after: Analysis) -> dict:
+    """What two analyses differ in, in fixed order, and the change of their health."""
+    rows = sorted((r["kind"], r["name"], r["change"]) for r in structure.model_changes(parts(spark, before), parts(spark, after)).collect())
+    out = {kind: {c: [n for k, n, x in rows if (k, x) == (kind, c)] for c in ("added", "removed", "changed", "restyled")} for kind in ("entity", "relationship")}
+    old, new = (x.extra.get("quality", {}).get("health") for x in (before, after))
+    return {"differs": bool(rows), **out, "health": {"before": old, "after": new, "delta": None if old is None or new is None else new - old}}
+
+
+def issues(spark: SparkSession, doc: dict) -> list[str]:
+    """What is wrong with an interchange document: missing parts, ends without an entity, names. Empty for a valid one."""
+    model = doc.get("conceptualModel") or {}
+    entities, relations = model.get("entities") or [], model.get("relationships") or []
+    out = [f"{k} is missing" for k in ("version", "conceptualModel", "physicalMapping") if k not in doc]
+    known = {e["name"] for e in entities} | {"Any"}
+    out += [f"{r['type']}: no entity {r[end]}" for r in relations for end in ("fromEntity", "toEntity") if r[end] not in known]
+    names = [("entity", e["name"]) for e in entities] + [("property", p) for e in entities for p in e.get("properties", [])] + [("relationship", r["type"]) for r in relations]
+    found = structure.naming_issues(spark.createDataFrame(names, "kind string, name string").distinct()).collect()
+    return out + sorted(f"{r['kind']} {r['name']}: {r['proposed']}" for r in found)
+
+
 def markdown(a: Analysis) -> str:
     lines = ["# Schema", "", "## Entities", "", "| entity | style | collection | properties |", "|-|-|-|-|"]
     for e in a.conceptual["entities"]:

@@ -58,3 +58,11 @@ def read_domains(spark: SparkSession, folder: str) -> DataFrame:
 
     packs = spark.read.option("multiLine", True).json(folder)
     return packs.select("domain", F.explode("entities").alias("e")).select("domain", F.col("e.name").alias("entity"), F.col("e.properties").alias("properties"))
+
+
+def read_domain_relationships(spark: SparkSession, folder: str) -> DataFrame:
+    """domain, relation, from_entity, to_entity of the gold models in ``folder``."""
+    from pyspark.sql import functions as F
+
+    packs = spark.read.option("multiLine", True).json(folder)
+    return packs.select("domain", F.explode("relationships").alias("r")).select("domain", F.col("r.type").alias("relation"), F.col("r.from").alias("from_entity"), F.col("r.to").alias("to_entity"))

@@ -155,6 +155,28 @@ def test_exports(layouts):
     assert set(exports.graph_bundle(a)["types"]) == {"ACTED_IN", "DIRECTED"} and json.loads(a.to_json())["counts"]["person" if "person" in a.counts else "Person"] == 40
 
 
+def test_differences_and_issues(spark, layouts):
+    a, b = (analysis.analyze(layouts[x], foreign=False) for x in (False, True))
+    found = exports.diff(spark, a, b)
+    assert found["differs"] and not exports.diff(spark, a, a)["differs"]
+    assert found["relationship"] == {"added": [], "removed": [], "changed": [], "restyled": ["ACTED_IN", "DIRECTED"]}
+    assert (found["entity"]["added"], found["entity"]["removed"]) == ([], [])
+    assert "PG_DEDICATED_EDGE" in a.extra["patterns"] and "LPG_GENERIC_EDGE" in b.extra["patterns"]
+    assert exports.issues(spark, exports.interchange(a)) == ["relationship ACTED_IN: actedIn", "relationship DIRECTED: directed"]
+    assert exports.issues(spark, {"version": "1"})[:2] == ["conceptualModel is missing", "physicalMapping is missing"]
+
+
+def test_probes_of_ones_own(spark, sf_dir):
+    never = lambda catalog, candidates, limit, sampled: (spark.createDataFrame([], foreign_keys.PROBE), True)
+    ranked, short = foreign_keys.infer(star.relational(spark, sf_dir), probe=never)
+    assert short and ("parts", ["region_id"]) in [(r["collection"], r["fields"]) for r in ranked.collect()]
+
+
+def test_domain_relationships(spark, tmp_path):
+    (tmp_path / "one.json").write_text(json.dumps({"domain": "film", **MODEL}))
+    assert [tuple(r) for r in store.read_domain_relationships(spark, str(tmp_path)).orderBy("relation").collect()] == [("film", "ACTED_IN", "Person", "Movie"), ("film", "DIRECTED", "Person", "Movie")]
+
+
 def test_service(spark, sf_dir, layouts):
     assert len(service.run({"operation": "snapshot", "path": sf_dir}, spark)["result"]) == 9
     assert service.run({"operation": "export", "target": "graph"}, spark, layouts[False])["ok"]
