@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_knn, decontaminate, jaccard_join, katz, language_id, line_dedup, packing, pseudonyms, token_ids, url_filter
+from . import block_knn, decontaminate, jaccard_join, katz, language_id, line_dedup, packing, pseudonyms, sentence_pieces, token_ids, url_filter
 
 QUERIES = {
     "op1_katz": katz.op1_katz,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_language_id": language_id.op9_language_id,
     "op10_block_knn": block_knn.op10_block_knn,
+    "op11_sentence_pieces": sentence_pieces.op11_sentence_pieces,
 }
 ORACLES = {
     "op3_line_dedup": line_dedup.SQL,
