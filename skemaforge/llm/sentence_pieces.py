@@ -2,8 +2,8 @@
 
 A text is normalised by the model's own rules: at each place the longest key of the compiled character map is replaced, and every
 byte of the result keeps the place in the original where it came from. White space becomes U+2581, in front as well where the
-model says so. The result is cut where a mark follows another character, which no piece of the model spans, so that a text's ids
-are those of its cuts; the library merges each distinct cut once. A piece's bytes, followed back, are its span.
+model says so. The result is cut between characters that no piece of the model has side by side, so that a text's ids are those
+of its cuts; the library merges each distinct cut once. A piece's bytes, followed back, are its span.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from .common import text_bytes
 #: Bytes of text that are encoded at a time (a longer text is encoded in parts where its model allows it).
 STEP = 1 << 20
 #: Distinct cuts that a task keeps before it learns afresh.
-KEPT = 150_000
+KEPT = 400_000
 MARK = "▁".encode()
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6  # kinds of pieces in a model file
 SCHEMA = "doc_id long, ids array<int>, begins array<int>, ends array<int>"
@@ -100,8 +101,17 @@ class PieceEncoder:
         texts = [p.piece.encode() for p in model.pieces]
         self.sizes = np.array([1 if k == BYTE else len(t) for k, t in zip(kinds.tolist(), texts)], np.int32)
         self.is_byte, self.unknown = kinds == BYTE, int(np.flatnonzero(kinds == UNKNOWN)[0])
-        # cuts are sound if no piece has a mark behind another character, and if a mark is a piece of its own
-        self.cuts = all(MARK not in t.lstrip(MARK) for t, k in zip(texts, kinds.tolist()) if k in (NORMAL, UNUSED)) and MARK in texts
+        merged = [t for t, k in zip(texts, kinds.tolist()) if k in (NORMAL, UNUSED)]
+        # pairs of bytes at which two characters meet in a piece: no merge spans any other pair
+        # (without byte pieces unknown characters side by side are one piece, so then only marks cut)
+        self.met = np.full(1 << 16, not model.trainer_spec.byte_fallback)
+        for t in merged:
+            for x, y in zip(t, t[1:]):
+                if y & 0xC0 != 0x80:
+                    self.met[x << 8 | y] = True
+        self.by_mark = all(MARK not in t.lstrip(MARK) for t in merged)  # and none spans a character and a mark behind it
+        table = self.met.reshape(256, 256)
+        self.apart = MARK in texts and not table[10].any() and not table[:, 10].any()  # nothing merges with a line end
         rules.Clear()
         rules.name, rules.add_dummy_prefix, rules.remove_extra_whitespaces, rules.escape_whitespaces = "identity", False, False, True
         self.merger = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
@@ -131,7 +141,7 @@ class PieceEncoder:
         front = starts[full] if self.prefix and first else starts[:0]
         copies[front] += 3
         sums = np.concatenate(([0], np.cumsum(copies)))
-        out, back = np.repeat(data, copies), np.repeat(np.arange(len(data)), copies)
+        out, back = np.repeat(data, copies), np.repeat(np.arange(len(data), dtype=np.int32), copies)
         marks = np.concatenate((sums[front], sums[space + 1] - 3))
         for k in range(3):
             out[marks + k] = MARK[k]
@@ -171,9 +181,18 @@ class PieceEncoder:
         """Ids (32-bit, little-endian) of each cut."""
         if len(self.kept) + len(cuts) > KEPT:
             self.forget()
-        if new := [c for c in cuts if c not in self.kept]:
-            for c, ids in zip(new, self.merger.encode([c.decode() for c in new], return_type="numpy", num_threads=1)):
-                self.kept[c] = ids.astype("<i4").tobytes()
+        new = [c for c in cuts if c not in self.kept]
+        if new and self.apart:  # one call for all of them, with line ends between
+            ids = self.merger.encode(b"\n".join(new).decode(), return_type="numpy")
+            at, size = np.cumsum(self.sizes[ids]), np.array([len(c) for c in new])
+            last = np.cumsum(size + 1) - 1
+            if not (ids == self.unknown).any():
+                blob = ids.astype("<i4").tobytes()
+                first, last = (4 * np.searchsorted(at, last - size, "right")).tolist(), (4 * np.searchsorted(at, last) + 4).tolist()
+                self.kept.update((c, blob[i:j]) for c, i, j in zip(new, first, last))
+                new = []
+        for c in new:
+            self.kept[c] = self.merger.encode(c.decode(), return_type="numpy").astype("<i4").tobytes()
         return [self.kept[c] for c in cuts]
 
     def _sizes(self, cut: bytes) -> list[int]:
@@ -187,7 +206,8 @@ class PieceEncoder:
             return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(ends), np.int64)
         starts = np.zeros(len(text), bool)
         starts[np.concatenate(([0], stops[:-1]))[np.diff(stops, prepend=0) > 0]] = True
-        if self.cuts and len(text) >= 3:
+        starts[1:] |= ~self.met[text[:-1].astype(np.uint16) << 8 | text[1:]] & (text[1:] & 0xC0 != 0x80)
+        if self.by_mark and len(text) >= 3:
             mark = np.zeros(len(text), bool)
             mark[:-2] = (text[:-2] == MARK[0]) & (text[1:-1] == MARK[1]) & (text[2:] == MARK[2])
             follows = np.zeros(len(text), bool)
@@ -243,7 +263,7 @@ class PieceEncoder:
     def _parts(self, data: np.ndarray) -> Iterator[tuple[int, int]]:
         """A long text's parts: they end where a space follows another character, which is a cut whatever stands around."""
         i = 0
-        if self.cuts and self.charmap is None and not self.squeeze:
+        if self.by_mark and self.charmap is None and not self.squeeze:
             while len(data) - i > STEP:
                 near = data[i + STEP - 1 : i + 3 * STEP]
                 places = np.flatnonzero((near[1:] == 32) & (near[:-1] > 32) & (near[:-1] < 128))
@@ -283,7 +303,8 @@ def _texts(path: str) -> Callable:
     def decode(batches):
         own = _encoder(path).library
         for b in batches:
-            texts = [None if ids is None else own.decode(ids) for ids in b.column("ids").to_pylist()]
+            ids, at = b.column("ids").flatten().to_numpy(), np.cumsum([0, *pc.fill_null(pc.list_value_length(b.column("ids")), 0).to_pylist()]).tolist()
+            texts = [own.decode(ids[i:j].tolist()) if known else None for known, i, j in zip(b.column("ids").is_valid().to_pylist(), at, at[1:])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
 
     return decode
@@ -317,7 +338,7 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches):
         for b in texts(pieces(batches)):
             at = b.column("ids").offsets.to_numpy()
-            ids = b.column("ids").values.to_pylist()
+            ids = b.column("ids").values.to_numpy().tolist()
             spans = np.stack((b.column("begins").values.to_numpy(), b.column("ends").values.to_numpy()), 1).astype("<u4").tobytes()
             bounds = list(zip(at[:-1].tolist(), at[1:].tolist()))
             sha = [hashlib.sha256(",".join(map(str, ids[i:j])).encode()).hexdigest() for i, j in bounds]
