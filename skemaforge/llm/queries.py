@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_knn, decontaminate, jaccard_join, katz, language_id, line_dedup, packing, pseudonyms, sentence_pieces, token_ids, url_filter
+from . import block_knn, conversation_trie, decontaminate, jaccard_join, katz, language_id, line_dedup, packing, pseudonyms, sentence_pieces, spelling_variants, token_ids, url_filter
 
 QUERIES = {
     "op1_katz": katz.op1_katz,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_block_knn": block_knn.op10_block_knn,
     "op11_sentence_pieces": sentence_pieces.op11_sentence_pieces,
+    "op12_spelling_variants": spelling_variants.op12_spelling_variants,
+    "op13_conversation_trie": conversation_trie.op13_conversation_trie,
 }
 ORACLES = {
     "op3_line_dedup": line_dedup.SQL,
@@ -23,4 +25,6 @@ ORACLES = {
     "op6_url_filter": url_filter.SQL,
     "op7_jaccard_join": jaccard_join.SQL,
     "op10_block_knn": block_knn.SQL,
+    "op12_spelling_variants": spelling_variants.SQL,
+    "op13_conversation_trie": conversation_trie.SQL,
 }
