@@ -64,6 +64,16 @@ def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def numbered_names(df: DataFrame) -> DataFrame:
+    """``df`` with plain names: Python functions can't be given columns whose names have dots or backticks."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)
@@ -104,7 +114,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of spans of bytes in ascending order that don't overlap.
 
     A span's hash is a polynomial in its bytes modulo 2**64, from differences of prefix sums, then mixed with its length, so
-    it doesn't depend on where the span stands. Vectorised: no step per span.
+    it doesn't depend on where the span stands. Vectorised: no step per span. Equal hashes can be constructed: confirm on bytes.
     """
     out = np.empty(len(starts), np.uint64)
     up, down = _powers()
@@ -129,13 +139,27 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+#: Seed of the words' hashes.
+WORD_SEED = 0x5DEECE66D1CE4E5B
+
+
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start bytes of the words ``[^\\x20\\x09-\\x0D]+`` in UTF-8 bytes, A-Z folded. The caller puts white space between texts."""
+    """Hashes and start bytes of the words ``[^\\x20\\x09-\\x0D]+`` in UTF-8 bytes, A-Z folded. The caller puts white space between texts.
+
+    Distinct words are found on their bytes, and each is hashed once (xxh3, 64 bits, seeded).
+    """
+    import pyarrow as pa
+    from xxhash import xxh3_64_intdigest
+
     if not len(data):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    edge = np.diff(np.concatenate(([True], _SPACE[data], [True])).view(np.int8))
+    space = _SPACE[data]
+    edge = np.diff(np.concatenate(([True], space, [True])).view(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    return span_hashes(_FOLD[data], starts, ends), starts
+    at = np.concatenate(([0], np.cumsum(ends - starts)))
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(_FOLD[data[~space]])]).dictionary_encode()
+    hashes = np.fromiter((xxh3_64_intdigest(w, WORD_SEED) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return hashes[coded.indices.to_numpy()], starts
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:

@@ -105,3 +105,16 @@ def test_discounts():
     tail = 6 * 5 / 100
     assert d[1:] == pytest.approx([((k + 1) * n[k + 1] / (k * n[k]) - tail) / (1 - tail) for k in r])
     assert katz.discounts(np.zeros(7, np.int64))[1:] == pytest.approx((r - 0.5) / r)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_of_equal_polynomials_stay_apart(spark):
+    word = thue_morse(2048)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other)]
+    df = spark.createDataFrame([(i, t, i == 2) for i, t in rows], "doc_id long, text string, held_out boolean")
+    got = {r.doc_id: r for r in katz.score_texts(df, F.col("held_out")).collect()}
+    assert got[1].n_known == 2 and got[2].n_known == 1

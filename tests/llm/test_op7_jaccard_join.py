@@ -86,3 +86,9 @@ def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 90), (90, 95)], "a long, b long")
     found = {r.doc: r.comp for r in jaccard_join.components(links).collect()}
     assert found == {**{i: 1 for i in range(1, 61)}, 100: 90, 90: 90, 95: 90}
+
+
+def test_words_of_equal_polynomials_stay_apart(spark):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    df = spark.createDataFrame([(1, word), (2, word.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert got(jaccard_join.join_components(df, size=4, percent=85)) == {1: (1, 1), 2: (1, 2)}
