@@ -10,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged, unused
+from .common import drop_staged, named, staged, unused
 
 #: A template often serves one section of a site only, so a line on few in a hundred pages of a large host is boilerplate already;
 #: that unrelated pages share an own sentence that often isn't chance. One in a hundred leaves a margin to both.
 RATIO = 0.01
-#: Under 300 pages this floor decides. Two pages with a line in common may be one page and its copy, and a lower floor would take
-#: every line from both; the third page makes a template the likelier reason. So a host of one or two pages loses nothing.
-MIN_PAGES = 3
+#: A line must be shared at all. Two pages with a line in common may be one page and its copy: 3 asks for a third page first.
+MIN_PAGES = 2
 #: Flagged digests (16 bytes each) up to which they are broadcast: 8 MB; beyond, a join by page.
 BROADCAST_LINES = 500_000
 
@@ -37,8 +36,8 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     the host count, also those with a null text. A null text stays null; a text of boilerplate alone becomes empty; a null host is
     a host of its own. Repeated rows count each. Empty tables give empty results.
     """
-    lines = F.split(F.col(text), "\n")
-    h = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit(""))
+    lines = F.split(named(text), "\n")
+    h = F.coalesce(F.concat(F.lit("h"), named(host).cast("string")), F.lit(""))
     digests = F.array_distinct(F.transform(F.filter(lines, lambda x: _trimmed(x) != ""), lambda x: _digest(_trimmed(x))))
     # the empty digest stands for the page itself, so one aggregation counts lines and pages
     seen = pages.select(h.alias("host"), F.explode(F.concat(F.array(F.unhex(F.lit(""))), F.coalesce(digests, F.array().cast("array<binary>")))).alias("line"))
@@ -53,8 +52,8 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     own_host, row, gone = unused(pages, "own_host", "own_row", "gone_lines")
     dropped = F.col(gone)
     kept = F.array_join(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(dropped, _digest(_trimmed(x))), F.lit(False))), "\n")
-    clean = F.when(dropped.isNull(), F.col(text)).otherwise(kept).alias(text)
-    out = [clean if c == text else F.col(c) for c in pages.columns]
+    clean = F.when(dropped.isNull(), named(text)).otherwise(kept).alias(text)
+    out = [clean if c == text else named(c) for c in pages.columns]
     if flagged.count() <= broadcast_lines:
         listed = flagged.groupBy(F.col("host").alias(own_host)).agg(F.collect_list("line").alias(gone))
         return pages.withColumn(own_host, h).join(F.broadcast(listed), own_host, "left").select(*out)
