@@ -5,15 +5,16 @@ equal value gets an equal pseudonym in every document, two values of one format
 can undo it (``undo=True``). Text around the values stays as it is. A card, phone or IBAN is its digits and letters: the spaces
 and dashes in which they are grouped stay and don't matter.
 
-- e-mail: the letters and digits of the local part, whatever their case, which stays; the domain stays
-- phone in international form: the digits after the country code, however they are grouped
+- e-mail: the letters (Latin with accents and Cyrillic ones too; of other scripts they stay) and digits of the local part, whatever
+  their case, which stays; the domain stays
+- phone in international form: the digits after the country code, however they are grouped; a trunk zero in brackets stays
 - IBAN under right check digits (mod 97): its account part, with new check digits
 - payment card: 13 to 19 digits under a right Luhn sum, also within a longer run of digit groups (beside an expiry date, a check
   value or another number); the pseudonym's sum is right too
 - IPv4: four octets to 255, as one 32-bit number
 - date (year first with ``-``, ``/`` or ``.``; or year last with ``/`` or ``.``): real days of the years 1800 to 2199, permuted among
   those 146,097 days
-- access keys (``AKIA`` and 16 characters) and hexadecimal secrets of 32 characters or more in an assignment
+- access keys (``AKIA`` and 16 characters); hexadecimal secrets of 32 characters or more and keys that begin with ``sk-`` in an assignment
 """
 
 from __future__ import annotations
@@ -21,21 +22,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import unused
+from .common import named, unused
 
 KEY = "replace this key"
 ROUNDS = 8
 
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
+EMAIL = r"(?<![\p{L}\p{M}0-9._%+\-])[\p{L}\p{M}0-9._%+\-]{1,64}@[\p{L}0-9\-]+(?:\.[\p{L}0-9\-]+)*\.\p{L}{2,24}(?![\p{L}0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ \-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ \-]?[0-9]{2,4}){2,3}(?![0-9])"
+PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .\-]?(?:\(0\)[ .\-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .\-]?[0-9]{2,4}){2,3}(?![0-9])"
 DATE = r"(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{4}\.[0-9]{2}\.[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z])"
 #: A run of digit groups with 13 digits or more, up to where another kind begins; possessive, so a long run takes no stack.
 CARD = rf"(?<![0-9A-Za-z])(?=[0-9](?:[ \-]?[0-9]){{12}})[0-9]{{1,19}}+(?![0-9A-Za-z])(?:[ \-](?!{EMAIL}|{IPV4}|(?=(?:1[89]|2[01])[0-9]{{2}}|[0-9]{{2}}[/.]){DATE})[0-9]{{1,19}}+(?![0-9A-Za-z]))*+"
 #: How cards are usually written; such a part of a run goes before others.
 USUAL = r"^(?=[346]|2[2-7]|5[0-8])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{4,5})$"
 ACCESS = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
-SECRET = r"(?<=(?:[Tt]oken|[Ss]ecret|[Kk]ey|[Pp]assword) ?[=:] ?[\"'])[0-9a-f]{32,128}(?=[\"'])"
+SECRET = r"(?<=(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Kk]ey|KEY|[Pp]assword|PASSWORD)[\"']? ?[=:] ?[\"']?)(?:[0-9a-f]{32,128}|sk-[A-Za-z0-9]{16,128})(?![0-9A-Za-z])"
 #: Countries with IBANs; country calling codes of one and two digits (all others have three).
 IBAN_COUNTRIES = "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SD SE SI SK SM ST SV TL TN TR UA VA VG XK".split()
 ONE_DIGIT_CODES = "1 7".split()
@@ -62,10 +63,17 @@ def _number(digest: Column, at, digits: int = 8) -> Column:
     return F.conv(F.substr(digest, at, F.lit(digits)), 16, 10).cast("long")
 
 
+#: Further classes of lower-case letters, each permuted within itself.
+ALPHABETS = ("àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "абвгдежзийклмнопрстуфхцчшщъыьэюя")
+
+
 def _shifted(c: Column, by: Column, letters: int) -> Column:
-    """The character moved within its class: digits, a-z (or its first ``letters``), A-Z; any other stays."""
+    """The character moved within its class: digits, a-z (or its first ``letters``), A-Z, one of ``ALPHABETS``; any other stays."""
     turn = lambda base, size: F.char(F.pmod(F.ascii(c) - base + by, F.lit(size)) + base)
-    return F.when(c.between("0", "9"), turn(48, 10)).when(c.between("a", "z"), turn(97, letters)).when(c.between("A", "Z"), turn(65, 26)).otherwise(c)
+    out = F.when(c.between("0", "9"), turn(48, 10)).when(c.between("a", "z"), turn(97, letters)).when(c.between("A", "Z"), turn(65, 26))
+    for a in ALPHABETS:
+        out = out.when(F.lit(a).contains(c), F.substr(F.lit(a), F.pmod(F.instr(F.lit(a), c) - 1 + by, F.lit(len(a))).cast("int") + 1, F.lit(1)))
+    return out.otherwise(c)
 
 
 def _rounds(undo: bool) -> Column:
@@ -126,7 +134,7 @@ def refilled(shape: Column, signs: Column, letters: bool = False) -> Column:
 
 def _email(m: Column, key: str, undo: bool) -> Column:
     local = F.substring_index(m, "@", 1)
-    recased = lambda new: F.array_join(F.zip_with(F.split(local, ""), F.split(new, ""), lambda c, d: F.when(c.between("A", "Z"), F.upper(d)).otherwise(d)), "")
+    recased = lambda new: F.array_join(F.zip_with(F.split(local, ""), F.split(new, ""), lambda c, d: F.when(c != F.lower(c), F.upper(d)).otherwise(d)), "")
     return F.concat(_let(permuted_text(F.lower(local), "email", key, undo=undo), recased), F.lit("@"), F.substring_index(m, "@", -1))
 
 
@@ -134,9 +142,10 @@ def _phone(m: Column, key: str, undo: bool) -> Column:
     def renew(d: Column) -> Column:
         size = F.when(F.substr(d, F.lit(1), F.lit(1)).isin(ONE_DIGIT_CODES), 1).when(F.substr(d, F.lit(1), F.lit(2)).isin(TWO_DIGIT_CODES), 2).otherwise(3)
         new = F.concat(F.substr(d, F.lit(1), size), permuted_text(F.substr(d, size + 1, F.length(d)), "phone", key, undo=undo))
-        return _let(new, lambda n: refilled(m, n))
+        return _let(new, lambda n: F.replace(refilled(bare, n), F.lit("()"), F.lit("(0)")))
 
-    return _let(_digits(m), renew)
+    bare = F.replace(m, F.lit("(0)"), F.lit("()"))  # the trunk zero isn't part of the number
+    return _let(_digits(bare), renew)
 
 
 def mod97(signs: Column) -> Column:
@@ -264,6 +273,7 @@ def pseudonym(m: Column, key: str = KEY, undo: bool = False) -> Column:
         .when(m.startswith("+"), _phone(m, key, undo))
         .when(whole(DATE), _date(m, key, undo))
         .when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), permuted_text(F.substr(m, F.lit(5), F.length(m)), "access", key, undo=undo)))
+        .when(m.startswith("sk-"), F.concat(F.lit("sk-"), permuted_text(F.substr(m, F.lit(4), F.length(m)), "access", key, undo=undo)))
         .when(m.rlike("^[A-Z]"), _iban(m, key, undo))
         .when(m.rlike("^[0-9a-f]{32,}$"), permuted_text(m, "secret", key, letters=6, undo=undo))
     )
@@ -277,7 +287,7 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY, undo: bool =
     With ``undo`` pseudonyms are turned back into their values, under the same key. Null text stays null and has 0 values. Repeated
     rows are equal in the result too. Row by row, so an empty table gives an empty result and length doesn't matter beyond one text.
     """
-    t = F.col(text)
+    t = named(text)
     found, new, changed = unused(df, "found_values", "new_values", "changed_values")
     some = F.when(t.rlike(SOME), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
     out = df.withColumn(found, F.when(F.size(some) > 0, some)).withColumn(new, F.transform(found, lambda m: pseudonym(m, key, undo)))
@@ -285,7 +295,7 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY, undo: bool =
     joined = F.array_join(F.zip_with(F.split(t, ANY, -1), F.col(new), lambda a, b: F.concat(a, F.coalesce(b["text"], F.lit("")))), "")
     out = out.withColumn(changed, F.coalesce(F.aggregate(new, F.lit(0), lambda n, b: n + b["n"]), F.lit(0)))
     names = [c for c in df.columns if c.lower() != "n_values"]
-    return out.select(*(F.when(F.col(found).isNull(), t).otherwise(joined).alias(text) if c == text else F.col(c) for c in names), F.col(changed).alias("n_values"))
+    return out.select(*(F.when(F.col(found).isNull(), t).otherwise(joined).alias(text) if c == text else named(c) for c in names), F.col(changed).alias("n_values"))
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

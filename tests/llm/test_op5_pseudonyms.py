@@ -2,6 +2,7 @@ import hashlib
 import re
 from datetime import date, timedelta
 
+import regex
 from pyspark.sql import functions as F
 
 from skemaforge.llm import pseudonyms
@@ -70,7 +71,7 @@ def test_no_value_of_the_documents_stays(spark, sf_dir):
     seen = 0
     for r in both.collect():
         for pattern in (pseudonyms.EMAIL, pseudonyms.PHONE, pseudonyms.ACCESS):
-            old, new = re.findall(pattern, r.old or ""), re.findall(pattern, r.text or "")
+            old, new = regex.findall(pattern, r.old or ""), regex.findall(pattern, r.text or "")
             assert len(old) == len(new) and all(a != b for a, b in zip(old, new))
             seen += len(old)
     assert seen > 10
@@ -170,3 +171,27 @@ def test_one_value_in_several_writings(spark):
     ibans = renamed(spark, ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"])
     assert ibans[0].replace(" ", "") == ibans[1] != "GB82WEST12345698765432" and remainder97(ibans[1][4:] + ibans[1][:4]) == 1
     assert renamed(spark, ["GB83 WEST 1234 5698 7654 32"]) == ["GB83 WEST 1234 5698 7654 32"]
+
+
+def test_writings_of_other_languages_and_unquoted_secrets(spark):
+    mails = ["jörg@mail.org", "José.Núñez@mail.org", "Ørsted.Ærø@mail.org", "иван.Петров@mail.org", "müller@bücher.de"]
+    new = renamed(spark, mails)
+    for a, b in zip(mails, new):
+        assert a.split("@")[1] == b.split("@")[1] and all(x != y for x, y in zip(re.findall(r"\w+", a.split("@")[0]), re.findall(r"\w+", b.split("@")[0])))
+        assert [c.isupper() for c in a] == [c.isupper() for c in b]
+    assert renamed(spark, [f"an {m}, bald" for m in mails]) == [f"an {m}, bald" for m in new]
+    phones = ["+49 (0) 170 1234567", "+49 170 1234567", "+44 (0)20 7946 0958", "+1.212.555.0123", "+1 212 555 0123"]
+    called = renamed(spark, phones)
+    assert called[0].startswith("+49 (0) ") and called[2].startswith("+44 (0)") and shape(called[3]) == shape(phones[3]) and all(a != b for a, b in zip(phones, called))
+    assert called[0].replace("(0) ", "") == called[1] and called[3].replace(".", " ") == called[4]
+    secrets = ["api_key: sk-abcDEF0123456789abcd", "token: 0123456789abcdef0123456789abcdef", "SECRET=0123456789abcdef0123456789abcdef", '"password": "0123456789abcdef0123456789abcdef"']
+    hidden = renamed(spark, secrets)
+    assert all(a != b and shape(a) == shape(b) for a, b in zip(secrets[:1], hidden[:1])) and all(len(a) == len(b) and a != b for a, b in zip(secrets, hidden))
+    everything = spark.createDataFrame([(x,) for x in (*mails, *phones, *secrets)], "text string")
+    assert [r.text for r in pseudonyms.pseudonymise(pseudonyms.pseudonymise(everything), undo=True).collect()] == [*mails, *phones, *secrets]
+
+
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([("ann@mail.org", 1, 2)], "`a.b` string, `c``d` int, `text` int")
+    got = pseudonyms.pseudonymise(df, text="a.b")
+    assert got.columns == ["a.b", "c`d", "text", "n_values"] and got.first()[0] != "ann@mail.org" and got.first()[1:] == (1, 2, 1)
