@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, stage_path, unused
+from .common import ascii_lower, named, numbered_names, stage_path, unused
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Between host and path in a key: no host has a slash.
@@ -76,7 +76,7 @@ class DigestArray:
 
 def split_url(df: DataFrame, url: str = "url") -> DataFrame:
     """Adds host and path: native, null or no ``://`` gives two empty strings."""
-    u = F.coalesce(F.col(url), F.lit(""))
+    u = F.coalesce(named(url), F.lit(""))
     return df.withColumns({"host": ascii_lower(F.regexp_extract(u, URL, 1)), "path": F.regexp_extract(u, URL, 2)})
 
 
@@ -100,7 +100,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     cut = clean.withColumn("slice", F.pmod(F.xxhash64("host", "path"), F.lit(slices)))
     for k in range(slices):  # one slice holds a bounded part of the list
         out = _probe(spark, out, cut.where(F.col("slice") == k), found, sorted(shape["lengths"]), list(shape["verdicts"]))
-    return out.select(*names, F.col(found[2]).alias("rule"), F.coalesce(found[3], F.lit(default)).alias("verdict"))
+    return out.select(*map(named, names), F.col(found[2]).alias("rule"), F.coalesce(found[3], F.lit(default)).alias("verdict"))
 
 
 def _probe(spark: SparkSession, df: DataFrame, rules: DataFrame, found: list[str], lengths: list[int], verdicts: list[str]) -> DataFrame:
@@ -112,12 +112,12 @@ def _probe(spark: SparkSession, df: DataFrame, rules: DataFrame, found: list[str
         path = spark._jvm.org.apache.hadoop.fs.Path
         path(shared).getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(path(f"file://{file}"), path(shared))
     spark.sparkContext.addFile(shared)  # Spark takes it to each executor, also to one that replaces a lost one
-    name = os.path.basename(shared)
+    name, plain, at = os.path.basename(shared), numbered_names(df), {c: i for i, c in enumerate(df.columns)}
 
     def best(batches):
         array = DigestArray(SparkFiles.get(name))
         for b in batches:
-            hosts, paths = b.column("host").to_pylist(), b.column("path").to_pylist()
+            hosts, paths = b.column(at["host"]).to_pylist(), b.column(at["path"]).to_pylist()
             keys, of, size = [], [], []
             for i, (h, p) in enumerate(zip(hosts, paths)):
                 while h:
@@ -128,14 +128,14 @@ def _probe(spark: SparkSession, df: DataFrame, rules: DataFrame, found: list[str
                             size.append((len(h) + n, len(h)))
                     h = h.partition(".")[2]
             hit = array.probe(keys)
-            now = [list(x) for x in zip(*(b.column(c).to_pylist() for c in found))]
+            now = [list(x) for x in zip(*(b.column(at[c]).to_pylist() for c in found))]
             for j in np.flatnonzero(hit >= 0).tolist():
                 if size[j] > tuple(now[of[j]][:2]):
                     now[of[j]] = [*size[j], keys[j].replace(SEP, "", 1), verdicts[hit[j]]]
-            new = dict(zip(found, (pa.array([x[i] for x in now], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string())))))
-            yield pa.RecordBatch.from_arrays([new.get(n, c) for n, c in zip(b.schema.names, b.columns)], names=b.schema.names)
+            new = dict(zip((at[c] for c in found), (pa.array([x[i] for x in now], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string())))))
+            yield pa.RecordBatch.from_arrays([new.get(i, c) for i, c in enumerate(b.columns)], names=b.schema.names)
 
-    return df.mapInArrow(best, df.schema)
+    return plain.mapInArrow(best, plain.schema).toDF(*df.columns)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,10 @@ def test_very_long_hosts_and_rules(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = url_filter.judge_urls(pages, spark.createDataFrame(rules, SCHEMA)).orderBy("page_id").collect()
     assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [plain(u, rules) for u in urls]
+
+
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([("http://a.example.com/en/1", 1)], "`u.rl` string, `c``d` int")
+    rules = spark.createDataFrame([("com", "/en/", "block")], "host string, path string, verdict string")
+    got = url_filter.judge_urls(df, rules, url="u.rl")
+    assert got.columns[:2] == ["u.rl", "c`d"] and got.first().verdict == "block"

@@ -28,6 +28,27 @@ def test_several_centroids_a_language(model):
     assert np.linalg.norm(model.centroids, axis=1) == pytest.approx(1, abs=1e-5)
 
 
+def test_clusters_hold_a_share_of_the_rows(spark):
+    rng = np.random.default_rng(1)
+    groups = [language_id.unit(np.abs(rng.normal(m, 0.05, (n, 30)))).astype(np.float32) for m, n in ((np.eye(30)[0], 60), (np.eye(30)[1], 30), (np.eye(30)[2], 2))]
+    c, near = language_id.cluster(np.concatenate(groups), 4)
+    sizes = np.bincount(near)
+    assert len(c) == len(sizes) >= 2 and sizes.min() >= 0.05 * 92
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang is not null and n_chars > 500")
+    texts = [r.text for r in docs.where("lang = 'de'").orderBy("doc_id").limit(300).collect()]
+    x = language_id.weighted(language_id.counts(pa.array(texts)), np.ones(language_id.DIMENSIONS, np.float32))
+    c, near = language_id.cluster(x, language_id.CENTROIDS)
+    assert np.bincount(near, minlength=len(c)).min() >= 0.05 * len(x)
+    assert len(language_id.cluster(np.repeat(x[:1], 5, 0), 4)[0]) == 1
+
+
+def test_odd_column_names(spark, model):
+    df = spark.createDataFrame([("la maison de la rue", 1)], "`a.b` string, `c``d` int")
+    assert language_id.predict(df, model, text="a.b").columns == ["a.b", "c`d", "lang_pred", "score", "rejected"]
+    assert language_id.predict(df, model, text="a.b").count() == 1
+    assert language_id.fit(df.withColumn("x.lang", F.lit("fr")), text="a.b", lang="x.lang").langs == ["fr"]
+
+
 def test_nearest_centroid_matches_brute_force(spark, sf_dir, model):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where(r"text rlike '\\p{L}'").limit(50).collect()]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
