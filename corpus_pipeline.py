@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skemaforge.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from skemaforge.llm.common import drop_staged, staged, without_ids
+from skemaforge.llm.common import drop_staged, named, staged, without_ids
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a source go, and ``n_chars`` follows the text."""
-    return line_dedup.drop_boilerplate(docs, host="source").select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return line_dedup.drop_boilerplate(docs, host="source").select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else named(c) for c in docs.columns))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
