@@ -1,6 +1,7 @@
 """Foreign keys that no edge collection states: found from names, index flags and id-shaped values, checked on values, merged into a model.
 
-Inputs are metadata tables (a row a field); the only work on rows is one containment probe a candidate pair, each an aggregation.
+Inputs are metadata tables (a row a field); the only work on rows is the index of values (``inclusion``): a scan of each collection as the one that
+refers, and one as the one referred to.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skemaforge.functions import naming
-from skemaforge.operators import relational
+from skemaforge.operators import inclusion, relational
 from skemaforge.sources.catalog import Catalog, union_all
 
 # Fixed values of foreign-key inference.
@@ -31,23 +32,28 @@ def shapes(catalog: Catalog) -> DataFrame:
     return own.join(flags, ["collection", "field"], "left").withColumn("is_unique", F.coalesce("is_unique", F.lit(False)))
 
 
-def id_shape_votes(catalog: Catalog, sampled: int = PROBED_VALUES) -> DataFrame:
-    """collection, field, target, ratio: where most of a string field's first distinct values (in hash order) are ids of one collection, over all of them."""
-    parts = []
-    for c in catalog.user_collections():
-        texts = [f for f, kind in c.df.dtypes if kind == "string" and not f.startswith("_")] if c.kind == "document" else []
-        for f in texts:
-            v = c.df.where(F.col(f).isNotNull()).select(F.col(f).alias("v")).distinct().orderBy(F.md5("v")).limit(sampled)
-            parts.append(v.select(F.lit(c.name).alias("collection"), F.lit(f).alias("field"), "v"))
-    if not parts:
-        return catalog.spark.createDataFrame([], "collection string, field string, target string, ratio double")
-    return votes(union_all(parts), catalog.listing())
+def text_fields(catalog: Catalog) -> dict[str, list[str]]:
+    """The text columns of document collections, whose values may be ids."""
+    return {c.name: [f for f, kind in c.df.dtypes if kind == "string" and not f.startswith("_")] for c in catalog.user_collections() if c.kind == "document"}
+
+
+def id_shape_votes(catalog: Catalog, sampled: int = PROBED_VALUES, sample: DataFrame | None = None) -> DataFrame:
+    """collection, field, target, ratio: where most of a text field's sampled values are ids of one collection, over all of them. One scan a collection; ``sample`` saves it."""
+    fields = text_fields(catalog)
+    sample = sample if sample is not None else inclusion.sampled(catalog, fields, sampled)
+    texts = catalog.spark.createDataFrame([(c, f) for c, own in fields.items() for f in own], "collection string, field string")
+    return most_voted(sample.join(texts, ["collection", "field"], "left_semi").select("collection", "field", F.col("prefix").alias("target")), catalog.listing())
 
 
 def votes(values: DataFrame, collections: DataFrame) -> DataFrame:
     """As ``id_shape_votes`` from values: collection, field, v. Ties go to the first name; a target must be one of ``collections``."""
     prefix = F.when(naming.is_id_shaped(F.col("v")), naming.collection_of(F.col("v")))
-    hits = values.groupBy("collection", "field", prefix.alias("target")).agg(F.count("*").alias("hits"))
+    return most_voted(values.select("collection", "field", prefix.alias("target")), collections)
+
+
+def most_voted(rows: DataFrame, collections: DataFrame) -> DataFrame:
+    """The target with the most rows of each field (collection, field, target; null counts against all), if it is one of ``collections``."""
+    hits = rows.groupBy("collection", "field", "target").agg(F.count("*").alias("hits"))
     field = Window.partitionBy("collection", "field")
     best = hits.withColumn("total", F.sum("hits").over(field)).where("target is not null").withColumn("k", F.row_number().over(field.orderBy(F.col("hits").desc(), "target")))
     known = collections.select(F.col("collection").alias("target"))
@@ -117,15 +123,16 @@ def pairs(candidates: DataFrame) -> DataFrame:
     return candidates.select("collection", "target", "confidence", F.explode(F.arrays_zip(F.col("fields").alias("field"), F.col("target_fields").alias("target_field"))).alias("p")).select("collection", F.col("p.field").alias("field"), "target", F.col("p.target_field").alias("target_field"), "confidence")
 
 
-def probes(catalog: Catalog, candidates: DataFrame, limit: int = PROBES, sampled: int | None = PROBED_VALUES) -> tuple[DataFrame, bool]:
-    """Containment of each pair of fields, the most confident first, at most ``limit``; and whether some had to be left out. One job for all."""
+def probes(catalog: Catalog, candidates: DataFrame, limit: int = PROBES, sampled: int | None = PROBED_VALUES, sample: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """Containment of each pair of fields, the most confident first, at most ``limit``; and whether some had to be left out.
+
+    One index answers all pairs: a scan of each collection that is referred to, and one of those that refer unless their ``sample`` is given.
+    """
     asked = pairs(candidates).groupBy("collection", "field", "target", "target_field").agg(F.max("confidence").alias("c")).orderBy(F.col("c").desc(), "collection", "field", "target", "target_field").limit(limit + 1).collect()
-    parts = []
-    for r in asked[:limit]:
-        child, parent = catalog.collections[r["collection"]].df, catalog.collections[r["target"]].df
-        found = relational.containment(child, r["field"], parent, r["target_field"], sampled)
-        parts.append(found.select(F.lit(r["collection"]).alias("collection"), F.lit(r["field"]).alias("field"), F.lit(r["target"]).alias("target"), F.lit(r["target_field"]).alias("target_field"), "ratio"))
-    return union_all(parts) if parts else catalog.spark.createDataFrame([], PROBE), len(asked) > limit
+    wanted = [(r["collection"], r["field"], r["target"], r["target_field"]) for r in asked[:limit]]
+    if sampled is not None and sample is None:
+        sample = inclusion.sampled(catalog, {c: sorted({f for x, f, *_ in wanted if x == c}) for c in {x[0] for x in wanted}}, sampled)
+    return inclusion.contained(catalog, wanted, sample if sampled is not None else None), len(asked) > limit
 
 
 def with_probes(candidates: DataFrame, probed: DataFrame, veto: bool = True) -> DataFrame:
@@ -147,11 +154,20 @@ def accepted(candidates: DataFrame) -> DataFrame:
 
 
 def infer(catalog: Catalog, known: DataFrame | None = None, limit: int = PROBES, sampled: int | None = PROBED_VALUES, probe: Callable[..., tuple[DataFrame, bool]] = probes) -> tuple[DataFrame, bool]:
-    """Ranked candidates of a catalog after their probes, and whether the probes' budget ran out. ``probe`` may be another function like ``probes``."""
-    single = single_candidates(shapes(catalog), id_shape_votes(catalog), known)
+    """Ranked candidates of a catalog after their probes, and whether the probes' budget ran out. ``probe`` may be another function like ``probes``.
+
+    Text fields and those whose name refers to something are sampled together, so each collection is scanned once before the probes.
+    """
+    fields = shapes(catalog)
+    none = catalog.spark.createDataFrame([], "collection string, field string, target string, ratio double")
+    columns = {c: set(own) for c, own in text_fields(catalog).items()}
+    for r in single_candidates(fields, none, known).select("collection", F.element_at("fields", 1).alias("field")).distinct().collect():
+        columns[r["collection"]].add(r["field"])
+    sample = inclusion.sampled(catalog, {c: sorted(f) for c, f in columns.items()}, sampled or PROBED_VALUES)
+    single = single_candidates(fields, id_shape_votes(catalog, sample=sample), known)
     both = single.unionByName(composites(single))
     both = catalog.spark.createDataFrame(both.collect(), both.schema)  # metadata: a few rows a field
-    probed, short = probe(catalog, both, limit, sampled)
+    probed, short = probe(catalog, both, limit, sampled, **({"sample": sample} if probe is probes else {}))
     return accepted(with_probes(both, probed)), short
 
 
@@ -175,17 +191,19 @@ def merged(ranked: DataFrame, entities: DataFrame, taken: DataFrame) -> DataFram
 
 
 #: Fixed values of the search for specialisations by keys.
-KEY_CONTAINED, KEY_PROBES, KEY_SAMPLE = 0.99, 64, 200
+KEY_CONTAINED, KEY_SAMPLE = 0.99, 200
 
 
-def key_containments(catalog: Catalog, names: list[str] | None = None, limit: int = KEY_PROBES, sampled: int | None = KEY_SAMPLE) -> tuple[DataFrame, bool]:
-    """child, parent, ratio of document collections whose keys are (nearly) all keys of another; and whether pairs beyond ``limit`` were left out. One job for all."""
-    names = sorted(names if names is not None else [c.name for c in catalog.user_collections() if c.kind == "document"])
-    asked = [(a, b) for a in names for b in names if a != b]
-    keys = lambda n: catalog.collections[n].df.select("_key")
-    parts = [relational.containment(keys(a), "_key", keys(b), "_key", sampled).select(F.lit(a).alias("child"), F.lit(b).alias("parent"), "ratio") for a, b in asked[:limit]]
-    found = union_all(parts) if parts else catalog.spark.createDataFrame([], "child string, parent string, ratio double")
-    return found.where(F.col("ratio") >= KEY_CONTAINED), len(asked) > limit
+def key_containments(catalog: Catalog, names: list[str] | None = None, sampled: int | None = KEY_SAMPLE) -> DataFrame:
+    """child, parent, ratio of document collections whose keys are (nearly) all keys of another. All pairs come out of one index of the keys."""
+    keys = {n: ["_key"] for n in (names if names is not None else [c.name for c in catalog.user_collections() if c.kind == "document"])}
+    if sampled is None:
+        children = parents = inclusion.hashes(catalog, keys)
+    else:
+        children = inclusion.sampled(catalog, keys, sampled).select("collection", "field", "h")
+        parents = inclusion.looked_up(catalog, keys, children)
+    found = inclusion.matches(children, parents).select(F.col("collection").alias("child"), F.col("target").alias("parent"), (F.col("hits") / F.col("values")).alias("ratio"))
+    return found.where(F.col("ratio") >= KEY_CONTAINED)
 
 
 def specialisations(catalog: Catalog, contained: DataFrame) -> DataFrame:
@@ -195,4 +213,4 @@ def specialisations(catalog: Catalog, contained: DataFrame) -> DataFrame:
         children.setdefault(r["parent"], []).append(r["child"])
     df = lambda n: catalog.collections[n].df
     parts = [relational.specialisation_counts(df(p), [df(c) for c in own]).select(F.lit(p).alias("parent"), "total", "in_multiple", "in_none") for p, own in sorted(children.items()) if len(own) > 1]
-    return union_all(parts) if parts else catalog.spark.createDataFrame([], "parent string, total long, in_multiple long, in_none long")
+    return union_all([catalog.spark.createDataFrame([], "parent string, total long, in_multiple long, in_none long"), *parts])

@@ -5,7 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from skemaforge.functions.naming import collection_of
 from skemaforge.operators import relational
 from skemaforge.sources.catalog import Catalog
 
@@ -70,9 +72,29 @@ class PhysicalMapping:
             a, b = self._rows(m["from_collection"]), self._rows(m["to_collection"])
             a, b = (source if source is not None and direction == "outbound" else a), (source if source is not None and direction == "inbound" else b)
             return relational.junction(a, m["from_keys"], self._rows(m["collection"]), m["near_fields"], m["far_fields"], b, m["to_keys"], direction)
-        near, far = (m["from_entity"], m["to_entity"]) if direction == "outbound" else (m["to_entity"], m["from_entity"])
+        if direction not in ("outbound", "inbound"):
+            raise ValueError("INVALID_ARGUMENT: direction is outbound or inbound")
+        near, far = (self.ends(relation, side) for side in (("from", "to") if direction == "outbound" else ("to", "from")))
         typed = {"type_field": m["type_field"], "type_value": m["type_value"]} if m["style"] == "GENERIC_WITH_TYPE" else {}
-        return relational.traverse(source if source is not None else self.entity(near), self._rows(m["collection"]), self.entity(far), direction, **typed)
+        if len(near) == len(far) == 1:
+            return relational.traverse(source if source is not None else self.entity(near[0]), self._rows(m["collection"]), self.entity(far[0]), direction, **typed)
+        starts = [self._end(n) for n in near]
+        if source is not None:
+            starts = [relational.End(e.entity, e.collection, source.where(collection_of(F.col("_id")) == e.collection), e.type_field, e.type_value) for e in starts]
+        return relational.traverse_any(starts, self._rows(m["collection"]), [self._end(n) for n in far], direction, **typed)
+
+    def ends(self, relation: str, side: str) -> list[str]:
+        """The entities at an end (``from`` or ``to``): those listed as ``from_entities``, else the one named; ``Any`` is every entity."""
+        m = self.relationships[relation]
+        found = m.get(f"{side}_entities") or ([m[f"{side}_entity"]] if m[f"{side}_entity"] != "Any" else sorted(self.entities))
+        return found if len(found) > 1 or m[f"{side}_entity"] == "Any" else [m[f"{side}_entity"]]
+
+    def _end(self, name: str) -> relational.End:
+        if name not in self.entities:
+            raise ValueError(f"INVALID_ARGUMENT: no entity named {name!r}")
+        m = _checked("entity", name, self.entities[name], ENTITY_STYLES)
+        label = (m["type_field"], m["type_value"]) if m["style"] == "LABEL" else (None, None)
+        return relational.End(name, m["collection"], self._rows(m["collection"]), *label)
 
     def resolve(self) -> dict[str, dict]:
         """For each label and relationship the columns of its DataFrame, or why there is none."""

@@ -136,10 +136,10 @@ _CONTAINED = f"{_KEYS}, n AS (SELECT c, count(*) AS n FROM k GROUP BY 1), h AS (
 
 @query(f"WITH {_CONTAINED} SELECT child, parent, ratio FROM x")
 def key_containments(spark, d):
-    return foreign_keys.key_containments(star.catalog(spark, d), KEYED, sampled=None)[0]
+    return foreign_keys.key_containments(star.catalog(spark, d), KEYED, sampled=None)
 
 
 @query(f"WITH {_CONTAINED}, many AS (SELECT parent FROM x GROUP BY 1 HAVING count(*) > 1), p AS (SELECT k.c AS parent, k.k, (SELECT count(*) FROM x JOIN k j ON j.c = x.child AND j.k = k.k WHERE x.parent = k.c) AS m FROM k JOIN many ON k.c = many.parent) SELECT parent, count(*) AS total, count(*) FILTER (m > 1) AS in_multiple, count(*) FILTER (m = 0) AS in_none FROM p GROUP BY 1")
 def key_specialisations(spark, d):
     c = star.catalog(spark, d)
-    return foreign_keys.specialisations(c, foreign_keys.key_containments(c, KEYED, sampled=None)[0])
+    return foreign_keys.specialisations(c, foreign_keys.key_containments(c, KEYED, sampled=None))

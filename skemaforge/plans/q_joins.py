@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from skemaforge.operators import inference, relational
 from skemaforge.sources import star
+from skemaforge.sources.catalog import keyed
 
+from .mapping import PhysicalMapping
 from .q_sources import COLLECTIONS, ENTITIES, relationships
 from .registry import query, values
 
@@ -63,6 +65,72 @@ def foreign_key_composite_nulls(spark, d):
     return relational.foreign_key(a, ["ref", "part"], b, ["code", "part"]).select(F.col("s_id").alias("id"), F.col("t_key").alias("key"))
 
 
+_PLACES = "places AS (SELECT n_nationkey::VARCHAR AS _key, n_name AS name FROM nation UNION ALL SELECT r_name, r_name FROM region)"
+
+
+def _places(spark, d):
+    """A collection whose keys are numbers of nations and names of regions, all text."""
+    n, r = star.table(spark, d, "nation"), star.table(spark, d, "region")
+    rows = n.select(F.col("n_nationkey").cast("string").alias("k"), F.col("n_name").alias("name")).union(r.select("r_name", "r_name"))
+    return keyed(rows, "places", "k").select("_key", "name")
+
+
+@query(f"WITH {_PLACES} SELECT c_custkey, name AS place FROM customer JOIN places ON c_nationkey::VARCHAR = _key")
+def foreign_key_number_to_text(spark, d):
+    """A number refers to a document's key, which is text; most keys can't be read as numbers."""
+    out = relational.foreign_key(star.table(spark, d, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey"], _places(spark, d), ["_key"])
+    return out.select(F.col("s_c_custkey").alias("c_custkey"), F.col("t_name").alias("place"))
+
+
+@query(f"WITH {_PLACES}, u AS (SELECT user_id, CASE WHEN user_id % 3 > 0 THEN user_id % 40 END AS home FROM events) SELECT name AS place, count(*) AS events FROM places JOIN u ON home::VARCHAR = _key GROUP BY 1")
+def foreign_key_nulls_and_text(spark, d):
+    """Inbound over a reference that is null in a third of the rows: an identity key matches no null, so those rows aren't shuffled."""
+    u = star.table(spark, d, "events").select(F.when(F.col("user_id") % 3 > 0, F.col("user_id") % 40).alias("home"))
+    return relational.foreign_key(u, ["home"], _places(spark, d), ["_key"], "inbound").groupBy(F.col("s_name").alias("place")).agg(F.count("*").alias("events"))
+
+
+def _located(spark, d, labelled: bool) -> PhysicalMapping:
+    """One relationship whose ends lie in several collections, or in several labels of a shared one; customers of one segment are no entity."""
+    cat = star.catalog(spark, d)
+    names = {"Customer": "customer", "Nation": "nation", "Region": "region", "Supplier": "supplier"}
+    if not labelled:
+        ends = {"from_entity": "Any", "to_entity": "Any", "from_entities": ["Customer", "Nation", "Supplier"], "to_entities": ["Nation", "Region"]}
+        return PhysicalMapping(cat, {e: {"style": "COLLECTION", "collection": c} for e, c in names.items()}, {"LOCATED": {"style": "DEDICATED_COLLECTION", "collection": "relationships", **ends}})
+    cat = star.shared_catalog(spark, d)
+    entities = {e: {"style": "LABEL", "collection": "entities", "type_field": "type", "type_value": e} for e in ("Nation", "Region", "Supplier")}
+    return PhysicalMapping(cat, entities, {"LOCATED": {"style": "DEDICATED_COLLECTION", "collection": "links", "from_entity": "Any", "to_entity": "Any"}})
+
+
+def _shown(df, *columns):
+    return df.select(F.col("s_entity").alias("source"), F.col("s__key").alias("source_key"), F.col("t_entity").alias("target"), *columns)
+
+
+_NAMES = "names AS (SELECT 'nation/' || n_nationkey AS _id, 'Nation' AS entity, n_nationkey::VARCHAR AS _key, n_name AS name FROM nation UNION ALL SELECT 'region/' || r_regionkey, 'Region', r_regionkey::VARCHAR, r_name FROM region UNION ALL SELECT 'customer/' || c_custkey, 'Customer', c_custkey::VARCHAR, c_name FROM customer UNION ALL SELECT 'supplier/' || s_suppkey, 'Supplier', s_suppkey::VARCHAR, s_name FROM supplier)"
+
+
+@query(f"WITH {relationships('')}, {_NAMES} SELECT s.entity AS source, s._key AS source_key, t.entity AS target, t.name AS target_name FROM names s JOIN relationships r ON r._from = s._id LEFT JOIN names t ON t._id = r._to")
+def traverse_any_collection(spark, d):
+    """Outbound over a relationship from three collections to two: one join, each collection scanned once."""
+    return _shown(_located(spark, d, False).traverse("LOCATED"), F.coalesce("t_n_name", "t_r_name").alias("target_name"))
+
+
+@query(f"WITH {relationships('')}, {_NAMES} SELECT s.entity AS source, s._key AS source_key, t.entity AS target, t._key AS target_key FROM names s JOIN relationships r ON r._to = s._id LEFT JOIN names t ON t._id = r._from WHERE s.entity IN ('Nation', 'Region')")
+def traverse_any_collection_inbound(spark, d):
+    return _shown(_located(spark, d, False).traverse("LOCATED", "inbound"), F.col("t__key").alias("target_key"))
+
+
+@query(f"WITH {ENTITIES}, {relationships('entities/')}, e AS (SELECT * FROM entities WHERE type <> 'Customer') SELECT s.type AS source, s._key AS source_key, t.type AS target, t.name AS target_name FROM e s JOIN relationships r ON r._from = s._id LEFT JOIN e t ON t._id = r._to")
+def traverse_any_label(spark, d):
+    """The ends are labels of one collection; rows of other labels are no far rows."""
+    return _shown(_located(spark, d, True).traverse("LOCATED"), F.col("t_name").alias("target_name"))
+
+
+@query(f"WITH {ENTITIES}, {relationships('entities/')}, e AS (SELECT * FROM entities WHERE type <> 'Customer') SELECT s.type AS source, s._key AS source_key, t.type AS target, t._key AS target_key FROM e s JOIN relationships r ON r._to = s._id LEFT JOIN e t ON t._id = r._from")
+def traverse_any_label_inbound(spark, d):
+    """Customers aren't an entity here: their edges stay with a null far row."""
+    return _shown(_located(spark, d, True).traverse("LOCATED", "inbound"), F.col("t__key").alias("target_key"))
+
+
 def _junction(spark, d, direction):
     o, l, p = star.table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), star.table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), star.table(spark, d, "part").select("p_partkey", "p_brand")
     return relational.junction(o, ["o_orderkey"], l, ["l_orderkey"], ["l_partkey"], p, ["p_partkey"], direction)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skemaforge.functions import naming
@@ -78,7 +78,7 @@ class Catalog:
     def counts(self) -> DataFrame:
         """collection, rows: one job; Parquet footers or narrow scans are all it reads."""
         parts = [c.df.agg(F.count("*").alias("rows")).select(F.lit(c.name).alias("collection"), "rows") for c in self.user_collections()]
-        return union_all(parts)
+        return union_all([self.spark.createDataFrame([], "collection string, rows long"), *parts])
 
     def fields(self) -> DataFrame:
         """collection, field, category of all columns: from the schemas alone."""
@@ -95,8 +95,13 @@ class Catalog:
         return self.spark.createDataFrame(rows, "graph string, edge_collection string, side string, collection string")
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def keyed(df: DataFrame, collection: str, key: str) -> DataFrame:
-    k = F.col(key).cast("string")
+    k = named(key).cast("string")
     return df.withColumns({"_key": k, "_id": naming.document_id(collection, k)})
 
 

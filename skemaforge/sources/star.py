@@ -64,6 +64,11 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return Catalog(spark, docs + edges, graphs, {"name": "star"})
 
 
+def shared_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """Four types in one vertex collection, linked by one edge collection."""
+    return Catalog(spark, [Collection("entities", lambda: entities(spark, sf_dir)), Collection("links", lambda: relationships(spark, sf_dir), "edge")], [], {"name": "shared"})
+
+
 #: The relational layout's collections: fields with their categories, and the unique ones.
 RELATIONAL = {
     "regions": {"name": "string"},
