@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skemaforge.functions import naming
+from skemaforge.operators.numbering import numbered
+from skemaforge.sources.catalog import Catalog, named, union_all
 
 # Fixed values of discriminator selection.
 PREFERRED = {"document": ("type", "_type", "kind", "entityType", "label"), "edge": ("relation", "relType", "type")}
@@ -110,10 +112,15 @@ def collections_per_tenant(collections: DataFrame) -> DataFrame:
     return collections.select(part(0).alias("base"), part(1).alias("tenant")).where("base <> ''").groupBy("base").agg(F.count_distinct("tenant").alias("tenants")).where("tenants >= 2")
 
 
+#: What a tenant's shard key has in its name.
+TENANT_TOKENS = ("tenant", "org", "account", "customer", "workspace")
+
+
 def shard_keys(collections: DataFrame) -> DataFrame:
-    """field, collections: tenant-like shard keys. collections: collection, shard_keys (array)."""
-    each = collections.select("collection", F.explode_outer("shard_keys").alias("field"))
-    return each.where(F.lower("field").isin(*sorted({f.lower() for f in TENANT_FIELDS}))).groupBy(F.lower("field").alias("field")).agg(F.count_distinct("collection").alias("collections"))
+    """field, collections: tenant-like first shard keys that at least two collections share. collections: collection, shard_keys (array)."""
+    first = F.try_element_at(F.filter("shard_keys", lambda k: (k != "") & (k != "_key")), F.lit(1))
+    each = collections.select("collection", first.alias("field")).where(F.lower("field").rlike("|".join(TENANT_TOKENS)))
+    return each.groupBy("field").agg(F.count_distinct("collection").alias("collections")).where("collections >= 2")
 
 
 #: Names of databases that belong to one tenant.
@@ -123,7 +130,7 @@ TENANT_DATABASE = r"^tenant[_-]?[A-Za-z0-9]+$|^[A-Za-z0-9]+[_-]tenant$"
 def tenancy_verdict(collections: DataFrame, fields: DataFrame, style: DataFrame, database: str = "") -> DataFrame:
     """style, enforced: the first signal that holds.
 
-    In order: a disjoint smart graph, tenant shard keys, a tenant field in half of the collections, collections named by tenant, a
+    In order: a disjoint smart graph, a tenant key first among the shard keys of two collections, a tenant field in half of the collections, collections named by tenant, a
     database named by tenant, none. collections: collection, shard_keys; fields: collection, field; style: as of ``sharding_style``.
     """
     any_of = lambda df, name: df.agg((F.count("*") > 0).alias(name))
@@ -148,13 +155,38 @@ def reachable(edges: DataFrame, roots: DataFrame, hops: int = MAX_HOPS) -> DataF
     return seen
 
 
-def tenant_scope(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """entity, scope: root (Tenant), denormalised (a tenant id among its properties), reachable from a root, or global. entities: entity, properties (array)."""
-    roots = entities.where("entity = 'Tenant'").select("entity")
-    near = reachable(edges, roots).where("hops > 0").select(F.col("entity").alias("n"))
-    own = F.exists("properties", lambda p: F.lower(p).rlike(TENANT_SCOPE))
-    scope = F.when(F.col("entity") == "Tenant", "root").when(own, "denormalised").when(F.col("n").isNotNull(), "reachable").otherwise("global")
-    return entities.join(near, F.col("entity") == F.col("n"), "left").select("entity", scope.alias("scope"))
+#: Names of entities that are a tenant.
+TENANT_ROOTS = ("Tenant",)
+
+
+def tenant_scope(entities: DataFrame, edges: DataFrame, roots: tuple[str, ...] = TENANT_ROOTS, pattern: str = TENANT_SCOPE, hops: int = MAX_HOPS) -> DataFrame:
+    """entity, scope: root, denormalised (a tenant id among its properties), reachable from the root, or global; nothing where there is no root.
+
+    The first of ``roots`` that is an entity is the root. entities: entity, properties (array); edges: from_entity, to_entity.
+    """
+    order = F.array_position(F.array(*map(F.lit, roots)), F.col("entity"))
+    root = entities.where(order > 0).orderBy(order).limit(1).select("entity")
+    near = reachable(edges, root, hops).where("hops > 0").select(F.col("entity").alias("n"))
+    own = F.exists("properties", lambda p: F.lower(p).rlike(pattern))
+    both = entities.crossJoin(root.select(F.col("entity").alias("_root"))).join(near, F.col("entity") == F.col("n"), "left")  # one row of the root
+    scope = F.when(F.col("entity") == F.col("_root"), "root").when(own, "denormalised").when(F.col("n").isNotNull(), "reachable").otherwise("global")
+    return both.select("entity", scope.alias("scope"))
+
+
+def tenant_coverage(catalog: Catalog, fields: tuple[str, ...] = TENANT_FIELDS) -> DataFrame:
+    """field (lower case), collections, share (of all collections), rows, present, tenants (about): fields that may name a tenant, from one scan of each collection that has one.
+
+    Numbers of tenants are unions of the collections' sketches, so tenants that several collections name count once.
+    """
+    wanted, docs = {f.lower() for f in fields}, catalog.user_collections()
+    parts = []
+    for c in docs:
+        if own := [f for f in c.df.columns if f.lower() in wanted]:
+            each = F.array(*(F.struct(F.lit(f.lower()).alias("field"), F.count("*").alias("rows"), F.count(named(f)).alias("present"), F.hll_sketch_agg(named(f).cast("string")).alias("sketch")) for f in own))
+            parts.append(c.df.agg(each.alias("a")).select(F.lit(c.name).alias("collection"), F.inline("a")))
+    empty = catalog.spark.createDataFrame([], "collection string, field string, rows long, present long, sketch binary")
+    merged = union_all([empty, *parts]).groupBy("field").agg(F.count_distinct("collection").alias("collections"), F.sum("rows").alias("rows"), F.sum("present").alias("present"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("tenants"))
+    return merged.select("field", "collections", (F.col("collections") / F.lit(max(len(docs), 1))).alias("share"), "rows", "present", "tenants")
 
 
 def vertex_centric(indexes: DataFrame) -> DataFrame:
@@ -190,22 +222,25 @@ def triple_collections(fields: DataFrame) -> DataFrame:
 # Fixed values of retrieval-graph detection.
 TEXT_FIELDS = ("text", "content", "body", "passage", "chunk", "chunk_text", "page_content", "document")
 VECTOR_FIELDS = ("embedding", "embeddings", "vector", "vectors", "embedding_vector", "dense_vector")
-SIMILARITY_FIELDS = ("score", "similarity", "distance", "weight", "cosine")
-ROLE_NAMES = {
-    "chunk": "(?i)chunks?$|(?i)^text_?units?$|(?i)passages?$|(?i)embeddings?$",
-    "entity": "(?i)^entit(y|ies)$|(?i)_entit(y|ies)$|(?i)^nodes?$|(?i)^concepts?$",
-    "similarity": "(?i)similar|(?i)^knn$|(?i)neighbou?rs?$|(?i)related",
-    "mention": "(?i)mention|(?i)has_?entit|(?i)refers?_?to|(?i)appears_?in|(?i)contains_?entit",
-}
+SIMILARITY_FIELDS = ("score", "similarity", "distance", "cosine", "weight")
+CHUNK_NAMES = ("(?i)chunks?$", "(?i)^text_?units?$", "(?i)passages?$", "(?i)embeddings?$")
+ENTITY_NAMES = ("(?i)^entit(y|ies)$", "(?i)_entit(y|ies)$", "(?i)^nodes?$", "(?i)^concepts?$")
+SIMILARITY_NAMES = ("(?i)similar", "(?i)^knn$", "(?i)neighbou?rs?$", "(?i)related")
+MENTION_NAMES = ("(?i)mention", "(?i)has_?entit", "(?i)refers?_?to", "(?i)appears_?in", "(?i)contains_?entit")
+DESCRIBING_FIELDS = ("type", "description", "entity_type", "category")
 
 
 def retrieval_roles(fields: DataFrame) -> DataFrame:
-    """collection, role. fields: collection, kind, field."""
+    """collection, role. fields: collection, kind, field.
+
+    A document collection with vectors, or with texts and a chunk's name, is chunk; one with an entity's name, or with names and a
+    describing field, is entity. An edge collection is similarity by its name or a field, else mention by its name.
+    """
     c = fields.groupBy("collection", "kind").agg(F.collect_set(F.lower("field")).alias("f"))
     has = lambda names: F.arrays_overlap("f", F.array(*map(F.lit, names)))
-    named = lambda role: F.col("collection").rlike(ROLE_NAMES[role])
-    doc = F.when(named("chunk") | (has(TEXT_FIELDS) & has(VECTOR_FIELDS)), "chunk").when(named("entity"), "entity")
-    edge = F.when(named("similarity") | has(SIMILARITY_FIELDS), "similarity").when(named("mention"), "mention")
+    called = lambda patterns: F.col("collection").rlike("|".join(patterns))
+    doc = F.when(has(VECTOR_FIELDS) | (called(CHUNK_NAMES) & has(TEXT_FIELDS)), "chunk").when(called(ENTITY_NAMES) | (has(("name",)) & has(DESCRIBING_FIELDS)), "entity")
+    edge = F.when(called(SIMILARITY_NAMES) | has(SIMILARITY_FIELDS), "similarity").when(called(MENTION_NAMES), "mention")
     return c.select("collection", F.when(F.col("kind") == "edge", edge).otherwise(doc).alias("role")).where("role is not null")
 
 
@@ -248,25 +283,50 @@ def carried_forward(current: DataFrame, prior: DataFrame, now: str) -> DataFrame
     return current.join(p, "name", "left").select("name", F.coalesce("was", F.lit(now)).alias("first_seen"), F.lit(now).alias("last_validated"))
 
 
-def redaction_tokens(values: DataFrame, field: str, value: str) -> DataFrame:
-    """field, value, token: a stable token a distinct value (``<redacted>:`` and a digest of field and value), without ordering a field's values in one task."""
-    d = values.select(field, value).where(F.col(value).isNotNull()).distinct()
-    return d.withColumn("token", F.concat(F.lit("<redacted>:"), F.left(F.sha2(F.concat_ws("\0", field, value), 256), F.lit(16))))
+def redaction_tokens(values: DataFrame, value: str = "value") -> DataFrame:
+    """value, token: ``<redacted>:i`` for the distinct values of the column in order, from 0. Numbers come from ranges of the values, not from one task."""
+    distinct = values.select(named(value).cast("string").alias("value")).where("value is not null").distinct()
+    return numbered(distinct, ["value"]).select("value", F.concat(F.lit("<redacted>:"), F.col("n").cast("string")).alias("token"))
+
+
+def field_tokens(fields: DataFrame) -> DataFrame:
+    """field, token: ``redacted_field_i`` for the distinct field names in order, system fields aside. fields: field (metadata)."""
+    names = fields.select("field").where(~F.col("field").startswith("_")).distinct()
+    return numbered(names, ["field"]).select("field", F.concat(F.lit("redacted_field_"), F.col("n").cast("string")).alias("token"))
+
 
+def masked(df: DataFrame, columns: list[str], tokens: DataFrame) -> DataFrame:
+    """``df`` with the values of ``columns`` replaced by their tokens (value, token); a value without one becomes null rather than stay."""
+    return _replaced(df, columns, tokens.select(F.col("value").alias("_old"), F.col("token").alias("_new")), keep=False)
 
-def redacted(df: DataFrame, columns: list[str], field: str = "") -> DataFrame:
-    """``df`` with its ``columns`` replaced by tokens; ``field`` names the vocabulary (each column its own by default)."""
-    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.concat(F.lit("<redacted>:"), F.left(F.sha2(F.concat_ws("\0", F.lit(field or c), F.col(c).cast("string")), 256), F.lit(16)))) for c in columns})
 
+def unmasked(df: DataFrame, columns: list[str], tokens: DataFrame) -> DataFrame:
+    """The tokens in ``columns`` turned back by a table of tokens (value, token); what it lacks stays."""
+    return _replaced(df, columns, tokens.select(F.col("token").alias("_old"), F.col("value").alias("_new")), keep=True)
 
-def unmasked(df: DataFrame, columns: list[str], tokens: DataFrame, field: str = "") -> DataFrame:
-    """The tokens of ``redacted`` turned back by a table of tokens (field, value, token); what it lacks stays."""
+
+def _replaced(df: DataFrame, columns: list[str], pairs: DataFrame, keep: bool) -> DataFrame:
     for c in columns:
-        own = tokens.where(F.col("field") == (field or c)).select(F.col("token").alias(f"{c}_token"), F.col("value").alias(f"{c}_value"))
-        df = df.join(own, F.col(c) == F.col(f"{c}_token"), "left").withColumn(c, F.coalesce(f"{c}_value", c)).drop(f"{c}_token", f"{c}_value")
+        joined = df.join(pairs, named(c).cast("string") == F.col("_old"), "left")
+        new = F.coalesce("_new", named(c).cast("string")) if keep else F.col("_new")
+        df = joined.select(*(new.alias(x) if x == c else named(x) for x in df.columns))
     return df
 
 
+def keyed_token(value: Column, key: bytes) -> Column:
+    """``<redacted>:`` and the value's HMAC-SHA256 under a key (64 bytes at most): equal values have equal tokens, and without the key none can be guessed and checked."""
+    if not 0 < len(key) <= 64:
+        raise ValueError("INVALID_ARGUMENT: a key has 1 to 64 bytes")
+    pad = lambda b: F.unhex(F.lit(bytes(x ^ b for x in key.ljust(64, b"\0")).hex()))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), value.cast("string").cast("binary")), 256))
+    return F.when(value.isNotNull(), F.concat(F.lit("<redacted>:"), F.sha2(F.concat(pad(0x5C), inner), 256)))
+
+
+def redacted(df: DataFrame, columns: list[str], key: bytes) -> DataFrame:
+    """``df`` with its ``columns`` replaced by keyed tokens: no table of tokens and no join."""
+    return df.select(*(keyed_token(named(c), key).alias(c) if c in columns else named(c) for c in df.columns))
+
+
 def unknown_pattern_parts(asked: DataFrame, known: DataFrame) -> DataFrame:
     """Labels and types of a pattern that the model lacks. Both: kind, name."""
     return asked.join(known, ["kind", "name"], "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skemaforge.functions.naming import gold_name
+from skemaforge.operators.numbering import running_sums
 
 CARDINALITY_THRESHOLD = 1.5
 REGRESSION = 0.005
@@ -116,12 +117,11 @@ def calibration_errors(df: DataFrame, confidence: str, quality: str, bins: int =
 def youden(df: DataFrame, score: str, good: str) -> DataFrame:
     """threshold, j: the score at which (true - false positive rate) of ``score >= threshold`` is largest, ties to the higher.
 
-    Rows are first summed a score, so the running sums see distinct scores only. All good: the least score; all bad: the largest plus 0.01.
+    Rows are first summed a score; the running sums over scores are made in ranges, so any number of different scores will do. All good: the least score; all bad: the largest plus 0.01.
     """
-    by = df.groupBy(F.col(score).alias("t")).agg(F.count_if(good).alias("g"), F.count_if(~F.col(good)).alias("b"))
-    w = Window.orderBy(F.col("t").desc())
-    sums = by.select("t", F.sum("g").over(w).alias("tp"), F.sum("b").over(w).alias("fp"))
-    total = by.agg(F.sum("g").alias("p"), F.sum("b").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    by = df.groupBy(F.col(score).alias("t")).agg(F.count_if(good).alias("tp"), F.count_if(~F.col(good)).alias("fp"))
+    sums = running_sums(by, "t", ["tp", "fp"], descending=True)
+    total = by.agg(F.sum("tp").alias("p"), F.sum("fp").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
     j = F.coalesce(F.col("tp") / F.nullif(F.col("p"), F.lit(0)), F.lit(0.0)) - F.coalesce(F.col("fp") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
     best = sums.crossJoin(total).withColumn("j", j).orderBy(F.col("j").desc(), F.col("t").desc()).limit(1)  # one row of totals
     return best.select(F.when(F.col("p") == 0, F.col("hi") + 0.01).when(F.col("n") == 0, F.col("lo")).otherwise(F.col("t")).alias("threshold"), "j")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skemaforge.operators import inference, profile
+from skemaforge.operators import foreign_keys, inference, profile
 from skemaforge.sources import star
 from skemaforge.sources.catalog import union_all
 
+from .q_foreign_keys import _PROBED, _ROWS, _SHAPES, _SINGLE, _VOTES
 from .q_sources import COLLECTIONS, ENTITIES, GRAPH_ROWS
 from .registry import query, values
 
@@ -136,6 +137,36 @@ def tenant_scopes(spark, d):
     return inference.tenant_scope(e, spark.createDataFrame(SCOPE_LINKS, "from_entity string, to_entity string"))
 
 
+_REACH = """links AS (SELECT DISTINCT collection AS a, target AS b FROM ranked), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(entity, hops) AS (SELECT 'customers', 0 UNION SELECT w.b, reach.hops + 1 FROM reach JOIN both_ways w ON w.a = reach.entity WHERE reach.hops < 5), near AS (SELECT entity, min(hops)::INTEGER AS hops FROM reach GROUP BY 1)"""
+_INFERRED = f"{_SHAPES}, {_ROWS}, {_VOTES}, {_SINGLE}, {_PROBED}, {_REACH}"
+
+
+def _inferred_links(spark, d):
+    found = foreign_keys.infer(star.relational(spark, d))[0].select(F.col("collection").alias("from_entity"), F.col("target").alias("to_entity")).distinct()
+    return spark.createDataFrame(found.collect(), found.schema)  # metadata: a row a link
+
+
+@query(f"WITH RECURSIVE {_INFERRED} SELECT entity, hops FROM near")
+def tenant_reach_inferred(spark, d):
+    """What links found by values lead to from a tenant, here the customers."""
+    return inference.reachable(_inferred_links(spark, d), spark.createDataFrame([("customers",)], "entity string"))
+
+
+@query(f"WITH RECURSIVE {_INFERRED}, e AS (SELECT DISTINCT collection AS entity, max((lower(field) = 'customerid')::INT) OVER (PARTITION BY collection) AS own FROM f) SELECT e.entity, CASE WHEN e.entity = 'customers' THEN 'root' WHEN own = 1 THEN 'denormalised' WHEN hops IS NOT NULL THEN 'reachable' ELSE 'global' END AS scope FROM e LEFT JOIN near USING (entity)")
+def tenant_scopes_inferred(spark, d):
+    cat = star.relational(spark, d)
+    entities = cat.fields().groupBy(F.col("collection").alias("entity")).agg(F.collect_list("field").alias("properties"))
+    return inference.tenant_scope(entities, _inferred_links(spark, d), roots=("Tenant", "customers"), pattern="^customer[_-]?id$")
+
+
+@query("SELECT 'nation_id' AS field, 1::BIGINT AS collections, 1 / 8 AS share, count(*) AS rows, count(c_nationkey) AS present, count(DISTINCT c_nationkey) AS tenants FROM customer UNION ALL SELECT 'nationid', 1, 1 / 8, count(*), count(s_nationkey), count(DISTINCT s_nationkey) FROM supplier UNION ALL SELECT 'name', 5, 5 / 8, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part), (SELECT count(r_name) FROM region) + (SELECT count(n_name) FROM nation) + (SELECT count(c_name) FROM customer) + (SELECT count(s_name) FROM supplier) + (SELECT count(p_name) FROM part), NULL")
+def tenant_field_coverage(spark, d):
+    """Which collections carry a field and how many values it has in all, from sketches; the number of names (beyond what a sketch tells exactly) is left out."""
+    out = inference.tenant_coverage(star.relational(spark, d), ("nation_id", "nationid", "name"))
+    return out.withColumn("tenants", F.when(F.col("field") != "name", F.col("tenants")))
+
+
 @query("SELECT * FROM (VALUES ('follows', 'both', 'tier,type,validFrom'), ('likes', 'in-edge', 'at')) t(collection, access, extra)")
 def vertex_centric_indexes(spark, d):
     rows = [("follows", "persistent", ["_from", "type", "validFrom"]), ("follows", "persistent", ["_to", "type", "tier"]), ("likes", "persistent", ["_to", "at"]), ("likes", "hash", ["_from", "x"]), ("rates", "persistent", ["_from"])]
@@ -159,7 +190,7 @@ def triple_collections(spark, d):
     return inference.triple_collections(spark.createDataFrame(RDF, "collection string, field string"))
 
 
-RAG = [("chunks", "document", "type"), ("passage_store", "document", "text"), ("passage_store", "document", "embedding"), ("entities", "document", "name"), ("mentions", "edge", "_from"), ("nearby", "edge", "weight"), ("users", "document", "name"), ("follows", "edge", "since")]
+RAG = [("chunks", "document", "text"), ("passages", "document", "type"), ("passage_store", "document", "text"), ("passage_store", "document", "embedding"), ("entities", "document", "name"), ("mentions", "edge", "_from"), ("nearby", "edge", "weight"), ("users", "document", "name"), ("follows", "edge", "since")]
 _ROLES = "r AS (SELECT * FROM (VALUES ('chunks', 'chunk'), ('passage_store', 'chunk'), ('entities', 'entity'), ('mentions', 'mention'), ('nearby', 'similarity')) t(collection, role))"
 
 
@@ -214,24 +245,41 @@ def provenance_carried(spark, d):
     return inference.carried_forward(spark.createDataFrame(NOW, "name string"), spark.createDataFrame(PRIOR, "name string, first_seen string"), "2024-05-05")
 
 
-_TOKEN = "'<redacted>:' || substr(sha256({0} || chr(0) || {1}), 1, 16)"
+_NUMBERED = "v AS (SELECT c_mktsegment AS value FROM customer UNION SELECT c_name FROM customer UNION SELECT n_name FROM nation), k AS (SELECT value, '<redacted>:' || (row_number() OVER (ORDER BY value) - 1) AS token FROM v)"
 
 
-@query(f"WITH v AS (SELECT 'c_mktsegment' AS field, c_mktsegment AS value FROM customer UNION SELECT 'c_name', c_name FROM customer) SELECT field, value, {_TOKEN.format('field', 'value')} AS token FROM v")
-def redaction_tokens(spark, d):
-    v = star.table(spark, d, "customer").select("c_mktsegment", "c_name").unpivot([], ["c_mktsegment", "c_name"], "field", "value")
-    return inference.redaction_tokens(v, "field", "value")
+def _tokens(spark, d):
+    c, n = star.table(spark, d, "customer"), star.table(spark, d, "nation")
+    return inference.redaction_tokens(union_all([c.select(F.col("c_mktsegment").alias("value")), c.select(F.col("c_name").alias("value")), n.select(F.col("n_name").alias("value"))]))
 
 
-_SEGMENT_TOKEN = _TOKEN.format("'c_mktsegment'", "c_mktsegment")
+@query(f"WITH {_NUMBERED} SELECT value, token FROM k")
+def redaction_tokens(spark, d):
+    """Tokens numbered in order of all values, by ranges."""
+    return _tokens(spark, d)
 
 
-@query(f"SELECT {_SEGMENT_TOKEN} AS masked, c_mktsegment AS shown, count(*) AS n FROM customer GROUP BY ALL")
+@query(f"WITH {_NUMBERED} SELECT k.token AS masked, c_mktsegment AS shown, count(*) AS n FROM customer JOIN k ON value = c_mktsegment GROUP BY ALL")
 def redacted_and_unmasked(spark, d):
-    c = star.table(spark, d, "customer").select("c_mktsegment")
-    tokens = inference.redaction_tokens(c.select(F.lit("c_mktsegment").alias("field"), F.col("c_mktsegment").alias("value")), "field", "value")
-    masked = inference.redacted(c.withColumn("masked", F.col("c_mktsegment")), ["masked"], "c_mktsegment").select("masked", F.col("masked").alias("shown"))
-    return inference.unmasked(masked, ["shown"], tokens, "c_mktsegment").groupBy("masked", "shown").agg(F.count("*").alias("n"))
+    c, tokens = star.table(spark, d, "customer").select(F.col("c_mktsegment").alias("masked")), _tokens(spark, d)
+    hidden = inference.masked(c, ["masked"], tokens).select("masked", F.col("masked").alias("shown"))
+    return inference.unmasked(hidden, ["shown"], tokens).groupBy("masked", "shown").agg(F.count("*").alias("n"))
+
+
+_KEY = b"a key of the tests"
+_PAD = {b: bytes(x ^ b for x in _KEY.ljust(64, b"\0")).hex() for b in (0x36, 0x5C)}
+
+
+@query(f"SELECT '<redacted>:' || sha256(unhex('{_PAD[0x5C]}') || unhex(sha256(unhex('{_PAD[0x36]}') || encode(c_mktsegment)))) AS segment, '<redacted>:' || sha256(unhex('{_PAD[0x5C]}') || unhex(sha256(unhex('{_PAD[0x36]}') || encode(c_nationkey::VARCHAR)))) AS nation, count(*) AS n FROM customer GROUP BY ALL")
+def redaction_keyed(spark, d):
+    """Tokens under a key: equal in every table, and nobody without the key can tell which value is behind one."""
+    c = star.table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    return inference.redacted(c, ["segment", "nation"], _KEY).groupBy("segment", "nation").agg(F.count("*").alias("n"))
+
+
+@query("WITH f AS (SELECT DISTINCT column_name AS field FROM duckdb_columns() WHERE table_name IN ('customer', 'events', 'nation', 'orders', 'part', 'region', 'supplier') UNION SELECT unnest(['relation', 'status'])) SELECT field, 'redacted_field_' || (row_number() OVER (ORDER BY field) - 1) AS token FROM f")
+def redaction_field_names(spark, d):
+    return inference.field_tokens(star.catalog(spark, d).fields())
 
 
 ASKED, HAVE = [("label", "Movie"), ("label", "Ghost"), ("type", "ACTED_IN"), ("type", "Movie")], [("label", "Movie"), ("type", "ACTED_IN")]

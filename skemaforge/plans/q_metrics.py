@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skemaforge.operators import metrics
+from skemaforge.operators import health, metrics, profile
 from skemaforge.sources import star
+from skemaforge.sources.catalog import union_all
 
-from .q_sources import ENTITIES
+from .q_sources import ENTITIES, PLACED, relationships
 from .registry import query, values
 
 _EDGES = "e AS (SELECT 'PLACED' AS relation, 'Customer' AS from_entity, 'Order' AS to_entity, count(*) AS edges FROM orders UNION ALL SELECT 'CONTAINS', 'Order', 'Part', count(*) FROM lineitem UNION ALL SELECT 'IN_REGION', 'Nation', 'Region', count(*) FROM nation UNION ALL SELECT 'LOST', 'Ghost', 'Part', 0)"
@@ -37,13 +38,41 @@ def label_counts(spark, d):
     return star.entities(spark, d).groupBy("type").agg(F.count("*").alias("n"))
 
 
-MODEL = [("Truck", 4), ("Depot", 1), ("Spare", 0), ("Route", 0), ("Crate", 2)]
-LINKS = [("PARKS_AT", "Truck", "Depot"), ("SERVES", "Depot", "Route"), ("TOWS", "Truck", "Wagon")]
+_PRESENT = ", ".join(f"('{t}', (SELECT {' + '.join(f'(count({c}) > 0)::INT' for c in cs)} FROM {t}))" for t, cs in (("customer", ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")), ("nation", ("n_nationkey", "n_name", "n_regionkey")), ("part", ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")), ("region", ("r_regionkey", "r_name")), ("supplier", ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"))))
+_LINKED = f"{relationships('')}, {PLACED}, l AS (SELECT DISTINCT relation, split_part(_from, '/', 1) AS from_entity, split_part(_to, '/', 1) AS to_entity FROM relationships UNION SELECT DISTINCT 'PLACED', split_part(_from, '/', 1), split_part(_to, '/', 1) FROM placed)"
 
 
-@query(f"WITH {values('m', 'entity, properties', MODEL)}, {values('l', 'relation, from_entity, to_entity', LINKS)}, a AS (SELECT count(*) AS entities, count(*) FILTER (entity IN (SELECT from_entity FROM l UNION SELECT to_entity FROM l)) AS connected, count(*) FILTER (properties > 0) AS described FROM m), b AS (SELECT count(*) AS relationships, count(*) FILTER (from_entity NOT IN (SELECT entity FROM m) OR to_entity NOT IN (SELECT entity FROM m)) AS dangling FROM l) SELECT entities, connected, entities - connected AS orphans, relationships, dangling, round(connected / nullif(entities, 0), 4) AS connectivity, round((relationships - dangling) / nullif(relationships, 0), 4) AS consistency, round(described / nullif(entities, 0), 4) AS richness FROM a, b")
+def _links(spark, d):
+    ends = profile.endpoints_by_relation(star.relationships(spark, d, shared=False), "relation").unionByName(profile.endpoints_by_relation(star.placed(spark, d).withColumn("relation", F.lit("PLACED")), "relation"))
+    return ends.select("relation", F.col("from_collection").alias("from_entity"), F.col("to_collection").alias("to_entity"))
+
+
+@query(f"WITH {_LINKED}, m(entity, properties) AS (VALUES {_PRESENT}), a AS (SELECT count(*) AS entities, count(*) FILTER (entity IN (SELECT from_entity FROM l UNION SELECT to_entity FROM l)) AS connected, count(*) FILTER (properties > 0) AS described FROM m), b AS (SELECT count(*) AS relationships, count(*) FILTER (from_entity NOT IN (SELECT entity FROM m) OR to_entity NOT IN (SELECT entity FROM m)) AS dangling FROM l) SELECT entities, connected, entities - connected AS orphans, relationships, dangling, round(connected / nullif(entities, 0), 4) AS connectivity, round((relationships - dangling) / nullif(relationships, 0), 4) AS consistency, round(described / nullif(entities, 0), 4) AS richness FROM a, b")
 def structural_metrics(spark, d):
-    return metrics.structural_metrics(spark.createDataFrame(MODEL, "entity string, properties int"), spark.createDataFrame(LINKS, "relation string, from_entity string, to_entity string"))
+    """Of the entities and relationships that the rows show; orders are left out, so what leads to them dangles."""
+    names = ["customer", "nation", "part", "region", "supplier"]
+    fields = union_all([profile.observed_fields(star.table(spark, d, n)).select(F.lit(n).alias("entity"), "field") for n in names])
+    entities = spark.createDataFrame([(n,) for n in names], "entity string").join(fields.groupBy("entity").agg(F.count("*").alias("properties")), "entity", "left").fillna(0)
+    return metrics.structural_metrics(entities, _links(spark, d))
+
+
+_HEALTH = f"""{PLACED}, {relationships('')}, e AS (SELECT 'placed' AS edges, _from, _to FROM placed UNION ALL SELECT 'relationships', _from, _to FROM relationships),
+v AS (SELECT 'customer/' || c_custkey AS id FROM customer UNION ALL SELECT 'nation/' || n_nationkey FROM nation UNION ALL SELECT 'part/' || p_partkey FROM part UNION ALL SELECT 'region/' || r_regionkey FROM region),
+x AS (SELECT edges, _from AS id, 1 AS f, 0 AS t FROM e UNION ALL SELECT edges, _to, 0, 1 FROM e UNION ALL SELECT k.edges, id, 0, 0 FROM v, (SELECT DISTINCT edges FROM e) k),
+y AS (SELECT edges, id, sum(f) AS f, sum(t) AS t, id IN (SELECT id FROM v) AS there FROM x GROUP BY edges, id),
+h AS (SELECT edges, split_part(id, '/', 1) AS collection, count(*) FILTER (there) AS rows, count(*) FILTER (there AND f + t > 0) AS connected, count(*) FILTER (there AND f + t = 0) AS orphaned, coalesce(sum(f) FILTER (NOT there), 0)::BIGINT AS dangling_from, coalesce(sum(t) FILTER (NOT there), 0)::BIGINT AS dangling_to FROM y GROUP BY 1, 2)"""
+_HEALTHY = ["customer", "nation", "part", "region"]
+
+
+@query(f"WITH {_HEALTH} SELECT * FROM h")
+def referential_health(spark, d):
+    """Rows of four collections and both edge collections; orders and suppliers are left out, so that edges dangle, and no part has an edge."""
+    return health.catalog_health(star.catalog(spark, d), _HEALTHY)
+
+
+@query(f"WITH {_HEALTH} SELECT edges, sum(rows)::BIGINT AS rows, round(sum(connected) / nullif(sum(rows), 0), 4) AS connectivity, sum(dangling_from + dangling_to)::BIGINT AS dangling FROM h GROUP BY 1")
+def referential_summary(spark, d):
+    return health.summary(health.catalog_health(star.catalog(spark, d), _HEALTHY))
 
 
 MAPPING = [("Customer", "customer"), ("Wagon", "wagons"), ("Part", "part"), ("Idea", None), ("Order", "orders")]
@@ -86,34 +115,40 @@ def gold_comparison_empty(spark, d):
     return metrics.precision_recall(none, none)
 
 
-RUNS = [("a", 0.1, 0.5, 0.25, None, 1.0), ("b", 0.35, None, None, None, None), ("c", 0.9, 1.0, 1.0, 0.5, 0.5), ("d", 1.0, 0.75, 0.25, 0.25, None), ("e", 0.33, 0.5, 0.5, 0.5, 0.5), ("f", 0.95, 0.0, 0.5, 0.0, 0.5)]
-_RUNS = f"{values('r', 'run, confidence, entity_f1, relationship_f1, domain_range_f1, mapping_accuracy', RUNS)}, q AS (SELECT *, (coalesce(entity_f1, 0) + coalesce(relationship_f1, 0) + coalesce(domain_range_f1, 0) + coalesce(mapping_accuracy, 0)) / nullif((entity_f1 IS NOT NULL)::INT + (relationship_f1 IS NOT NULL)::INT + (domain_range_f1 IS NOT NULL)::INT + (mapping_accuracy IS NOT NULL)::INT, 0) AS quality FROM r)"
-_BINS = "b AS (SELECT least(floor(confidence * 10), 9)::INTEGER AS bin, count(*) AS rows, avg(confidence) AS mean_confidence, avg(quality) AS mean_quality FROM q WHERE quality IS NOT NULL GROUP BY 1)"
+_RUNS = """r AS (SELECT doc_id::VARCHAR AS run, n_chars / (n_chars + 800.0)::DOUBLE AS confidence, quality::DOUBLE AS entity_f1, (1 - toxic)::DOUBLE AS relationship_f1, CASE WHEN doc_id % 3 > 0 THEN 0.25::DOUBLE END AS domain_range_f1, CASE WHEN doc_id % 5 > 0 THEN quality * 0.5::DOUBLE END AS mapping_accuracy FROM labels JOIN documents USING (doc_id)),
+q AS (SELECT *, (coalesce(entity_f1, 0) + coalesce(relationship_f1, 0) + coalesce(domain_range_f1, 0) + coalesce(mapping_accuracy, 0)) / nullif((entity_f1 IS NOT NULL)::INT + (relationship_f1 IS NOT NULL)::INT + (domain_range_f1 IS NOT NULL)::INT + (mapping_accuracy IS NOT NULL)::INT, 0) AS quality_ FROM r)"""
+_BINS = "b AS (SELECT least(floor(confidence * 10), 9)::INTEGER AS bin, count(*) AS rows, avg(confidence) AS mean_confidence, avg(quality_) AS mean_quality FROM q WHERE quality_ IS NOT NULL GROUP BY 1)"
 
 
-def _runs(spark):
-    return metrics.observed_quality(spark.createDataFrame(RUNS, "run string, confidence double, entity_f1 double, relationship_f1 double, domain_range_f1 double, mapping_accuracy double"))
+def _runs(spark, d):
+    """A run a labelled document: how sure a guess by its length is, and how good the document is."""
+    j = star.table(spark, d, "labels").join(star.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    when = lambda n, v: F.when(F.col("doc_id") % n > 0, v)
+    runs = j.select(F.col("doc_id").cast("string").alias("run"), (F.col("n_chars") / (F.col("n_chars") + 800.0)).alias("confidence"), F.col("quality").cast("double").alias("entity_f1"), (1 - F.col("toxic")).cast("double").alias("relationship_f1"), when(3, F.lit(0.25)).alias("domain_range_f1"), when(5, F.col("quality") * 0.5).alias("mapping_accuracy"))
+    return metrics.observed_quality(runs)
 
 
-@query(f"WITH {_RUNS} SELECT run, confidence, quality FROM q")
+@query(f"WITH {_RUNS} SELECT run, round(confidence, 9) AS confidence, round(quality_, 9) AS quality FROM q")
 def observed_quality(spark, d):
-    return _runs(spark).select("run", "confidence", "quality")
+    return _runs(spark, d).select("run", F.round("confidence", 9).alias("confidence"), F.round("quality", 9).alias("quality"))
 
 
-@query(f"WITH {_RUNS}, {_BINS} SELECT i::INTEGER AS bin, coalesce(rows, 0) AS rows, mean_confidence, mean_quality FROM range(10) t(i) LEFT JOIN b ON b.bin = i")
+@query(f"WITH {_RUNS}, {_BINS} SELECT i::INTEGER AS bin, coalesce(rows, 0) AS rows, round(mean_confidence, 6) AS mean_confidence, round(mean_quality, 6) AS mean_quality FROM range(10) t(i) LEFT JOIN b ON b.bin = i")
 def reliability_bins(spark, d):
-    return metrics.reliability_bins(_runs(spark), "confidence", "quality")
+    out = metrics.reliability_bins(_runs(spark, d), "confidence", "quality")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_confidence", "mean_quality")})
 
 
-@query(f"WITH {_RUNS}, {_BINS} SELECT round((SELECT sum(rows * abs(mean_confidence - mean_quality)) / sum(rows) FROM b), 6) AS ece, round((SELECT max(abs(mean_confidence - mean_quality)) FROM b), 6) AS mce, round(avg((confidence - quality) * (confidence - quality)), 6) AS brier, round(avg(confidence) - avg(quality), 6) AS gap FROM q WHERE quality IS NOT NULL")
+@query(f"WITH {_RUNS}, {_BINS} SELECT round((SELECT sum(rows * abs(mean_confidence - mean_quality)) / sum(rows) FROM b), 6) AS ece, round((SELECT max(abs(mean_confidence - mean_quality)) FROM b), 6) AS mce, round(avg((confidence - quality_) * (confidence - quality_)), 6) AS brier, round(avg(confidence) - avg(quality_), 6) AS gap FROM q WHERE quality_ IS NOT NULL")
 def calibration_errors(spark, d):
-    out = metrics.calibration_errors(_runs(spark).where("quality is not null"), "confidence", "quality")
+    out = metrics.calibration_errors(_runs(spark, d).where("quality is not null"), "confidence", "quality")
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
-@query(f"WITH {_RUNS}, g AS (SELECT confidence AS t, quality >= 0.5 AS good FROM q WHERE quality IS NOT NULL), j AS (SELECT t, (SELECT count(*) FILTER (good) FROM g x WHERE x.t >= s.t) / (SELECT count(*) FILTER (good) FROM g) - (SELECT count(*) FILTER (NOT good) FROM g x WHERE x.t >= s.t) / (SELECT count(*) FILTER (NOT good) FROM g) AS j FROM (SELECT DISTINCT t FROM g) s) SELECT t AS threshold, round(j, 6) AS j FROM j ORDER BY j DESC, t DESC LIMIT 1")
+@query(f"WITH {_RUNS}, g AS (SELECT confidence AS t, count(*) FILTER (quality_ >= 0.5) AS g, count(*) FILTER (quality_ < 0.5) AS b FROM q WHERE quality_ IS NOT NULL GROUP BY 1), j AS (SELECT t, sum(g) OVER (ORDER BY t DESC) / (SELECT sum(g) FROM g) - sum(b) OVER (ORDER BY t DESC) / (SELECT sum(b) FROM g) AS j FROM g) SELECT t AS threshold, round(j, 6) AS j FROM j ORDER BY j DESC, t DESC LIMIT 1")
 def youden_threshold(spark, d):
-    good = _runs(spark).where("quality is not null").withColumn("good", F.col("quality") >= 0.5)
+    """Scores aren't rounded: there are about as many as rows."""
+    good = _runs(spark, d).where("quality is not null").withColumn("good", F.col("quality") >= 0.5)
     return metrics.youden(good, "confidence", "good").select("threshold", F.round("j", 6).alias("j"))
 
 

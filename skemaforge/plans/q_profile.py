@@ -113,6 +113,34 @@ def endpoint_types(spark, d):
     return profile.endpoint_types(star.relationships(spark, d), vertices, "relation", "type")
 
 
+_BOUNDED = """c AS (SELECT 'l_returnflag' AS field, l_returnflag AS value, count(*) AS count FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linenumber', l_linenumber::VARCHAR, count(*) FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_suppkey', l_suppkey::VARCHAR, count(*) FROM lineitem GROUP BY 2
+UNION ALL SELECT 'row', l_orderkey || '-' || l_linenumber, count(*) FROM lineitem GROUP BY 2 UNION ALL SELECT 'skewed', CASE WHEN l_orderkey % 3 = 0 THEN 'most' ELSE l_orderkey::VARCHAR END, count(*) FROM lineitem GROUP BY 2),
+s AS (SELECT *, count(*) OVER (PARTITION BY field) AS n, sum(count) OVER (PARTITION BY field) AS rows FROM c)"""
+
+
+@query(f"WITH {_BOUNDED} SELECT field, value, count FROM s WHERE n <= 250 OR count > 7.0 / 16384 * rows")
+def heavy_value_counts(spark, d):
+    """All values of label-like fields; of a unique field none, of a skewed one its heavy value: the sketch tells which can be frequent, and they are counted again."""
+    line = star.table(spark, d, "lineitem").select("l_returnflag", "l_linenumber", "l_suppkey", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row"), F.when(F.col("l_orderkey") % 3 == 0, "most").otherwise(F.col("l_orderkey").cast("string")).alias("skewed"))
+    return profile.bounded_counts(line, line.columns, cap=250)
+
+
+_HUB = "hub AS (SELECT 'user/' || user_id AS _from, CASE WHEN event_id % 10 > 0 THEN 'type/click' ELSE 'type/' || event_type END AS _to, CASE WHEN value > 50 THEN 'HIGH' ELSE 'LOW' END AS relation FROM events), ends AS (SELECT DISTINCT 'user/' || user_id AS _id, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS type FROM events WHERE user_id % 7 > 0 UNION ALL SELECT 'type/' || event_type, 'kind' FROM (SELECT DISTINCT event_type FROM events))"
+
+
+def _hub_edges(spark, d):
+    e = star.table(spark, d, "events")
+    edges = e.select(F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("_from"), F.when(F.col("event_id") % 10 > 0, "type/click").otherwise(F.concat(F.lit("type/"), F.col("event_type"))).alias("_to"), F.when(F.col("value") > 50, "HIGH").otherwise("LOW").alias("relation"))
+    users = e.where("user_id % 7 > 0").select(F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("_id"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("type")).distinct()
+    return edges, users.union(e.select(F.concat(F.lit("type/"), F.col("event_type")), F.lit("kind")).distinct())
+
+
+@query(f"WITH {_HUB} SELECT relation, f.type AS from_type, t.type AS to_type, count(*) AS edges FROM hub LEFT JOIN ends f ON _from = f._id LEFT JOIN ends t ON _to = t._id GROUP BY ALL")
+def endpoint_types_of_hubs(spark, d):
+    """Nine in ten edges lead to one vertex."""
+    return profile.endpoint_types(*_hub_edges(spark, d), "relation", "type")
+
+
 @query("SELECT 'c_mktsegment' AS field, count(*) AS rows, count(c_mktsegment) AS present, count(DISTINCT c_mktsegment) AS \"distinct\" FROM customer UNION ALL SELECT 'c_nationkey', count(*), count(c_nationkey), count(DISTINCT c_nationkey) FROM customer")
 def field_coverage(spark, d):
     return profile.field_coverage(star.table(spark, d, "customer"), ["c_mktsegment", "c_nationkey"])
