@@ -17,14 +17,14 @@ PREFERRED = {"document": ("type", "_type", "kind", "entityType", "label"), "edge
 MIN_DISTINCT, MAX_DISTINCT, COVERAGE = 2, 32, 0.80
 
 
-def choose_discriminator(counts: DataFrame, totals: DataFrame, kind: str = "document") -> DataFrame:
+def choose_discriminator(counts: DataFrame, totals: DataFrame, kind: str = "document", most: int = MAX_DISTINCT) -> DataFrame:
     """collection, field. counts: collection, field, value, count; totals: collection, rows.
 
-    A field passes if all its values are labels, it has 2 to 32 of them, and they cover 80 % of the rows. Of the passing ones the most
+    A field passes if all its values are labels, it has 2 to ``most`` of them (32, or 10,000 with full label sets), and they cover 80 % of the rows. Of the passing ones the most
     distinct wins; ties go to the preferred names in order, then by name.
     """
     shape = counts.groupBy("collection", "field").agg(F.count("*").alias("distinct"), F.sum("count").alias("covered"), F.bool_and(naming.is_label(F.col("value"))).alias("labels"))
-    passing = shape.join(totals, "collection").where(F.col("labels") & F.col("distinct").between(MIN_DISTINCT, MAX_DISTINCT) & (F.col("covered") >= COVERAGE * F.col("rows")))
+    passing = shape.join(totals, "collection").where(F.col("labels") & F.col("distinct").between(MIN_DISTINCT, most) & (F.col("covered") >= COVERAGE * F.col("rows")))
     preferred = F.coalesce(F.array_position(F.array(*map(F.lit, PREFERRED[kind])), F.col("field")), F.lit(0))
     order = F.when(preferred > 0, preferred).otherwise(1000)
     w = Window.partitionBy("collection").orderBy(F.col("distinct").desc(), order, "field")
@@ -332,26 +332,6 @@ def unknown_pattern_parts(asked: DataFrame, known: DataFrame) -> DataFrame:
     return asked.join(known, ["kind", "name"], "left_anti")
 
 
-def concepts(fields: DataFrame, least_entities: int = 2) -> DataFrame:
-    """extent, intent: maximal groups of entities that share a set of properties (formal concepts). fields: entity, property.
-
-    Extents are the properties' entity sets, closed under intersection; a step intersects the extents found with the properties', until none is new.
-    """
-    base = fields.groupBy("property").agg(F.array_sort(F.collect_set("entity")).alias("extent")).select("extent").distinct()
-    extents = base
-    while True:
-        pairs = extents.join(base.withColumnRenamed("extent", "other"), F.arrays_overlap("extent", "other"))
-        more = extents.union(pairs.select(F.array_sort(F.array_intersect("extent", "other")))).distinct()
-        more = more.where(F.size("extent") >= least_entities)
-        if more.count() == extents.where(F.size("extent") >= least_entities).count():
-            break
-        extents = more.cache()
-    per = fields.groupBy("entity").agg(F.collect_set("property").alias("own"))
-    each = more.select("extent", F.explode("extent").alias("entity")).join(per, "entity")
-    shared = each.groupBy("extent").agg(F.collect_list("own").alias("all"))
-    return shared.select(F.array_join("extent", ",").alias("extent"), F.array_join(F.array_sort(F.expr("aggregate(slice(all, 2, size(all)), all[0], (a, x) -> array_intersect(a, x))")), ",").alias("intent"))
-
-
 def discriminator_taxonomy(entities: DataFrame) -> DataFrame:
     """child, parent: LABEL entities of one collection under its whole-collection entity. entities: entity, style, collection."""
     parent = entities.where("style = 'COLLECTION'").select("collection", F.col("entity").alias("parent"))

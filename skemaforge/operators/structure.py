@@ -13,7 +13,7 @@ from skemaforge.functions import naming
 PREDICATE_FIELDS = ("predicate", "p", "rel", "relation", "relType")
 TYPE_PREDICATES = ("rdf:type", "type", "a", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type")
 # What a model with mappings of each style is called.
-PATTERNS = {"LABEL": "LPG_LABEL", "COLLECTION": "PG_ENTITY_COLLECTION", "GENERIC_WITH_TYPE": "LPG_GENERIC_EDGE", "DEDICATED_COLLECTION": "PG_DEDICATED_EDGE"}
+PATTERNS = {"LABEL": "LPG_LABEL", "COLLECTION": "PG_ENTITY_COLLECTION", "GENERIC_WITH_TYPE": "LPG_GENERIC_EDGE", "DEDICATED_COLLECTION": "PG_DEDICATED_EDGE", "FOREIGN_KEY": "attribute_foreign_key"}
 # How names in an interchange document look.
 CLASS_NAME, PROPERTY_NAME = r"^[A-Z][A-Za-z0-9]*$", r"^[a-z][A-Za-z0-9]*$"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skemaforge.operators import foreign_keys, inference, profile
+from skemaforge.operators import foreign_keys, inference, profile, taxonomy
 from skemaforge.sources import star
 from skemaforge.sources.catalog import union_all
 
@@ -291,12 +291,24 @@ def unknown_pattern_parts(spark, d):
     return inference.unknown_pattern_parts(spark.createDataFrame(ASKED, s), spark.createDataFrame(HAVE, s))
 
 
-GOODS = [(e, p) for e in ("Crate", "Pallet", "Barrel", "Drum") for p in ("sku", "weight", "owner")] + [(e, "lid") for e in ("Crate", "Barrel", "Drum")] + [("Depot", "owner")]
+_STAR = ("customer", "nation", "orders", "part", "region", "supplier")
+_INCIDENCE = f"""f AS (SELECT table_name AS entity, regexp_replace(column_name, '^[a-z]+_', '') AS property FROM duckdb_columns() WHERE table_name IN {_STAR}), e AS (SELECT entity, (1 << (row_number() OVER (ORDER BY entity) - 1)::INT) AS bit FROM (SELECT DISTINCT entity FROM f)),
+m AS (SELECT property, sum(bit)::BIGINT AS mask FROM f JOIN e USING (entity) GROUP BY 1), c(x) AS (SELECT DISTINCT mask FROM m UNION SELECT c.x & m.mask FROM c, m)"""
 
 
-@query("SELECT * FROM (VALUES ('Barrel,Crate,Depot,Drum,Pallet', 'owner'), ('Barrel,Crate,Drum,Pallet', 'owner,sku,weight'), ('Barrel,Crate,Drum', 'lid,owner,sku,weight')) t(extent, intent)")
+@query(f"""WITH RECURSIVE {_INCIDENCE}, s AS (SELECT x FROM c WHERE bit_count(x) >= 2), p AS (SELECT x, property, string_agg(entity, '+' ORDER BY entity) AS present FROM s, m, e WHERE mask & x > 0 AND mask & x <> x AND mask & x & bit > 0 GROUP BY ALL)
+SELECT (SELECT string_agg(entity, ',' ORDER BY entity) FROM e WHERE bit & s.x > 0) AS extent, (SELECT string_agg(property, ',' ORDER BY property) FROM m WHERE mask & s.x = s.x) AS intent, (SELECT coalesce(string_agg(property || ':' || present, ',' ORDER BY property), '') FROM p WHERE p.x = s.x) AS partial FROM s""")
 def taxonomy_concepts(spark, d):
-    return inference.concepts(spark.createDataFrame(GOODS, "entity string, property string"))
+    """Groups of tables that share properties: fields with a value in some row, without the tables' prefixes."""
+    fields = union_all([profile.observed_fields(star.table(spark, d, t)).select(F.lit(t).alias("entity"), F.regexp_replace("field", "^[a-z]+_", "").alias("property")) for t in _STAR])
+    return taxonomy.joined(taxonomy.concepts(fields))
+
+
+@query(f"WITH {ENTITIES}, f AS (SELECT DISTINCT type AS entity, 'name' AS property FROM entities UNION SELECT DISTINCT type, 'balance' FROM entities WHERE balance IS NOT NULL) SELECT string_agg(entity, ',' ORDER BY entity) AS extent, CASE WHEN count(*) = 2 THEN 'balance,name' ELSE 'name' END AS intent, CASE WHEN count(*) = 2 THEN '' ELSE 'balance:Customer+Supplier' END AS partial FROM (SELECT entity, property FROM f WHERE entity <> 'Region') GROUP BY property")
+def taxonomy_of_labels(spark, d):
+    """Labels of a shared collection, one of which is left out as a member of a family."""
+    fields = profile.observed_fields_by_type(star.entities(spark, d), "type").select(F.col("type").alias("entity"), F.col("field").alias("property"))
+    return taxonomy.joined(taxonomy.concepts(fields, without=("Region",)))
 
 
 TAXONOMY = [("Vessel", "COLLECTION", "vessels"), ("Jar", "LABEL", "vessels"), ("Vat", "LABEL", "vessels"), ("Solo", "LABEL", "other"), ("Other", "COLLECTION", "other")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skemaforge.operators import profile
+from skemaforge.operators import partials, profile, shapes
 from skemaforge.sources import star
 from skemaforge.sources.catalog import union_all
 
@@ -125,6 +125,45 @@ def heavy_value_counts(spark, d):
     return profile.bounded_counts(line, line.columns, cap=250)
 
 
+@query("WITH c AS (SELECT 'l_returnflag' AS field, l_returnflag AS value, count(*) AS count FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linenumber', l_linenumber::VARCHAR, count(*) FROM lineitem GROUP BY 2) SELECT field, value, count FROM c")
+def merged_value_counts(spark, d):
+    """Counts of each month of shipping, merged."""
+    return partials.merged_values(partials.partial_values(star.table(spark, d, "lineitem"), ["l_returnflag", "l_linenumber"], F.date_trunc("month", "l_shipdate")))
+
+
+@query("SELECT 'l_returnflag' AS field, count(*) AS rows, count(l_returnflag) AS present, count(DISTINCT l_returnflag) AS \"distinct\" FROM lineitem UNION ALL SELECT 'l_linenumber', count(*), count(l_linenumber), count(DISTINCT l_linenumber) FROM lineitem UNION ALL SELECT 'big', count(*), count(*) FILTER (l_quantity > 40), count(DISTINCT l_quantity) FILTER (l_quantity > 40) FROM lineitem")
+def merged_statistics(spark, d):
+    """Rows, values and distinct values (of sketches small enough to be exact) of each month of shipping, merged."""
+    line = star.table(spark, d, "lineitem").withColumn("big", F.when(F.col("l_quantity") > 40, F.col("l_quantity")))
+    return partials.merged_stats(partials.partial_stats(line, ["l_returnflag", "l_linenumber", "big"], F.date_trunc("month", "l_shipdate")))
+
+
+def _documents(spark, d):
+    """Events and turns of conversations as documents without a schema: nested and dotted names, nulls, one field of several types."""
+    e, c = star.table(spark, d, "events"), star.table(spark, d, "conversations")
+    detail = F.struct(F.when(F.col("event_id") % 3 > 0, F.col("user_id")).alias("user.id"), F.parse_json("props").alias("props"))
+    events = e.select(F.to_json(F.struct(F.col("event_type").alias("kind"), (F.col("event_id") % 2 == 0).alias("even"), detail.alias("detail"), F.col("event_id").alias("n")), {"ignoreNullFields": "false"}).alias("doc"))
+    turns = c.select(F.to_json(F.struct(F.col("role").alias("kind"), (F.col("turn") + 0.5).alias("n"), F.array("role").alias("tags")), {"ignoreNullFields": "false"}).alias("doc"))
+    return events.union(turns)
+
+
+_DOCUMENTS = """p AS (
+SELECT 'kind' AS path, 'string' AS kind, event_type AS value FROM events UNION ALL SELECT 'even', 'boolean', (event_id % 2 = 0)::VARCHAR FROM events UNION ALL SELECT 'detail', 'object', NULL FROM events
+UNION ALL SELECT 'detail.`user.id`', CASE WHEN event_id % 3 > 0 THEN 'integer' END, CASE WHEN event_id % 3 > 0 THEN user_id::VARCHAR END FROM events UNION ALL SELECT 'detail.props', 'object', NULL FROM events
+UNION ALL SELECT 'detail.props.k', 'integer', props->>'k' FROM events UNION ALL SELECT 'n', 'integer', event_id::VARCHAR FROM events
+UNION ALL SELECT 'kind', 'string', role FROM conversations UNION ALL SELECT 'n', 'float', turn || '.5' FROM conversations UNION ALL SELECT 'tags', 'array', NULL FROM conversations)"""
+
+
+@query(f"WITH {_DOCUMENTS}, k AS (SELECT path, kind, count(*) AS n FROM p GROUP BY ALL) SELECT path, coalesce(sum(n) FILTER (kind IS NOT NULL), 0)::BIGINT AS present, coalesce(sum(n) FILTER (kind IS NULL), 0)::BIGINT AS nulls, coalesce(string_agg(kind || ':' || n, ',' ORDER BY kind) FILTER (kind IS NOT NULL), '') AS kinds, CASE WHEN count(DISTINCT kind) = 1 THEN max(kind) WHEN bool_and(kind IN ('integer', 'float')) THEN 'float' ELSE 'unknown' END AS category FROM k GROUP BY path")
+def schemaless_shapes(spark, d):
+    return shapes.shapes(_documents(spark, d), "doc")
+
+
+@query(f"WITH {_DOCUMENTS}, v AS (SELECT DISTINCT path, value FROM p WHERE kind NOT IN ('object', 'array') AND value IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY md5(value), value) AS k FROM v) SELECT path, value FROM k WHERE k <= 50")
+def schemaless_samples(spark, d):
+    return shapes.sampled(_documents(spark, d), "doc")
+
+
 _HUB = "hub AS (SELECT 'user/' || user_id AS _from, CASE WHEN event_id % 10 > 0 THEN 'type/click' ELSE 'type/' || event_type END AS _to, CASE WHEN value > 50 THEN 'HIGH' ELSE 'LOW' END AS relation FROM events), ends AS (SELECT DISTINCT 'user/' || user_id AS _id, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS type FROM events WHERE user_id % 7 > 0 UNION ALL SELECT 'type/' || event_type, 'kind' FROM (SELECT DISTINCT event_type FROM events))"
 
 

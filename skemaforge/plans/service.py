@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from skemaforge.sources import star
@@ -46,3 +47,5 @@ def run(request: dict, spark: SparkSession, catalog: Catalog | None = None) -> d
         code, _, message = str(e).partition(": ")
         known = code == "INVALID_ARGUMENT"
         return {"ok": False, "error": {"code": code if known else "FAILED", "message": message if known else str(e)}}
+    except PySparkException as e:
+        return {"ok": False, "error": {"code": e.getCondition() or "FAILED", "message": str(e).splitlines()[0]}}

@@ -9,10 +9,10 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skemaforge.operators import profile
-from skemaforge.sources.catalog import Catalog, sample, union_all
+from skemaforge.operators import inference, profile
+from skemaforge.sources.catalog import Catalog, named, sample, union_all
 
-from .analysis import candidate_fields
+from .analysis import _counted, candidate_fields
 
 
 def now_iso() -> str:
@@ -24,7 +24,7 @@ def value_table(catalog: Catalog) -> DataFrame:
     parts = []
     for c in catalog.user_collections():
         if fields := candidate_fields(c):
-            top = profile.ranked(profile.value_counts(c.df, fields)).where(F.col("rank") <= profile.TOP_K + profile.OVERFLOW_K)
+            top = profile.ranked(profile.bounded_counts(c.df, fields)).where(F.col("rank") <= profile.TOP_K + profile.OVERFLOW_K)
             parts.append(top.select(F.lit(c.name).alias("collection"), "field", "value", "count", "rank"))
     empty = catalog.spark.createDataFrame([], "collection string, field string, value string, count long, rank int")
     return union_all([empty, *parts])
@@ -32,7 +32,8 @@ def value_table(catalog: Catalog) -> DataFrame:
 
 def field_table(catalog: Catalog) -> DataFrame:
     """collection, field, present: fields with a value in some row."""
-    return union_all([profile.observed_fields(c.df).select(F.lit(c.name).alias("collection"), "field", "present") for c in catalog.user_collections()])
+    empty = catalog.spark.createDataFrame([], "collection string, field string, present long")
+    return union_all([empty, *(profile.observed_fields(c.df).select(F.lit(c.name).alias("collection"), "field", "present") for c in catalog.user_collections())])
 
 
 def endpoint_table(catalog: Catalog) -> DataFrame:
@@ -42,13 +43,57 @@ def endpoint_table(catalog: Catalog) -> DataFrame:
     return union_all([empty, *parts])
 
 
-def snapshot(catalog: Catalog, samples: int = 0) -> dict:
-    """Five phases, a few jobs each: collections with counts, values, fields, endpoints, graphs; ``samples`` adds that many rows a collection.
+def type_fields(catalog: Catalog, label_floor: int = 0) -> dict[str, str]:
+    """The field that tells types apart, of each collection that has one (an edge collection's may have one value only)."""
+    most = profile.HARD_CAP if label_floor > 0 else inference.MAX_DISTINCT
+    totals, counts = _counted(catalog, catalog.user_collections(), candidate_fields, most)
+    if label_floor > 0:
+        counts = counts.where(F.col("count") >= label_floor)
+    out = {}
+    for kind in ("document", "edge"):
+        own = counts.where(F.col("kind") == kind)
+        out |= {r["collection"]: r["field"] for r in inference.choose_discriminator(own, totals, kind, most).collect()}
+    single = inference.single_value_edges(counts.where("kind = 'edge'").where(F.col("field").isin(*inference.PREFERRED["edge"])))
+    out = {r["collection"]: r["field"] for r in single.orderBy(F.col("field").desc()).collect()} | out
+    counts.unpersist()
+    return out
+
+
+def typed_field_table(catalog: Catalog, types: dict[str, str]) -> DataFrame:
+    """collection, type, field, present: fields with a value in some row, by type (``types``: as of ``type_fields``)."""
+    empty = catalog.spark.createDataFrame([], "collection string, type string, field string, present long")
+    parts = [profile.observed_fields_by_type(catalog.collections[c].df, f).select(F.lit(c).alias("collection"), F.col("type").cast("string").alias("type"), "field", "present") for c, f in sorted(types.items())]
+    return union_all([empty, *parts])
+
+
+def relation_table(catalog: Catalog, types: dict[str, str]) -> DataFrame:
+    """collection, relation, from_collection, to_collection, edges of edge collections with types."""
+    empty = catalog.spark.createDataFrame([], "collection string, relation string, from_collection string, to_collection string, edges long")
+    parts = [profile.endpoints_by_relation(catalog.collections[c].df, f).select(F.lit(c).alias("collection"), F.col("relation").cast("string").alias("relation"), "from_collection", "to_collection", "edges") for c, f in sorted(types.items()) if catalog.collections[c].kind == "edge"]
+    return union_all([empty, *parts])
+
+
+def entity_type_table(catalog: Catalog, types: dict[str, str]) -> DataFrame:
+    """collection, relation, from_type, to_type, edges: the types of both ends in shared collections; null where an end has none."""
+    empty = catalog.spark.createDataFrame([], "collection string, relation string, from_type string, to_type string, edges long")
+    shared = [catalog.collections[c].df.select("_id", named(f).cast("string").alias("type")) for c, f in sorted(types.items()) if catalog.collections[c].kind == "document"]
+    if not shared:
+        return empty
+    parts = [profile.endpoint_types(catalog.collections[c].df, union_all(shared), f, "type").select(F.lit(c).alias("collection"), F.col("relation").cast("string").alias("relation"), "from_type", "to_type", "edges") for c, f in sorted(types.items()) if catalog.collections[c].kind == "edge"]
+    return union_all([empty, *parts])
+
+
+def snapshot(catalog: Catalog, samples: int = 0, label_floor: int = 0) -> dict:
+    """Five phases, a few jobs each: collections with counts, values, fields (also by type), endpoints (also by relation), graphs.
+
+    ``samples`` adds that many rows a collection; ``label_floor`` takes full label sets of values with at least so many rows.
 
     What comes to the driver is metadata: at most 70 values a field, a row a field, a pair of collections, and the samples.
     """
     by = lambda df: _grouped([r.asDict() for r in df.collect()])
     values, fields, ends = by(value_table(catalog)), by(field_table(catalog)), by(endpoint_table(catalog))
+    types = type_fields(catalog, label_floor)
+    by_type, by_relation, by_entity = by(typed_field_table(catalog, types)), by(relation_table(catalog, types)), by(entity_type_table(catalog, types))
     rows = {r["collection"]: r["rows"] for r in catalog.counts().collect()}
     out = []
     for c in catalog.user_collections():
@@ -56,7 +101,12 @@ def snapshot(catalog: Catalog, samples: int = 0) -> dict:
         own = values.get(c.name, [])
         entry["values"] = {f: [(r["value"], r["count"]) for r in sorted(own, key=lambda r: r["rank"]) if r["field"] == f and r["rank"] <= profile.TOP_K] for f in sorted({r["field"] for r in own})}
         entry["overflow"] = {f: [r["value"] for r in sorted(own, key=lambda r: r["rank"]) if r["field"] == f and r["rank"] > profile.TOP_K] for f in sorted({r["field"] for r in own if r["rank"] > profile.TOP_K})}
+        if c.name in types:
+            entry["type_field"] = types[c.name]
+            entry["fields_by_type"] = {t: sorted(r["field"] for r in by_type.get(c.name, []) if r["type"] == t) for t in sorted({r["type"] for r in by_type.get(c.name, [])})}
         if c.kind == "edge":
+            entry["endpoints_by_relation"] = sorted((r["relation"] or "", r["from_collection"], r["to_collection"], r["edges"]) for r in by_relation.get(c.name, []))
+            entry["types_by_relation"] = sorted((r["relation"] or "", r["from_type"] or "", r["to_type"] or "", r["edges"]) for r in by_entity.get(c.name, []))
             entry["endpoints"] = sorted((r["from_collection"], r["to_collection"]) for r in ends.get(c.name, []))
         if samples:
             entry["samples"] = [r.asDict(True) for r in sample(c.df, samples, "_key" if "_key" in c.df.columns else c.df.columns[0]).collect()]
