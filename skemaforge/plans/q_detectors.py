@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skemaforge.functions import naming
 from skemaforge.operators import foreign_keys, inference, profile, taxonomy
 from skemaforge.sources import star
 from skemaforge.sources.catalog import union_all
 
 from .q_foreign_keys import _PROBED, _ROWS, _SHAPES, _SINGLE, _VOTES
-from .q_sources import COLLECTIONS, ENTITIES, GRAPH_ROWS
+from .q_sources import COLLECTIONS, ENTITIES, GRAPH_ROWS, PLACED, relationships
 from .registry import query, values
 
 
@@ -43,24 +44,29 @@ def baseline_entities(spark, d):
     return inference.baseline_entities(names, inference.choose_discriminator(counts, totals), counts)
 
 
-EDGE_COUNTS = [("moves", "relation", "SHIPS_TO", 812), ("moves", "relation", "RETURNS_TO", 77), ("bills", "type", "BILLS", 31), ("ties", "type", "SUPPLIES", 14)]
+_EDGE_COUNTS = f"{relationships('')}, {PLACED}, c AS (SELECT 'relationships' AS collection, 'relation' AS field, relation AS value, count(*) AS count FROM relationships GROUP BY 3 UNION ALL SELECT 'placed', 'status', status, count(*) FROM placed GROUP BY 3 UNION ALL SELECT 'located', 'relation', 'IN_REGION', count(*) FROM relationships WHERE relation = 'IN_REGION' UNION ALL SELECT 'in-region', 'type', 'IN_REGION', count(*) FROM relationships WHERE relation = 'IN_REGION')"
 
 
-@query(f"WITH {values('c', 'collection, field, value, count', EDGE_COUNTS)} SELECT collection, field, min(value) AS value FROM c GROUP BY ALL HAVING count(*) = 1 AND upper(replace(min(value), '-', '_')) <> upper(replace(collection, '-', '_'))")
-def single_value_edges(spark, d):
-    return inference.single_value_edges(spark.createDataFrame(EDGE_COUNTS, "collection string, field string, value string, count long"))
+def _edge_counts(spark, d):
+    """Values of edge fields: two collections of several relations, two of one, one of which is named after it."""
+    r, p = star.relationships(spark, d, shared=False), star.placed(spark, d)
+    one = r.where("relation = 'IN_REGION'")
+    named = [("relationships", r, "relation"), ("placed", p, "status"), ("located", one, "relation"), ("in-region", one.withColumnRenamed("relation", "type"), "type")]
+    return union_all([profile.value_counts(df, [f]).select(F.lit(n).alias("collection"), "field", "value", "count") for n, df, f in named])
 
 
-EDGE_NAMES = [("moves",), ("bills",), ("stored-at",)]
+@query(f"WITH {_EDGE_COUNTS} SELECT collection, field, min(value) AS value FROM c GROUP BY ALL HAVING count(*) = 1 AND upper(replace(min(value), '-', '_')) <> upper(replace(collection, '-', '_'))")
+def single_value_edges(spark, d):
+    return inference.single_value_edges(_edge_counts(spark, d))
 
 
-@query(f"""WITH {values('c', 'collection, field, value, count', EDGE_COUNTS)}, {values('e', 'collection', EDGE_NAMES)}, disc AS (SELECT collection, field FROM c GROUP BY ALL HAVING count(*) > 1)
+@query(f"""WITH {_EDGE_COUNTS}, disc AS (SELECT collection, field FROM c GROUP BY ALL HAVING count(*) > 1)
 SELECT value AS relation, 'GENERIC_WITH_TYPE' AS style, c.collection, c.field AS type_field, value AS type_value FROM c JOIN disc USING (collection, field)
-UNION ALL SELECT upper(replace(collection, '-', '_')), 'DEDICATED_COLLECTION', collection, NULL, NULL FROM e WHERE collection NOT IN (SELECT collection FROM disc)""")
+UNION ALL SELECT upper(replace(collection, '-', '_')), 'DEDICATED_COLLECTION', collection, NULL, NULL FROM (SELECT DISTINCT collection FROM c) WHERE collection NOT IN (SELECT collection FROM disc)""")
 def baseline_relationships(spark, d):
-    counts = spark.createDataFrame(EDGE_COUNTS, "collection string, field string, value string, count long")
-    disc = spark.createDataFrame([("moves", "relation")], "collection string, field string")
-    return inference.baseline_relationships(spark.createDataFrame(EDGE_NAMES, "collection string"), disc, counts)
+    counts = _edge_counts(spark, d)
+    disc = counts.groupBy("collection", "field").agg(F.count("*").alias("n")).where("n > 1").select("collection", "field")
+    return inference.baseline_relationships(counts.select("collection").distinct(), disc, counts)
 
 
 FAMILY = [(c, f) for c in ("alphaDocument", "betaDocument", "gamma_Document") for f in ("doc_version", "label", "repo")] + [("x_Thing", "a"), ("y_Thing", "a"), ("zzz", "b"), ("ab", "c"), ("cb", "c")]
@@ -190,18 +196,32 @@ def triple_collections(spark, d):
     return inference.triple_collections(spark.createDataFrame(RDF, "collection string, field string"))
 
 
-RAG = [("chunks", "document", "text"), ("passages", "document", "type"), ("passage_store", "document", "text"), ("passage_store", "document", "embedding"), ("entities", "document", "name"), ("mentions", "edge", "_from"), ("nearby", "edge", "weight"), ("users", "document", "name"), ("follows", "edge", "since")]
-_ROLES = "r AS (SELECT * FROM (VALUES ('chunks', 'chunk'), ('passage_store', 'chunk'), ('entities', 'entity'), ('mentions', 'mention'), ('nearby', 'similarity')) t(collection, role))"
+_CORPUS = ("benchmark", "conversations", "customer", "documents", "embeddings", "nation", "pages")
+#: Edge collections that the tables' rows make: turns of one conversation in a row, near vectors, regions' mentions.
+_EDGE_FIELDS = "SELECT 'next_turns' AS collection, 'edge' AS kind, 'turn' AS field FROM conversations UNION SELECT 'vectors', 'edge', 'distance' FROM embeddings UNION SELECT 'mentions_of_nations', 'edge', 'n_name' FROM nation"
+_FIELDS_OF = f"f AS (SELECT table_name AS collection, 'document' AS kind, column_name AS field FROM duckdb_columns() WHERE table_name IN {_CORPUS} UNION {_EDGE_FIELDS})"
+_ROLES = f"""{_FIELDS_OF}, g AS (SELECT collection, kind, list(lower(field)) AS l FROM f GROUP BY ALL), r AS (SELECT * FROM (SELECT collection, CASE WHEN kind = 'document' THEN CASE
+WHEN list_has_any(l, ['embedding', 'embeddings', 'vector', 'vectors', 'embedding_vector', 'dense_vector']) OR (regexp_matches(collection, '(?i)(chunks?|passages?|embeddings?)$|^text_?units?$') AND list_has_any(l, ['text', 'content', 'body', 'passage', 'chunk', 'chunk_text', 'page_content', 'document'])) THEN 'chunk'
+WHEN regexp_matches(collection, '(?i)^entit(y|ies)$|_entit(y|ies)$|^nodes?$|^concepts?$') OR (list_contains(l, 'name') AND list_has_any(l, ['type', 'description', 'entity_type', 'category'])) THEN 'entity' END
+WHEN regexp_matches(collection, '(?i)similar|^knn$|neighbou?rs?$|related') OR list_has_any(l, ['score', 'similarity', 'distance', 'cosine', 'weight']) THEN 'similarity' WHEN regexp_matches(collection, '(?i)mention|has_?entit|refers?_?to|appears_?in|contains_?entit') THEN 'mention' END AS role FROM g) WHERE role IS NOT NULL)"""
+
+
+def _corpus_fields(spark, d):
+    """collection, kind, field: what the tables' rows hold."""
+    t = lambda n: star.table(spark, d, n)
+    edges = {"next_turns": t("conversations").select("turn"), "vectors": t("embeddings").select(F.col("label").alias("distance")), "mentions_of_nations": t("nation").select("n_name")}
+    parts = [profile.observed_fields(t(n)).select(F.lit(n).alias("collection"), F.lit("document").alias("kind"), "field") for n in _CORPUS]
+    return union_all([*parts, *(profile.observed_fields(df).select(F.lit(n).alias("collection"), F.lit("edge").alias("kind"), "field") for n, df in edges.items())])
 
 
 @query(f"WITH {_ROLES} SELECT * FROM r")
 def retrieval_graph_roles(spark, d):
-    return inference.retrieval_roles(spark.createDataFrame(RAG, "collection string, kind string, field string"))
+    return inference.retrieval_roles(_corpus_fields(spark, d))
 
 
 @query(f"WITH {_ROLES} SELECT count(DISTINCT role) AS categories, count(DISTINCT role) >= 2 AS detected FROM r")
 def retrieval_graph_gate(spark, d):
-    return inference.is_retrieval_graph(inference.retrieval_roles(spark.createDataFrame(RAG, "collection string, kind string, field string")))
+    return inference.is_retrieval_graph(inference.retrieval_roles(_corpus_fields(spark, d)))
 
 
 @query(f"WITH {values('g', 'graph, edge_collection, side, collection', GRAPH_ROWS)}, {values('c', 'collection, kind', COLLECTIONS)} SELECT c.collection, coalesce(string_agg(DISTINCT graph, ',' ORDER BY graph), '') AS graphs FROM c LEFT JOIN g ON c.collection = g.collection GROUP BY 1")
@@ -218,12 +238,16 @@ def product_suffixes(spark, d):
     return inference.product_suffixes(spark.createDataFrame(SUFFIXED, "collection string"), spark.createDataFrame(SUFFIXES, "suffix string"))
 
 
-VOCABULARY = [("shop", w) for w in ("customer", "orders", "supplier", "part", "price", "cart")] + [("film", w) for w in ("movie", "actor", "director", "region", "title", "rating", "roles", "film")]
+_STAR = ("customer", "nation", "orders", "part", "region", "supplier")
+VOCABULARY = [("shop", w) for w in ("customer", "orders", "supplier", "part", "price", "cart", "building", "mktsegment")] + [("film", w) for w in ("movie", "actor", "director", "region", "title", "rating", "roles", "film")] + [("world", w) for w in ("region", "nation", "asia", "europe", "city")]
 
 
-@query(f"WITH {values('v', 'domain, keyword', VOCABULARY)}, s AS (SELECT DISTINCT unnest(['customer', 'orders', 'supplier', 'part', 'region', 'nation']) AS t), m AS (SELECT domain, count(t) AS matched, count(*) AS keywords FROM v LEFT JOIN s ON keyword = t GROUP BY 1) SELECT domain, matched, keywords, round(least(2 * (matched / keywords), 1.0), 2)::DOUBLE AS confidence FROM m WHERE matched / keywords >= 0.15")
+@query(f"WITH {values('v', 'domain, keyword', VOCABULARY)}, w AS (SELECT DISTINCT table_name AS w FROM duckdb_columns() WHERE table_name IN {_STAR} UNION SELECT column_name FROM duckdb_columns() WHERE table_name IN {_STAR} UNION SELECT c_mktsegment FROM customer UNION SELECT r_name FROM region), s AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(w), '[-_]'), lambda x: x <> '')) AS t FROM w), m AS (SELECT domain, count(t) AS matched, count(*) AS keywords FROM v LEFT JOIN s ON keyword = t GROUP BY 1) SELECT domain, matched, keywords, round(least(2 * (matched / keywords), 1.0), 2)::DOUBLE AS confidence FROM m WHERE matched / keywords >= 0.15")
 def domain_scores(spark, d):
-    signals = spark.createDataFrame([(t,) for t in ("customer", "orders", "supplier", "part", "region", "nation")], "token string")
+    """Signals are the names of tables, their observed fields, and values of label-like fields."""
+    fields = union_all([profile.observed_fields(star.table(spark, d, t)).select(F.explode(F.array(F.lit(t), "field")).alias("name")) for t in _STAR])
+    labels = star.table(spark, d, "customer").select(F.col("c_mktsegment").alias("name")).union(star.table(spark, d, "region").select("r_name"))
+    signals = fields.union(labels).select(F.explode(naming.domain_tokens(F.col("name"))).alias("token")).distinct()
     return inference.domain_scores(signals, spark.createDataFrame(VOCABULARY, "domain string, keyword string"))
 
 
@@ -291,7 +315,6 @@ def unknown_pattern_parts(spark, d):
     return inference.unknown_pattern_parts(spark.createDataFrame(ASKED, s), spark.createDataFrame(HAVE, s))
 
 
-_STAR = ("customer", "nation", "orders", "part", "region", "supplier")
 _INCIDENCE = f"""f AS (SELECT table_name AS entity, regexp_replace(column_name, '^[a-z]+_', '') AS property FROM duckdb_columns() WHERE table_name IN {_STAR}), e AS (SELECT entity, (1 << (row_number() OVER (ORDER BY entity) - 1)::INT) AS bit FROM (SELECT DISTINCT entity FROM f)),
 m AS (SELECT property, sum(bit)::BIGINT AS mask FROM f JOIN e USING (entity) GROUP BY 1), c(x) AS (SELECT DISTINCT mask FROM m UNION SELECT c.x & m.mask FROM c, m)"""
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skemaforge.operators import inference, relational
+from skemaforge.operators import inference, profile, relational
 from skemaforge.sources import star
-from skemaforge.sources.catalog import keyed
+from skemaforge.sources.catalog import keyed, union_all
 
 from .mapping import PhysicalMapping
-from .q_sources import COLLECTIONS, ENTITIES, relationships
+from .q_sources import ENTITIES, PLACED, relationships
 from .registry import query, values
 
 
@@ -55,14 +55,17 @@ def foreign_key_inbound(spark, d):
     return out.groupBy(F.col("s_c_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
 
 
-NULLS_A, NULLS_B = [(1, "x", 1), (2, None, 1), (3, "y", None)], [(10, "x", 1), (20, None, 1), (30, "y", None), (40, "y", 2)]
+_REFS = "a AS (SELECT l_orderkey, CASE WHEN l_linenumber > 1 THEN l_returnflag END AS ref, CASE WHEN l_quantity < 45 THEN l_linestatus END AS part FROM lineitem), b AS (SELECT DISTINCT CASE WHEN l_linenumber > 2 THEN l_returnflag END AS code, CASE WHEN l_quantity < 40 THEN l_linestatus END AS part FROM lineitem)"
 
 
-@query(f"WITH {values('a', 'id, ref, part', NULLS_A)}, {values('b', 'key, code, part', NULLS_B)} SELECT a.id, b.key FROM a JOIN b ON a.ref IS NOT DISTINCT FROM b.code AND a.part IS NOT DISTINCT FROM b.part")
+@query(f"WITH {_REFS} SELECT ref, b.code, b.part, count(*) AS n FROM a JOIN b ON a.ref IS NOT DISTINCT FROM b.code AND a.part IS NOT DISTINCT FROM b.part GROUP BY ALL")
 def foreign_key_composite_nulls(spark, d):
     """Composite keys; null matches null."""
-    a, b = spark.createDataFrame(NULLS_A, "id int, ref string, part int"), spark.createDataFrame(NULLS_B, "key int, code string, part int")
-    return relational.foreign_key(a, ["ref", "part"], b, ["code", "part"]).select(F.col("s_id").alias("id"), F.col("t_key").alias("key"))
+    line = star.table(spark, d, "lineitem")
+    a = line.select("l_orderkey", F.when(F.col("l_linenumber") > 1, F.col("l_returnflag")).alias("ref"), F.when(F.col("l_quantity") < 45, F.col("l_linestatus")).alias("part"))
+    b = line.select(F.when(F.col("l_linenumber") > 2, F.col("l_returnflag")).alias("code"), F.when(F.col("l_quantity") < 40, F.col("l_linestatus")).alias("part")).distinct()
+    out = relational.foreign_key(a, ["ref", "part"], b, ["code", "part"])
+    return out.groupBy(F.col("s_ref").alias("ref"), F.col("t_code").alias("code"), F.col("t_part").alias("part")).agg(F.count("*").alias("n"))
 
 
 _PLACES = "places AS (SELECT n_nationkey::VARCHAR AS _key, n_name AS name FROM nation UNION ALL SELECT r_name, r_name FROM region)"
@@ -172,19 +175,26 @@ def specialisation_counts(spark, d):
     return relational.specialisation_counts(star.vertices(spark, d, "customer"), [child("F"), child("O")])
 
 
-ENDS = [("PLACED", "from", "customer"), ("PLACED", "to", "orders"), ("IN", "from", "customer"), ("IN", "from", "supplier"), ("IN", "to", "nation")]
 ENTITY_OF = [("Customer", "customer"), ("Order", "orders"), ("Supplier", "supplier"), ("Nation", "nation")]
+_ENDS = f"{relationships('')}, {PLACED}, x AS (SELECT relation, _from, _to FROM relationships UNION ALL SELECT 'PLACED', _from, _to FROM placed UNION ALL SELECT 'IN', _from, _to FROM relationships WHERE relation <> 'IN_REGION'), e AS (SELECT DISTINCT relation, 'from' AS side, split_part(_from, '/', 1) AS collection FROM x UNION SELECT relation, 'to', split_part(_to, '/', 1) FROM x)"
 
 
-@query(f"WITH {values('e', 'relation, side, collection', ENDS)}, {values('n', 'entity, collection', ENTITY_OF)}, s AS (SELECT relation, side, CASE WHEN count(DISTINCT entity) = 1 THEN min(entity) ELSE 'Any' END AS entity FROM e LEFT JOIN n ON e.collection = n.collection GROUP BY ALL) SELECT relation, max(entity) FILTER (side = 'from') AS from_entity, max(entity) FILTER (side = 'to') AS to_entity FROM s GROUP BY relation")
+@query(f"WITH {_ENDS}, {values('n', 'entity, collection', ENTITY_OF)}, s AS (SELECT relation, side, CASE WHEN count(DISTINCT entity) = 1 THEN min(entity) ELSE 'Any' END AS entity FROM e LEFT JOIN n ON e.collection = n.collection GROUP BY ALL) SELECT relation, max(entity) FILTER (side = 'from') AS from_entity, max(entity) FILTER (side = 'to') AS to_entity FROM s GROUP BY relation")
 def endpoint_entities(spark, d):
-    return inference.resolved_endpoints(spark.createDataFrame(ENDS, "relation string, side string, collection string"), spark.createDataFrame(ENTITY_OF, "entity string, collection string"))
+    """The entity of each relation's ends, as the edges show; ``IN`` has two at one end, regions are no entity."""
+    r = star.relationships(spark, d, shared=False)
+    edges = union_all([r, star.placed(spark, d).select("_from", "_to", F.lit("PLACED").alias("relation")), r.where("relation <> 'IN_REGION'").withColumn("relation", F.lit("IN"))])
+    ends = profile.endpoints_by_relation(edges, "relation")
+    sides = union_all([ends.select("relation", F.lit(side).alias("side"), F.col(f"{side}_collection").alias("collection")) for side in ("from", "to")]).distinct()
+    return inference.resolved_endpoints(sides, spark.createDataFrame(ENTITY_OF, "entity string, collection string"))
 
 
-@query(f"WITH {values('c', 'collection, kind', COLLECTIONS)}, {values('m', 'entity, collection', ENTITY_OF)} SELECT collection FROM c WHERE collection NOT IN (SELECT collection FROM m)")
+@query(f"WITH {_ENDS}, {values('m', 'entity, collection', ENTITY_OF)} SELECT DISTINCT collection FROM e WHERE collection NOT IN (SELECT collection FROM m)")
 def uncovered_collections(spark, d):
+    """Collections that edges lead to and no entity covers."""
     covered = spark.createDataFrame(ENTITY_OF, "entity string, collection string")
-    return star.catalog(spark, d).listing().join(covered, "collection", "left_anti").select("collection")
+    ends = union_all([profile.endpoints(star.relationships(spark, d, shared=False)), profile.endpoints(star.placed(spark, d))])
+    return ends.select(F.explode(F.array("from_collection", "to_collection")).alias("collection")).distinct().join(covered, "collection", "left_anti")
 
 
 @query("SELECT o_orderpriority AS priority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY 1")

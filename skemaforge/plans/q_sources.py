@@ -114,17 +114,36 @@ def label_shape(spark, d):
     return one("o_orderpriority").unionByName(one("o_orderstatus"))
 
 
+#: Columns whose values serve as names.
+NAME_SOURCES = {"part": ("p_type", "p_brand"), "nation": ("n_name",), "customer": ("c_mktsegment", "c_name"), "events": ("event_type",), "orders": ("o_orderpriority",), "conversations": ("role",), "documents": ("lang", "source")}
+
+
+def names_sql(rows: list[tuple]) -> str:
+    """A common table expression n(name) of the tables' names and some odd ones."""
+    found = " UNION ".join(f"SELECT {c} FROM {t} WHERE {c} IS NOT NULL" for t, cs in NAME_SOURCES.items() for c in cs)
+    return f"{values('odd', 'name', rows)}, n AS (SELECT name FROM odd UNION {found})"
+
+
+def table_names(spark, d, rows: list[tuple]):
+    """The same names as a frame: one scan a table."""
+    parts = [spark.createDataFrame(rows, "name string")]
+    for t, cs in NAME_SOURCES.items():
+        df = star.table(spark, d, t)
+        parts.append(df.select(F.explode(F.array(*cs)).alias("name")).where("name is not null"))
+    return union_all(parts).distinct()
+
+
 NAMES = [("type",), ("_type",), ("kind",), ("user_id",), ("relType",), ("uuid",), ("event_kind",), ("key",), ("userid",), ("paid",), ("grid",), ("a_very_long_name_that_exceeds_the_limit",)]
 
 
-@query(f"WITH {values('n', 'name', NAMES)} SELECT name, regexp_matches(name, '^[a-z][a-z0-9_]{{0,31}}$') AND NOT regexp_matches(name, '(id|key|uuid|guid)$') AND NOT starts_with(name, '_') AS may FROM n")
+@query(f"WITH {names_sql(NAMES)} SELECT name, regexp_matches(name, '^[a-z][a-z0-9_]{{0,31}}$') AND NOT regexp_matches(name, '(id|key|uuid|guid)$') AND NOT starts_with(name, '_') AS may FROM n")
 def discriminator_names(spark, d):
-    return spark.createDataFrame(NAMES, "name string").select("name", naming.may_discriminate(F.col("name")).alias("may"))
+    return table_names(spark, d, NAMES).select("name", naming.may_discriminate(F.col("name")).alias("may"))
 
 
-@query(f"WITH {values('n', 'name', NAMES)} SELECT name, regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_]*$') AS ok FROM n")
+@query(f"WITH {names_sql(NAMES)} SELECT name, regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_]*$') AS ok FROM n")
 def identifier_guard(spark, d):
-    return spark.createDataFrame(NAMES, "name string").select("name", naming.is_identifier(F.col("name")).alias("ok"))
+    return table_names(spark, d, NAMES).select("name", naming.is_identifier(F.col("name")).alias("ok"))
 
 
 MAPPED = [("Customer", "customer"), ("Ghost", "ghosts"), ("Part", "part")]
@@ -172,45 +191,45 @@ def set_difference(spark, d):
 WORDS = [("movies",), ("cities",), ("classes",), ("people",), ("glass",), ("s",), ("Cookies",), ("USER_ROLES",), ("order-items",), ("ies",), ("",)]
 
 
-def _named(spark, rows=WORDS):
-    return spark.createDataFrame(rows, "name string")
+def _named(spark, d, rows=WORDS):
+    return table_names(spark, d, rows)
 
 
 _SINGULAR = "CASE WHEN ends_with({0}, 'ies') AND length({0}) > 3 THEN CASE WHEN lower({0}[:-2]) IN ('movie','zombie','cookie','brownie','rookie','selfie','genie','smoothie','collie','magpie','birdie','calorie','prairie','reverie','sortie','lingerie') THEN {0}[:-2] ELSE {0}[:-4] || 'y' END WHEN ends_with({0}, 'sses') AND length({0}) > 4 THEN {0}[:-3] WHEN ends_with({0}, 's') AND NOT ends_with({0}, 'ss') AND length({0}) > 1 THEN {0}[:-2] ELSE {0} END"
 _PASCAL = "coalesce(nullif(list_aggregate(list_transform(list_filter(regexp_split_to_array({0}, '[-_ ]'), lambda p: p <> ''), lambda p: upper(p[1]) || p[2:]), 'string_agg', ''), ''), 'Unknown')"
 
 
-@query(f"WITH {values('n', 'name', WORDS)} SELECT name, {_SINGULAR.format('name')} AS singular FROM n")
+@query(f"WITH {names_sql(WORDS)} SELECT name, {_SINGULAR.format('name')} AS singular FROM n")
 def singular_names(spark, d):
-    return _named(spark).select("name", naming.singularize(F.col("name")).alias("singular"))
+    return _named(spark, d).select("name", naming.singularize(F.col("name")).alias("singular"))
 
 
-@query(f"WITH {values('n', 'name', WORDS)} SELECT name, {_PASCAL.format('name')} AS pascal FROM n")
+@query(f"WITH {names_sql(WORDS)} SELECT name, {_PASCAL.format('name')} AS pascal FROM n")
 def pascal_names(spark, d):
-    return _named(spark).select("name", naming.pascal_case(F.col("name")).alias("pascal"))
+    return _named(spark, d).select("name", naming.pascal_case(F.col("name")).alias("pascal"))
 
 
-@query(f"WITH {values('n', 'name', WORDS)}, s AS (SELECT name, {_SINGULAR.format('name')} AS s FROM n) SELECT name, {_PASCAL.format('s')} AS entity, upper(replace(name, '-', '_')) AS relation FROM s")
+@query(f"WITH {names_sql(WORDS)}, s AS (SELECT name, {_SINGULAR.format('name')} AS s FROM n) SELECT name, {_PASCAL.format('s')} AS entity, upper(replace(name, '-', '_')) AS relation FROM s")
 def entity_and_relation_names(spark, d):
-    return _named(spark).select("name", naming.entity_name(F.col("name")).alias("entity"), naming.relationship_name(F.col("name")).alias("relation"))
+    return _named(spark, d).select("name", naming.entity_name(F.col("name")).alias("entity"), naming.relationship_name(F.col("name")).alias("relation"))
 
 
-@query(f"WITH {values('n', 'name', WORDS)}, s AS (SELECT name, {_SINGULAR.format('name')} AS s FROM n), b AS (SELECT name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS b, regexp_replace(lower(s), '[^a-z0-9]', '', 'g') AS o FROM s) SELECT DISTINCT name, v FROM (SELECT name, unnest([b, o, o || 's', o || 'es']) AS v FROM b)")
+@query(f"WITH {names_sql(WORDS)}, s AS (SELECT name, {_SINGULAR.format('name')} AS s FROM n), b AS (SELECT name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS b, regexp_replace(lower(s), '[^a-z0-9]', '', 'g') AS o FROM s) SELECT DISTINCT name, v FROM (SELECT name, unnest([b, o, o || 's', o || 'es']) AS v FROM b)")
 def name_variants(spark, d):
-    return _named(spark).select("name", F.explode(naming.name_variants(F.col("name"))).alias("v"))
+    return _named(spark, d).select("name", F.explode(naming.name_variants(F.col("name"))).alias("v"))
 
 
-@query(f"WITH {values('n', 'name', WORDS)}, g AS (SELECT name, replace(lower(regexp_replace(name, '[^A-Za-z0-9_-]', '', 'g')), '-', '_') AS g FROM n) SELECT name, {_SINGULAR.format('g')} AS gold FROM g")
+@query(f"WITH {names_sql(WORDS)}, g AS (SELECT name, replace(lower(regexp_replace(name, '[^A-Za-z0-9_-]', '', 'g')), '-', '_') AS g FROM n) SELECT name, {_SINGULAR.format('g')} AS gold FROM g")
 def gold_names(spark, d):
-    return _named(spark).select("name", naming.gold_name(F.col("name")).alias("gold"))
+    return _named(spark, d).select("name", naming.gold_name(F.col("name")).alias("gold"))
 
 
 REFERENCES = [("accountId",), ("userKEY",), ("ID",), ("order_id",), ("aKey",), ("userId2",)]
 
 
-@query(f"WITH {values('n', 'name', REFERENCES)} SELECT name, regexp_extract(name, '^(.*[a-z0-9])(?:Id|ID|Key|KEY)$', 1) AS reference FROM n")
+@query(f"WITH {names_sql(REFERENCES)} SELECT name, regexp_extract(name, '^(.*[a-z0-9])(?:Id|ID|Key|KEY)$', 1) AS reference FROM n")
 def camel_references(spark, d):
-    return _named(spark, REFERENCES).select("name", naming.camel_reference(F.col("name")).alias("reference"))
+    return _named(spark, d, REFERENCES).select("name", naming.camel_reference(F.col("name")).alias("reference"))
 
 
 @query("SELECT 'orders/' || o_orderkey AS id, 'orders' AS collection, sha256('orders/' || o_orderkey) AS digest FROM orders WHERE o_orderpriority = '1-URGENT'")
@@ -222,9 +241,11 @@ def id_functions(spark, d):
 IDS = [("users/1",), ("users",), ("a b/1",), ("a/b c",), ("a/b/c",), ("x-y_z/k:1",)]
 
 
-@query(f"WITH {values('n', 'value', IDS)} SELECT value, regexp_matches(value, '^[A-Za-z0-9_\\-]+/[^/\\s]+$') AS is_id FROM n")
+@query(f"WITH {values('odd', 'value', IDS)}, {PLACED}, n AS (SELECT value FROM odd UNION SELECT _from FROM placed UNION SELECT _to FROM placed UNION SELECT url FROM pages WHERE url IS NOT NULL) SELECT value, regexp_matches(value, '^[A-Za-z0-9_\\-]+/[^/\\s]+$') AS is_id FROM n")
 def id_shapes(spark, d):
-    return spark.createDataFrame(IDS, "value string").select("value", naming.is_id_shaped(F.col("value")).alias("is_id"))
+    ends, urls = star.placed(spark, d), star.table(spark, d, "pages").select(F.col("url").alias("value")).where("value is not null")
+    found = union_all([spark.createDataFrame(IDS, "value string"), ends.select(F.explode(F.array("_from", "_to")).alias("value")), urls]).distinct()
+    return found.select("value", naming.is_id_shaped(F.col("value")).alias("is_id"))
 
 
 OWL = [("sales_orders", "SalesOrder", "salesOrders"), ("ship_date", "ShipDate", "shipDate"), ("STORED_AT", "StoredAt", "storedAt"), ("XMLFeeds", "XmlFeed", "xmlFeeds"), ("taxes", "Tax", "taxes"), ("duties", "Duty", "duties"), ("_tag", "Tag", "_tag")]
