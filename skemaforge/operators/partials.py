@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,13 +53,16 @@ class FileProfiles:
 
     def new_files(self) -> list[str]:
         known = {r["part"] for r in self._kept("stats", STATS).select("part").distinct().collect()}  # a row a file
-        return sorted(set(self.spark.read.parquet(self.table).inputFiles()) - known)
+        return sorted(set(self._files()) - known)
+
+    def _files(self) -> list[str]:
+        return [re.sub("^file:/+", "file:///", f) for f in self.spark.read.parquet(self.table).inputFiles()]
 
     def update(self) -> list[str]:
         """Profiles the files that weren't there before, and tells which."""
         new = self.new_files()
         if new:
-            rows, file = self.spark.read.parquet(*new), F.col("_metadata.file_path")
+            rows, file = self.spark.read.parquet(*new), F.regexp_replace("_metadata.file_path", "^file:/+", "file:///")
             # values first: a file counts as known once its statistics are there, so a job that fails between is made up for by the next
             values = partial_values(rows, self.labels, file)
             values.write.mode("append").parquet(f"{self.store}/values")
@@ -65,7 +70,7 @@ class FileProfiles:
         return new
 
     def _current(self, kind: str, schema: str) -> DataFrame:
-        files = self.spark.createDataFrame([(f,) for f in self.spark.read.parquet(self.table).inputFiles()], "part string")
+        files = self.spark.createDataFrame([(f,) for f in self._files()], "part string")
         return self._kept(kind, schema).dropDuplicates([c.split()[0] for c in schema.split(", ")][: 3 if kind == "values" else 2]).join(files, "part", "left_semi")
 
     def stats(self) -> DataFrame:

@@ -25,7 +25,7 @@ def value_counts(df: DataFrame, fields: list[str]) -> DataFrame:
 
 def frequent(df: DataFrame, fields: list[str], told: int = TOLD, tracked: int = TRACKED) -> DataFrame:
     """field, rows, distinct (about), items (value and about how often): a row a field, from mergeable sketches of one scan. No value is shuffled but those told."""
-    each = [F.struct(F.lit(f).alias("field"), F.count(named(f)).alias("rows"), F.approx_count_distinct(named(f), 0.02).alias("distinct"), F.call_function("approx_top_k", named(f).cast("string"), F.lit(told), F.lit(tracked)).alias("items")) for f in fields]
+    each = [F.struct(F.lit(f).alias("field"), F.count(named(f)).alias("rows"), F.approx_count_distinct(named(f), 0.02).alias("distinct"), F.call_function("approx_top_k", named(f).cast("string"), F.lit(min(told, tracked)), F.lit(tracked)).alias("items")) for f in fields]
     out = df.agg(F.array(*each).alias("a")).select(F.inline("a"))
     return out.withColumn("items", F.filter("items", lambda x: x["item"].isNotNull()))
 

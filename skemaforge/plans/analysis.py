@@ -234,7 +234,13 @@ def _enriched(catalog: Catalog, collections: list[Collection], conceptual: dict,
     entities = spark.createDataFrame([(e["name"], e["properties"]) for e in conceptual["entities"]], "entity string, properties array<string>")
     links = spark.createDataFrame([(r["fromEntity"], r["toEntity"]) for r in conceptual["relationships"] if "Any" not in (r["fromEntity"], r["toEntity"])], "from_entity string, to_entity string")
     out["tenantScope"] = {r["entity"]: r["scope"] for r in inference.tenant_scope(entities, links).collect()}
-    families = {m for f in detected["families"] for m in (c.name for c in collections if c.name.endswith(f["family"]))}
+    families: set[str] = set()
+    for f in detected["families"]:
+        alike: dict[frozenset, list[str]] = {}
+        for c in collections:
+            if c.name.endswith(f["family"]):
+                alike.setdefault(frozenset(c.df.columns), []).append(c.name)
+        families |= {n for names in alike.values() if len(names) > 1 for n in names}
     fields = spark.createDataFrame([(e["name"], p) for e in conceptual["entities"] for p in e["properties"]], "entity string, property string")
     without = tuple(r["entity"] for r in spark.createDataFrame([(f,) for f in sorted(families)], "collection string").select(naming.entity_name(F.col("collection")).alias("entity")).collect())
     out["taxonomy"] = {"abstractClasses": taxonomy.abstract_classes(taxonomy.concepts(fields, without=without), {e["name"] for e in conceptual["entities"]})}
