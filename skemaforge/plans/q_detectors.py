@@ -102,14 +102,17 @@ def tenant_fields(spark, d):
     return inference.tenant_fields(spark.createDataFrame(TENANT, "collection string, field string"))
 
 
-PER_TENANT = [("Orders__acme",), ("Orders__beta",), ("Users__acme",), ("plain",), ("Orders__acme-2",), ("north_Stock",), ("south-2_Stock",), ("north_Staff",)]
+_TENANT_NAMES = "c AS (SELECT DISTINCT 'Orders__' || o_orderstatus || '1' AS collection FROM orders UNION SELECT DISTINCT lower(r_name) || '_Stock' FROM region UNION SELECT DISTINCT lower(c_mktsegment) || '-2_Staff' FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT DISTINCT n_name FROM nation)"
 _BASES = r"""s AS (SELECT CASE WHEN regexp_matches(collection, '^[A-Za-z][A-Za-z0-9]+__[A-Za-z0-9][A-Za-z0-9_-]+$') THEN regexp_extract(collection, '^([A-Za-z][A-Za-z0-9]+)__', 1) ELSE regexp_extract(collection, '^[A-Za-z0-9][A-Za-z0-9_-]+?_([A-Z][A-Za-z0-9]+)$', 1) END AS base,
 CASE WHEN regexp_matches(collection, '^[A-Za-z][A-Za-z0-9]+__[A-Za-z0-9][A-Za-z0-9_-]+$') THEN regexp_extract(collection, '__([A-Za-z0-9][A-Za-z0-9_-]+)$', 1) ELSE regexp_extract(collection, '^([A-Za-z0-9][A-Za-z0-9_-]+?)_[A-Z][A-Za-z0-9]+$', 1) END AS tenant FROM c)"""
 
 
-@query(f"WITH {values('c', 'collection', PER_TENANT)}, {_BASES} SELECT base, count(DISTINCT tenant) AS tenants FROM s WHERE base <> '' GROUP BY 1 HAVING count(DISTINCT tenant) >= 2")
+@query(f"WITH {_TENANT_NAMES}, {_BASES} SELECT base, count(DISTINCT tenant) AS tenants FROM s WHERE base <> '' GROUP BY 1 HAVING count(DISTINCT tenant) >= 2")
 def collections_per_tenant(spark, d):
-    return inference.collections_per_tenant(spark.createDataFrame(PER_TENANT, "collection string"))
+    """Names made of the tables' values: of a kind and a tenant in either order, one kind of a single tenant, and plain ones."""
+    o, r, c, n = (star.table(spark, d, t) for t in ("orders", "region", "customer", "nation"))
+    names = [o.select(F.concat(F.lit("Orders__"), "o_orderstatus", F.lit("1")).alias("collection")), r.select(F.concat(F.lower("r_name"), F.lit("_Stock"))), c.where("c_mktsegment = 'BUILDING'").select(F.concat(F.lower("c_mktsegment"), F.lit("-2_Staff"))), n.select("n_name")]
+    return inference.collections_per_tenant(union_all([x.toDF("collection") for x in names]).distinct())
 
 
 _VERDICT = "SELECT * FROM (VALUES ('a', 'disjoint_smartgraph', TRUE), ('b', 'shard_key', TRUE), ('c', 'discriminator_field', FALSE), ('d', 'collection_per_tenant', TRUE), ('e', 'unknown_single_db', TRUE), ('f', 'none', FALSE)) t(case_name, style, enforced)"
@@ -159,7 +162,10 @@ def tenant_reach_inferred(spark, d):
     return inference.reachable(_inferred_links(spark, d), spark.createDataFrame([("customers",)], "entity string"))
 
 
-@query(f"WITH RECURSIVE {_INFERRED}, e AS (SELECT DISTINCT collection AS entity, max((lower(field) = 'customerid')::INT) OVER (PARTITION BY collection) AS own FROM f) SELECT e.entity, CASE WHEN e.entity = 'customers' THEN 'root' WHEN own = 1 THEN 'denormalised' WHEN hops IS NOT NULL THEN 'reachable' ELSE 'global' END AS scope FROM e LEFT JOIN near USING (entity)")
+SCOPES_SQL = f"WITH RECURSIVE {_INFERRED}, e AS (SELECT DISTINCT collection AS entity, max((lower(field) = 'customerid')::INT) OVER (PARTITION BY collection) AS own FROM f) SELECT e.entity, CASE WHEN e.entity = 'customers' THEN 'root' WHEN own = 1 THEN 'denormalised' WHEN hops IS NOT NULL THEN 'reachable' ELSE 'global' END AS scope FROM e LEFT JOIN near USING (entity)"
+
+
+@query(SCOPES_SQL)
 def tenant_scopes_inferred(spark, d):
     cat = star.relational(spark, d)
     entities = cat.fields().groupBy(F.col("collection").alias("entity")).agg(F.collect_list("field").alias("properties"))
@@ -179,13 +185,17 @@ def vertex_centric_indexes(spark, d):
     return inference.vertex_centric(spark.createDataFrame(rows, "collection string, type string, fields array<string>"))
 
 
-EDGE_FIELDS, VERTEX_FIELDS = [("follows", "tier"), ("follows", "_from"), ("follows", "since")], [("users", "tier"), ("users", "name"), ("teams", "since"), ("teams", "_from")]
+_SHARED_FIELDS = "e AS (SELECT 'sold' AS collection, column_name AS field FROM duckdb_columns() WHERE table_name = 'orders' AND column_name IN ('o_custkey', 'o_totalprice', 'o_orderpriority') UNION SELECT 'sold', '_from' UNION SELECT 'lives_in', 'c_mktsegment'), v AS (SELECT table_name AS collection, column_name AS field FROM duckdb_columns() WHERE table_name IN ('orders', 'customer', 'part') UNION SELECT 'orders', '_from')"
 
 
-@query(f"WITH {values('e', 'collection, field', EDGE_FIELDS)}, {values('v', 'collection, field', VERTEX_FIELDS)} SELECT e.collection AS edge, v.collection AS vertex, e.field FROM e JOIN v ON e.field = v.field WHERE e.field NOT IN ('_key', '_id', '_rev', '_from', '_to')")
+@query(f"WITH {_SHARED_FIELDS} SELECT e.collection AS edge, v.collection AS vertex, e.field FROM e JOIN v ON e.field = v.field WHERE e.field NOT IN ('_key', '_id', '_rev', '_from', '_to')")
 def denormalised_fields(spark, d):
-    s = "collection string, field string"
-    return inference.denormalised_fields(spark.createDataFrame(EDGE_FIELDS, s), spark.createDataFrame(VERTEX_FIELDS, s))
+    """Fields with a value both in edges made of the orders and customers and in the tables themselves."""
+    o, c = star.table(spark, d, "orders"), star.table(spark, d, "customer")
+    of = lambda n, df: profile.observed_fields(df, exclude=()).select(F.lit(n).alias("collection"), "field")
+    edges = of("sold", o.select(F.col("o_custkey").cast("string").alias("_from"), "o_custkey", "o_totalprice", "o_orderpriority")).union(of("lives_in", c.select("c_mktsegment")))
+    vertices = of("orders", o.withColumn("_from", F.col("o_orderkey"))).union(of("customer", c)).union(of("part", star.table(spark, d, "part")))
+    return inference.denormalised_fields(edges, vertices)
 
 
 RDF = [("my_triples", "x"), ("facts", "subject"), ("facts", "predicate"), ("facts", "object"), ("tiny", "s"), ("tiny", "p"), ("quads", "g"), ("users", "name")]
@@ -230,19 +240,26 @@ def graph_membership(spark, d):
     return inference.graph_membership(cat.graph_table(), cat.listing().select("collection"))
 
 
-SUFFIXED, SUFFIXES = [("acme_Documents",), ("acme_Chunks",), ("acme_Sub_Chunks",), ("users",)], [("_Documents",), ("_Chunks",), ("_Sub_Chunks",), ("_Entities",)]
+SUFFIXES = [("_Documents",), ("_Chunks",), ("_Sub_Chunks",), ("_Entities",)]
+_SUFFIXED = "c AS (SELECT DISTINCT lower(c_mktsegment) || '_Documents' AS collection FROM customer UNION SELECT DISTINCT lower(c_mktsegment) || '_Sub_Chunks' FROM customer UNION SELECT DISTINCT r_name || '_Chunks' FROM region UNION SELECT DISTINCT n_name FROM nation)"
 
 
-@query(f"WITH {values('c', 'collection', SUFFIXED)}, {values('s', 'suffix', SUFFIXES)} SELECT collection, arg_max(suffix, length(suffix)) AS suffix FROM c JOIN s ON ends_with(collection, suffix) GROUP BY 1")
+@query(f"WITH {_SUFFIXED}, {values('s', 'suffix', SUFFIXES)} SELECT collection, arg_max(suffix, length(suffix)) AS suffix FROM c JOIN s ON ends_with(collection, suffix) GROUP BY 1")
 def product_suffixes(spark, d):
-    return inference.product_suffixes(spark.createDataFrame(SUFFIXED, "collection string"), spark.createDataFrame(SUFFIXES, "suffix string"))
+    c, r, n = (star.table(spark, d, t) for t in ("customer", "region", "nation"))
+    low = F.lower("c_mktsegment")
+    names = [c.select(F.concat(low, F.lit("_Documents"))), c.select(F.concat(low, F.lit("_Sub_Chunks"))), r.select(F.concat("r_name", F.lit("_Chunks"))), n.select("n_name")]
+    return inference.product_suffixes(union_all([x.toDF("collection") for x in names]).distinct(), spark.createDataFrame(SUFFIXES, "suffix string"))
 
 
 _STAR = ("customer", "nation", "orders", "part", "region", "supplier")
 VOCABULARY = [("shop", w) for w in ("customer", "orders", "supplier", "part", "price", "cart", "building", "mktsegment")] + [("film", w) for w in ("movie", "actor", "director", "region", "title", "rating", "roles", "film")] + [("world", w) for w in ("region", "nation", "asia", "europe", "city")]
 
 
-@query(f"WITH {values('v', 'domain, keyword', VOCABULARY)}, w AS (SELECT DISTINCT table_name AS w FROM duckdb_columns() WHERE table_name IN {_STAR} UNION SELECT column_name FROM duckdb_columns() WHERE table_name IN {_STAR} UNION SELECT c_mktsegment FROM customer UNION SELECT r_name FROM region), s AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(w), '[-_]'), lambda x: x <> '')) AS t FROM w), m AS (SELECT domain, count(t) AS matched, count(*) AS keywords FROM v LEFT JOIN s ON keyword = t GROUP BY 1) SELECT domain, matched, keywords, round(least(2 * (matched / keywords), 1.0), 2)::DOUBLE AS confidence FROM m WHERE matched / keywords >= 0.15")
+DOMAIN_SQL = f"WITH {values('v', 'domain, keyword', VOCABULARY)}, w AS (SELECT DISTINCT table_name AS w FROM duckdb_columns() WHERE table_name IN {_STAR} UNION SELECT column_name FROM duckdb_columns() WHERE table_name IN {_STAR} UNION SELECT c_mktsegment FROM customer UNION SELECT r_name FROM region), s AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(w), '[-_]'), lambda x: x <> '')) AS t FROM w), m AS (SELECT domain, count(t) AS matched, count(*) AS keywords FROM v LEFT JOIN s ON keyword = t GROUP BY 1) SELECT domain, matched, keywords, round(least(2 * (matched / keywords), 1.0), 2)::DOUBLE AS confidence FROM m WHERE matched / keywords >= 0.15"
+
+
+@query(DOMAIN_SQL)
 def domain_scores(spark, d):
     """Signals are the names of tables, their observed fields, and values of label-like fields."""
     fields = union_all([profile.observed_fields(star.table(spark, d, t)).select(F.explode(F.array(F.lit(t), "field")).alias("name")) for t in _STAR])
@@ -254,19 +271,21 @@ def domain_scores(spark, d):
 GIVEN, BASE = [("Customer", "customer"), ("Ghost", "ghosts")], [("Customer2", "customer"), ("Part", "part"), ("Region", "region")]
 
 
-@query(f"WITH {values('g', 'entity, collection', GIVEN)}, {values('b', 'entity, collection', BASE)}, {values('c', 'collection, kind', COLLECTIONS)}, k AS (SELECT * FROM g WHERE collection IN (SELECT collection FROM c)) SELECT entity, collection, 'given' AS source FROM k UNION ALL SELECT entity, collection, 'baseline' FROM b WHERE collection NOT IN (SELECT collection FROM k)")
+@query(f"WITH {values('g', 'entity, collection', GIVEN)}, {values('b', 'entity, collection', BASE)}, {relationships('')}, c AS (SELECT DISTINCT split_part(unnest([_from, _to]), '/', 1) AS collection FROM relationships), k AS (SELECT * FROM g WHERE collection IN (SELECT collection FROM c)) SELECT entity, collection, 'given' AS source FROM k UNION ALL SELECT entity, collection, 'baseline' FROM b WHERE collection NOT IN (SELECT collection FROM k)")
 def reconciled_entities(spark, d):
+    """Known are the collections that edges lead to."""
     s = "entity string, collection string"
-    out = inference.reconciled(spark.createDataFrame(GIVEN, s), spark.createDataFrame(BASE, s), star.catalog(spark, d).listing())
-    return out.select("entity", "collection", "source")
+    ends = profile.endpoints(star.relationships(spark, d, shared=False)).select(F.explode(F.array("from_collection", "to_collection")).alias("collection")).distinct()
+    return inference.reconciled(spark.createDataFrame(GIVEN, s), spark.createDataFrame(BASE, s), ends).select("entity", "collection", "source")
 
 
-NOW, PRIOR = [("a",), ("b",), ("c",)], [("a", "2020-01-01"), ("x", "2021-01-01"), ("b", None)]
+PRIOR = [("Region", "2020-01-01"), ("Ghost", "2021-01-01"), ("Nation", None)]
 
 
-@query(f"WITH {values('n', 'name', NOW)}, {values('p', 'name, first_seen', PRIOR)} SELECT n.name, coalesce(first_seen, '2024-05-05') AS first_seen, '2024-05-05' AS last_validated FROM n LEFT JOIN p ON n.name = p.name")
+@query(f"WITH {ENTITIES}, n AS (SELECT DISTINCT type AS name FROM entities), {values('p', 'name, first_seen', PRIOR)} SELECT n.name, coalesce(first_seen, '2024-05-05') AS first_seen, '2024-05-05' AS last_validated FROM n LEFT JOIN p ON n.name = p.name")
 def provenance_carried(spark, d):
-    return inference.carried_forward(spark.createDataFrame(NOW, "name string"), spark.createDataFrame(PRIOR, "name string, first_seen string"), "2024-05-05")
+    now = star.entities(spark, d).select(F.col("type").alias("name")).distinct()
+    return inference.carried_forward(now, spark.createDataFrame(PRIOR, "name string, first_seen string"), "2024-05-05")
 
 
 _NUMBERED = "v AS (SELECT c_mktsegment AS value FROM customer UNION SELECT c_name FROM customer UNION SELECT n_name FROM nation), k AS (SELECT value, '<redacted>:' || (row_number() OVER (ORDER BY value) - 1) AS token FROM v)"
@@ -306,13 +325,14 @@ def redaction_field_names(spark, d):
     return inference.field_tokens(star.catalog(spark, d).fields())
 
 
-ASKED, HAVE = [("label", "Movie"), ("label", "Ghost"), ("type", "ACTED_IN"), ("type", "Movie")], [("label", "Movie"), ("type", "ACTED_IN")]
+ASKED = [("label", "Nation"), ("label", "Ghost"), ("type", "IN_REGION"), ("type", "Nation")]
 
 
-@query(f"WITH {values('a', 'kind, name', ASKED)}, {values('h', 'kind, name', HAVE)} SELECT * FROM a EXCEPT SELECT * FROM h")
+@query(f"WITH {values('a', 'kind, name', ASKED)}, {ENTITIES}, {relationships('entities/')} SELECT * FROM a EXCEPT (SELECT 'label', type FROM entities UNION SELECT 'type', relation FROM relationships)")
 def unknown_pattern_parts(spark, d):
-    s = "kind string, name string"
-    return inference.unknown_pattern_parts(spark.createDataFrame(ASKED, s), spark.createDataFrame(HAVE, s))
+    """Labels and types of a pattern that no row has."""
+    known = star.entities(spark, d).select(F.lit("label").alias("kind"), F.col("type").alias("name")).union(star.relationships(spark, d).select(F.lit("type"), "relation")).distinct()
+    return inference.unknown_pattern_parts(spark.createDataFrame(ASKED, "kind string, name string"), known)
 
 
 _INCIDENCE = f"""f AS (SELECT table_name AS entity, regexp_replace(column_name, '^[a-z]+_', '') AS property FROM duckdb_columns() WHERE table_name IN {_STAR}), e AS (SELECT entity, (1 << (row_number() OVER (ORDER BY entity) - 1)::INT) AS bit FROM (SELECT DISTINCT entity FROM f)),
@@ -334,9 +354,13 @@ def taxonomy_of_labels(spark, d):
     return taxonomy.joined(taxonomy.concepts(fields, without=("Region",)))
 
 
-TAXONOMY = [("Vessel", "COLLECTION", "vessels"), ("Jar", "LABEL", "vessels"), ("Vat", "LABEL", "vessels"), ("Solo", "LABEL", "other"), ("Other", "COLLECTION", "other")]
+_LABELS = f"{ENTITIES}, e AS (SELECT DISTINCT type AS entity, 'LABEL' AS style, 'entities' AS collection FROM entities UNION SELECT DISTINCT o_orderstatus, 'LABEL', 'orders' FROM orders WHERE o_orderstatus = 'F' UNION SELECT 'Thing', 'COLLECTION', 'entities' UNION SELECT 'Order', 'COLLECTION', 'orders')"
 
 
-@query(f"WITH {values('e', 'entity, style, collection', TAXONOMY)}, m AS (SELECT collection FROM e WHERE style = 'LABEL' GROUP BY 1 HAVING count(*) >= 2) SELECT l.entity AS child, p.entity AS parent FROM e l JOIN m ON l.collection = m.collection JOIN e p ON p.collection = l.collection AND p.style = 'COLLECTION' WHERE l.style = 'LABEL'")
+@query(f"WITH {_LABELS}, m AS (SELECT collection FROM e WHERE style = 'LABEL' GROUP BY 1 HAVING count(*) >= 2) SELECT l.entity AS child, p.entity AS parent FROM e l JOIN m ON l.collection = m.collection JOIN e p ON p.collection = l.collection AND p.style = 'COLLECTION' WHERE l.style = 'LABEL'")
 def taxonomy_by_discriminator(spark, d):
-    return inference.discriminator_taxonomy(spark.createDataFrame(TAXONOMY, "entity string, style string, collection string"))
+    """Labels that rows have go under their collection's entity, where there are several."""
+    e = star.entities(spark, d).select(F.col("type").alias("entity"), F.lit("LABEL").alias("style"), F.lit("entities").alias("collection")).distinct()
+    o = star.table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderstatus", F.lit("LABEL"), F.lit("orders")).distinct()
+    whole = spark.createDataFrame([("Thing", "COLLECTION", "entities"), ("Order", "COLLECTION", "orders")], "entity string, style string, collection string")
+    return inference.discriminator_taxonomy(e.union(o).union(whole))

@@ -75,43 +75,58 @@ def referential_summary(spark, d):
     return health.summary(health.catalog_health(star.catalog(spark, d), _HEALTHY))
 
 
-MAPPING = [("Customer", "customer"), ("Wagon", "wagons"), ("Part", "part"), ("Idea", None), ("Order", "orders")]
+MAPPING = [("Customer", "customer"), ("Wagon", "wagons"), ("Part", "part"), ("Idea", None), ("Order", "orders"), ("Nation", "nation")]
+NAMED = [("Customer",), ("Part",), ("Wagon",), ("Idea",), ("Spare",)]
+#: Collections that hold an end of some edge.
+_REACHED = f"{relationships('')}, {PLACED}, c AS (SELECT DISTINCT split_part(unnest([_from, _to]), '/', 1) AS c FROM (SELECT _from, _to FROM relationships UNION ALL SELECT _from, _to FROM placed))"
 
 
-@query(f"WITH {values('m', 'name, collection', MAPPING)}, c AS (SELECT unnest(['customer', 'part', 'orders']) AS c) SELECT count(collection) AS mapped, count(c) AS grounded, round(count(c) / nullif(count(collection), 0), 4) AS ratio FROM m LEFT JOIN c ON m.collection = c.c")
-def grounding(spark, d):
-    return metrics.grounding(spark.createDataFrame(MAPPING, "name string, collection string"), spark.createDataFrame([("customer",), ("part",), ("orders",)], "collection string"))
+def _reached(spark, d):
+    ends = union_all([profile.endpoints(star.relationships(spark, d, shared=False)), profile.endpoints(star.placed(spark, d))])
+    return ends.select(F.explode(F.array("from_collection", "to_collection")).alias("collection")).distinct()
 
 
-NAMED = [("Customer",), ("Part",), ("Wagon",), ("Idea",), ("Spare",)]
+@query(f"WITH {values('m', 'name, collection', MAPPING)}, {_REACHED} SELECT count(collection) AS mapped, count(c) AS grounded, round(count(c) / nullif(count(collection), 0), 4) AS ratio FROM m LEFT JOIN c ON m.collection = c.c")
+def grounding(spark, d):
+    return metrics.grounding(spark.createDataFrame(MAPPING, "name string, collection string"), _reached(spark, d))
 
 
-@query(f"WITH {values('m', 'name, collection', MAPPING)}, {values('e', 'name', NAMED)}, c AS (SELECT unnest(['customer', 'part', 'orders']) AS c) SELECT name, 'ungrounded' AS why FROM m WHERE collection IS NOT NULL AND collection NOT IN (SELECT c FROM c) UNION ALL SELECT name, 'unmapped' FROM e WHERE name NOT IN (SELECT name FROM m WHERE collection IS NOT NULL)")
+@query(f"WITH {values('m', 'name, collection', MAPPING)}, {values('e', 'name', NAMED)}, {_REACHED} SELECT name, 'ungrounded' AS why FROM m WHERE collection IS NOT NULL AND collection NOT IN (SELECT c FROM c) UNION ALL SELECT name, 'unmapped' FROM e WHERE name NOT IN (SELECT name FROM m WHERE collection IS NOT NULL)")
 def ungrounded_names(spark, d):
     e = spark.createDataFrame(NAMED, "entity string")
-    return metrics.ungrounded(e, spark.createDataFrame(MAPPING, "name string, collection string"), spark.createDataFrame([("customer",), ("part",), ("orders",)], "collection string"))
+    return metrics.ungrounded(e, spark.createDataFrame(MAPPING, "name string, collection string"), _reached(spark, d))
 
 
-HEALTH = [("a", 0.5, 1.0, 0.75, None), ("b", 0.9, None, None, None), ("c", None, 0.25, 0.5, 1.0), ("d", None, None, None, None)]
+_SCORED = f"{_HEALTH}, s AS (SELECT edges AS name, CASE WHEN edges = 'placed' THEN 0.75::DOUBLE END AS confidence, round(sum(connected) / nullif(sum(rows), 0), 4) AS connectivity, sum(dangling_from + dangling_to) / 1000.0::DOUBLE AS bad, NULL::DOUBLE AS grounding FROM h GROUP BY 1), t AS (SELECT name, confidence, connectivity, round(1 / (1 + bad), 4) AS consistency, grounding FROM s)"
 
 
-@query(f"WITH {values('h', 'name, confidence, connectivity, consistency, grounding', HEALTH)} SELECT *, round(100 * (coalesce(confidence, 0) * 0.4 + coalesce(connectivity, 0) * 0.2 + coalesce(consistency, 0) * 0.2 + coalesce(grounding, 0) * 0.2) / nullif(0.4::DOUBLE * (confidence IS NOT NULL)::INT + 0.2::DOUBLE * (connectivity IS NOT NULL)::INT + 0.2::DOUBLE * (consistency IS NOT NULL)::INT + 0.2::DOUBLE * (grounding IS NOT NULL)::INT, 0)) AS health FROM h")
+@query(f"WITH {_SCORED} SELECT *, round(100 * (coalesce(confidence, 0) * 0.4 + coalesce(connectivity, 0) * 0.2 + coalesce(consistency, 0) * 0.2) / (0.4::DOUBLE * (confidence IS NOT NULL)::INT + 0.4::DOUBLE)) AS health FROM t")
 def health_score(spark, d):
-    return metrics.health_score(spark.createDataFrame(HEALTH, "name string, confidence double, connectivity double, consistency double, grounding double"))
+    """Of what the rows show: confidence is told for one edge collection, grounding for none."""
+    found = health.summary(health.catalog_health(star.catalog(spark, d), _HEALTHY))
+    return metrics.health_score(found.select(F.col("edges").alias("name"), F.when(F.col("edges") == "placed", 0.75).alias("confidence"), "connectivity", F.round(1 / (1 + F.col("dangling") / 1000.0), 4).alias("consistency"), F.lit(None).cast("double").alias("grounding")))
+
 
+GOLD = [("Customers",), ("supplier",), ("in_regions",), ("Studio",), ("REGION",)]
+_PREDICTED = f"{ENTITIES}, {relationships('')}, p AS (SELECT DISTINCT type AS name FROM entities UNION SELECT DISTINCT relation FROM relationships)"
+
+
+def _predicted(spark, d):
+    """Names of the types and relations that the rows have."""
+    return star.entities(spark, d).select(F.col("type").alias("name")).union(star.relationships(spark, d).select("relation")).distinct()
 
-PREDICTED, GOLD = [("Movies",), ("person",), ("Director",), ("user-role",)], [("Movie",), ("Person",), ("user_roles",), ("Studio",)]
 _NORM = "CASE WHEN ends_with(x, 'ies') AND length(x) > 3 THEN CASE WHEN x = 'movies' THEN 'movie' ELSE x[:-4] || 'y' END WHEN ends_with(x, 's') AND NOT ends_with(x, 'ss') AND length(x) > 1 THEN x[:-2] ELSE x END"
 
 
-@query(f"WITH {values('p', 'name', PREDICTED)}, {values('g', 'name', GOLD)}, pn AS (SELECT DISTINCT {_NORM} AS n FROM (SELECT replace(lower(name), '-', '_') AS x FROM p)), gn AS (SELECT DISTINCT {_NORM} AS n FROM (SELECT replace(lower(name), '-', '_') AS x FROM g)), c AS (SELECT (SELECT count(*) FROM pn) AS predicted, (SELECT count(*) FROM gn) AS gold, (SELECT count(*) FROM pn JOIN gn USING (n)) AS common) SELECT *, common / predicted AS precision, common / gold AS recall, 2 * (common / predicted) * (common / gold) / (common / predicted + common / gold) AS f1 FROM c")
+@query(f"WITH {_PREDICTED}, {values('g', 'name', GOLD)}, pn AS (SELECT DISTINCT {_NORM} AS n FROM (SELECT replace(lower(name), '-', '_') AS x FROM p)), gn AS (SELECT DISTINCT {_NORM} AS n FROM (SELECT replace(lower(name), '-', '_') AS x FROM g)), c AS (SELECT (SELECT count(*) FROM pn) AS predicted, (SELECT count(*) FROM gn) AS gold, (SELECT count(*) FROM pn JOIN gn USING (n)) AS common) SELECT *, common / predicted AS precision, common / gold AS recall, 2 * (common / predicted) * (common / gold) / (common / predicted + common / gold) AS f1 FROM c")
 def gold_comparison(spark, d):
-    return metrics.precision_recall(spark.createDataFrame(PREDICTED, "name string"), spark.createDataFrame(GOLD, "name string"))
+    return metrics.precision_recall(_predicted(spark, d), spark.createDataFrame(GOLD, "name string"))
 
 
-@query("SELECT 0::BIGINT AS predicted, 0::BIGINT AS gold, 0::BIGINT AS common, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1")
+@query(f"WITH {_PREDICTED} SELECT 0::BIGINT AS predicted, count(*) FILTER (name = 'Ghost') AS gold, 0::BIGINT AS common, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1 FROM p")
 def gold_comparison_empty(spark, d):
-    none = spark.createDataFrame([], "name string")
+    """Nothing is predicted and nothing is gold: no row has such a name."""
+    none = _predicted(spark, d).where("name = 'Ghost'")
     return metrics.precision_recall(none, none)
 
 
@@ -163,13 +178,19 @@ def history_last_n(spark, d):
     return metrics.last_n(star.table(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id", 3)
 
 
-OLD, NEW = [("x", "a", 0.5, 0.9), ("y", "a", 0.7, 0.2)], [("x", "a", 0.49, 0.899), ("y", "a", 0.75, 0.1)]
+def _half(k):
+    return f"SELECT o_orderpriority AS domain, 'half' AS variant, count(*) FILTER (o_orderstatus = 'F') / count(*) AS f1, count(*) FILTER (o_totalprice > 100000) / count(*) AS accuracy FROM orders WHERE o_orderkey % 2 = {k} GROUP BY 1"
 
 
-@query(f"WITH {values('o', 'domain, variant, f1, accuracy', OLD)}, {values('n', 'domain, variant, f1, accuracy', NEW)}, j AS (SELECT o.domain, o.variant, 'f1' AS metric, o.f1 AS before, n.f1 AS after FROM o JOIN n USING (domain, variant) UNION ALL SELECT o.domain, o.variant, 'accuracy', o.accuracy, n.accuracy FROM o JOIN n USING (domain, variant)) SELECT *, round(after - before, 6) AS delta FROM j WHERE round(after - before, 6) < -0.005")
+@query(f"WITH o AS ({_half(0)}), n AS ({_half(1)}), j AS (SELECT o.domain, o.variant, 'f1' AS metric, o.f1 AS before, n.f1 AS after FROM o JOIN n USING (domain, variant) UNION ALL SELECT o.domain, o.variant, 'accuracy', o.accuracy, n.accuracy FROM o JOIN n USING (domain, variant)) SELECT *, round(after - before, 6) AS delta FROM j WHERE round(after - before, 6) < -0.005")
 def regression_gate(spark, d):
-    s = "domain string, variant string, f1 double, accuracy double"
-    return metrics.regressions(spark.createDataFrame(OLD, s), spark.createDataFrame(NEW, s), ["domain", "variant"], ["f1", "accuracy"])
+    """Two halves of the orders as two runs; what fell from one to the other."""
+
+    def half(k):
+        o = star.table(spark, d, "orders").where(F.col("o_orderkey") % 2 == k)
+        return o.groupBy(F.col("o_orderpriority").alias("domain"), F.lit("half").alias("variant")).agg((F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("f1"), (F.count_if(F.col("o_totalprice") > 100000) / F.count("*")).alias("accuracy"))
+
+    return metrics.regressions(half(0), half(1), ["domain", "variant"], ["f1", "accuracy"])
 
 
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey ORDER BY n_name LIMIT 10")

@@ -204,13 +204,18 @@ def counts_fingerprint(spark, d):
     return profile.counts_fingerprint(_shape(spark, d), counts)
 
 
-BEFORE, AFTER = [("a", "s1", "c1"), ("b", "s1", "c1"), ("c", "s1", "c1")], [("a", "s1", "c1"), ("b", "s2", "c1"), ("c", "s1", "c2"), ("d", "s1", "c1")]
+def _states(where):
+    return f"SELECT o_orderpriority AS id, max(o_orderstatus) AS shape, count(*)::VARCHAR AS counts FROM orders WHERE {where} GROUP BY 1"
 
 
-@query(f"WITH {values('b', 'id, shape, counts', BEFORE)}, {values('a', 'id, shape, counts', AFTER)} SELECT a.id, CASE WHEN b.shape IS NULL THEN 'no_cache' WHEN a.shape <> b.shape THEN 'shape_changed' WHEN a.counts <> b.counts THEN 'stats_changed' ELSE 'unchanged' END AS state FROM a LEFT JOIN b ON a.id = b.id")
+_OLD, _NEW = "o_orderpriority NOT LIKE '1%' AND (o_orderpriority <> '2-HIGH' OR o_orderstatus = 'F') AND (o_orderpriority <> '3-MEDIUM' OR o_orderkey % 2 = 0)", "o_orderpriority NOT LIKE '5%'"
+
+
+@query(f"WITH b AS ({_states(_OLD)}), a AS ({_states(_NEW)}) SELECT a.id, CASE WHEN b.shape IS NULL THEN 'no_cache' WHEN a.shape <> b.shape THEN 'shape_changed' WHEN a.counts <> b.counts THEN 'stats_changed' ELSE 'unchanged' END AS state FROM a LEFT JOIN b ON a.id = b.id")
 def change_states(spark, d):
-    s = "id string, shape string, counts string"
-    return profile.change_state(spark.createDataFrame(BEFORE, s), spark.createDataFrame(AFTER, s))
+    """Orders of each priority before and after: new, with another status, more of them, or the same."""
+    states = lambda where: star.table(spark, d, "orders").where(where).groupBy(F.col("o_orderpriority").alias("id")).agg(F.max("o_orderstatus").alias("shape"), F.count("*").cast("string").alias("counts"))
+    return profile.change_state(states(_OLD), states(_NEW))
 
 
 @query("SELECT c_mktsegment, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY GROUPING SETS ((c_mktsegment), (n_name))")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from skemaforge.operators import metrics, profile, structure
 from skemaforge.sources import star
+from skemaforge.sources.catalog import union_all
 
-from .q_sources import ENTITIES
+from . import q_detectors
+from .q_sources import ENTITIES, relationships
 from .registry import query, values
 
 INDEXES = [("goods", 1, "primary", "_key", True, "a"), ("goods", 2, "persistent", "sku,depot", False, "z"), ("goods", 3, "persistent", "sku", True, "b"), ("goods", 4, "fulltext", "title", False, "t"), ("goods", 5, "persistent", "depot", False, "d"), ("moves", 1, "persistent", "_from,at", False, "m"), ("moves", 2, "vector", "shape", False, "v"), ("moves", 3, "persistent", "at", False, "n")]
@@ -49,20 +51,22 @@ def property_union(spark, d):
     return structure.property_union(by_type, candidates)
 
 
-STYLES = [("LABEL",), ("LABEL",), ("COLLECTION",), ("DEDICATED_COLLECTION",), ("FOREIGN_KEY",)]
-
-
-@query(f"WITH {values('s', 'style', STYLES)} SELECT CASE style WHEN 'LABEL' THEN 'LPG_LABEL' WHEN 'COLLECTION' THEN 'PG_ENTITY_COLLECTION' WHEN 'GENERIC_WITH_TYPE' THEN 'LPG_GENERIC_EDGE' ELSE 'PG_DEDICATED_EDGE' END AS pattern, count(*) AS mappings FROM s WHERE style <> 'FOREIGN_KEY' GROUP BY 1")
+@query(f"WITH {ENTITIES}, {relationships('')}, x AS (SELECT 'LPG_LABEL' AS pattern FROM (SELECT DISTINCT type FROM entities) UNION ALL SELECT 'LPG_LABEL' FROM (SELECT DISTINCT o_orderstatus FROM orders) UNION ALL SELECT unnest(['PG_ENTITY_COLLECTION', 'PG_ENTITY_COLLECTION']) UNION ALL SELECT 'LPG_GENERIC_EDGE' FROM (SELECT DISTINCT relation FROM relationships) UNION ALL SELECT 'LPG_GENERIC_EDGE' FROM (SELECT DISTINCT o_orderstatus FROM orders) UNION ALL SELECT unnest(['PG_DEDICATED_EDGE', 'PG_DEDICATED_EDGE'])) SELECT pattern, count(*) AS mappings FROM x GROUP BY 1")
 def detected_patterns(spark, d):
-    return structure.detected_patterns(spark.createDataFrame(STYLES, "style string"))
+    """How the entities and relationships inferred from the rows are stored."""
+    return structure.detected_patterns(q_detectors.baseline_entities(spark, d).select("style").union(q_detectors.baseline_relationships(spark, d).select("style")))
 
 
-PREDICATES = [("facts", "p", "rdf:type"), ("facts", "p", "knows"), ("facts", "note", "a"), ("links", "relType", "Type"), ("links", "relation", "A"), ("moves", "relation", "SHIPS")]
+_FACTS = "v AS (SELECT 'facts' AS collection, 'p' AS field, CASE n_nationkey % 3 WHEN 0 THEN 'rdf:type' WHEN 1 THEN 'knows' ELSE 'RDF:Type' END AS value FROM nation UNION ALL SELECT 'facts', 'note', 'a' FROM nation UNION ALL SELECT 'links', 'relType', CASE WHEN c_nationkey > 10 THEN 'Type' ELSE 'near' END FROM customer UNION ALL SELECT 'moves', 'relation', o_orderstatus FROM orders)"
 
 
-@query(f"WITH {values('v', 'collection, field, value', PREDICATES)} SELECT collection, string_agg(DISTINCT value, ',' ORDER BY value) AS values FROM v WHERE field IN ('predicate', 'p', 'rel', 'relation', 'relType') AND lower(value) IN ('rdf:type', 'type', 'a', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type') GROUP BY 1")
+@query(f"WITH {_FACTS} SELECT collection, string_agg(DISTINCT value, ',' ORDER BY value) AS values FROM v WHERE field IN ('predicate', 'p', 'rel', 'relation', 'relType') AND lower(value) IN ('rdf:type', 'type', 'a', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type') GROUP BY 1")
 def type_assertions(spark, d):
-    return structure.type_assertions(spark.createDataFrame(PREDICATES, "collection string, field string, value string"))
+    """Triples made of the tables: predicates of two collections state types, a third's don't."""
+    n, c, o = (star.table(spark, d, t) for t in ("nation", "customer", "orders"))
+    k = F.col("n_nationkey") % 3
+    parts = {"facts": n.select(F.when(k == 0, "rdf:type").when(k == 1, "knows").otherwise("RDF:Type").alias("p"), F.lit("a").alias("note")), "links": c.select(F.when(F.col("c_nationkey") > 10, "Type").otherwise("near").alias("relType")), "moves": o.select(F.col("o_orderstatus").alias("relation"))}
+    return structure.type_assertions(union_all([profile.value_counts(df, df.columns).select(F.lit(name).alias("collection"), "field", "value") for name, df in parts.items()]))
 
 
 ROLE_CASES = {"whole": ("chunk,entity,mention", 0), "vector": ("chunk,similarity", 1), "plain": ("chunk,similarity", 0), "nodes": ("chunk,entity", 1), "edges": ("entity,mention", 1), "one": ("chunk", 1), "none": ("", 0)}
@@ -78,45 +82,50 @@ def retrieval_confidence(spark, d):
     return out
 
 
-DOMAINS = [("trade", 0.4), ("film", 0.4), ("care", 0.2)]
-
-
-@query(f"WITH {values('s', 'domain, confidence', DOMAINS)} SELECT * FROM (SELECT 'found' AS case_name, domain, confidence FROM s ORDER BY confidence DESC, domain LIMIT 1) UNION ALL SELECT 'given', 'freight', 1.0::DOUBLE")
+@query(f"WITH d AS ({q_detectors.DOMAIN_SQL}) SELECT * FROM (SELECT 'found' AS case_name, domain, confidence FROM d ORDER BY confidence DESC, domain LIMIT 1) UNION ALL SELECT 'given', 'freight', 1.0::DOUBLE")
 def domain_choice(spark, d):
-    s = spark.createDataFrame(DOMAINS, "domain string, confidence double")
+    s = q_detectors.domain_scores(spark, d)
     case = lambda df, name: df.select(F.lit(name).alias("case_name"), "domain", "confidence")
     return case(structure.domain_choice(s, " "), "found").unionByName(case(structure.domain_choice(s, " freight "), "given"))
 
 
-SCOPES, DECLARED = [("Tenant", "root"), ("Team", "reachable"), ("Color", "global")], [("Color", "denormalised"), ("Ghost", "root")]
+DECLARED = [("parts", "denormalised"), ("ghosts", "root")]
 
 
-@query(f"WITH {values('s', 'entity, scope', SCOPES)}, {values('e', 'entity, scope', DECLARED)} SELECT s.entity, coalesce(e.scope, s.scope) AS scope FROM s LEFT JOIN e ON s.entity = e.entity")
+@query(f"WITH s AS ({q_detectors.SCOPES_SQL}), {values('e', 'entity, scope', DECLARED)} SELECT s.entity, coalesce(e.scope, s.scope) AS scope FROM s LEFT JOIN e ON s.entity = e.entity")
 def explicit_tenant_scopes(spark, d):
-    s = "entity string, scope string"
-    return structure.explicit_scopes(spark.createDataFrame(SCOPES, s), spark.createDataFrame(DECLARED, s))
+    """What is declared goes before what the inferred links say."""
+    return structure.explicit_scopes(q_detectors.tenant_scopes_inferred(spark, d), spark.createDataFrame(DECLARED, "entity string, scope string"))
 
 
-OLDER = [("entity", "Crate", "sku,weight", "COLLECTION"), ("entity", "Drum", "lid", "LABEL"), ("entity", "Gone", "", "LABEL"), ("relationship", "HOLDS", "Crate>Drum", "DEDICATED_COLLECTION"), ("relationship", "Gone", "Any>Any", "GENERIC_WITH_TYPE")]
-NEWER = [("entity", "Crate", "sku", "LABEL"), ("entity", "Drum", "lid", "LABEL"), ("entity", "Vat", "lid", "LABEL"), ("relationship", "HOLDS", "Crate>Any", "DEDICATED_COLLECTION"), ("relationship", "Crate", "Any>Any", None)]
+def _model(where, balance):
+    return f"SELECT 'entity' AS kind, type AS name, 'name' || CASE WHEN count({balance}) > 0 THEN ',balance' ELSE '' END AS definition, CASE WHEN type = 'Nation' THEN '{'COLLECTION' if where == 'TRUE' else 'LABEL'}' ELSE 'LABEL' END AS style FROM entities WHERE {where} GROUP BY type"
 
 
-@query(f"""WITH {values('a', 'kind, name, definition, style', OLDER)}, {values('b', 'kind, name, definition, style', NEWER)}, k AS (SELECT kind, name FROM a INTERSECT SELECT kind, name FROM b)
+@query(f"""WITH {ENTITIES}, a AS ({_model("type <> 'Region'", "balance")}), b AS ({_model("TRUE", "CASE WHEN type <> 'Supplier' THEN balance END")}), k AS (SELECT kind, name FROM a INTERSECT SELECT kind, name FROM b)
 SELECT kind, name, 'added' AS change FROM b WHERE (kind, name) NOT IN (SELECT (kind, name) FROM k) UNION ALL SELECT kind, name, 'removed' FROM a WHERE (kind, name) NOT IN (SELECT (kind, name) FROM k)
 UNION ALL SELECT a.kind, a.name, 'changed' FROM a JOIN b ON a.kind = b.kind AND a.name = b.name WHERE a.definition IS DISTINCT FROM b.definition UNION ALL SELECT a.kind, a.name, 'restyled' FROM a JOIN b ON a.kind = b.kind AND a.name = b.name WHERE a.style IS DISTINCT FROM b.style""")
 def model_changes(spark, d):
-    s = "kind string, name string, definition string, style string"
-    return structure.model_changes(spark.createDataFrame(OLDER, s), spark.createDataFrame(NEWER, s))
+    """Models of two states of the rows: one type more, one with fewer fields, one stored in another way."""
+    rows = star.entities(spark, d)
+
+    def model(df, style):
+        found = profile.observed_fields_by_type(df, "type").groupBy(F.col("type").alias("name")).agg(F.array_join(F.array_sort(F.collect_list("field")), ",").alias("definition"))
+        return found.select(F.lit("entity").alias("kind"), "name", "definition", F.when(F.col("name") == "Nation", style).otherwise("LABEL").alias("style"))
+
+    after = rows.withColumn("balance", F.when(F.col("type") != "Supplier", F.col("balance")))
+    return structure.model_changes(model(rows.where("type <> 'Region'"), "LABEL"), model(after, "COLLECTION"))
 
 
-MODEL_E, MODEL_R = [("Crate",), ("Drum",), ("Vat",)], [("HOLDS",), ("MOVES",)]
-TRUTH_E, TRUTH_R = [("Crate",), ("Drum",), ("Jar",), ("Depot",)], [("HOLDS",)]
+TRUTH_E, TRUTH_R = [("Customer",), ("Nation",), ("Jar",), ("Depot",)], [("IN_REGION",), ("SUPPLIER_IN",)]
 
 
-@query(f"WITH {values('pe', 'n', MODEL_E)}, {values('ge', 'n', TRUTH_E)}, {values('pr', 'n', MODEL_R)}, {values('gr', 'n', TRUTH_R)}, f AS (SELECT 2.0 * (SELECT count(*) FROM pe JOIN ge USING (n)) / ((SELECT count(*) FROM pe) + (SELECT count(*) FROM ge)) AS e, 2.0 * (SELECT count(*) FROM pr JOIN gr USING (n)) / ((SELECT count(*) FROM pr) + (SELECT count(*) FROM gr)) AS r) SELECT round((e + r) / 2, 4)::DOUBLE AS overlap FROM f")
+@query(f"WITH {ENTITIES}, {relationships('')}, pe AS (SELECT DISTINCT type AS n FROM entities), {values('ge', 'n', TRUTH_E)}, pr AS (SELECT DISTINCT relation AS n FROM relationships), {values('gr', 'n', TRUTH_R)}, f AS (SELECT 2.0 * (SELECT count(*) FROM pe JOIN ge USING (n)) / ((SELECT count(*) FROM pe) + (SELECT count(*) FROM ge)) AS e, 2.0 * (SELECT count(*) FROM pr JOIN gr USING (n)) / ((SELECT count(*) FROM pr) + (SELECT count(*) FROM gr)) AS r) SELECT round((e + r) / 2, 4)::DOUBLE AS overlap FROM f")
 def gold_overlap(spark, d):
+    """Types and relations that the rows have against those of a given model."""
     t = lambda rows: spark.createDataFrame(rows, "name string")
-    return structure.gold_overlap(metrics.precision_recall(t(MODEL_E), t(TRUTH_E)), metrics.precision_recall(t(MODEL_R), t(TRUTH_R)))
+    types, relations = star.entities(spark, d).select(F.col("type").alias("name")).distinct(), star.relationships(spark, d).select(F.col("relation").alias("name")).distinct()
+    return structure.gold_overlap(metrics.precision_recall(types, t(TRUTH_E)), metrics.precision_recall(relations, t(TRUTH_R)))
 
 
 NAMED = [("entity", "sales_depots", "SalesDepot"), ("entity", "Crate", None), ("property", "_key", None), ("property", "Net_Weight", "netWeight"), ("property", "sku", None), ("relationship", "SHIPS_TO", "shipsTo"), ("relationship", "holds", None)]
