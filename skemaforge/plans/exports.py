@@ -32,22 +32,53 @@ def vocabulary(a: Analysis, base: str = BASE) -> dict:
     return {"prefix": base, "classes": [base + _local(e["name"]) for e in a.conceptual["entities"]], "predicates": [base + _local(r["type"]) for r in a.conceptual["relationships"]]}
 
 
+def subclasses(a: Analysis) -> list[tuple[str, str]]:
+    """(class, its parent): entities and abstract classes under the nearest abstract class, and collections of a family under the family."""
+    out = set()
+    classes = a.extra.get("taxonomy", {}).get("abstractClasses", [])
+    for c in sorted(classes, key=lambda c: -len(c["members"])):
+        out = {(x, y) for x, y in out if x not in c["members"]} | {(m, c["name"]) for m in c["members"]}
+    out |= {(c["name"], c["parent"]) for c in classes if c.get("parent")}
+    for f in a.extra.get("detected", {}).get("families", []):
+        family = _local(f["family"])
+        out |= {(n, family) for n, m in a.mapping["entities"].items() if m["style"] == "COLLECTION" and m["collection"].endswith(f["family"]) and n != family}
+    return sorted(out)
+
+
 def turtle(a: Analysis, base: str = BASE) -> str:
-    kinds = {s["relation"]: _FUNCTIONAL.get(s["cardinality"], ()) for s in a.statistics}
-    lines = [f"@prefix : <{base}> .", "@prefix owl: <http://www.w3.org/2002/07/owl#> .", "@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .", ""]
+    """Classes with their parents, properties, relationships; where each is stored stands in annotations (``phys:``)."""
+    cardinality = {s["relation"]: s["cardinality"] for s in a.statistics}
+    above = subclasses(a)
+    lines = [f"@prefix : <{base}> .", f"@prefix phys: <{base}physical/> .", "@prefix owl: <http://www.w3.org/2002/07/owl#> .", "@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .", ""]
+
+    def physical(name: str, m: dict) -> list[str]:
+        shown = {"mappingStyle": "style", "collection": "collection", "typeField": "type_field", "typeValue": "type_value", "fromCollection": "from_collection", "toCollection": "to_collection"}
+        return [f":{_local(name)} phys:{k} {json.dumps(m[f])} ." for k, f in shown.items() if m.get(f)]
+
     for e in a.conceptual["entities"]:
         lines.append(f':{_local(e["name"])} a owl:Class ; rdfs:label {json.dumps(e["name"])} .')
         lines += [f':{_local(p)} a owl:DatatypeProperty ; rdfs:domain :{_local(e["name"])} .' for p in e["properties"]]
+        lines += physical(e["name"], a.mapping["entities"].get(e["name"], {}))
+    known = {e["name"] for e in a.conceptual["entities"]}
+    lines += [f':{_local(p)} a owl:Class ; rdfs:label {json.dumps(p)} .' for p in sorted({p for _, p in above} - known)]
+    lines += [f":{_local(c)} rdfs:subClassOf :{_local(p)} ." for c, p in above]
     for r in a.conceptual["relationships"]:
-        extra = "".join({"functional": ", owl:FunctionalProperty", "inverse": ", owl:InverseFunctionalProperty"}[k] for k in kinds.get(r["type"], ()))
+        extra = "".join({"functional": ", owl:FunctionalProperty", "inverse": ", owl:InverseFunctionalProperty"}[k] for k in _FUNCTIONAL.get(cardinality.get(r["type"]), ()))
         ends = "".join(f" ; rdfs:{side} :{_local(r[key])}" for side, key in (("domain", "fromEntity"), ("range", "toEntity")) if r[key] != "Any")
         lines.append(f':{_local(r["type"])} a owl:ObjectProperty{extra}{ends} .')
+        lines += physical(r["type"], a.mapping["relationships"].get(r["type"], {}))
+        if r["type"] in cardinality:
+            lines.append(f':{_local(r["type"])} phys:observedCardinality {json.dumps(cardinality[r["type"]])} .')
     return "\n".join(lines) + "\n"
 
 
 def json_ld(a: Analysis, base: str = BASE) -> dict:
-    graph = [{"@id": base + _local(e["name"]), "@type": "owl:Class", "rdfs:label": e["name"]} for e in a.conceptual["entities"]]
-    graph += [{"@id": base + _local(r["type"]), "@type": "owl:ObjectProperty", "rdfs:domain": {"@id": base + _local(r["fromEntity"])}, "rdfs:range": {"@id": base + _local(r["toEntity"])}} for r in a.conceptual["relationships"]]
+    above = dict(subclasses(a))
+    names = [e["name"] for e in a.conceptual["entities"]]
+    names += sorted(set(above.values()) - set(names))
+    graph = [{"@id": base + _local(n), "@type": "owl:Class", "rdfs:label": n} | ({"rdfs:subClassOf": {"@id": base + _local(above[n])}} if n in above else {}) for n in names]
+    end = lambda name: {"@id": base + _local(name)}
+    graph += [{"@id": base + _local(r["type"]), "@type": "owl:ObjectProperty"} | {k: end(r[f]) for k, f in (("rdfs:domain", "fromEntity"), ("rdfs:range", "toEntity")) if r[f] != "Any"} for r in a.conceptual["relationships"]]
     return {"@context": {"owl": "http://www.w3.org/2002/07/owl#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#"}, "@graph": graph}
 
 
@@ -86,6 +117,35 @@ def issues(spark: SparkSession, doc: dict) -> list[str]:
     return out + sorted(f"{r['kind']} {r['name']}: {r['proposed']}" for r in found)
 
 
+def conformed(spark: SparkSession, doc: dict, entity_names: dict[str, str] | None = None, other_names: dict[str, str] | None = None) -> dict:
+    """A copy of an interchange document with names as it wants them: classes in singular with raised words, properties and relationships with a small first word.
+
+    Keys of the mapping follow, and each renamed property tells the field that it stands for. The caller's names go before the rules (for irregular words).
+    Names that conform stay, so a second pass changes nothing; system fields stay.
+    """
+    doc = json.loads(json.dumps(doc))
+    model, mapping = doc["conceptualModel"], doc["physicalMapping"]
+    fields = sorted({p for e in model["entities"] for p in e.get("properties", [])})
+    rows = [("entity", e["name"]) for e in model["entities"]] + [("property", p) for p in fields] + [("relationship", r["type"]) for r in model["relationships"]]
+    found = {(r["kind"], r["name"]): r["proposed"] for r in structure.naming_issues(spark.createDataFrame(rows, "kind string, name string").distinct()).collect()}
+    given = {("entity", k): v for k, v in (entity_names or {}).items()} | {(kind, k): v for k, v in (other_names or {}).items() for kind in ("property", "relationship")}
+    new = lambda kind, name: given.get((kind, name)) or found.get((kind, name)) or name
+    classes = {e["name"]: new("entity", e["name"]) for e in model["entities"]}
+    for e in model["entities"]:
+        own = mapping["entities"].get(e["name"])
+        if own is not None:
+            was = own.get("properties", {})
+            own["properties"] = {new("property", p): {"field": p} | was.get(p, was.get(new("property", p), {})) for p in e.get("properties", [])}
+        e["name"], e["properties"] = classes[e["name"]], [new("property", p) for p in e.get("properties", [])]
+        if "parent" in e:
+            e["parent"] = classes.get(e["parent"], e["parent"])
+    for r in model["relationships"]:
+        r |= {"type": new("relationship", r["type"]), **{k: classes.get(r[k], r[k]) for k in ("fromEntity", "toEntity")}}
+    mapping["entities"] = {classes.get(n, n): m for n, m in mapping["entities"].items()}
+    mapping["relationships"] = {new("relationship", n): m | {k: classes.get(m[k], m[k]) for k in ("from_entity", "to_entity") if k in m} for n, m in mapping["relationships"].items()}
+    return doc
+
+
 def markdown(a: Analysis) -> str:
     lines = ["# Schema", "", "## Entities", "", "| entity | style | collection | properties |", "|-|-|-|-|"]
     for e in a.conceptual["entities"]:

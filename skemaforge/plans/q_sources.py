@@ -250,13 +250,14 @@ def id_shapes(spark, d):
     return found.select("value", naming.is_id_shaped(F.col("value")).alias("is_id"))
 
 
-OWL = [("sales_orders", "SalesOrder", "salesOrders"), ("ship_date", "ShipDate", "shipDate"), ("STORED_AT", "StoredAt", "storedAt"), ("XMLFeeds", "XmlFeed", "xmlFeeds"), ("taxes", "Tax", "taxes"), ("duties", "Duty", "duties"), ("_tag", "Tag", "_tag")]
+OWL = [("sales_orders",), ("ship_date",), ("STORED_AT",), ("taxes",), ("duties",), ("_tag",), ("glass",), ("boxes_of_matches",)]
+_OWL = r"""w AS (SELECT name, regexp_extract_all(name, '[A-Z][a-z0-9]+|[A-Z]+|[a-z0-9]+') AS l FROM n), x AS (SELECT name, l, l[-1] AS z, lower(l[-1]) AS y FROM w),
+s AS (SELECT name, l, list_append(l[:-2], CASE WHEN ends_with(y, 'ies') AND length(z) > 3 THEN z[:-4] || 'y' WHEN regexp_matches(y, '(ses|ches|shes|xes|zes)$') THEN z[:-3] WHEN ends_with(y, 's') AND NOT ends_with(y, 'ss') THEN z[:-2] ELSE z END) AS o FROM x)"""
 
 
-@query(f"WITH {values('o', 'name, class, property', OWL)} SELECT * FROM o")
+@query(f"WITH {names_sql(OWL)}, {_OWL} SELECT name, coalesce(array_to_string(list_transform(o, lambda p: upper(p[1]) || lower(p[2:])), ''), '') AS class, regexp_extract(name, '^(_*)', 1) || array_to_string(list_transform(l, lambda p, i: CASE WHEN i = 1 THEN lower(p) ELSE upper(p[1]) || lower(p[2:]) END), '') AS property FROM s")
 def ontology_names(spark, d):
-    names = spark.createDataFrame([(n,) for n, _, _ in OWL], "name string")
-    return names.select("name", naming.owl_class(F.col("name")).alias("class"), naming.owl_property(F.col("name")).alias("property"))
+    return table_names(spark, d, OWL).select("name", naming.owl_class(F.col("name")).alias("class"), naming.owl_property(F.col("name")).alias("property"))
 
 
 @query("SELECT DISTINCT token FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(p_type), '[-_]'), lambda x: x <> '')) AS token FROM part)")

@@ -132,3 +132,38 @@ def truncated(snap: dict, most: int) -> dict:
     """The snapshot with the ``most`` largest collections (by count, then name) in full and the others by name, kind and count; ``omitted`` tells how many."""
     keep = {c["name"] for c in sorted(snap["collections"], key=lambda c: (-c["count"], c["name"]))[:most]}
     return snap | {"collections": [c if c["name"] in keep else {k: c[k] for k in ("name", "type", "count")} for c in snap["collections"]], "omitted": max(0, len(snap["collections"]) - most)}
+
+
+def redacted(snap: dict, names: bool = False) -> tuple[dict, dict[str, str]]:
+    """A copy of a snapshot that may leave the house, and what each token stands for: no samples, values as ``<redacted>:i`` and (``names``) fields as ``redacted_field_i``.
+
+    Tokens are numbered in order of all values of the snapshot, which is bounded metadata; system fields keep their names.
+    """
+    out = json.loads(json.dumps(snap, default=str))
+    fields, values = set(), set()
+    for c in out["collections"]:
+        c.pop("samples", None)
+        values |= {v for pairs in c.get("values", {}).values() for v, _ in pairs} | {v for own in c.get("overflow", {}).values() for v in own} | set(c.get("fields_by_type", {}))
+        values |= {r[0] for r in c.get("endpoints_by_relation", [])} | {x for r in c.get("types_by_relation", []) for x in r[:3]}
+        fields |= {f for f, _ in c.get("fields", [])} | {f for i in c.get("indexes", []) for f in i.get("fields", [])} | set(c.get("values", {})) | {f for own in c.get("fields_by_type", {}).values() for f in own}
+    of = {v: f"<redacted>:{i}" for i, v in enumerate(sorted(values - {""}))}
+    name = {f: f"redacted_field_{i}" for i, f in enumerate(sorted(f for f in fields if not f.startswith("_")))} if names else {}
+    v, n = lambda x: of.get(x, x), lambda x: name.get(x, x)
+    for c in out["collections"]:
+        c["indexes"] = [i | {"fields": [n(f) for f in i.get("fields", [])]} for i in c.get("indexes", [])]
+        for key, change in (
+            ("fields", lambda x: [[n(f), k] for f, k in x]), ("values", lambda x: {n(f): [[v(a), k] for a, k in pairs] for f, pairs in x.items()}), ("overflow", lambda x: {n(f): [v(a) for a in own] for f, own in x.items()}),
+            ("type_field", n), ("fields_by_type", lambda x: {v(t): [n(f) for f in own] for t, own in x.items()}), ("endpoints_by_relation", lambda x: [[v(r[0]), *r[1:]] for r in x]), ("types_by_relation", lambda x: [[*map(v, r[:3]), *r[3:]] for r in x]),
+        ):
+            if key in c:
+                c[key] = change(c[key])
+    return out, {t: x for x, t in (*of.items(), *name.items())}
+
+
+def restored(part, tokens: dict[str, str]):
+    """Any JSON-like ``part`` with its tokens turned back."""
+    if isinstance(part, dict):
+        return {tokens.get(k, k): restored(x, tokens) for k, x in part.items()}
+    if isinstance(part, list):
+        return [restored(x, tokens) for x in part]
+    return tokens.get(part, part) if isinstance(part, str) else part

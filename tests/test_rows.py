@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skemaforge.operators import foreign_keys, health, inclusion, inference, numbering, partials, profile, relational, shapes, taxonomy
-from skemaforge.plans import analysis, service, snapshot
+from skemaforge.plans import analysis, exports, service, snapshot
 from skemaforge.plans.mapping import PhysicalMapping
 from skemaforge.sources import star
 from skemaforge.sources.catalog import Catalog, Collection
@@ -357,3 +357,31 @@ def test_domain_of_the_names(spark):
     c = documents(spark, crates=("_key string, _id string, depot string", [("1", "crates/1", "x")]))
     words = spark.createDataFrame([("freight", w) for w in ("crates", "depot", "truck")] + [("film", "actor")], "domain string, keyword string")
     assert analysis.analyze(c, foreign=False, domains=words).extra["domain"]["domain"] == "freight"
+
+
+def test_exports_tell_parents_and_places(spark):
+    shared, own = "_key string, _id string, owner string, balance double", [("1", "x/1", "o", 1.0)]
+    c = documents(spark, mortgage_accounts=(shared + ", rate double", [(*own[0], 2.0)]), cash_accounts=(shared, own), people=("_key string, _id string, full_name string", [("1", "people/1", "p")]))
+    a = analysis.analyze(c, foreign=False)
+    text = exports.turtle(a)
+    assert ":CashAccount rdfs:subClassOf :Account ." in text and ":Account a owl:Class" in text and ':CashAccount phys:collection "cash_accounts" .' in text
+    by_id = {n["rdfs:label"]: n for n in exports.json_ld(a)["@graph"] if "rdfs:label" in n}
+    assert by_id["MortgageAccount"]["rdfs:subClassOf"]["@id"].endswith("Account")
+    doc = exports.interchange(a)
+    named = exports.conformed(spark, doc, {"People": "Person"})
+    model = {e["name"]: e["properties"] for e in named["conceptualModel"]["entities"]}
+    assert model["Person"] == ["fullName"] and named["physicalMapping"]["entities"]["Person"]["properties"]["fullName"]["field"] == "full_name"
+    assert exports.conformed(spark, named) == named and exports.issues(spark, named) == [] and "full_name" in str(doc)
+
+
+def test_redacted_snapshots(spark):
+    c = documents(spark, people=("_key string, _id string, kind string, secret_name string", [(str(i), f"people/{i}", "AB"[i % 2], f"n{i}") for i in range(10)]))
+    snap = snapshot.snapshot(c, samples=2)
+    for names in (False, True):
+        out, tokens = snapshot.redacted(snap, names)
+        text = json.dumps(out)
+        assert '"n3"' not in text and "samples" not in text and ("secret_name" in text) != names and "<redacted>:0" in text
+        plain = json.loads(json.dumps(snap, default=str))
+        for x in plain["collections"]:
+            x.pop("samples", None)
+        assert snapshot.restored(out, tokens) == plain
