@@ -115,17 +115,19 @@ def id_prefix_votes(spark, d):
     return foreign_keys.id_prefix_votes(v, "v")
 
 
-#: collection, fields, target, target fields, confidence before; and what the probes measured.
-CANDIDATES = [("crates", "depot_id", "depots", "_key", 0.75), ("crates", "ownerid", "firms", "_key", 0.45), ("trips", "truckId", "trucks", "_key", 0.75), ("trips", "lane,lane_code", "lanes", "_key,code", 0.6), ("notes", "crate_id", "crates", "_key", 0.75), ("bills", "firm_id", "firms", "_key", 0.75)]
-RATIOS = [("crates", "depot_id", "depots", "_key", 0.97), ("crates", "ownerid", "firms", "_key", 0.3), ("trips", "truckId", "trucks", "_key", 0.0), ("trips", "lane", "lanes", "_key", 0.4), ("trips", "lane_code", "lanes", "code", 0.7), ("bills", "firm_id", "firms", "_key", None)]
+#: collection, fields, target, target fields, confidence before.
+CANDIDATES = [("customers", "nation_id", "nations", "_key", 0.75), ("suppliers", "nationid", "parts", "_key", 0.45), ("parts", "region_id", "regions", "_key", 0.75), ("nations", "region_name,regionId", "regions", "name,_key", 0.6), ("items", "part_key", "suppliers", "_key", 0.75), ("purchases", "status", "regions", "name", 0.75)]
 
 
-@query(f"""WITH {values('c', 'collection, fields, target, target_fields, confidence', CANDIDATES)}, {values('r', 'collection, field, target, target_field, ratio', RATIOS)},
-p AS (SELECT *, unnest(string_split(fields, ',')) AS field, unnest(string_split(target_fields, ',')) AS target_field FROM c), m AS (SELECT p.collection, fields, p.target, target_fields, confidence, avg(ratio) AS mean, min(ratio) AS least FROM p LEFT JOIN r ON r.collection = p.collection AND r.field = p.field AND r.target = p.target AND r.target_field = p.target_field GROUP BY ALL)
+@query(f"""WITH {values('c', 'collection, fields, target, target_fields, confidence', CANDIDATES)}, {_ROWS},
+p AS (SELECT *, unnest(string_split(fields, ',')) AS field, unnest(string_split(target_fields, ',')) AS target_field FROM c),
+q AS (SELECT p.collection, p.field, p.target, p.target_field, count(t.v) / count(*) AS ratio FROM (SELECT DISTINCT collection, field, target, target_field FROM p) p JOIN u s ON s.collection = p.collection AND s.field = p.field LEFT JOIN u t ON t.collection = p.target AND t.field = p.target_field AND t.v = s.v GROUP BY ALL),
+m AS (SELECT p.collection, fields, p.target, target_fields, confidence, avg(ratio) AS mean, min(ratio) AS least FROM p LEFT JOIN q r ON r.collection = p.collection AND r.field = p.field AND r.target = p.target AND r.target_field = p.target_field GROUP BY ALL)
 SELECT collection, fields, target, round(least(confidence + CASE WHEN mean >= 0.9 THEN 0.15 WHEN mean >= 0.5 THEN 0.05 ELSE 0 END, 1), 3)::DOUBLE AS confidence FROM m WHERE least IS NULL OR least > 0""")
 def foreign_key_probe_fold(spark, d):
+    """Candidates after probes of all their values: contained ones, partly contained ones and vetoed ones."""
     c = spark.createDataFrame(CANDIDATES, "collection string, fields string, target string, target_fields string, confidence double").withColumns({"fields": F.split("fields", ","), "target_fields": F.split("target_fields", ","), "method": F.lit("name_suffix")})
-    out = foreign_keys.with_probes(c, spark.createDataFrame(RATIOS, foreign_keys.PROBE))
+    out = foreign_keys.with_probes(c, foreign_keys.probes(star.relational(spark, d), c, sampled=None)[0])
     return out.select("collection", F.array_join("fields", ",").alias("fields"), "target", "confidence")
 
 
