@@ -21,8 +21,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go, and ``n_chars`` follows the text."""
-    return line_dedup.drop_boilerplate(docs, host="source").select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else named(c) for c in docs.columns))
+    """Boilerplate lines of a source go, and ``n_chars`` follows the text. Copies are still there, so a line that a page shares with one other may be its copy's: a third page is asked for."""
+    return line_dedup.drop_boilerplate(docs, host="source", min_pages=3).select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else named(c) for c in docs.columns))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def test_stages_match_brute_force(spark, sf_dir):
             assert after == {k: v for k, v in before.items() if k not in gone}
         elif name == "line_dedup":
             rows = list(before.values())
-            want = dict(zip((r[i] for r in rows), brute.drop_lines([(r[s], r[t]) for r in rows], line_dedup.RATIO, line_dedup.MIN_PAGES)))
+            want = dict(zip((r[i] for r in rows), brute.drop_lines([(r[s], r[t]) for r in rows], line_dedup.RATIO, 3)))
             assert {k: v[t] for k, v in after.items()} == want
             assert all(v[docs.columns.index("n_chars")] == len(v[t]) for v in after.values())
         elif name == "jaccard_join":
