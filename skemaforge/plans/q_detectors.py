@@ -69,12 +69,25 @@ def baseline_relationships(spark, d):
     return inference.baseline_relationships(counts.select("collection").distinct(), disc, counts)
 
 
-FAMILY = [(c, f) for c in ("alphaDocument", "betaDocument", "gamma_Document") for f in ("doc_version", "label", "repo")] + [("x_Thing", "a"), ("y_Thing", "a"), ("zzz", "b"), ("ab", "c"), ("cb", "c")]
+#: Collections that the tables' rows make: their names and fields.
+_MADE = """made AS (SELECT c.c AS collection, k.k AS field FROM (SELECT unnest(['returnedItem', 'shippedItem', 'open_Item']) AS c) c, (SELECT unnest(['l_orderkey', 'l_partkey', 'repo']) AS k) k WHERE EXISTS (SELECT 1 FROM lineitem)
+UNION ALL SELECT c.c, 'n_name' FROM (SELECT unnest(['x_Thing', 'y_Thing']) AS c) c WHERE EXISTS (SELECT 1 FROM nation) UNION ALL SELECT c.c, 'r_name' FROM (SELECT unnest(['ab', 'cb']) AS c) c WHERE EXISTS (SELECT 1 FROM region))"""
 
 
-@query("SELECT * FROM (VALUES ('Document', 3::BIGINT, 'repo'), ('Thing', 2::BIGINT, 'collection_prefix')) t(family, members, discriminator)")
+def _made_fields(spark, d):
+    line, n, r = star.table(spark, d, "lineitem"), star.table(spark, d, "nation").select("n_name"), star.table(spark, d, "region").select("r_name")
+    item = lambda where: line.where(where).select("l_orderkey", "l_partkey", F.col("l_linestatus").alias("repo"))
+    made = {"returnedItem": item("l_returnflag = 'R'"), "shippedItem": item("l_linestatus = 'F'"), "open_Item": item("l_linestatus = 'O'"), "x_Thing": n, "y_Thing": n, "ab": r, "cb": r}
+    return union_all([profile.observed_fields(df).select(F.lit(name).alias("collection"), "field") for name, df in made.items()])
+
+
+@query(f"""WITH {_MADE}, sets AS (SELECT collection, list(field ORDER BY field) AS l FROM made GROUP BY 1), sizes AS (SELECT l, count(*) AS members FROM sets GROUP BY 1 HAVING count(*) >= 2),
+cuts AS (SELECT collection, l, unnest(range(1, length(collection) + 1)) AS i FROM sets), suffixes AS (SELECT l, collection[i::INT:] AS suffix FROM cuts WHERE i = 1 OR regexp_matches(collection[i::INT], '[A-Z]') OR collection[i::INT - 1] IN ('_', '-')),
+common AS (SELECT x.l, suffix, members, row_number() OVER (PARTITION BY x.l ORDER BY length(suffix) DESC, suffix) AS k FROM (SELECT l, suffix, count(*) AS n FROM suffixes WHERE length(suffix) >= 4 GROUP BY ALL) x JOIN sizes ON x.l = sizes.l AND n = members)
+SELECT suffix AS family, members, CASE WHEN list_contains(l, 'repo') THEN 'repo' ELSE 'collection_prefix' END AS discriminator FROM common WHERE k = 1""")
 def shard_families(spark, d):
-    return inference.shard_families(spark.createDataFrame(FAMILY, "collection string, field string"))
+    """Collections made of the tables, with the fields that their rows show: two families; short names don't count."""
+    return inference.shard_families(_made_fields(spark, d))
 
 
 SHARDS = [("a", False, False, True), ("b", False, True, True), ("_c", False, False, False), ("d", False, False, False), ("e", True, True, False)]
@@ -94,12 +107,15 @@ def sharding_styles(spark, d):
     return inference.sharding_style(smart, no).union(inference.sharding_style(sat, no)).union(inference.sharding_style(sat, F.lit(True))).union(inference.sharding_style(g([]), no))
 
 
-TENANT = [("a", "tenantId"), ("b", "tenant_id"), ("c", "TENANTID"), ("d", "x"), ("a", "orgId"), ("b", "orgid")]
+_TENANT_FIELDS = "f AS (SELECT DISTINCT * FROM (SELECT unnest(['accounts', 'bills', 'mails']) AS collection, unnest(['accountId', 'ACCOUNTID', 'account_id']) AS field UNION ALL SELECT unnest(['accounts', 'bills', 'goods']), unnest(['orgId', 'orgid', 'name'])) WHERE EXISTS (SELECT 1 FROM orders))"
 
 
-@query(f"WITH {values('f', 'collection, field', TENANT)} SELECT lower(field) AS field, count(DISTINCT collection) AS collections, count(DISTINCT collection) / (SELECT count(DISTINCT collection) FROM f) AS share FROM f WHERE lower(field) IN ('tenantid', 'tenant_id', 'tenant', 'orgid', 'org_id', 'organizationid', 'accountid', 'account_id', 'customerid', 'workspaceid') GROUP BY 1 HAVING count(DISTINCT collection) / (SELECT count(DISTINCT collection) FROM f) >= 0.5")
+@query(f"WITH {_TENANT_FIELDS} SELECT lower(field) AS field, count(DISTINCT collection) AS collections, count(DISTINCT collection) / (SELECT count(DISTINCT collection) FROM f) AS share FROM f WHERE lower(field) IN ('tenantid', 'tenant_id', 'tenant', 'orgid', 'org_id', 'organizationid', 'accountid', 'account_id', 'customerid', 'workspaceid') GROUP BY 1 HAVING count(DISTINCT collection) / (SELECT count(DISTINCT collection) FROM f) >= 0.5")
 def tenant_fields(spark, d):
-    return inference.tenant_fields(spark.createDataFrame(TENANT, "collection string, field string"))
+    """Fields with a value in collections made of customers, orders, events and parts."""
+    c, o, e, p = (star.table(spark, d, t) for t in ("customer", "orders", "events", "part"))
+    made = {"accounts": c.select(F.col("c_custkey").alias("accountId"), F.col("c_nationkey").alias("orgId")), "bills": o.select(F.col("o_custkey").alias("ACCOUNTID"), F.col("o_orderkey").alias("orgid")), "mails": e.select(F.col("user_id").alias("account_id")), "goods": p.select(F.col("p_name").alias("name"))}
+    return inference.tenant_fields(union_all([profile.observed_fields(df).select(F.lit(n).alias("collection"), "field") for n, df in made.items()]))
 
 
 _TENANT_NAMES = "c AS (SELECT DISTINCT 'Orders__' || o_orderstatus || '1' AS collection FROM orders UNION SELECT DISTINCT lower(r_name) || '_Stock' FROM region UNION SELECT DISTINCT lower(c_mktsegment) || '-2_Staff' FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT DISTINCT n_name FROM nation)"
@@ -132,18 +148,27 @@ def tenancy_verdicts(spark, d):
     return union_all(out)
 
 
-SCOPE_LINKS = [("Tenant", "Org"), ("Team", "Org"), ("User", "Team"), ("Post", "User"), ("Tag", "Post"), ("Color", "Tag"), ("Far", "Color"), ("Loose", "Other")]
+_ENDS = f"{relationships('')}, {PLACED}, e AS (SELECT DISTINCT split_part(_from, '/', 1) AS a, split_part(_to, '/', 1) AS b FROM (SELECT _from, _to FROM relationships UNION ALL SELECT _from, _to FROM placed))"
+_NEAR = "u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(entity, hops) AS (SELECT 'orders', 0 UNION SELECT u.b, r.hops + 1 FROM r JOIN u ON u.a = r.entity WHERE r.hops < 2), near AS (SELECT entity, min(hops)::INTEGER AS hops FROM r GROUP BY entity)"
+
+
+def _end_links(spark, d):
+    """from_entity, to_entity: which collections the edges link."""
+    return union_all([profile.endpoints(star.relationships(spark, d, shared=False)), profile.endpoints(star.placed(spark, d))]).toDF("from_entity", "to_entity")
 
 
-@query(f"WITH RECURSIVE {values('e', 'a, b', SCOPE_LINKS)}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(entity, hops) AS (SELECT 'Tenant', 0 UNION SELECT u.b, r.hops + 1 FROM r JOIN u ON u.a = r.entity WHERE r.hops < 5) SELECT entity, min(hops)::INTEGER AS hops FROM r GROUP BY entity")
+@query(f"WITH RECURSIVE {_ENDS}, {_NEAR} SELECT entity, hops FROM near")
 def tenant_reachable(spark, d):
-    return inference.reachable(spark.createDataFrame(SCOPE_LINKS, "from_entity string, to_entity string"), spark.createDataFrame([("Tenant",)], "entity string"))
+    """What is at most two links from the orders."""
+    return inference.reachable(_end_links(spark, d), spark.createDataFrame([("orders",)], "entity string"), hops=2)
 
 
-@query("SELECT * FROM (VALUES ('Tenant', 'root'), ('User', 'reachable'), ('Color', 'global'), ('Far', 'global'), ('Loose', 'denormalised'), ('Other', 'global')) t(entity, scope)")
+@query(f"WITH RECURSIVE {_ENDS}, {_NEAR}, c AS (SELECT table_name AS entity, max((column_name LIKE '%_suppkey')::INT) AS own FROM duckdb_columns() WHERE table_name IN ('customer', 'nation', 'orders', 'part', 'region', 'supplier') GROUP BY 1) SELECT c.entity, CASE WHEN c.entity = 'orders' THEN 'root' WHEN own = 1 THEN 'denormalised' WHEN hops IS NOT NULL THEN 'reachable' ELSE 'global' END AS scope FROM c LEFT JOIN near USING (entity)")
 def tenant_scopes(spark, d):
-    e = spark.createDataFrame([("Tenant", ["name"]), ("User", ["name"]), ("Color", []), ("Far", []), ("Loose", ["TENANT_ID"]), ("Other", [])], "entity string, properties array<string>")
-    return inference.tenant_scope(e, spark.createDataFrame(SCOPE_LINKS, "from_entity string, to_entity string"))
+    """Scopes by what the edges link and which fields have values, with the orders as the tenant."""
+    parts = [profile.observed_fields(star.table(spark, d, t)).select(F.lit(t).alias("entity"), "field") for t in ("customer", "nation", "orders", "part", "region", "supplier")]
+    entities = union_all(parts).groupBy("entity").agg(F.collect_list("field").alias("properties"))
+    return inference.tenant_scope(entities, _end_links(spark, d), roots=("Tenant", "orders"), pattern="_suppkey$", hops=2)
 
 
 _REACH = """links AS (SELECT DISTINCT collection AS a, target AS b FROM ranked), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
@@ -198,12 +223,16 @@ def denormalised_fields(spark, d):
     return inference.denormalised_fields(edges, vertices)
 
 
-RDF = [("my_triples", "x"), ("facts", "subject"), ("facts", "predicate"), ("facts", "object"), ("tiny", "s"), ("tiny", "p"), ("quads", "g"), ("users", "name")]
+_TRIPLES = "f AS (SELECT 'my_triples' AS collection, 'r_name' AS field UNION ALL SELECT 'facts', unnest(['Subject', 'predicate', 'object', 'note']) UNION ALL SELECT 'tiny', unnest(['s', 'p']) UNION ALL SELECT 'spo', 'n_name' UNION ALL SELECT 'users', unnest(['subject', 'object']))"
 
 
-@query("SELECT * FROM (VALUES ('my_triples', 'name'), ('facts', 'fields'), ('quads', 'name')) t(collection, reason)")
+@query(f"WITH {_TRIPLES}, g AS (SELECT collection, list(lower(field)) AS l FROM f GROUP BY 1) SELECT collection, CASE WHEN regexp_matches(collection, '(?i)^_?triples?$|_triples?$|^s?p?o?_?quads?$|^quads?$|^statements?$|^spo$') THEN 'name' ELSE 'fields' END AS reason FROM g WHERE regexp_matches(collection, '(?i)^_?triples?$|_triples?$|^s?p?o?_?quads?$|^quads?$|^statements?$|^spo$') OR list_has_all(l, ['subject', 'predicate', 'object']) OR list_has_all(l, ['s', 'p', 'o'])")
 def triple_collections(spark, d):
-    return inference.triple_collections(spark.createDataFrame(RDF, "collection string, field string"))
+    """Collections made of nations and regions, by name or by the fields that have values."""
+    n, r = star.table(spark, d, "nation"), star.table(spark, d, "region")
+    triple = n.select(F.col("n_nationkey").alias("Subject"), F.lit("in").alias("predicate"), F.col("n_regionkey").alias("object"), F.col("n_name").alias("note"))
+    made = {"my_triples": r.select("r_name"), "facts": triple, "tiny": n.select(F.col("n_name").alias("s"), F.col("n_regionkey").alias("p"), F.lit(None).cast("string").alias("o")), "spo": n.select("n_name"), "users": triple.select(F.col("Subject").alias("subject"), "object")}
+    return inference.triple_collections(union_all([profile.observed_fields(df).select(F.lit(name).alias("collection"), "field") for name, df in made.items()]))
 
 
 _CORPUS = ("benchmark", "conversations", "customer", "documents", "embeddings", "nation", "pages")
@@ -234,10 +263,12 @@ def retrieval_graph_gate(spark, d):
     return inference.is_retrieval_graph(inference.retrieval_roles(_corpus_fields(spark, d)))
 
 
-@query(f"WITH {values('g', 'graph, edge_collection, side, collection', GRAPH_ROWS)}, {values('c', 'collection, kind', COLLECTIONS)} SELECT c.collection, coalesce(string_agg(DISTINCT graph, ',' ORDER BY graph), '') AS graphs FROM c LEFT JOIN g ON c.collection = g.collection GROUP BY 1")
+@query(f"WITH {values('g', 'graph, edge_collection, side, collection', GRAPH_ROWS)}, {_ENDS}, c AS (SELECT a AS collection FROM e UNION SELECT b FROM e UNION SELECT 'events' WHERE EXISTS (SELECT 1 FROM events)) SELECT c.collection, coalesce(string_agg(DISTINCT graph, ',' ORDER BY graph), '') AS graphs FROM c LEFT JOIN g ON c.collection = g.collection GROUP BY 1")
 def graph_membership(spark, d):
-    cat = star.catalog(spark, d)
-    return inference.graph_membership(cat.graph_table(), cat.listing().select("collection"))
+    """Graphs of the collections that edges lead to, and of one that has rows and no edge."""
+    ends = _end_links(spark, d).select(F.explode(F.array("from_entity", "to_entity")).alias("collection"))
+    alone = star.table(spark, d, "events").limit(1).select(F.lit("events").alias("collection"))
+    return inference.graph_membership(star.catalog(spark, d).graph_table(), ends.union(alone).distinct())
 
 
 SUFFIXES = [("_Documents",), ("_Chunks",), ("_Sub_Chunks",), ("_Entities",)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skemaforge.operators import metrics, profile, structure
+from skemaforge.operators import inference, metrics, profile, structure
 from skemaforge.sources import star
 from skemaforge.sources.catalog import union_all
 
@@ -69,17 +69,16 @@ def type_assertions(spark, d):
     return structure.type_assertions(union_all([profile.value_counts(df, df.columns).select(F.lit(name).alias("collection"), "field", "value") for name, df in parts.items()]))
 
 
-ROLE_CASES = {"whole": ("chunk,entity,mention", 0), "vector": ("chunk,similarity", 1), "plain": ("chunk,similarity", 0), "nodes": ("chunk,entity", 1), "edges": ("entity,mention", 1), "one": ("chunk", 1), "none": ("", 0)}
+_CASES = f"{q_detectors._ROLES}, k AS (SELECT 'whole' AS case_name, role, 1 AS vectors FROM r UNION ALL SELECT 'bare', role, 0 FROM r UNION ALL SELECT 'vectors', role, 1 FROM r WHERE role <> 'entity' UNION ALL SELECT 'edges', role, 1 FROM r WHERE role IN ('similarity', 'mention') UNION ALL SELECT 'one', role, 1 FROM r WHERE role = 'chunk'), s AS (SELECT case_name, max(vectors) AS v, count(DISTINCT role) AS n, bool_or(role = 'chunk') AS ch, bool_or(role = 'entity') AS en, bool_or(role IN ('similarity', 'mention')) AS ed FROM k GROUP BY 1)"
 
 
-@query(f"WITH {values('c', 'case_name, roles, vectors', [(k, *v) for k, v in ROLE_CASES.items()])}, r AS (SELECT *, len(list_filter(string_split(roles, ','), lambda x: x <> '')) AS n, contains(roles, 'chunk') AS ch, contains(roles, 'entity') AS en, contains(roles, 'mention') OR contains(roles, 'similarity') AS ed FROM c) SELECT case_name, n >= 2 AS detected, CASE WHEN n >= 2 THEN CASE WHEN ch AND ed AND (en OR vectors > 0) THEN 'high' ELSE 'medium' END END AS confidence FROM r")
+@query(f"WITH {_CASES} SELECT case_name, n >= 2 AS detected, CASE WHEN n >= 2 THEN CASE WHEN ch AND ed AND (en OR v = 1) THEN 'high' ELSE 'medium' END END AS confidence FROM s")
 def retrieval_confidence(spark, d):
-    out = None
-    for name, (roles, vectors) in ROLE_CASES.items():
-        r = spark.createDataFrame([(f"c{k}", x) for k, x in enumerate(roles.split(",")) if x], "collection string, role string")
-        one = structure.retrieval_confidence(r, spark.createDataFrame([("c0",)] * vectors, "collection string")).select(F.lit(name).alias("case_name"), "detected", "confidence")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Roles of the tables and of edges made of them; vectors are what ``embeddings`` holds, or none."""
+    roles = inference.retrieval_roles(q_detectors._corpus_fields(spark, d))
+    vectors = star.table(spark, d, "embeddings").where("embedding is not null").limit(1).select(F.lit("embeddings").alias("collection"))
+    cases = {"whole": (roles, vectors), "bare": (roles, vectors.where("false")), "vectors": (roles.where("role <> 'entity'"), vectors), "edges": (roles.where("role in ('similarity', 'mention')"), vectors), "one": (roles.where("role = 'chunk'"), vectors)}
+    return union_all([structure.retrieval_confidence(r, v).select(F.lit(n).alias("case_name"), "detected", "confidence") for n, (r, v) in cases.items()])
 
 
 @query(f"WITH d AS ({q_detectors.DOMAIN_SQL}) SELECT * FROM (SELECT 'found' AS case_name, domain, confidence FROM d ORDER BY confidence DESC, domain LIMIT 1) UNION ALL SELECT 'given', 'freight', 1.0::DOUBLE")
@@ -136,11 +135,12 @@ def naming_issues(spark, d):
     return structure.naming_issues(spark.createDataFrame([n[:2] for n in NAMED], "kind string, name string"))
 
 
-@query("SELECT * FROM (VALUES ('bare', 'no user collections'), ('bare', 'properties of a graph could not be read')) t(case_name, reason)")
+@query("SELECT case_name, reason FROM (SELECT 'bare' AS case_name, 'no user collections' AS reason, (SELECT count(*) FROM orders WHERE o_orderkey < 0) AS n UNION ALL SELECT 'bare', 'properties of a graph could not be read', 0 UNION ALL SELECT 'whole', 'no user collections', (SELECT count(*) FROM orders)) WHERE n = 0")
 def degraded_reasons(spark, d):
-    graphs = spark.createDataFrame([("g", None), ("h", "timeout")], "graph string, error string")
-    bare = structure.degraded_reasons(star.catalog(spark, d).listing().where("false"), graphs).select(F.lit("bare").alias("case_name"), "reason")
-    whole = structure.degraded_reasons(star.catalog(spark, d).listing(), graphs.where("error is null")).select(F.lit("whole").alias("case_name"), "reason")
+    """Collections are those that have rows: none, or all."""
+    graphs, counts = spark.createDataFrame([("g", None), ("h", "timeout")], "graph string, error string"), star.catalog(spark, d).counts()
+    bare = structure.degraded_reasons(counts.where("rows < 0"), graphs).select(F.lit("bare").alias("case_name"), "reason")
+    whole = structure.degraded_reasons(counts.where("rows > 0"), graphs.where("error is null")).select(F.lit("whole").alias("case_name"), "reason")
     return bare.unionByName(whole)
 
 
