@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skemaforge.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from skemaforge.llm.common import drop_staged, named, staged, without_ids
+from skemaforge.llm.common import drop_staged, named, scratch, staged, without_ids
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification rejects go: null or letterless texts, and texts far from every language."""
-    model = language_id.fit(docs, by=F.col("doc_id"))
-    judged = language_id.predict(docs.select("doc_id", "text"), model).where("rejected").select("doc_id").distinct()
-    return without_ids(docs, "doc_id", staged(judged, "unknown-language"))
+    with scratch(spark) as keep:
+        model = language_id.fit(docs, by=F.col("doc_id"))
+        judged = keep(staged(language_id.predict(docs.select("doc_id", "text"), model).where("rejected").select("doc_id").distinct(), "unknown-language"))
+    return without_ids(docs, "doc_id", judged)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -52,8 +54,32 @@ def staged(df: DataFrame, label: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables staged so far that nobody has taken charge of.
+_staged: list[str] = []
+
+
 def stage_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what was staged within it, but for the tables that frames given to ``keep`` read: for steps whose result is staged whole."""
+    before, kept = len(_staged), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(f.rsplit("/", 2)[1] for f in df.inputFiles())
+        return df
+
+    yield keep
+    own = _staged[before:]
+    _staged[before:] = [p for p in own if p.rsplit("/", 1)[1] in kept]
+    for p in own:
+        if p.rsplit("/", 1)[1] not in kept:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged, without_ids
+from .common import ascii_lower, scratch, staged, without_ids
 
 #: Words are runs of digits, lower-case letters and all characters from U+0080 on.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -139,7 +139,8 @@ def contamination(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id"
 
 def decontaminated(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", size: int = WINDOW) -> DataFrame:
     """The rows of ``documents`` whose id has no contaminated text; a null id counts as an id."""
-    bad = contamination(documents, items, doc_id, text, item_id, size).where("contaminated").select("doc_id")
+    with scratch(documents.sparkSession) as keep:
+        bad = keep(staged(contamination(documents, items, doc_id, text, item_id, size).where("contaminated").select("doc_id"), "contaminated"))
     return without_ids(documents, doc_id, bad)
 
 

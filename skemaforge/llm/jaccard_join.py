@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, staged, text_bytes, without_ids, word_hashes
+from .common import mix, scratch, staged, text_bytes, without_ids, word_hashes
 
 SHINGLE = 4
 PERCENT = 85
@@ -295,8 +295,9 @@ def _prefix_of_arrays(df: DataFrame, hot: np.ndarray, percent: int) -> DataFrame
 
 def representatives(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``documents`` whose id is the smallest of its component; rows without an id stay."""
-    found = join_components(documents, doc_id, text, **options)
-    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    with scratch(documents.sparkSession) as keep:
+        found = join_components(documents, doc_id, text, **options)
+        gone = keep(staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies"))
     return without_ids(documents, doc_id, gone, gone.count() <= BROADCAST_ROWS)
 
 
