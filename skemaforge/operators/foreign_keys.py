@@ -131,7 +131,7 @@ def probes(catalog: Catalog, candidates: DataFrame, limit: int = PROBES, sampled
     asked = pairs(candidates).groupBy("collection", "field", "target", "target_field").agg(F.max("confidence").alias("c")).orderBy(F.col("c").desc(), "collection", "field", "target", "target_field").limit(limit + 1).collect()
     wanted = [(r["collection"], r["field"], r["target"], r["target_field"]) for r in asked[:limit]]
     if sampled is not None and sample is None:
-        sample = inclusion.sampled(catalog, {c: sorted({f for x, f, *_ in wanted if x == c}) for c in {x[0] for x in wanted}}, sampled)
+        sample = inclusion.held(inclusion.sampled(catalog, {c: sorted({f for x, f, *_ in wanted if x == c}) for c in {x[0] for x in wanted}}, sampled))
     return inclusion.contained(catalog, wanted, sample if sampled is not None else None), len(asked) > limit
 
 
@@ -163,7 +163,7 @@ def infer(catalog: Catalog, known: DataFrame | None = None, limit: int = PROBES,
     columns = {c: set(own) for c, own in text_fields(catalog).items()}
     for r in single_candidates(fields, none, known).select("collection", F.element_at("fields", 1).alias("field")).distinct().collect():
         columns[r["collection"]].add(r["field"])
-    sample = inclusion.sampled(catalog, {c: sorted(f) for c, f in columns.items()}, sampled or PROBED_VALUES)
+    sample = inclusion.held(inclusion.sampled(catalog, {c: sorted(f) for c, f in columns.items()}, sampled or PROBED_VALUES))
     single = single_candidates(fields, id_shape_votes(catalog, sample=sample), known)
     both = single.unionByName(composites(single))
     both = catalog.spark.createDataFrame(both.collect(), both.schema)  # metadata: a few rows a field
@@ -200,7 +200,7 @@ def key_containments(catalog: Catalog, names: list[str] | None = None, sampled:
     if sampled is None:
         children = parents = inclusion.hashes(catalog, keys)
     else:
-        children = inclusion.sampled(catalog, keys, sampled).select("collection", "field", "h")
+        children = inclusion.held(inclusion.sampled(catalog, keys, sampled)).select("collection", "field", "h")
         parents = inclusion.looked_up(catalog, keys, children)
     found = inclusion.matches(children, parents).select(F.col("collection").alias("child"), F.col("target").alias("parent"), (F.col("hits") / F.col("values")).alias("ratio"))
     return found.where(F.col("ratio") >= KEY_CONTAINED)

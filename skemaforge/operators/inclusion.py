@@ -37,22 +37,26 @@ def hashes(catalog: Catalog, columns: dict[str, list[str]]) -> DataFrame:
 
 
 def sampled(catalog: Catalog, columns: dict[str, list[str]], k: int) -> DataFrame:
-    """HASHES of at most ``k`` distinct values a column, and ``prefix``: the collection whose id the value is (null: none). Local: k rows a column.
+    """HASHES of at most ``k`` distinct values a column, and ``prefix``: the collection whose id the value is (null: none).
 
     The last bits of a hash give way to the number of the collection, so that all that is aggregated is one long.
     """
     names = [c.name for c in catalog.user_collections()]
-    numbers = F.create_map(*(x for i, n in enumerate(names, 1) for x in (F.lit(n), F.lit(i)))) if names else None
     parts = []
     for c, rows in _hashed(catalog, columns):
+        numbers = F.create_map(*(x for i, n in enumerate(names, 1) for x in (F.lit(n), F.lit(i))))
         prefix = F.coalesce(F.try_element_at(numbers, F.when(naming.is_id_shaped(F.col("v")), naming.collection_of(F.col("v")))), F.lit(0)).cast("long")
         kept = F.shiftleft(F.shiftright("h", TARGET_BITS), TARGET_BITS)
         least = rows.select("field", F.pmod("h", F.lit(k)).alias("slot"), kept.bitwiseOR(prefix).alias("h")).groupBy("field", "slot").agg(F.min("h").alias("h"))
-        parts.append(least.select(F.lit(c).alias("collection"), "field", "h"))
-    found = union_all([catalog.spark.createDataFrame([], HASHES), *parts]).collect() if parts else []
-    low = (1 << TARGET_BITS) - 1
-    rows = [(r["collection"], r["field"], r["h"] & ~low, names[(r["h"] & low) - 1] if r["h"] & low else None) for r in found]
-    return catalog.spark.createDataFrame(rows, f"{HASHES}, prefix string")
+        number = F.col("h").bitwiseAND(F.lit((1 << TARGET_BITS) - 1)).cast("int")
+        told = F.when(number > 0, F.element_at(F.array(*map(F.lit, names)), F.greatest(number, F.lit(1))))
+        parts.append(least.select(F.lit(c).alias("collection"), "field", F.shiftleft(F.shiftright("h", TARGET_BITS), TARGET_BITS).alias("h"), told.alias("prefix")))
+    return union_all([catalog.spark.createDataFrame([], f"{HASHES}, prefix string"), *parts])
+
+
+def held(sample: DataFrame) -> DataFrame:
+    """A sample taken once: k rows a column, so it may stay with the driver."""
+    return sample.sparkSession.createDataFrame(sample.collect(), sample.schema)
 
 
 def looked_up(catalog: Catalog, columns: dict[str, list[str]], asked: DataFrame) -> DataFrame:
@@ -80,7 +84,7 @@ def matches(children: DataFrame, parents: DataFrame) -> DataFrame:
 def contained(catalog: Catalog, asked: list[tuple[str, str, str, str]], sample: DataFrame | None) -> DataFrame:
     """collection, field, target, target_field, ratio of the pairs asked (child, its field, parent, its field); no row where a child has no values.
 
-    ``sample`` (of ``sampled``) stands for the children's values; without it all of them count.
+    ``sample`` (of ``sampled``, best ``held``) stands for the children's values; without it all of them count.
     """
     by = lambda i: {c: sorted({p[i + 1] for p in asked if p[i] == c}) for c in sorted({p[i] for p in asked})}
     children = hashes(catalog, by(0)) if sample is None else sample.select("collection", "field", "h")

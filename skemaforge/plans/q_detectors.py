@@ -181,20 +181,27 @@ def _inferred_links(spark, d):
     return spark.createDataFrame(found.collect(), found.schema)  # metadata: a row a link
 
 
-@query(f"WITH RECURSIVE {_INFERRED} SELECT entity, hops FROM near")
+_COUNTS_OF = "counts AS (SELECT 'regions' AS entity, count(*) AS rows FROM region UNION ALL SELECT 'nations', count(*) FROM nation UNION ALL SELECT 'customers', count(*) FROM customer UNION ALL SELECT 'suppliers', count(*) FROM supplier UNION ALL SELECT 'parts', count(*) FROM part UNION ALL SELECT 'purchases', count(*) FROM orders UNION ALL SELECT 'items', count(*) FROM lineitem UNION ALL SELECT 'visits', count(*) FROM events)"
+
+
+def _with_rows(spark, d, found):
+    return found.join(star.relational(spark, d).counts().withColumnRenamed("collection", "entity"), "entity")
+
+
+@query(f"WITH RECURSIVE {_INFERRED}, {_COUNTS_OF} SELECT entity, hops, rows FROM near JOIN counts USING (entity)")
 def tenant_reach_inferred(spark, d):
-    """What links found by values lead to from a tenant, here the customers."""
-    return inference.reachable(_inferred_links(spark, d), spark.createDataFrame([("customers",)], "entity string"))
+    """What links found by values lead to from a tenant, here the customers, and how many rows are there."""
+    return _with_rows(spark, d, inference.reachable(_inferred_links(spark, d), spark.createDataFrame([("customers",)], "entity string")))
 
 
-SCOPES_SQL = f"WITH RECURSIVE {_INFERRED}, e AS (SELECT DISTINCT collection AS entity, max((lower(field) = 'customerid')::INT) OVER (PARTITION BY collection) AS own FROM f) SELECT e.entity, CASE WHEN e.entity = 'customers' THEN 'root' WHEN own = 1 THEN 'denormalised' WHEN hops IS NOT NULL THEN 'reachable' ELSE 'global' END AS scope FROM e LEFT JOIN near USING (entity)"
+SCOPES_SQL = f"WITH RECURSIVE {_INFERRED}, {_COUNTS_OF}, e AS (SELECT DISTINCT collection AS entity, max((lower(field) = 'customerid')::INT) OVER (PARTITION BY collection) AS own FROM f) SELECT e.entity, CASE WHEN e.entity = 'customers' THEN 'root' WHEN own = 1 THEN 'denormalised' WHEN hops IS NOT NULL THEN 'reachable' ELSE 'global' END AS scope, rows FROM e LEFT JOIN near USING (entity) JOIN counts USING (entity)"
 
 
 @query(SCOPES_SQL)
 def tenant_scopes_inferred(spark, d):
     cat = star.relational(spark, d)
     entities = cat.fields().groupBy(F.col("collection").alias("entity")).agg(F.collect_list("field").alias("properties"))
-    return inference.tenant_scope(entities, _inferred_links(spark, d), roots=("Tenant", "customers"), pattern="^customer[_-]?id$")
+    return _with_rows(spark, d, inference.tenant_scope(entities, _inferred_links(spark, d), roots=("Tenant", "customers"), pattern="^customer[_-]?id$"))
 
 
 @query("SELECT 'nation_id' AS field, 1::BIGINT AS collections, 1 / 8 AS share, count(*) AS rows, count(c_nationkey) AS present, count(DISTINCT c_nationkey) AS tenants FROM customer UNION ALL SELECT 'nationid', 1, 1 / 8, count(*), count(s_nationkey), count(DISTINCT s_nationkey) FROM supplier UNION ALL SELECT 'name', 5, 5 / 8, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part), (SELECT count(r_name) FROM region) + (SELECT count(n_name) FROM nation) + (SELECT count(c_name) FROM customer) + (SELECT count(s_name) FROM supplier) + (SELECT count(p_name) FROM part), NULL")
@@ -322,15 +329,19 @@ def provenance_carried(spark, d):
 _NUMBERED = "v AS (SELECT c_mktsegment AS value FROM customer UNION SELECT c_name FROM customer UNION SELECT n_name FROM nation), k AS (SELECT value, '<redacted>:' || (row_number() OVER (ORDER BY value) - 1) AS token FROM v)"
 
 
-def _tokens(spark, d):
+def _values(spark, d):
     c, n = star.table(spark, d, "customer"), star.table(spark, d, "nation")
-    return inference.redaction_tokens(union_all([c.select(F.col("c_mktsegment").alias("value")), c.select(F.col("c_name").alias("value")), n.select(F.col("n_name").alias("value"))]))
+    return union_all([c.select(F.col("c_mktsegment").alias("value")), c.select(F.col("c_name").alias("value")), n.select(F.col("n_name").alias("value"))])
 
 
-@query(f"WITH {_NUMBERED} SELECT value, token FROM k")
+def _tokens(spark, d):
+    return inference.redaction_tokens(_values(spark, d))
+
+
+@query(f"WITH {_NUMBERED}, x AS (SELECT c_mktsegment AS value FROM customer UNION ALL SELECT c_name FROM customer UNION ALL SELECT n_name FROM nation) SELECT value, token, count(*) AS n FROM k JOIN x USING (value) GROUP BY ALL")
 def redaction_tokens(spark, d):
-    """Tokens numbered in order of all values, by ranges."""
-    return _tokens(spark, d)
+    """Tokens numbered in order of all values, by ranges; and how often each value occurs."""
+    return _tokens(spark, d).join(_values(spark, d), "value").groupBy("value", "token").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_NUMBERED} SELECT k.token AS masked, c_mktsegment AS shown, count(*) AS n FROM customer JOIN k ON value = c_mktsegment GROUP BY ALL")
@@ -351,9 +362,11 @@ def redaction_keyed(spark, d):
     return inference.redacted(c, ["segment", "nation"], _KEY).groupBy("segment", "nation").agg(F.count("*").alias("n"))
 
 
-@query("WITH f AS (SELECT DISTINCT column_name AS field FROM duckdb_columns() WHERE table_name IN ('customer', 'events', 'nation', 'orders', 'part', 'region', 'supplier') UNION SELECT unnest(['relation', 'status'])) SELECT field, 'redacted_field_' || (row_number() OVER (ORDER BY field) - 1) AS token FROM f")
+@query("WITH f AS (SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS field, (SELECT count(*) FROM customer) AS present UNION ALL SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']), (SELECT count(*) FROM nation)) SELECT field, 'redacted_field_' || (row_number() OVER (ORDER BY field) - 1) AS token, present FROM f")
 def redaction_field_names(spark, d):
-    return inference.field_tokens(star.catalog(spark, d).fields())
+    """Tokens for fields that have a value, numbered in order."""
+    seen = union_all([profile.observed_fields(star.table(spark, d, t)) for t in ("customer", "nation")])
+    return inference.field_tokens(seen).join(seen, "field")
 
 
 ASKED = [("label", "Nation"), ("label", "Ghost"), ("type", "IN_REGION"), ("type", "Nation")]
@@ -367,22 +380,29 @@ def unknown_pattern_parts(spark, d):
 
 
 _INCIDENCE = f"""f AS (SELECT table_name AS entity, regexp_replace(column_name, '^[a-z]+_', '') AS property FROM duckdb_columns() WHERE table_name IN {_STAR}), e AS (SELECT entity, (1 << (row_number() OVER (ORDER BY entity) - 1)::INT) AS bit FROM (SELECT DISTINCT entity FROM f)),
-m AS (SELECT property, sum(bit)::BIGINT AS mask FROM f JOIN e USING (entity) GROUP BY 1), c(x) AS (SELECT DISTINCT mask FROM m UNION SELECT c.x & m.mask FROM c, m)"""
+m AS (SELECT property, sum(bit)::BIGINT AS mask FROM f JOIN e USING (entity) GROUP BY 1), c(x) AS (SELECT DISTINCT mask FROM m UNION SELECT c.x & m.mask FROM c, m), counts AS (SELECT 'customer' AS entity, count(*) AS n FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier)"""
+
+
+def _covering(found, counts):
+    """Concepts as text with the number of rows that their members have. counts: entity, n."""
+    rows = found.select(F.array_join("extent", ",").alias("extent"), F.explode("extent").alias("entity")).join(counts, "entity").groupBy("extent").agg(F.sum("n").alias("rows"))
+    return taxonomy.joined(found).join(rows, "extent")
 
 
 @query(f"""WITH RECURSIVE {_INCIDENCE}, s AS (SELECT x FROM c WHERE bit_count(x) >= 2), p AS (SELECT x, property, string_agg(entity, '+' ORDER BY entity) AS present FROM s, m, e WHERE mask & x > 0 AND mask & x <> x AND mask & x & bit > 0 GROUP BY ALL)
-SELECT (SELECT string_agg(entity, ',' ORDER BY entity) FROM e WHERE bit & s.x > 0) AS extent, (SELECT string_agg(property, ',' ORDER BY property) FROM m WHERE mask & s.x = s.x) AS intent, (SELECT coalesce(string_agg(property || ':' || present, ',' ORDER BY property), '') FROM p WHERE p.x = s.x) AS partial FROM s""")
+SELECT (SELECT string_agg(entity, ',' ORDER BY entity) FROM e WHERE bit & s.x > 0) AS extent, (SELECT string_agg(property, ',' ORDER BY property) FROM m WHERE mask & s.x = s.x) AS intent, (SELECT coalesce(string_agg(property || ':' || present, ',' ORDER BY property), '') FROM p WHERE p.x = s.x) AS partial, (SELECT sum(n)::BIGINT FROM e JOIN counts USING (entity) WHERE bit & s.x > 0) AS rows FROM s""")
 def taxonomy_concepts(spark, d):
     """Groups of tables that share properties: fields with a value in some row, without the tables' prefixes."""
     fields = union_all([profile.observed_fields(star.table(spark, d, t)).select(F.lit(t).alias("entity"), F.regexp_replace("field", "^[a-z]+_", "").alias("property")) for t in _STAR])
-    return taxonomy.joined(taxonomy.concepts(fields))
+    counts = union_all([star.table(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("entity"), "n") for t in _STAR])
+    return _covering(taxonomy.concepts(fields), counts)
 
 
-@query(f"WITH {ENTITIES}, f AS (SELECT DISTINCT type AS entity, 'name' AS property FROM entities UNION SELECT DISTINCT type, 'balance' FROM entities WHERE balance IS NOT NULL) SELECT string_agg(entity, ',' ORDER BY entity) AS extent, CASE WHEN count(*) = 2 THEN 'balance,name' ELSE 'name' END AS intent, CASE WHEN count(*) = 2 THEN '' ELSE 'balance:Customer+Supplier' END AS partial FROM (SELECT entity, property FROM f WHERE entity <> 'Region') GROUP BY property")
+@query(f"WITH {ENTITIES}, f AS (SELECT DISTINCT type AS entity, 'name' AS property FROM entities UNION SELECT DISTINCT type, 'balance' FROM entities WHERE balance IS NOT NULL) SELECT string_agg(entity, ',' ORDER BY entity) AS extent, CASE WHEN count(*) = 2 THEN 'balance,name' ELSE 'name' END AS intent, CASE WHEN count(*) = 2 THEN '' ELSE 'balance:Customer+Supplier' END AS partial, sum(n)::BIGINT AS rows FROM (SELECT entity, property FROM f WHERE entity <> 'Region') JOIN (SELECT type AS entity, count(*) AS n FROM entities GROUP BY 1) USING (entity) GROUP BY property")
 def taxonomy_of_labels(spark, d):
     """Labels of a shared collection, one of which is left out as a member of a family."""
     fields = profile.observed_fields_by_type(star.entities(spark, d), "type").select(F.col("type").alias("entity"), F.col("field").alias("property"))
-    return taxonomy.joined(taxonomy.concepts(fields, without=("Region",)))
+    return _covering(taxonomy.concepts(fields, without=("Region",)), star.entities(spark, d).groupBy(F.col("type").alias("entity")).agg(F.count("*").alias("n")))
 
 
 _LABELS = f"{ENTITIES}, e AS (SELECT DISTINCT type AS entity, 'LABEL' AS style, 'entities' AS collection FROM entities UNION SELECT DISTINCT o_orderstatus, 'LABEL', 'orders' FROM orders WHERE o_orderstatus = 'F' UNION SELECT 'Thing', 'COLLECTION', 'entities' UNION SELECT 'Order', 'COLLECTION', 'orders')"

@@ -48,9 +48,9 @@ def snapshot_types_by_relation(spark, d):
     return snapshot.entity_type_table(c, snapshot.type_fields(c))
 
 
-@query(f"WITH c AS (SELECT replace(p_type, ' ', '_') AS value, count(*) AS n FROM part GROUP BY 1 HAVING count(*) >= 3), k AS (SELECT value FROM c WHERE regexp_full_match(value, '[A-Za-z0-9_-]{{1,64}}')) SELECT 'parts' AS collection, CASE WHEN (SELECT count(*) FROM c) = (SELECT count(*) FROM k) AND (SELECT count(*) FROM c) BETWEEN 2 AND 10000 AND (SELECT sum(n) FROM c) >= 0.8 * (SELECT count(*) FROM part) THEN 'type' END AS field")
+@query(f"WITH c AS (SELECT replace(p_type, ' ', '_') AS value, count(*) AS n FROM part GROUP BY 1 HAVING count(*) >= 3), k AS (SELECT value FROM c WHERE regexp_full_match(value, '[A-Za-z0-9_-]{{1,64}}')) SELECT 'parts' AS collection, CASE WHEN (SELECT count(*) FROM c) = (SELECT count(*) FROM k) AND (SELECT count(*) FROM c) BETWEEN 2 AND 10000 AND (SELECT sum(n) FROM c) >= 0.8 * (SELECT count(*) FROM part) THEN 'type' END AS field, (SELECT count(DISTINCT p_type) FROM part) AS labels")
 def snapshot_label_floor(spark, d):
     """A field with more labels than the usual 32 tells types apart where full label sets are asked for."""
     part = lambda: star.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("_key"), F.translate("p_type", " ", "_").alias("type"))
     found = snapshot.type_fields(Catalog(spark, [Collection("parts", part)]), label_floor=3)
-    return spark.createDataFrame([("parts", found.get("parts"))], "collection string, field string")
+    return part().agg(F.count_distinct("type").alias("labels")).select(F.lit("parts").alias("collection"), F.lit(found.get("parts")).cast("string").alias("field"), "labels")
