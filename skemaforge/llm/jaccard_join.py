@@ -174,14 +174,15 @@ def _fragment_bound(pairs: DataFrame, pools: DataFrame, percent: int) -> DataFra
 def linked(pairs: DataFrame, docs: DataFrame, pools: DataFrame, size: int, percent: int, fragments: int) -> DataFrame:
     """Those of ``pairs`` (a, b, na, nb) whose sets link: 100 * intersection >= percent * union."""
     long_enough = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
-    left = staged(_fragment_bound(pairs.where(long_enough), pools, percent), "candidates")
-    ids = staged(left.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "candidate-ids")
-    sets = staged(_whole_sets(docs, ids, size, fragments), "fragments")
-    x = sets.select(F.col("doc").alias("a"), "fragment", F.col("hashes").alias("ha"))
-    y = sets.select(F.col("doc").alias("b"), "fragment", F.col("hashes").alias("hb"))
-    partial = left.join(x, "a").join(y, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("common"))
-    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-    return staged(summed.where((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
+    with scratch(docs.sparkSession) as keep:
+        left = staged(_fragment_bound(pairs.where(long_enough), pools, percent), "candidates")
+        ids = staged(left.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "candidate-ids")
+        sets = staged(_whole_sets(docs, ids, size, fragments), "fragments")
+        x = sets.select(F.col("doc").alias("a"), "fragment", F.col("hashes").alias("ha"))
+        y = sets.select(F.col("doc").alias("b"), "fragment", F.col("hashes").alias("hb"))
+        partial = left.join(x, "a").join(y, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("common"))
+        summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+        return keep(staged(summed.where((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "links"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
