@@ -5,6 +5,9 @@ added or removed changes the key by one value, a letter exchanged by the differe
 keys once each has lost its own letter, and a word that lost a letter has the key of the shorter word; so all pairs come out of one
 equi-join on keys. Since one change leaves the first or the second half of a word as it is, that half is part of the join's key; the
 order of all letters is verified on the pairs that meet.
+
+All joins are merges by hint: Spark sizes a staged table by its compressed files, and a vocabulary of a few MB makes keyed rows of hundreds,
+which it would otherwise send through the driver.
 """
 
 from __future__ import annotations
@@ -60,7 +63,7 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     """a, a_n, b, b_n (a < b): every pair of words that differ by exactly one inserted, deleted or replaced code point, once."""
     keyed = _keyed(vocabulary)
     a, b = keyed.toDF("k", "a", "a_n"), keyed.toDF("k2", "b", "b_n")
-    met = a.join(b, (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b")))
+    met = a.join(b.hint("merge"), (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b")))
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n").distinct()
 
 
@@ -79,12 +82,12 @@ def group_variants(vocabulary: DataFrame, ratio: int = 2) -> DataFrame:
     best = pairs.select(sides.alias("x")).groupBy(F.col("x.word").alias("near_of")).agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("x.m")).alias("m"), F.col("x.other").alias("other"))).alias("best"))
     takes = -F.col("best.m") >= ratio * F.col("n")
     formed = staged(
-        words.join(best, F.col("word") == F.col("near_of"), "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(takes, F.col("best.other")).alias("form"), F.when(takes, -F.col("best.m")).alias("form_n")), "forms"
+        words.join(best.hint("merge"), F.col("word") == F.col("near_of"), "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(takes, F.col("best.other")).alias("form"), F.when(takes, -F.col("best.m")).alias("form_n")), "forms"
     )
     reached = formed.where("form is not null").select("word", F.col("form").alias("root"))
     before = None
     while True:
-        step = reached.join(reached.toDF("of", "further"), F.col("root") == F.col("of"), "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("open"))
+        step = reached.join(reached.toDF("of", "further").hint("merge"), F.col("root") == F.col("of"), "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("open"))
         step = staged(step, "roots")
         if before is not None:
             drop_staged(words.sparkSession, before)
@@ -92,7 +95,7 @@ def group_variants(vocabulary: DataFrame, ratio: int = 2) -> DataFrame:
         if step.where("open").isEmpty():
             break
     drop_staged(words.sparkSession, words)
-    return formed.join(reached.toDF("of", "reached"), F.col("word") == F.col("of"), "left").select("word", "form", F.coalesce("reached", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(reached.toDF("of", "reached").hint("merge"), F.col("word") == F.col("of"), "left").select("word", "form", F.coalesce("reached", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,3 +117,15 @@ def test_empty_table(spark):
     dotted = spark.createDataFrame([(None, "abcde Abcde abcde"), (7, None)], "`a.b` long, `c``d` string")
     counts = spelling_variants.vocabulary(spelling_variants.runs(dotted, "a.b", "c`d").withColumnRenamed("run", "word"))
     assert [tuple(r) for r in counts.collect()] == [("abcde", 3)]
+
+
+def test_nothing_is_broadcast(spark):
+    """A staged table's files may be far smaller than the rows made of it; Spark must not gather these in the driver on account of the files' size."""
+    counts = {"abcdefghi"[: i + 1] + "mnopqrstu"[i + 1 :]: 2**i for i in range(9)}
+    df = spark.createDataFrame(list(counts.items()), "word string, n long")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")  # the size from which a broadcast fails
+    try:
+        got = result(spelling_variants.group_variants(df))
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert got == brute(counts)
